@@ -147,11 +147,12 @@ def twice_filter(keys: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def any_filter(ids: DataFrame, bits: int) -> np.ndarray:
-    """Packed bits of a filter of the keys in ids' one long column; as twice_filter, but of all keys."""
-    (column,) = ids.columns
-    rows = ids.select((F.xxhash64(column).bitwiseAND(bits - 1)).alias("p")).distinct()
-    rows = rows.groupBy((F.col("p") / (1 << _BLOCK)).cast("int").alias("block")).agg(F.collect_list(F.pmod("p", F.lit(1 << _BLOCK)).cast("int")).alias("low"))
+def any_filter(keys: DataFrame, bits: int) -> np.ndarray:
+    """Packed bits of a filter with one bit a key; keys: one column of uniformly spread longs."""
+    (column,) = keys.columns
+    rows = keys.select(F.col(column).bitwiseAND(bits - 1).alias("p")).distinct()
+    low = F.collect_list(F.col("p").bitwiseAND((1 << _BLOCK) - 1).cast("int"))
+    rows = rows.groupBy(F.shiftright("p", _BLOCK).cast("int").alias("block")).agg(low.alias("low"))
     out = np.zeros(bits // 8, np.uint8)
     for row in rows.toLocalIterator():
         at = row.block << (_BLOCK - 3)
