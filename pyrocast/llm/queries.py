@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, jaccard_join, line_dedup, mixing, quality, sharding
+from . import ann, bpe, html_text, jaccard_join, line_dedup, mixing, quality, sharding, token_files, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
+    "op2_html_text": html_text.query,
     "op3_jaccard_join": jaccard_join.query,
     "op4_byte_bpe": bpe.query,
     "op5_mixing": mixing.query,
     "op6_sharding": sharding.query,
     "op7_quality_rules": quality.query,
+    "op8_warc": warc.query,
+    "op9_ann": ann.query,
+    "op10_token_files": token_files.query,
     "pipeline": corpus_pipeline.run,
 }
 
-SQL = {"op1_line_dedup": line_dedup.SQL}
+SQL = {"op1_line_dedup": line_dedup.SQL, "op8_warc": warc.SQL}
