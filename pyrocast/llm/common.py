@@ -179,3 +179,17 @@ def chunks(text: str) -> list[str]:
     """
     parts = _SPLIT.split(text) if _WIDE.search(text) else text.split(" ")
     return [parts[0], *[" " + x for x in parts[1:]]]
+
+
+def parts(batch, text: int, most: int = 1 << 21):
+    """The batch in slices of some MB of text (column number `text`), so that what a task holds stays small."""
+    import pyarrow.compute as pc
+
+    sizes, start, held = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist(), 0, 0
+    for i, n in enumerate(sizes):
+        if held and held + n > most:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < len(sizes):
+        yield batch.slice(start)

@@ -1,9 +1,9 @@
 """HTML extraction by tag-path ratios.
 
 A page is read into text nodes, each with its path of block tags from root to leaf. Of each path the
-text length and the punctuation a node are summed; the two ratios are smoothed along the page, fused,
-and paths above a threshold hold the content. Elements that by name, role or class are menus,
-headers, footers, sidebars, notices, adverts, forms or comments never count as content.
+text length and the punctuation a node are summed; the two ratios are smoothed along the page, fused
+with those before smoothing, and paths above a threshold hold the content. Elements that by name,
+role or class are menus, headers, footers, sidebars, notices, adverts, forms or comments never count.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+_OPEN = re.compile(r"</?[a-zA-Z][^<]*$")
 _ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _RAW = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp")}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -67,7 +68,7 @@ def blocks(page: str) -> list[_Block]:
     while at < len(page):
         m = _TOKEN.search(page, at)
         if m is None:
-            text(page[at:])
+            text(_OPEN.sub("", page[at:]))  # a tag that never ends is no text
             break
         if m.start() > at:
             text(page[at : m.start()])
@@ -155,7 +156,8 @@ def main_text(page: str | None, threshold: float = 0.2) -> str:
     by_marks = _smooth([punctuation[b.path] / count[b.path] for b, _ in nodes])
     fused: dict[str, float] = defaultdict(float)
     for (b, _), x, y in zip(nodes, by_length, by_marks, strict=True):
-        fused[b.path] += (x * (1 + y)) ** 0.5 / count[b.path]
+        own = length[b.path] * (1 + punctuation[b.path] / count[b.path]) / count[b.path]
+        fused[b.path] += (own * x * (1 + y)) ** 0.5 / count[b.path]
     best = max(fused.values())
     links = {p for p in fused if linked[p] > 0.5 * length[p]}
     # a part that the page itself marks as main holds content on every path that isn't links

@@ -9,20 +9,22 @@ covers the span.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, saved, shared_folder
+from .common import chunks, parts, saved, shared_folder
 from .files import content, written
 
 _MAGIC = b"RPTOK1\0\0"
 #: Ids in a file, and chunks of text that a worker keeps the ids of.
-FILE_IDS, _KEPT_CHUNKS = 1 << 21, 300_000
+FILE_IDS, _KEPT_CHUNKS = 1 << 21, 150_000
 
 
 def repair(ids: np.ndarray, symbols: int, rounds: int = 8, least: int = 8, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,47 +133,78 @@ class TokenFile:
 _workers: dict = {}
 
 
-def _encoder(text: str):
-    """The tokenizer, and the ids of the chunks that this worker has met."""
-    from tokenizers import Tokenizer
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself where it is printable, else the next from U+0100."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
-    key = hash(text)
+
+class Encoder:
+    """A tokenizer of the tokenizers library (from its JSON), with the ids of the chunks and pieces it has met.
+
+    Where the tokenizer is byte-level BPE with its usual pattern, its model is asked for each distinct
+    piece; otherwise, and for chunks that hold an added token, the whole tokenizer for each chunk.
+    """
+
+    def __init__(self, text: str, pattern: str | None):
+        from tokenizers import Tokenizer
+
+        told = json.loads(text)
+        before = told.get("pre_tokenizer") or {}
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not told.get("normalizer")
+        self.coder, self.model = Tokenizer.from_str(text), None
+        if plain and pattern:
+            self.model, self.pattern, self.letters = self.coder.model, regex.compile(pattern), _byte_letters()
+        self.added = [x["content"] for x in told.get("added_tokens", [])]
+        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            letters = piece.encode().decode("latin-1").translate(self.letters)
+            found = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(letters)], np.uint32).tobytes()
+        return found
+
+    def _learn(self, new: list[str]) -> None:
+        whole = [c for c in new if self.model is None or any(x in c for x in self.added)]
+        for c, e in zip(whole, self.coder.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+            self.chunks[c] = np.array(e.ids, np.uint32).tobytes()
+        for c in new:
+            if c not in self.chunks:
+                self.chunks[c] = b"".join([self._piece(p) for p in self.pattern.findall(c)])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        for table in (self.chunks, self.pieces):
+            if len(table) > _KEPT_CHUNKS:
+                table.clear()
+        known = self.chunks
+        # cuts at spaces hold for byte-level tokenizers; other texts stay whole
+        held = [(chunks(t) if self.model else [t]) if t else [] for t in texts]
+        self._learn(list({c for doc in held for c in doc if c not in known}))
+        return [np.frombuffer(b"".join([known[c] for c in doc]), np.uint32) for doc in held]
+
+
+def _encoder(text: str, pattern: str | None) -> Encoder:
+    """One for each tokenizer and worker."""
+    key = hash((text, pattern))
     if key not in _workers:
         _workers.clear()
-        _workers[key] = Tokenizer.from_str(text), {}
+        _workers[key] = Encoder(text, pattern)
     return _workers[key]
 
 
-def encode_texts(texts: list[str], tokenizer: str) -> list[np.ndarray]:
-    """Ids of each text by the tokenizers library, from those of its distinct chunks; tokenizer: its JSON."""
-    coder, known = _encoder(tokenizer)
-    out, held, size = [], [], 0
-    for i, text in enumerate(texts):
-        held.append(chunks(text) if text else [])
-        size += len(text)
-        if size > 1 << 20 or i == len(texts) - 1:
-            if len(known) > _KEPT_CHUNKS:
-                known.clear()
-            new = list({c for doc in held for c in doc if c not in known})
-            for a in range(0, len(new), 4096):
-                part = new[a : a + 4096]
-                for c, e in zip(part, coder.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    known[c] = np.array(e.ids, np.uint32).tobytes()
-            out += [np.frombuffer(b"".join([known[c] for c in doc]), np.uint32) for doc in held]
-            held, size = [], 0
-    return out
-
-
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer: str, pattern: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
     """Writes the ids of each text and end_id, in ascending order of document ids; gives the manifest.
 
     Manifest: path, first_id, part, roll, n_ids, start (ids in all files before). tokenizer: JSON of
-    the tokenizers library, broadcast (its vocabulary has a fixed size). Null texts are empty; rows
+    the tokenizers library, broadcast (its vocabulary has a fixed size); pattern: how a byte-level
+    tokenizer splits texts, if it does so as usual. Null texts are empty; rows
     without an id come first; rows with one id stand in order of their texts. Other columns are not
     read. An empty table gives no files.
     """
-    import json
-
     spark = docs.sparkSession
     kept = spark.sparkContext.broadcast(tokenizer)
     symbols = max([end_id, *json.loads(tokenizer)["model"]["vocab"].values(), *[x["id"] for x in json.loads(tokenizer)["added_tokens"]]]) + 1
@@ -183,16 +216,16 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col:
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        part, roll = TaskContext.get().partitionId(), 0
+        part, roll, coder = TaskContext.get().partitionId(), 0, _encoder(kept.value, pattern)
         doc_ids, counts, held, size = [], [], [], 0
 
         def flush():
             path = written(folder, f"ids-{part:06d}-{roll:06d}", ".rptok", pack(doc_ids, counts, np.concatenate(held), symbols))
             return pa.RecordBatch.from_pydict({"path": [path], "first_id": pa.array(doc_ids[:1], pa.int64()), "part": pa.array([part], pa.int32()), "roll": pa.array([roll], pa.int32()), "n_ids": pa.array([size], pa.int64())})
 
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode_texts(texts, kept.value), strict=True):
+        for part_of in (x for batch in batches for x in parts(batch, 1)):
+            texts = part_of.column(1).to_pylist()
+            for doc_id, ids in zip(part_of.column(0).to_pylist(), coder.encode(texts), strict=True):
                 doc_ids.append(doc_id)
                 counts.append(len(ids) + 1)
                 held += [ids, np.array([end_id], np.uint32)]
@@ -234,5 +267,5 @@ def query(spark, sf_dir: str, vocabulary: str = "byte_bpe_50k.json") -> DataFram
 
     with open(public_tokenizers.path(vocabulary), encoding="utf-8") as f:
         tokenizer = f.read()
-    manifest = write(spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_folder(spark)}/ids", tokenizer)
+    manifest = write(spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_folder(spark)}/ids", tokenizer, public_tokenizers.PATTERN)
     return read(saved(manifest, "starts"))
