@@ -22,6 +22,35 @@ def offsets(distance: float = NEIGHBOUR_DISTANCE) -> list[tuple[int, int]]:
     return [(x, y) for y in range(-r, r + 1) for x in range(-r, r + 1) if (x or y) and x * x + y * y <= distance * distance]
 
 
+def line(x0: int, y0: int, x1: int, y1: int) -> list[tuple[int, int]]:
+    """Cells of a line, both ends included: of two equally near cells beside the longer axis the one nearer the start."""
+    dx, dy = abs(x1 - x0), abs(y1 - y0)
+    n = max(dx, dy)
+    minor = [(2 * i * min(dx, dy) + n - 1) // (2 * n) if n else 0 for i in range(n + 1)]
+    steps = [(i, m) if dx >= dy else (m, i) for i, m in enumerate(minor)]
+    return [(x0 + (a if x1 > x0 else -a), y0 + (b if y1 > y0 else -b)) for a, b in steps]
+
+
+def _reach(distance: float):
+    """An array column of steps within a distance, each with the cells on its line from the far end to the near one."""
+    cells = [F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy"), F.array(*[F.struct(F.lit(a).alias("lx"), F.lit(b).alias("ly")) for a, b in line(x, y, 0, 0)[:-1]]).alias("line")) for x, y in offsets(distance)]
+    return F.array(*cells)
+
+
+def neighbours(sources: DataFrame, cells: DataFrame, distance: float = NEIGHBOUR_DISTANCE) -> DataFrame:
+    """Rows of sources (episode, sx, sy, ...) with dx, dy, x, y for each burnable cell in sight within a distance.
+
+    cells: episode, x, y, burnable. A cell is in sight if no cell that cannot burn lies on the line
+    to it: the lines' cells are joined with those, and what they hit is taken out.
+    """
+    reach = sources.withColumn("o", F.explode(_reach(distance)))
+    reach = reach.select(*sources.columns, (F.col("sx") + F.col("o.dx")).alias("x"), (F.col("sy") + F.col("o.dy")).alias("y"), "o.dx", "o.dy", "o.line")
+    walls = cells.filter(~F.col("burnable")).select("episode", F.col("x").alias("wx"), F.col("y").alias("wy"))
+    steps = reach.select("episode", "sx", "sy", "x", "y", F.explode("line").alias("l")).withColumns({"wx": F.col("sx") + F.col("l.lx"), "wy": F.col("sy") + F.col("l.ly")})
+    hidden = steps.join(walls, ["episode", "wx", "wy"]).select("episode", "sx", "sy", "x", "y").distinct()
+    return reach.drop("line").join(cells.filter("burnable").select("episode", "x", "y"), ["episode", "x", "y"], "left_semi").join(hidden, ["episode", "sx", "sy", "x", "y"], "left_anti")
+
+
 def spread_rate(pairs: DataFrame) -> DataFrame:
     """pairs with spread_rate; columns as spread_columns expects them."""
     names = pairs.columns
@@ -42,9 +71,8 @@ def step(cells: DataFrame, time: float, wind: float, wind_dir: float, cell_size:
     now = now.when((F.col("state") == UNBURNT) & (time > F.col("ignition")), BURNING).otherwise(F.col("state"))
     moved = cells.withColumn("next", now)
     lit = moved.filter((F.col("state") == UNBURNT) & (F.col("next") == BURNING)).select("episode", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("elevation").alias("sz"), F.col("ignition").alias("since"))
-    around = F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in offsets()])
-    reach = lit.withColumn("o", F.explode(around)).select("episode", "sz", "since", (F.col("sx") + F.col("o.dx")).alias("x"), (F.col("sy") + F.col("o.dy")).alias("y"), "o.dx", "o.dy")
-    targets = cells.filter((F.col("state") == UNBURNT) & F.col("burnable"))
+    reach = neighbours(lit, cells).drop("sx", "sy")
+    targets = cells.filter(F.col("state") == UNBURNT)
     pairs = reach.join(targets, ["episode", "x", "y"]).withColumns({"dz": F.col("elevation") - F.col("sz"), "wind": F.lit(wind), "wind_dir": F.lit(wind_dir), "cell_size": F.lit(cell_size)})
     rated = spread_rate(pairs).withColumn("due", F.col("since") + F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")) * cell_size / F.col("spread_rate"))
     new = rated.groupBy("episode", "x", "y").agg(F.min("due").alias("due"), F.min(F.col("due") - F.col("since") + MIN_BURN_TIME).alias("short"), F.max("spread_rate").alias("fast"))
@@ -82,6 +110,7 @@ def simulate(cells: DataFrame, times: list[float], wind: float, wind_dir: float,
     An episode is one grid of bounded size; episodes are spread over the cluster.
     """
     around = np.array(offsets())
+    lines = [np.array(line(x, y, 0, 0)[:-1]) for x, y in offsets()]
     fuel_names = ["sav", "beta", "load", "mx", "depth"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -99,7 +128,11 @@ def simulate(cells: DataFrame, times: list[float], wind: float, wind_dir: float,
                 ok = (ty >= 0) & (ty < h) & (tx >= 0) & (tx < w)
                 s, o = np.nonzero(ok)
                 ty, tx = ty[s, o], tx[s, o]
-                free = (state[ty, tx] == UNBURNT) & grid["burnable"][ty, tx]
+                free = state[ty, tx] == UNBURNT
+                for k, cells_on in enumerate(lines):
+                    mine = np.flatnonzero(o == k)
+                    for lx, ly in cells_on:
+                        free[mine] &= grid["burnable"][ys[s[mine]] + ly, xs[s[mine]] + lx]
                 s, o, ty, tx = s[free], o[free], ty[free], tx[free]
                 dx, dy = around[o, 0].astype(float), around[o, 1].astype(float)
                 dz = grid["elevation"][ty, tx] - grid["elevation"][ys[s], xs[s]]

@@ -125,3 +125,25 @@ def test_polygon(spark):
     ring = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]
     assert one(spark, P.in_polygon("5D", "5D", ring)) is True
     assert one(spark, P.in_polygon("15D", "5D", ring)) is False
+
+
+BLOCKED = [((0, 0), (0, 3), False), ((1, 0), (0, 3), False), ((1, 1), (0, 2), False), ((1, 1), (0, 3), True), ((1, 0), (1, 2), True), ((1, 0), (1, 3), True), ((1, 0), (2, 2), True), ((1, 0), (2, 3), True)]
+
+
+@pytest.mark.parametrize("a,b,blocked", BLOCKED)
+def test_blocked_line(a, b, blocked):
+    assert any(x + 4 * y in (9, 10, 11) for x, y in fire.line(*a, *b)) == blocked
+
+
+@pytest.mark.parametrize("cell,distance,want", [(0, 1.5, [1, 4, 5]), (5, 1.5, [0, 1, 2, 4, 6, 8]), (5, 2.5, [0, 1, 2, 3, 4, 6, 7, 8, 12]), (14, 2.5, [12, 13, 15]), (15, 2.5, [13, 14])])
+def test_neighbours(spark, cell, distance, want):
+    cells = spark.range(16).selectExpr("0L AS episode", "CAST(id % 4 AS INT) AS x", "CAST(id DIV 4 AS INT) AS y", "id NOT IN (9, 10, 11) AS burnable")
+    source = spark.createDataFrame([(0, cell % 4, cell // 4)], "episode long, sx int, sy int")
+    assert sorted(r.x + 4 * r.y for r in fire.neighbours(source, cells, distance).collect()) == want
+
+
+def test_line_column_equals_line(spark):
+    rows = [(x0, y0, x1, y1) for x0 in (0, 3) for y0 in (0, 5) for x1 in (0, 2, 9) for y1 in (0, 4, 7)]
+    df = spark.createDataFrame(rows, "x0 int, y0 int, x1 int, y1 int").select("*", raster.line_cells("x0", "y0", "x1", "y1").alias("c"))
+    for r in df.collect():
+        assert [(c.x, c.y) for c in r.c] == fire.line(r.x0, r.y0, r.x1, r.y1)
