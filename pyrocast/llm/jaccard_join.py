@@ -1,11 +1,11 @@
 """N-gram Jaccard join by a grouped prefix join, exact, for the components of its links.
 
 Sets are distinct 5-word shingles as 64-bit hashes, in hash order. Texts with one set are one class.
-With overlap o at least a = ceil(0.8 n), two linked sets share l tokens among their first n - a + l
-(the prefix; l grows with n). Documents with identical prefixes and sizes are one group. A group
-with fewer than l prefix tokens that other groups have too cannot link, and drops out; of the rest,
-tokens in order of their frequency, the first (count - l + 1) must hold a common one of any linked
-pair. Groups joined by such tokens form clusters. Their members are then verified on whole sets,
+Linked sets of at most M shingles have an overlap o of at least 0.8 M, and their l-th common token
+stands among the first n - o + l of either: with l = 1 + M / 5, among the first 0.4 n + 1 (the
+prefix). Documents with identical prefixes and sizes are one group. A group with fewer than
+1 + n / 5 prefix tokens that other groups have too cannot link, and drops out; of the rest, tokens in
+order of their frequency, the first (count - n / 5) must hold a common one of any linked pair. Groups joined by such tokens form clusters. Their members are then verified on whole sets,
 block by block: each block against the cluster's first block, then whatever did not join the
 cluster's largest component against all blocks. No list of pairs is ever made.
 """
@@ -45,18 +45,14 @@ def shingles(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(out)
 
 
-def needed(n: int, percent: int) -> int:
-    return -(-percent * n // 100)
-
-
 def common(n: int) -> int:
-    """l of a set of n shingles."""
-    return 1 + n // 16
+    """Tokens that a set of n shingles has in common with any linked one, in both prefixes."""
+    return 1 + n // 5
 
 
-def common_least(n: int, percent: int) -> int:
-    """The smallest l of any pair that a set of n shingles can be in."""
-    return common(needed(n, percent))
+def prefix(n: int, percent: int) -> int:
+    """Length of the prefix; for a partner of M >= n shingles, n - percent / 100 * M + common(M) is no longer."""
+    return min(n, n - (percent - 20) * n // 100 + 1)
 
 
 class _Union:
@@ -120,7 +116,7 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
             n, fp, keys, prefixes = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, width)
-                head = s[: len(s) - needed(len(s), percent) + common(len(s))] if len(s) else s
+                head = s[: prefix(len(s), percent)]
                 n.append(len(s))
                 fp.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 keys.append(xxhash.xxh3_128_digest(head.tobytes(), len(s)) if len(s) else None)
@@ -149,22 +145,39 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
     return texts.mapInArrow(run, "rep long, tokens binary")
 
 
-def clusters(sets: DataFrame, percent: int) -> DataFrame:
-    """gid, cluster for groups that may link to another; sets: as sets_of."""
+def clusters(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """gid, cluster for groups that may link to another; sets: as sets_of; groups: gid.
+
+    A filter of bounded size picks the rows of sets whose id is a gid. It lets a few others through:
+    copies, which then count as groups of their own and change nothing.
+    """
     spark = sets.sparkSession
-    groups = saved(sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("pkey").agg(F.min("doc_id").alias("gid"), F.first("n").alias("n"), F.first("prefix").alias("prefix")).select("gid", "n", "prefix"), "groups")
-    shared = saved(groups.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
+    gid_bits = filter_bits(groups.count())
+    gids = spark.sparkContext.broadcast(any_filter(groups.select(F.xxhash64("gid").alias("h")), gid_bits))
+
+    def chosen(batch):
+        """gid, n, and the tokens of their prefixes, a row for each token."""
+        batch = batch.take(pa.array(np.flatnonzero(has(gids.value, batch.column(1).to_numpy() & (gid_bits - 1)))))
+        many = batch.column(3).value_lengths().to_numpy()
+        return np.repeat(batch.column(0).to_numpy(), many), np.repeat(batch.column(2).to_numpy(), many), batch.column(3).flatten().to_numpy()
+
+    def tokens_of(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(chosen(batch)[2])], ["token"])
+
+    heads = sets.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", F.xxhash64("doc_id").alias("h"), "n", "prefix")
+    shared = saved(heads.mapInArrow(tokens_of, "token long").groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
     bits = filter_bits(shared.count())
     kept = spark.sparkContext.broadcast(any_filter(shared.select("token"), bits))
 
     def suspects(batches):
         for batch in batches:
-            ids, values, ends = batch.column(0).to_numpy(), batch.column(2).flatten().to_numpy(), batch.column(2).value_lengths().to_numpy()
-            hit = has(kept.value, values & (bits - 1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, ends)[hit]), pa.array(np.repeat(batch.column(1).to_numpy(), ends)[hit]), pa.array(values[hit])], ["gid", "n", "token"])
+            ids, n, tokens = chosen(batch)
+            hit = has(kept.value, tokens & (bits - 1))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(n[hit]), pa.array(tokens[hit])], ["gid", "n", "token"])
 
-    tokens = groups.mapInArrow(suspects, "gid long, n long, token long").join(shared, "token")
-    least = F.floor(1 + F.floor(F.ceil(F.col("n") * percent / 100) / 16))
+    tokens = heads.mapInArrow(suspects, "gid long, n long, token long").join(shared, "token")
+    least = 1 + F.floor(F.col("n") / 5)
     mine = tokens.groupBy("gid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t")).withColumn("l", least.cast("int")).filter("size(t) >= l")
     heads = saved(mine.select("gid", F.explode(F.expr("slice(t, 1, size(t) - l + 1)")).alias("t")).select("gid", "t.token"), "heads")
     hubs = heads.groupBy("token").agg(F.min("gid").alias("hub"), F.count("*").alias("k")).filter("k > 1").select("token", "hub")
@@ -182,12 +195,12 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null). Rows with one id are joined where their sets link; each row gets the component of its own
     set. Other columns are not read.
     """
-    assert percent >= 50 and width >= 2
+    assert percent > 20 and width >= 2
     sets = saved(sets_of(docs, id_col, text_col, width, percent), "sets")
     real = sets.filter("n > 0 AND doc_id IS NOT NULL")
     classes = saved(real.groupBy("fp", "pkey").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
-    groups = classes.groupBy("pkey").agg(F.min("rep").alias("gid"), F.count("*").alias("texts"))
-    found = clusters(sets, percent)
+    groups = saved(classes.groupBy("pkey").agg(F.min("rep").alias("gid"), F.count("*").alias("texts")), "groups")
+    found = clusters(sets, groups)
     # members of the groups in clusters, and of groups that hold different texts
     groups = groups.join(found, "gid", "left").filter("cluster IS NOT NULL OR texts > 1").select("pkey", F.coalesce("cluster", "gid").alias("cluster"))
     members = saved(classes.join(groups, "pkey").select("rep", "n", "cluster"), "members")
