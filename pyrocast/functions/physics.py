@@ -24,10 +24,10 @@ def sat_vp(celsius: str) -> str:
     return f"(0.6108 * exp(17.2693882 * ({celsius}) / (({celsius}) + 237.3)))"
 
 
-def relative_humidity(t_kelvin: str, vpd: str) -> str:
-    """Percent, 0 to 100, at a temperature for a vapour pressure deficit in kPa."""
-    es = sat_vp(f"({t_kelvin}) - 273.15")
-    return f"(100 * least(1.0, greatest(0.0, ({es} - ({vpd})) / {es})))"
+def relative_humidity(t_kelvin: str, mean_kelvin: str, vpd: str) -> str:
+    """Percent, 0 to 100, at a temperature, for the vapour that a deficit in kPa leaves at the day's mean."""
+    vapour = f"({sat_vp(f'({mean_kelvin}) - 273.15')} - ({vpd}))"
+    return f"(100 * least(1.0, greatest(0.0, {vapour} / {sat_vp(f'({t_kelvin}) - 273.15')})))"
 
 
 def haversine_km(lat1: str, lon1: str, lat2: str, lon2: str) -> str:

@@ -28,7 +28,7 @@ def with_humidity(rows: DataFrame) -> DataFrame:
     """rmax and rmin from temperatures and vpd where they are missing."""
     for name, kelvin in (("rmax", "tmmn"), ("rmin", "tmmx")):
         known = F.col("tmmn").isNotNull() & F.col("tmmx").isNotNull() & F.col("vpd").isNotNull()
-        rows = rows.withColumn(name, F.coalesce(name, F.when(known, F.expr(P.relative_humidity(kelvin, "vpd")))))
+        rows = rows.withColumn(name, F.coalesce(name, F.when(known, F.expr(P.relative_humidity(kelvin, "(tmmn + tmmx) / 2", "vpd")))))
     return rows
 
 

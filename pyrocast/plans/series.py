@@ -89,7 +89,7 @@ def feature_rows(spark, sf):
     sin, cos = P.month_angle("month(ts)")
     return _events(spark, sf).select(
         "event_id",
-        F.expr(f"round({P.relative_humidity('280 + value % 25', 'value % 3')}, 4)").alias("humidity"),
+        F.expr(f"round({P.relative_humidity('280 + value % 25', '278 + value % 20', 'value % 3')}, 4)").alias("humidity"),
         F.expr(f"round({sin}, 6)").alias("month_sin"),
         F.expr(f"round({cos}, 6)").alias("month_cos"),
         F.expr(f"round({P.sigmoid('(value - 50) / 30')}, 6)").alias("probability"),
@@ -164,7 +164,7 @@ SELECT o_orderkey, o_orderstatus, CASE WHEN i < floor(n * 0.56::DOUBLE + 1e-9) T
 SELECT event_id, view_value FROM w WHERE event_type = 'purchase'""",
     "forecast_priority": """SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_id, event_type FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY coalesce(list_position(['purchase', 'view', 'click', 'signup'], event_type), 9), ts, event_id) = 1""",
-    "feature_rows": f"SELECT event_id, round({P.relative_humidity('280 + value % 25', 'value % 3')}, 4) AS humidity, round({_SIN}, 6) AS month_sin, round({_COS}, 6) AS month_cos, round({P.sigmoid('(value - 50) / 30')}, 6) AS probability, {P.compass('value * 3.6')} AS compass FROM events",
+    "feature_rows": f"SELECT event_id, round({P.relative_humidity('280 + value % 25', '278 + value % 20', 'value % 3')}, 4) AS humidity, round({_SIN}, 6) AS month_sin, round({_COS}, 6) AS month_cos, round({P.sigmoid('(value - 50) / 30')}, 6) AS probability, {P.compass('value * 3.6')} AS compass FROM events",
     "rate_limit": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 f AS (SELECT user_id, event_id, i, [t] AS times, true AS allowed, 0.0::DOUBLE AS retry_after FROM e WHERE i = 1
   UNION ALL
