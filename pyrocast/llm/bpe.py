@@ -10,6 +10,7 @@ is shuffled. What a worker has encoded, it keeps in a bounded table for its next
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import sys
 from array import array
@@ -20,10 +21,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import Recent, chunks, parts, pieces
 
-#: Texts are encoded in groups of so many characters, distinct pieces replayed in groups of so many bytes.
-_TEXT_CHARS, _PIECE_BYTES, _KEPT_CHUNKS = 1 << 20, 1 << 20, 300_000
+#: Distinct pieces are replayed in groups of so many characters; chunks and pieces that a worker keeps.
+_PIECE_CHARS, _KEPT_CHUNKS = 1 << 19, 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -37,104 +38,134 @@ class MergeReplay:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.tokens = ranks, {i: t for t, i in ranks.items()}
-        self.bytes = [ranks[bytes([b])] for b in range(256)]
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.pattern = regex.compile(pattern)
-        self.merges: dict[tuple[int, int], int] = {}
-        self.known: dict[str, bytes] = {}
+        self.merges: dict[int, int] = {}
+        self.known: Recent = Recent(_KEPT_CHUNKS)
+        self.pieces: Recent = Recent(_KEPT_CHUNKS)
 
-    def _merge(self, a: int, b: int) -> int:
-        """The id of the merged pair, or -1."""
-        found = self.merges.get((a, b))
+    def _merge(self, pair: int) -> int:
+        """The id that a pair (first << 32 | second) merges to, or -1."""
+        found = self.merges.get(pair)
         if found is None:
-            if len(self.merges) > 2_000_000:
+            if len(self.merges) > 300_000:
                 self.merges.clear()
-            found = self.merges[a, b] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
+            found = self.merges[pair] = self.ranks.get(self.tokens[pair >> 32] + self.tokens[pair & 0xFFFFFFFF], -1)
         return found
 
-    def replay(self, pieces: list[bytes]) -> list[list[int]]:
-        """The ids of each piece (none empty)."""
-        tok: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        word: list[int] = []
-        start: list[int] = []
-        for w, piece in enumerate(pieces):
-            n, k = len(tok), len(piece)
-            start.append(n)
-            tok += [self.bytes[b] for b in piece]
-            before += [-1, *range(n, n + k - 1)]
-            after += [*range(n + 1, n + k), -1]
-            word += [w] * k
-        index: dict[int, list[int]] = {}
-        merge = self._merge
-        for p, q in enumerate(after):
-            if q >= 0 and (r := merge(tok[p], tok[q])) >= 0:
-                index.setdefault(r, []).append(p)
-        heap = list(index)
-        heapq.heapify(heap)
-
-        def add(p: int, r: int) -> None:
-            if r in index:
-                index[r].append(p)
-            else:
-                index[r] = [p]
-                heapq.heappush(heap, r)
-
+    def _alone(self, piece: bytes) -> list[int]:
+        """The ids of one piece, one merge after the other."""
+        ids = self.bytes[list(piece)].tolist()
+        while len(ids) > 1:
+            ranked = [(r, i) for i in range(len(ids) - 1) if (r := self._merge(ids[i] << 32 | ids[i + 1])) >= 0]
+            if not ranked:
+                break
+            r, i = min(ranked)
+            ids[i : i + 2] = [r]
+        return ids
+
+    def replay(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece (none empty) as native unsigned 32-bit integers.
+
+        All positions of the pairs of one rank are merged together. That equals merging them one by
+        one from the left, but for a piece where a merge brings up a pair of lower rank while others
+        of this rank are left: such a piece is encoded alone.
+        """
+        size = np.array([len(p) for p in pieces], np.int64)
+        start = np.cumsum(size) - size
+        tok = self.bytes[np.frombuffer(b"".join(pieces), np.uint8)]
+        word = np.repeat(np.arange(len(pieces)), size)
+        after, before = np.arange(1, len(tok) + 1), np.arange(-1, len(tok) - 1)
+        after[start + size - 1], before[start] = -1, -1
+        index: dict[int, list[np.ndarray]] = {}
+        heap: list[tuple[int, int]] = []
+        alone: set[int] = set()
+
+        def add(at: np.ndarray, low: int) -> np.ndarray:
+            """Enters the pairs that start at these positions; gives the positions of those of lower rank."""
+            keys = tok[at] << 32 | tok[after[at]]
+            order = np.argsort(keys, kind="stable")
+            keys, at = keys[order], at[order]
+            ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)).tolist()
+            lower, a = [], 0
+            for key, b in zip(keys[np.array(ends) - 1].tolist(), ends, strict=True):
+                r = self._merge(key)
+                if r >= 0:
+                    if key in index:
+                        index[key].append(at[a:b])
+                    else:
+                        index[key] = [at[a:b]]
+                        heapq.heappush(heap, (r, key))
+                    if r < low:
+                        lower.append(at[a:b])
+                a = b
+            return np.concatenate(lower) if lower else at[:0]
+
+        if (first := np.flatnonzero(after >= 0)).size:
+            add(first, -1)
         while heap:
-            r = heapq.heappop(heap)
-            wait: set[int] = set()  # words where a merge of a lower rank has come up: it goes first
-            for p in sorted(index.pop(r)):
-                q = after[p]
-                if tok[p] < 0 or q < 0 or merge(tok[p], tok[q]) != r:
-                    continue
-                if word[p] in wait:
-                    add(p, r)
-                    continue
-                tok[p], tok[q] = r, -1
-                after[p] = n = after[q]
-                if n >= 0:
-                    before[n] = p
-                    if (s := merge(r, tok[n])) >= 0:
-                        add(p, s)
-                        if s < r:
-                            wait.add(word[p])
-                if (b := before[p]) >= 0 and (s := merge(tok[b], r)) >= 0:
-                    add(b, s)
-                    if s < r:
-                        wait.add(word[p])
-        return [[t for t in tok[a:b] if t >= 0] for a, b in zip(start, [*start[1:], len(tok)], strict=True)]
+            r, key = heapq.heappop(heap)
+            keys = [key]
+            while heap and heap[0][0] == r:
+                keys.append(heapq.heappop(heap)[1])
+            found = []
+            for key in keys:
+                p = np.concatenate(index.pop(key))
+                p = p[(tok[p] == key >> 32) & (after[p] >= 0)]
+                found.append(p[tok[after[p]] == key & 0xFFFFFFFF])
+            p = np.unique(np.concatenate(found))
+            q = after[p]
+            if (q[:-1] == p[1:]).any():  # pairs that overlap: from the left
+                kept, last = [], -1
+                for i, (x, y) in enumerate(zip(p.tolist(), q.tolist(), strict=True)):
+                    if x != last:
+                        kept.append(i)
+                        last = y
+                p, q = p[kept], q[kept]
+            if not len(p):
+                continue
+            tok[p], tok[q] = r, -1
+            n = after[q]
+            after[p] = n
+            right = n >= 0
+            before[n[right]] = p[right]
+            left = before[p]
+            new = np.concatenate([p[right], left[left >= 0]])
+            if len(new):
+                lower = add(new, r)
+                if len(lower):
+                    words, times = np.unique(word[p], return_counts=True)
+                    alone.update(np.intersect1d(word[lower], words[times > 1]).tolist())
+        out = tok[tok >= 0].astype(np.uint32)
+        ends = np.cumsum(np.add.reduceat(tok >= 0, start)) * 4
+        data, at, ids = out.tobytes(), 0, []
+        for end in ends.tolist():
+            ids.append(data[at:end])
+            at = end
+        for w in alone:
+            ids[w] = array("I", self._alone(pieces[w])).tobytes()
+        return ids
 
     def _learn(self, new: list[str]) -> None:
-        split = [[m.encode() for m in self.pattern.findall(c)] for c in new]
-        distinct = list(dict.fromkeys(p for c in split for p in c))
-        ids: dict[bytes, bytes] = {}
+        known, split = self.pieces, [pieces(c, self.pattern.findall) for c in new]
         group, size = [], 0
-        for p in [*distinct, None]:
-            if group and (p is None or size > _PIECE_BYTES):
-                ids.update((k, array("I", v).tobytes()) for k, v in zip(group, self.replay(group), strict=True))
+        for p in [*known.unknown(dict.fromkeys(p for c in split for p in c)), None]:
+            if group and (p is None or size > _PIECE_CHARS):
+                known.update(zip(group, self.replay([x.encode() for x in group]), strict=True))
                 group, size = [], 0
             if p is not None:
                 group.append(p)
                 size += len(p)
         for c, parts in zip(new, split, strict=True):
-            self.known[c] = b"".join([ids[p] for p in parts])
+            self.known[c] = b"".join([known[p] for p in parts])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as native unsigned 32-bit integers."""
-        out: list[bytes] = []
-        held, size = [], 0
-        for i, text in enumerate(texts):
-            held.append(chunks(text) if text else [])
-            size += len(text)
-            if size > _TEXT_CHARS or i == len(texts) - 1:
-                if len(self.known) > _KEPT_CHUNKS:
-                    self.known.clear()
-                known = self.known
-                new = {c for doc in held for c in doc if c not in known}
-                self._learn(list(new))
-                out += [b"".join([known[c] for c in doc]) for doc in held]
-                held, size = [], 0
-        return out
+        held, known = [chunks(t) if t else [] for t in texts], self.known
+        known.turn()
+        self.pieces.turn()
+        self._learn(known.unknown(set().union(*held)))
+        return [b"".join([known[c] for c in doc]) for doc in held]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, memoryview(ids).cast("I").tolist())) if ids else b""
@@ -152,24 +183,31 @@ def _replay(ranks, pattern: str) -> MergeReplay:
     return _workers[key]
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens long, ids binary (unsigned 32-bit, little-endian), a row for each row of docs.
-
-    Each match of pattern is encoded by itself, without special tokens. Null and empty texts have no
-    ids. Repeated rows stay repeated; other columns are not read. ranks: rank of each token's bytes,
-    all 256 single bytes included; they are broadcast (the vocabulary has a fixed size).
-    """
+def _coded(docs: DataFrame, ranks, pattern: str, id_col: str, text_col: str, fields: str, row) -> DataFrame:
+    """doc_id and what row(coder, ids) gives for each text; fields: names and types after doc_id."""
     assert sys.byteorder == "little"
     kept = docs.sparkSession.sparkContext.broadcast(ranks)
+    names = [x.split()[0] for x in fields.split(", ")]
 
     def run(batches):
         coder = _replay(kept, pattern)
         for batch in batches:
-            ids = coder.encode([x or "" for x in batch.column(1).to_pylist()])
-            counts = np.array([len(x) // 4 for x in ids], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            for part in parts(batch, 1):
+                ids = coder.encode([x or "" for x in part.column(1).to_pylist()])
+                cols = zip(*[row(coder, x) for x in ids], strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, cols)], ["doc_id", *names])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, " + fields)
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens long, ids binary (unsigned 32-bit, little-endian), a row for each row of docs.
+
+    Each match of pattern is encoded by itself, without special tokens. Null and empty texts have no
+    ids. Repeated rows stay repeated; other columns are not read. ranks: rank of each token's bytes,
+    all 256 single bytes included; they are broadcast (the vocabulary has a fixed size).
+    """
+    return _coded(docs, ranks, pattern, id_col, text_col, "n_tokens long, ids binary", lambda coder, ids: (len(ids) // 4, ids))
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
@@ -179,20 +217,25 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFra
     def run(batches):
         coder = _replay(kept, pattern)
         for batch in batches:
-            ids = batch.column("ids").to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([coder.decode(x) for x in ids], pa.binary())], [*batch.schema.names, "decoded"])
+            for part in parts(batch, batch.schema.get_field_index("ids")):
+                ids = part.column("ids").to_pylist()
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([coder.decode(x or b"") for x in ids], pa.binary())], [*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in encoded.drop("decoded").dtypes) + ", decoded binary")
 
 
-def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    done = decode(encode(docs, ranks, pattern), ranks, pattern)
-    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids): encode, then decode, in one pass over the texts."""
+
+    def row(coder, ids):
+        digests = hashlib.sha256(ids).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()
+        return (len(ids) // 4, *digests, ids) if with_ids else (len(ids) // 4, *digests)
+
+    return _coded(docs, ranks, pattern, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids, row)
 
 
 def query(spark, sf_dir: str, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     import public_tokenizers
 
     ranks = read_ranks(public_tokenizers.path(vocabulary))
-    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), ranks, public_tokenizers.PATTERN)
+    return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), ranks, public_tokenizers.PATTERN)
