@@ -178,7 +178,7 @@ def read(manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
     # an archive is one unit of work
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return manifest.select("path").repartition(max(1, manifest.count()), "path").mapInArrow(run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
