@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -19,54 +20,51 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, parts, saved, shared_folder
+from .common import Recent, chunks, parts, pieces, saved, shared_folder
 from .files import content, written
 
 _MAGIC = b"RPTOK1\0\0"
 #: Ids in a file, and chunks of text that a worker keeps the ids of.
-FILE_IDS, _KEPT_CHUNKS = 1 << 21, 150_000
+FILE_IDS, _KEPT_CHUNKS = 1 << 21, 300_000
 
 
 def repair(ids: np.ndarray, symbols: int, rounds: int = 8, least: int = 8, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sequence, rules of shape (n, 2), lengths): symbol symbols + i stands for rules[i] and expands to lengths[i] ids.
 
-    Each round takes the most frequent pairs that cannot overlap one another (no symbol is the
-    second of one and the first of another) and that stand at least `least` times, and replaces them
-    all; symbols stay below `most`.
+    Each round takes the most frequent pairs of which no symbol begins two, or begins one and ends
+    another, so that they cannot overlap, and that stand at least `least` times, and replaces them
+    all; symbols stay below `most` (65,536 at most).
     """
     seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     lengths = np.ones(symbols, np.int64)
     for _ in range(rounds):
-        room = min(4096, most - symbols - sum(map(len, rules)))
+        room = min(4096, most - len(lengths))
         if room <= 0 or len(seq) < 2:
             break
-        pairs = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        ordered = np.sort(pairs)
-        starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        counts = np.diff(np.append(starts, len(ordered)))
+        pairs = np.sort(seq[:-1] << np.uint32(16) | seq[1:])
+        starts = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+        counts = np.diff(np.append(starts, len(pairs)))
         often = np.flatnonzero(counts >= least)
-        often = often[np.lexsort((ordered[starts[often]], -counts[often]))][: 4 * room]
-        heads, tails, chosen = set(), set(), []
-        for key in ordered[starts[often]].tolist():
-            a, b = key >> 32, key & 0xFFFFFFFF
-            if a not in tails and b not in heads and a != b:
-                heads.add(a)
-                tails.add(b)
-                chosen.append(key)
-                if len(chosen) == room:
+        often = often[np.argsort(-counts[often], kind="stable")][: 8 * room]
+        partner, ends, new = np.full(1 << 16, -1, np.int64), set(), []
+        name = np.zeros(1 << 16, np.uint32)
+        for key in pairs[starts[often]].tolist():
+            a, b = key >> 16, key & 0xFFFF
+            if a != b and partner[a] < 0 and partner[b] < 0 and a not in ends:
+                partner[a], name[a] = b, len(lengths) + len(new)
+                ends.add(b)
+                new.append((a, b))
+                if len(new) == room:
                     break
-        if not chosen:
+        if not new:
             break
-        keys = np.sort(np.array(chosen, np.uint64))
-        at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
-        hit = np.flatnonzero(keys[at] == pairs)
-        new = np.column_stack([keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)]).astype(np.int64)
-        seq[hit] = (len(lengths) + at[hit]).astype(np.uint32)
+        hit = np.flatnonzero(partner[seq[:-1]] == seq[1:])
+        seq[hit] = name[seq[hit]]
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
-        lengths = np.append(lengths, lengths[new[:, 0]] + lengths[new[:, 1]])
-        rules.append(new)
+        rules.append(np.array(new, np.int64))
+        lengths = np.append(lengths, lengths[rules[-1]].sum(1))
         before, seq = len(seq), seq[keep]
         if len(seq) > 0.98 * before:
             break
@@ -157,33 +155,30 @@ class Encoder:
         if plain and pattern:
             self.model, self.pattern, self.letters = self.coder.model, regex.compile(pattern), _byte_letters()
         self.added = [x["content"] for x in told.get("added_tokens", [])]
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            letters = piece.encode().decode("latin-1").translate(self.letters)
-            found = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(letters)], np.uint32).tobytes()
-        return found
+        self.chunks: Recent = Recent(_KEPT_CHUNKS)
+        self.pieces: Recent = Recent(_KEPT_CHUNKS)
 
     def _learn(self, new: list[str]) -> None:
         whole = [c for c in new if self.model is None or any(x in c for x in self.added)]
         for c, e in zip(whole, self.coder.encode_batch_fast(whole, add_special_tokens=False), strict=True):
             self.chunks[c] = np.array(e.ids, np.uint32).tobytes()
-        for c in new:
-            if c not in self.chunks:
-                self.chunks[c] = b"".join([self._piece(p) for p in self.pattern.findall(c)])
+        if self.model is None:
+            return
+        split = {c: pieces(c, self.pattern.findall) for c in new if c not in self.chunks}
+        tokenize, letters = self.model.tokenize, self.letters
+        for p in self.pieces.unknown({p for found in split.values() for p in found}):
+            self.pieces[p] = array("I", [t.id for t in tokenize(p.encode().decode("latin-1").translate(letters))]).tobytes()
+        for c, found in split.items():
+            self.chunks[c] = b"".join([self.pieces[p] for p in found])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        for table in (self.chunks, self.pieces):
-            if len(table) > _KEPT_CHUNKS:
-                table.clear()
         known = self.chunks
+        known.turn()
+        self.pieces.turn()
         # cuts at spaces hold for byte-level tokenizers; other texts stay whole
         held = [(chunks(t) if self.model else [t]) if t else [] for t in texts]
-        self._learn(list({c for doc in held for c in doc if c not in known}))
+        self._learn(known.unknown(set().union(*held)))
         return [np.frombuffer(b"".join([known[c] for c in doc]), np.uint32) for doc in held]
 
 
@@ -259,7 +254,8 @@ def read(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     fields = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
-    return manifest.select("path", "start").repartition(F.col("path")).mapInArrow(run, fields)
+    # a file is one unit of work
+    return manifest.select("path", "start").repartition(max(1, manifest.count()), "path").mapInArrow(run, fields)
 
 
 def query(spark, sf_dir: str, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
