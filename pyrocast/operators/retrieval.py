@@ -11,6 +11,8 @@ from ..functions.text import tokens
 K1, B = 1.5, 0.75
 #: Query vectors that are broadcast at a time.
 QUERY_BLOCK = 1024
+#: Rows that are held against a block of queries at a time.
+ROW_BLOCK = 4096
 
 
 def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -106,6 +108,60 @@ def hybrid(dense: DataFrame, keyword: DataFrame, bonus: DataFrame | None = None)
     return joined.withColumn("score", score).filter("score > 0").select("query_id", "doc_id", "score")
 
 
+def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """Half away from zero."""
+    return np.copysign(np.floor(np.abs(x) * 10.0**digits + 0.5) / 10.0**digits, x)
+
+
+def hybrid_top(vectors: DataFrame, vec_id: str, vector: str, queries: DataFrame, keyword: DataFrame, k: int, n_docs: int, n_queries: int) -> DataFrame:
+    """query_id, doc_id, score: dense + keyword / 4 of every pair, cut to the k best of a query above 0 only after both are added.
+
+    queries: (query_id, vector); keyword: all (query_id, doc_id, score). A pair's dense part, rounded
+    to 6 digits, is 0 where either has no vector and for a row and itself. n_docs, n_queries: about
+    how many there are; both are dealt by hash into blocks of ROW_BLOCK and QUERY_BLOCK, and each pair
+    of blocks gives its k best for each query, ties to the smaller id, which top() then ranks.
+    """
+    rows, asked = max(1, -(-n_docs // ROW_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
+
+    def block(col, n):
+        return F.pmod(F.xxhash64(F.col(col)), F.lit(n)).cast("int")
+
+    def everywhere(n):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    docs = vectors.select(F.lit(False).alias("asked"), F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    docs = docs.dropna().withColumn("q", everywhere(asked)).withColumn("d", block("id", rows))
+    sought = queries.select(F.lit(True).alias("asked"), F.col("query_id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("v"))
+    sought = sought.dropna().withColumn("q", block("id", asked)).withColumn("d", everywhere(rows))
+    pairs = keyword.select(F.col("query_id").cast("long"), F.col("doc_id").cast("long"), "score").withColumn("q", block("query_id", asked)).withColumn("d", block("doc_id", rows))
+
+    def sides(have, pairs, mine):
+        """Ids with a vector, then those that only keywords know, and the vectors."""
+        own = have[have["asked"] == mine]
+        ids = own["id"].to_numpy(np.int64)
+        return np.concatenate([ids, np.setdiff1d(pairs["query_id" if mine else "doc_id"].to_numpy(np.int64), ids)]), own["v"].tolist()
+
+    def cell(have, pairs):
+        import pandas as pd
+
+        (qs, qv), (ds, dv) = sides(have, pairs, True), sides(have, pairs, False)
+        score = np.zeros((len(qs), len(ds)))
+        if qv and dv:
+            score[: len(qv), : len(dv)] = _rounded(np.array(qv, np.float64) @ np.array(dv, np.float64).T, 6)
+        score[qs[:, None] == ds[None]] = 0.0
+        (q, at_q), (d, at_d) = np.unique(qs, return_inverse=True), np.unique(ds, return_inverse=True)
+        words = np.zeros((len(q), len(d)))
+        words[np.searchsorted(q, pairs["query_id"]), np.searchsorted(d, pairs["doc_id"])] = pairs["score"]
+        score = _rounded(score + 0.25 * words[at_q][:, at_d], 8)
+        order = np.argsort(ds, kind="stable")
+        score, ds = score[:, order], ds[order]
+        best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        out = pd.DataFrame({"query_id": np.repeat(qs, best.shape[1]), "doc_id": ds[best.ravel()], "score": np.take_along_axis(score, best, 1).ravel()})
+        return out[out["score"] > 0]
+
+    return docs.unionByName(sought).groupBy("q", "d").cogroup(pairs.groupBy("q", "d")).applyInPandas(cell, "query_id long, doc_id long, score double")
+
+
 def merge_context(*lists: DataFrame, keys: list[str]) -> DataFrame:
     """The ordered union of ranked lists: of each key its first occurrence, by list, then rank."""
     union = None

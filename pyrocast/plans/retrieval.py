@@ -44,7 +44,10 @@ def dense_topk(spark, sf):
 
 
 def hybrid_topk(spark, sf):
-    """The keyword scores of benchmark items and the dense scores of the vectors with their ids."""
+    """The keyword scores of benchmark items and the dense scores of the vectors with their ids.
+
+    As its SQL has it, only the 50 best of the ones and the 20 best of the others are added up; hybrid_whole adds all.
+    """
     vectors, items = table(spark, sf, "embeddings"), table(spark, sf, "benchmark")
     asked = items.join(vectors, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vector"))
     keyword = R.top(_bm25(spark, sf), 50).drop("rank")
@@ -52,6 +55,14 @@ def hybrid_topk(spark, sf):
     return R.top(R.hybrid(dense, keyword).withColumn("score", F.round("score", 8)), K)
 
 
+def hybrid_whole(spark, sf):
+    """hybrid_topk with both scores of every pair added before the only cut, to the K best."""
+    vectors, items = table(spark, sf, "embeddings"), table(spark, sf, "benchmark")
+    asked = items.join(vectors, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vector"))
+    n_docs = max(vectors.count(), table(spark, sf, "documents").count())
+    return R.top(R.hybrid_top(vectors, "vec_id", "embedding", asked, _bm25(spark, sf), K, n_docs, items.count()), K)
+
+
 def fact_overlap(spark, sf):
     talk = table(spark, sf, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
     return R.fact_overlap(talk, table(spark, sf, "benchmark").select(F.col("item_id").alias("fact_id"), "text"))
@@ -113,7 +124,7 @@ m AS (SELECT query_id, round(found / greatest(retrieved, 1), 4) AS precision_at_
   CAST(found > 0 AS INT) AS hit_at_k, round(coalesce(1 / first, 0.0), 4) AS reciprocal_rank
   FROM each LEFT JOIN (SELECT query_id, count(*) AS n FROM relevant GROUP BY ALL) USING (query_id))"""
 
-QUERIES = {f.__name__: f for f in (tokenize_stats, bm25_index, bm25_topk, dense_topk, hybrid_topk, fact_overlap, retrieval_metrics, retrieval_summary, keyword_correctness, context_merge)}
+QUERIES = {f.__name__: f for f in (tokenize_stats, bm25_index, bm25_topk, dense_topk, hybrid_topk, hybrid_whole, fact_overlap, retrieval_metrics, retrieval_summary, keyword_correctness, context_merge)}
 SQL = {
     "tokenize_stats": f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents)",
     "bm25_index": f"""WITH words AS (SELECT DISTINCT doc_id, unnest({_TOKENS.format("text")}) AS term FROM documents)
@@ -125,6 +136,10 @@ SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id OR
 best AS (SELECT * FROM dense QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 20),
 both_parts AS (SELECT query_id, doc_id, round(coalesce(b.score, 0.0) + 0.25::DOUBLE * coalesce(k.score, 0.0), 8) AS score, coalesce(b.score, 0.0) + 0.25 * coalesce(k.score, 0.0) AS raw
   FROM best b FULL JOIN (SELECT * FROM ranked WHERE rank <= 50) k USING (query_id, doc_id))
+SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM both_parts WHERE raw > 0 QUALIFY rank <= 10""",
+    "hybrid_whole": f"""WITH {_CTES}, {_DENSE.format("a.vec_id IN (SELECT item_id FROM benchmark)")},
+both_parts AS (SELECT query_id, doc_id, round(coalesce(b.score, 0.0) + 0.25::DOUBLE * coalesce(k.score, 0.0), 8) AS score, coalesce(b.score, 0.0) + 0.25 * coalesce(k.score, 0.0) AS raw
+  FROM dense b FULL JOIN scored k USING (query_id, doc_id))
 SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM both_parts WHERE raw > 0 QUALIFY rank <= 10""",
     "fact_overlap": f"""WITH q AS (SELECT DISTINCT conv_id * 1000 + turn AS query_id, unnest({_TOKENS.format("text")}) AS term FROM conversations WHERE role = 'user'),
 f AS (SELECT DISTINCT item_id AS fact_id, unnest({_TOKENS.format("text")}) AS term FROM benchmark),

@@ -7,4 +7,4 @@ from .plans import fires, geo, retrieval, series, texts
 _PLANS = (retrieval, texts, series, geo, fires)
 QUERIES: dict = {k: f for m in _PLANS for k, f in m.QUERIES.items()}
 SQL: dict[str, str] = {k: s for m in _PLANS for k, s in m.SQL.items()}
-FLAGSHIP = "hybrid_topk"
+FLAGSHIP = "hybrid_whole"

@@ -3,6 +3,7 @@
 import math
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +148,22 @@ def test_line_column_equals_line(spark):
     df = spark.createDataFrame(rows, "x0 int, y0 int, x1 int, y1 int").select("*", raster.line_cells("x0", "y0", "x1", "y1").alias("c"))
     for r in df.collect():
         assert [(c.x, c.y) for c in r.c] == fire.line(r.x0, r.y0, r.x1, r.y1)
+
+
+def test_hybrid_cuts_after_fusion(spark):
+    """The best sum has keyword rank 60; others have no keyword score, or no vector."""
+    rng, own = np.random.default_rng(0), [1.0, 0.0]
+    vectors = {1: own} | {i: [float(x), 0.0] for i, x in zip(range(2, 100), rng.uniform(-0.5, 0.5, 98).round(1), strict=True)} | {160: [0.9, 0.0]}
+    words = {(1, i): round(4.0 - 0.001 * (i - 100), 4) for i in [*range(101, 161), 1, 7, 8]}
+    words[2, 5] = 3.0
+    want = []
+    for q in (1, 2):
+        held = {i: (vectors[i][0] if q == 1 and i in vectors and i != 1 else 0.0) + 0.25 * words.get((q, i), 0.0) for i in {*vectors, *range(101, 161)}}
+        want += [(q, i, pytest.approx(held[i]), n + 1) for n, i in enumerate(sorted([i for i in held if held[i] > 0], key=lambda i: (-round(held[i], 8), i))[:10])]
+    assert want[0][1] == 160
+    v = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(1, own)], "query_id long, vector array<double>")
+    keyword = spark.createDataFrame([(q, i, s) for (q, i), s in words.items()], "query_id long, doc_id long, score double")
+    for n_docs, n_queries in ((1, 1), (20_000, 3000)):
+        got = retrieval.top(retrieval.hybrid_top(v, "vec_id", "embedding", asked, keyword, 10, n_docs, n_queries), 10).orderBy("query_id", "rank").collect()
+        assert [tuple(r) for r in got] == want
