@@ -1,9 +1,11 @@
 """HTML extraction by tag-path ratios.
 
 A page is read into text nodes, each with its path of block tags from root to leaf. Of each path the
-text length and the punctuation a node are summed; the two ratios are smoothed along the page, fused
-with those before smoothing, and paths above a threshold hold the content. Elements that by name,
-role or class are menus, headers, footers, sidebars, notices, adverts, forms or comments never count.
+logarithms of text length and punctuation a node are taken, so that no long block outvotes the rest;
+the two ratios are smoothed along the page, fused with those before smoothing, and paths above a share
+of the page's median hold the content. Being in an article or main part doubles a path's value.
+Elements that by name, role or class are menus, headers, footers, sidebars, notices, adverts, forms or
+comments never count, but a name alone skips nothing that holds the page's article or main part.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 from collections import defaultdict
+from math import log1p
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,9 +47,14 @@ class _Block:
 
 
 def blocks(page: str) -> list[_Block]:
-    """Blocks of text outside skipped elements, in page order."""
+    """Blocks of text outside skipped elements, in page order.
+
+    Whether an element that is skipped by its name holds the main part is known only at its end, so
+    text in such elements is held with their numbers until then.
+    """
     out: list[_Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, its step of the path, skipped, in the main part
+    stack: list[tuple[str, str, bool, bool, tuple[int, ...]]] = []  # tag, its step of the path, skipped, in the main part, named elements around
+    n_named, holds = 0, set()
     now: _Block | None = None
     at = 0
 
@@ -57,13 +65,11 @@ def blocks(page: str) -> list[_Block]:
         if now is None:
             if not raw.strip():
                 return
-            steps = [s for t, s, _, _ in stack if t not in _INLINE]
-            leaf = next((t for t, _, _, _ in reversed(stack) if t not in _INLINE), "")
+            steps = [x[1] for x in stack if x[0] not in _INLINE]
+            leaf = next((x[0] for x in reversed(stack) if x[0] not in _INLINE), "")
             now = _Block("/".join(steps), leaf, bool(stack) and stack[-1][3])
             out.append(now)
-        now.parts.append(raw)
-        if any(t == "a" for t, _, _, _ in stack):
-            now.linked += len(raw.strip())
+        now.parts.append((raw, stack[-1][4] if stack else (), any(x[0] == "a" for x in stack)))
 
     while at < len(page):
         m = _TOKEN.search(page, at)
@@ -77,7 +83,7 @@ def blocks(page: str) -> list[_Block]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if any(t == tag for t, _, _, _ in stack):
+            if any(x[0] == tag for x in stack):
                 while stack.pop()[0] != tag:
                     pass
             if tag not in _INLINE:
@@ -85,7 +91,7 @@ def blocks(page: str) -> list[_Block]:
             continue
         if tag == "br":
             if now is not None:
-                now.parts.append(" ")
+                now.parts.append((" ", (), False))
             continue
         if tag not in _INLINE:
             now = None
@@ -107,21 +113,29 @@ def blocks(page: str) -> list[_Block]:
         if tag in _VOID:
             continue
         attrs = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTR.findall(m[3])} if "=" in m[3] else {}
-        above = stack[-1] if stack else ("", "", False, False)
+        above = stack[-1] if stack else ("", "", False, False, ())
+        named = above[4]
         main = above[3] or tag in ("article", "main") or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody"
         skipped = above[2] or tag in _SKIP or attrs.get("role") in _ROLES or attrs.get("aria-hidden") == "true" or bool(re.search(r"(?:^|\s)hidden(?:$|[\s=/])", m[3]))
         skipped = skipped or "display:none" in attrs.get("style", "").replace(" ", "") or tag == "header" and not above[3]
         name = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-        if tag not in ("html", "body", "article", "main") and not skipped and name != " ":
-            skipped = bool(_NAMES.search(name))
+        if not skipped and name != " " and _NAMES.search(name):
+            if tag not in ("html", "body", "article", "main"):
+                n_named += 1
+                named = (*named, n_named)
+        elif main and not above[3] and not skipped:
+            holds.update(named)
         if not m[3].rstrip().endswith("/") or tag in _INLINE or tag in _RAW:
             step = f"{tag}.{attrs['class'].split()[0]}" if attrs.get("class", "").strip() else tag
-            stack.append((tag, step, skipped, main))
+            stack.append((tag, step, skipped, main, named))
         if tag in _RAW:
             end = _RAW[tag].search(page, at)
             if stack and stack[-1][0] == tag:
                 stack.pop()
             at = end.end() if end else len(page)
+    for b in out:
+        kept = [(raw, linked) for raw, around, linked in b.parts if holds.issuperset(around)]
+        b.parts, b.linked = [raw for raw, _ in kept], sum(len(raw.strip()) for raw, linked in kept if linked)
     return out
 
 
@@ -137,13 +151,11 @@ def _smooth(values: list[float]) -> list[float]:
 
 def main_text(page: str | None, threshold: float = 0.2) -> str:
     """The article's blocks, joined by \\n; white space in a block is one space. Empty if there is none."""
-    found = []
+    nodes = []
     for b in blocks(page or ""):
         joined = " ".join(html.unescape("".join(b.parts)).split())
         if joined:
-            found.append((b, joined))
-    marked = [x for x in found if x[0].main]
-    nodes = marked or found
+            nodes.append((b, joined))
     if not nodes:
         return ""
     length, punctuation, linked, count = defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(int)
@@ -152,16 +164,23 @@ def main_text(page: str | None, threshold: float = 0.2) -> str:
         punctuation[b.path] += len(_PUNCTUATION.findall(t))
         linked[b.path] += b.linked
         count[b.path] += 1
-    by_length = _smooth([length[b.path] / count[b.path] for b, _ in nodes])
-    by_marks = _smooth([punctuation[b.path] / count[b.path] for b, _ in nodes])
+    lengths = {p: log1p(length[p] / count[p] / 16) for p in count}
+    marks = {p: log1p(punctuation[p] / count[p]) for p in count}
+    by_length = _smooth([lengths[b.path] for b, _ in nodes])
+    by_marks = _smooth([marks[b.path] for b, _ in nodes])
     fused: dict[str, float] = defaultdict(float)
     for (b, _), x, y in zip(nodes, by_length, by_marks, strict=True):
-        own = length[b.path] * (1 + punctuation[b.path] / count[b.path]) / count[b.path]
-        fused[b.path] += (own * x * (1 + y)) ** 0.5 / count[b.path]
-    best = max(fused.values())
+        fused[b.path] += ((lengths[b.path] + marks[b.path]) * (x + y)) ** 0.5 / count[b.path]
     links = {p for p in fused if linked[p] > 0.5 * length[p]}
-    # a part that the page itself marks as main holds content on every path that isn't links
-    content = {p for p, v in fused.items() if p not in links and (marked or v >= threshold * best)}
+    # the median of the blocks, each with its path's value as its weight
+    order, below, middle = sorted((v, p) for p, v in fused.items() if p not in links), 0.0, 0.0
+    half = sum(v * count[p] for v, p in order) / 2
+    for v, p in order:
+        below, middle = below + v * count[p], v
+        if below >= half:
+            break
+    inside = {b.path for b, _ in nodes if b.main}
+    content = {p for v, p in order if v * (2 if p in inside else 1) >= threshold * middle}
     parents = {p.rpartition("/")[0] for p in content}
     kept = [t for b, t in nodes if b.path in content or (b.leaf in _HEADINGS and b.path.rpartition("/")[0] in parents)]
     return "\n".join(kept)

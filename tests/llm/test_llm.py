@@ -111,6 +111,21 @@ def test_html_without_article():
     assert html_text.main_text(page).count("Paragraph") == 4 and "Home" not in html_text.main_text(page) and "tiny" not in html_text.main_text(page)
 
 
+def test_html_ratios_decide():
+    """A long block, short list items and wrappers with the name of a part lose no text; text beside an article counts by its ratios."""
+    said = [f"Paragraph {i} says what it has to say, and then it ends." for i in range(6)]
+    ps, long = "".join(f"<p>{x}</p>" for x in said), "x = f(a, b); " * 400
+    assert html_text.main_text(f"<body><div>{ps}</div><pre>{long}</pre></body>").split("\n") == [*said, long.strip()]
+    items = [f"Part number {i} of the kit" for i in range(5)]
+    listed = f"<ul>{''.join(f'<li>{x}</li>' for x in items)}</ul>"
+    assert html_text.main_text(f"<body><div>{ps}{listed}<pre>{long}</pre></div></body>").split("\n") == [*said, *items, long.strip()]
+    wrapped = f'<body><div class="with sidebar"><div class=sidebar>Elsewhere, other things.</div><article>{ps}<p id=comments>No, never.</p></article></div></body>'
+    assert html_text.main_text(wrapped).split("\n") == said
+    comments = f"<body><div>{ps}</div><div id=comments><article class=comment>I, a reader, say so.</article></div></body>"
+    assert html_text.main_text(comments).split("\n") == said
+    assert html_text.main_text(f"<body><article>{ps}</article><div class=more>{ps}</div></body>").split("\n") == said * 2
+
+
 @pytest.mark.parametrize("page", [None, "", "<html></html>", "<script>x", "<p", "<!-- never ends", "<style>p{}</style>"])
 def test_html_empty(page):
     assert html_text.main_text(page) == ""
