@@ -1,7 +1,7 @@
 """Sharding by a two-pass external shuffle, in DataFrame operations alone.
 
-First pass: rows are scattered into memory-sized buckets by a seeded hash. Second pass: each bucket
-is brought into one order and then shuffled by Fisher-Yates with seeded draws. (Spark's own shuffle()
+First pass: whole records are scattered into memory-sized buckets by a seeded hash. Second pass: each
+bucket is brought into one order, shuffled by Fisher-Yates with seeded draws and written to its shards. (Spark's own shuffle()
 draws by partition, so a task that runs again elsewhere would deal differently; it isn't used.) The
 buckets, end to end, are the shuffled corpus; rows are dealt from it to the shards in turn.
 """
@@ -11,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows in a bucket on average: ids and sizes take some 100 KB, texts some MB.
-BUCKET_ROWS = 1024
+from .common import saved, shared_folder
+
+#: Bytes of text and rows in a bucket on average; a permutation takes time by the square of the rows.
+BUCKET_BYTES, BUCKET_ROWS = 4 << 20, 1024
 
 
 def _random(seed: int, *cols: str) -> Column:
@@ -30,42 +32,66 @@ def fisher_yates(n: str, draw: str) -> Column:
     return F.expr(f"aggregate(sequence(0, cast({n} AS int) - 1), cast(array() AS array<int>), (a, i) -> {step})")
 
 
-def shard(docs: DataFrame, shards: int = 16, seed: int = 23, bucket_rows: int = BUCKET_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot, a row for each row of docs; the law is `rows`.
+def _size(text_col: str) -> Column:
+    return F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1
+
 
-    size: bytes of the text in UTF-8 (null: none) plus 1. Shards' row counts differ by one at most;
-    slots count from 0 without gaps in each shard. Rows are moved by their id, size and checksum
-    alone. Equal input, in any order and partitioning, gives equal shards; rows that are equal in all
-    three are interchangeable. An empty table gives an empty table.
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with __h, a hash of the record, and __copy, 1 to n for n equal records.
+
+    Records whose hash no other has are numbered where they are scanned; the others are counted first,
+    so that many equal ones are numbered like any others.
     """
-    size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), size.alias("size"), F.crc32(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")).alias("text_crc32"))
-    total = docs.count()
-    buckets = max(1, -(-total // bucket_rows))
-    # equal rows are counted first, then numbered, so that many of them scatter like any others
-    rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n")
-    placed = rows.withColumn("bucket", F.pmod(_random(seed, "doc_id", "size", "text_crc32", "copy"), F.lit(buckets)).cast("int"))
-    row = F.struct(_random(seed + 1, "doc_id", "copy").alias("r"), "doc_id", "size", "text_crc32", "copy")
-    held = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(row)).alias("row"))
-    shuffled = held.select("bucket", F.arrays_zip(F.col("row"), fisher_yates("n", f"xxhash64({seed + 2}, bucket, i)").alias("at")).alias("placed"))
-    starts = placed.groupBy("bucket").agg(F.count("*").alias("n"))
-    starts = starts.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("start"))
-    out = shuffled.join(starts, "bucket").select("start", F.explode("placed").alias("p"))
-    place = F.col("start") + F.col("p.at")
-    return out.select("p.row.doc_id", "p.row.size", "p.row.text_crc32", F.pmod(place, F.lit(shards)).cast("int").alias("shard"), F.floor(place / shards).cast("long").alias("slot"))
-
-
-def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = 23, id_col: str = "doc_id", text_col: str = "text") -> None:
+    rows = docs.withColumn("__h", _random(0, *docs.columns))
+    many = saved(rows.groupBy("__h").agg(F.count("*").alias("n")).filter("n > 1").select("__h"), "repeated")
+    if many.isEmpty():
+        return rows.withColumn("__copy", F.lit(1))
+    counted = rows.join(many, "__h", "left_semi").groupBy(*rows.columns).agg(F.count("*").alias("__n"))
+    counted = counted.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).drop("__n")
+    return rows.join(many, "__h", "left_anti").withColumn("__copy", F.lit(1)).unionByName(counted)
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = 23, bucket_rows: int = BUCKET_ROWS, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> None:
     """docs, with shard and slot, as Parquet partitioned by shard, in order of slot inside each file.
 
-    Ids must be unique here: rows find their place by id.
+    Shards' row counts differ by one at most; slots count from 0 without gaps in each shard. Texts are
+    shuffled once, into buckets. Equal input, in any order and partitioning, gives equal shards;
+    records that are equal in all columns are interchangeable and all of them are written. Columns
+    named shard and slot are replaced; columns of maps can't be compared and aren't taken.
+    """
+    docs = docs.drop("shard", "slot")
+    total = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(_size(text_col)), F.lit(0)).alias("bytes")).first()
+    buckets = max(1, -(-total["n"] // bucket_rows), -(-total["bytes"] // bucket_bytes))
+    placed = _numbered(docs).withColumn("__bucket", F.pmod(_random(seed, "__h", "__copy"), F.lit(buckets)).cast("int"))
+    sizes = placed.groupBy("__bucket").agg(F.count("*").alias("__n"))
+    sizes = saved(sizes.withColumn("__start", F.sum("__n").over(Window.orderBy("__bucket")) - F.col("__n")), "buckets")
+    # as many tasks as hold some buckets each; permutations are drawn where the records are
+    tasks = max(1, -(-total["bytes"] // (8 * bucket_bytes)))
+    dealt = sizes.repartition(tasks, "__bucket").select("__bucket", "__start", fisher_yates("__n", f"xxhash64({seed + 2}, __bucket, i)").alias("__at"))
+    order = Window.partitionBy("__bucket").orderBy(_random(seed + 1, "__h", "__copy"), "__copy", id_col, text_col)
+    ranked = placed.repartition(tasks, "__bucket").withColumn("__i", F.row_number().over(order))
+    place = F.col("__start") + F.element_at("__at", F.col("__i"))
+    out = ranked.join(dealt.hint("merge"), "__bucket").withColumn("__place", place)
+    out = out.select(*docs.columns, F.floor(F.col("__place") / shards).cast("long").alias("slot"), F.pmod("__place", F.lit(shards)).cast("int").alias("shard"))
+    out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def read_shards(docs: DataFrame, path: str) -> DataFrame:
+    """What write_shards wrote of docs."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.drop("shard", "slot").schema)
+    return docs.sparkSession.read.schema(f"{fields}, slot long, shard int").parquet(path)
+
+
+def shard(docs: DataFrame, shards: int = 16, seed: int = 23, bucket_rows: int = BUCKET_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot of each record in the shards, which are written to the shared folder; the law is `rows`.
+
+    size: bytes of the text in UTF-8 (null: none) plus 1. All are read back from the shards, which
+    hold every row of docs (see write_shards). An empty table gives an empty table.
     """
-    places = shard(docs, shards, seed, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("__id"), "shard", "slot")
-    out = docs.drop("shard", "slot").join(places, F.col(id_col).cast("long").eqNullSafe(F.col("__id"))).drop("__id")
-    files = max(1, -(-docs.count() // (shards * 500_000)))
-    span = F.floor(F.col("slot") / 500_000)
-    out.repartition(shards * files, "shard", span).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    path = f"{shared_folder(docs.sparkSession)}/shards"
+    write_shards(docs, path, shards, seed, bucket_rows, id_col, text_col)
+    crc = F.crc32(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")).alias("text_crc32")
+    return read_shards(docs, path).select(F.col(id_col).cast("long").alias("doc_id"), _size(text_col).alias("size"), crc, "shard", "slot")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

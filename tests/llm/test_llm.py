@@ -1,5 +1,6 @@
 """Each operator against a brute-force version on small tables with awkward rows."""
 
+import os
 import hashlib
 import random
 import zlib
@@ -312,6 +313,19 @@ def test_sharding(spark, docs, none):
     assert sharding.shard(same, bucket_rows=4).groupBy("shard").count().agg(F.max("count") - F.min("count")).first()[0] <= 1
 
 
+def test_sharding_moves_records(spark, tmp_path):
+    """Rows of one id and rows without one keep their count and columns; buckets are bounded by bytes too."""
+    rows = [(1, "same", "a")] * 5 + [(1, "other", "b"), (1, None, "c")] + [(None, "x", "d")] * 3 + [(i, f"{i} " * 40, "e") for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for name, given in (("a", docs), ("b", docs.repartition(5))):
+        sharding.write_shards(given, str(tmp_path / name), shards=3, bucket_bytes=500)
+    got, again = [sharding.read_shards(docs, str(tmp_path / n)).collect() for n in "ab"]
+    assert sorted(map(repr, [(r.doc_id, r.text, r.source) for r in got])) == sorted(map(repr, rows))
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+    assert sorted((r.shard, r.slot) for r in got) == sorted((i % 3, i // 3) for i in range(len(rows)))
+    assert sorted(os.listdir(tmp_path / "a"))[-3:] == ["shard=0", "shard=1", "shard=2"]
+
+
 def test_sharding_files(spark, docs):
     path = f"{shared_folder(spark)}/shards"
     sharding.write_shards(docs, path, shards=3)
