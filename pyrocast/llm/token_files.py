@@ -1,8 +1,8 @@
 """Token ids in files compressed by Re-Pair.
 
 Documents are brought into ascending id order by ranges, and each range is encoded and written in
-files of bounded size. In each file, frequent pairs of ids are replaced by nonterminals, again and
-again. A file holds its documents' ids and lengths, the rules with the length each expands to, and
+files of bounded size. In each file, frequent pairs of ids are replaced by nonterminals until none is
+left. A file holds its documents' ids and lengths, the rules with the length each expands to, and
 the remaining sequence: a reader that wants ids i to j sums lengths up to i and expands only what
 covers the span.
 """
@@ -23,54 +23,62 @@ from pyspark.sql import functions as F
 from .common import Recent, chunks, parts, pieces, saved, shared_folder
 from .files import content, written
 
-_MAGIC = b"RPTOK1\0\0"
+_MAGIC = b"RPTOK2\0\0"
 #: Ids in a file, and chunks of text that a worker keeps the ids of.
 FILE_IDS, _KEPT_CHUNKS = 1 << 21, 300_000
 
 
-def repair(ids: np.ndarray, symbols: int, rounds: int = 8, least: int = 8, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, symbols: int, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sequence, rules of shape (n, 2), lengths): symbol symbols + i stands for rules[i] and expands to lengths[i] ids.
 
-    Each round takes the most frequent pairs of which no symbol begins two, or begins one and ends
-    another, so that they cannot overlap, and that stand at least `least` times, and replaces them
-    all; symbols stay below `most` (65,536 at most).
+    Goes on until no pair stands `least` times. Each round ranks all pairs that do by their number
+    and replaces a pair wherever neither pair that overlaps it has a better rank; in a run of one
+    symbol every other pair counts, from the left. A pair that is left fewer than `least` times waits
+    for a later round. The best pair is always replaced everywhere, so each round makes a rule.
     """
-    seq = ids.astype(np.uint32)
-    rules: list[np.ndarray] = []
-    lengths = np.ones(symbols, np.int64)
-    for _ in range(rounds):
-        room = min(4096, most - len(lengths))
-        if room <= 0 or len(seq) < 2:
-            break
-        pairs = np.sort(seq[:-1] << np.uint32(16) | seq[1:])
+    seq, rules, lengths = ids.astype(np.uint32), [], np.ones(symbols, np.int64)
+    while len(seq) > 1:
+        # keys of 32 bits sort faster
+        wide = len(lengths) > 1 << 16
+        keys = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:] if wide else seq[:-1] << np.uint32(16) | seq[1:]
+        at = np.arange(len(keys))
+        begins = np.append(True, keys[1:] != keys[:-1])
+        free = (at - np.maximum.accumulate(np.where(begins, at, 0))) % 2 == 0
+        pairs = np.sort(keys[free])
         starts = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
         counts = np.diff(np.append(starts, len(pairs)))
         often = np.flatnonzero(counts >= least)
-        often = often[np.argsort(-counts[often], kind="stable")][: 8 * room]
-        partner, ends, new = np.full(1 << 16, -1, np.int64), set(), []
-        name = np.zeros(1 << 16, np.uint32)
-        for key in pairs[starts[often]].tolist():
-            a, b = key >> 16, key & 0xFFFF
-            if a != b and partner[a] < 0 and partner[b] < 0 and a not in ends:
-                partner[a], name[a] = b, len(lengths) + len(new)
-                ends.add(b)
-                new.append((a, b))
-                if len(new) == room:
-                    break
-        if not new:
+        if not len(often):
             break
-        hit = np.flatnonzero(partner[seq[:-1]] == seq[1:])
-        seq[hit] = name[seq[hit]]
+        known = pairs[starts[often]]
+        rank = np.empty(len(often), np.int64)
+        rank[np.argsort(-counts[often], kind="stable")] = np.arange(len(often))
+        place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        mine = np.where(free & (known[place] == keys), rank[place], len(often))
+        hit = np.flatnonzero((mine < len(often)) & (mine < np.append(len(often), mine[:-1])) & (mine < np.append(mine[1:], len(often))))
+        stays = np.bincount(place[hit], minlength=len(known)) >= least
+        hit = hit[stays[place[hit]]]
+        name = len(lengths) + np.cumsum(stays) - 1
+        new = known[stays].astype(np.uint64)
+        half = np.uint64(32 if wide else 16)
+        rules.append(np.stack([new >> half, new & ((np.uint64(1) << half) - np.uint64(1))], 1).astype(np.int64))
+        seq[hit] = name[place[hit]]
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
-        rules.append(np.array(new, np.int64))
+        seq = seq[keep]
         lengths = np.append(lengths, lengths[rules[-1]].sum(1))
-        before, seq = len(seq), seq[keep]
-        if len(seq) > 0.98 * before:
-            break
     return seq, np.concatenate(rules) if rules else np.empty((0, 2), np.int64), lengths[symbols:]
 
 
+def _width(symbols: int) -> int:
+    """Bytes that a symbol takes in a file."""
+    return 2 if symbols <= 1 << 16 else 3 if symbols <= 1 << 24 else 4
+
+
+def _narrow(values: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(values.astype("<u4").reshape(-1, 1).view(np.uint8)[:, :width]).tobytes()
+
+
 def expand(seq: np.ndarray, rules: np.ndarray, symbols: int) -> np.ndarray:
     """The ids that a sequence stands for; nonterminals are replaced level by level."""
     seq = seq.astype(np.int64)
@@ -91,9 +99,9 @@ def pack(doc_ids: list[int | None], counts: list[int], ids: np.ndarray, symbols:
     seq, rules, lengths = repair(ids, symbols)
     known = np.array([x is not None for x in doc_ids], np.uint8)
     head = struct.pack("<8sQQQQQ", _MAGIC, symbols, len(doc_ids), len(rules), len(seq), len(ids))
-    kind = np.uint16 if symbols + len(rules) <= 1 << 16 else np.uint32
-    arrays = [known, np.array([x or 0 for x in doc_ids], np.int64), np.array(counts, np.int64), rules.astype(kind), lengths.astype(np.uint32), seq.astype(kind)]
-    return [head, *[x.tobytes() for x in arrays]]
+    width = _width(symbols + len(rules))
+    arrays = [known, np.array([x or 0 for x in doc_ids], np.int64), np.array(counts, np.int64)]
+    return [head, *[x.tobytes() for x in arrays], _narrow(rules, width), lengths.astype(np.uint32).tobytes(), _narrow(seq, width)]
 
 
 class TokenFile:
@@ -103,7 +111,7 @@ class TokenFile:
         magic, self.symbols, docs, rules, n, self.n_ids = struct.unpack_from("<8sQQQQQ", data)
         if magic != _MAGIC:
             raise ValueError("not a token file")
-        kind, at = np.uint16 if self.symbols + rules <= 1 << 16 else np.uint32, struct.calcsize("<8sQQQQQ")
+        width, at = _width(self.symbols + rules), struct.calcsize("<8sQQQQQ")
 
         def take(kind, count):
             nonlocal at
@@ -111,12 +119,17 @@ class TokenFile:
             at += out.nbytes
             return out
 
+        def named(count):
+            out = np.zeros((count, 4), np.uint8)
+            out[:, :width] = take(np.uint8, count * width).reshape(-1, width)
+            return out.view("<u4").ravel()
+
         known, ids = take(np.uint8, docs), take(np.int64, docs)
         self.doc_ids = [int(i) if k else None for i, k in zip(ids, known, strict=True)]
         self.counts = take(np.int64, docs)
-        self.rules = take(kind, 2 * rules).reshape(-1, 2).astype(np.int64)
+        self.rules = named(2 * rules).reshape(-1, 2).astype(np.int64)
         lengths = np.append(np.ones(self.symbols, np.int64), take(np.uint32, rules).astype(np.int64))
-        self.seq = take(kind, n)
+        self.seq = named(n)
         self.ends = np.cumsum(lengths[self.seq])
 
     def span(self, start: int, stop: int) -> np.ndarray:

@@ -491,3 +491,23 @@ def test_repair(n):
     assert file.doc_ids == [1, None] and file.n_ids == n
     for a, b in [(0, n), (n // 3, n // 2), (n // 2, n // 2), (max(0, n - 1), n)]:
         assert file.span(a, b).tolist() == ids[a:b].tolist()
+
+
+def test_repair_goes_on():
+    """Any vocabulary, runs of one id, and pairs of one head get rules, until no pair stands 8 times."""
+    rng = np.random.default_rng(20_000)
+    told = np.tile(rng.integers(0, 40, 5000), 5)[:20_000]
+    for symbols in (50_258, 70_000, 1 << 24):
+        ids = np.concatenate([told, np.full(5000, symbols - 1), told + symbols - 50])
+        seq, rules, lengths = token_files.repair(ids, symbols)
+        assert token_files.expand(seq, rules, symbols).tolist() == ids.tolist() and len(lengths) == len(rules)
+        assert len(seq) < 0.7 * len(ids) and max(np.bincount(np.unique(rules[:, 0], return_inverse=True)[1])) > 1
+        left = {}
+        for i, pair in enumerate(zip(seq[:-1].tolist(), seq[1:].tolist(), strict=True)):
+            if left.get(pair, (0, -2))[1] != i - 1:
+                left[pair] = (left.get(pair, (0, -2))[0] + 1, i)
+        assert max(n for n, _ in left.values()) < 8
+        file = token_files.TokenFile(b"".join(token_files.pack([1], [len(ids)], ids, symbols)))
+        assert file.span(19_000, 26_000).tolist() == ids[19_000:26_000].tolist()
+    assert len(token_files.repair(np.full(4096, 7), 50_258)[0]) < 16
+    assert len(token_files.repair(told, 50_258)[0]) < 0.7 * len(told)
