@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from itertools import chain, islice
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -165,9 +166,113 @@ def has(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
-# --- Texts in pieces that tokenizers may take one by one ----------------------------------------
+# --- Texts in chunks that tokenizers may take one by one ----------------------------------------
 
+# Fixed value: the usual pattern of byte-level vocabularies.
+USUAL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
+
+
+def joined_pieces(chunks: list[str], findall) -> list[str]:
+    """The matches of the pattern in all chunks, in order.
+
+    Chunks that begin with a space and another character may follow any other one (see ChunkTable), so
+    they are matched together.
+    """
+    begins = [i for i, c in enumerate(chunks) if c[:1] != " " or c[1:2].isspace() or len(c) == 1]
+    if not begins or begins[0]:
+        begins.insert(0, 0)
+    ends = [*begins[1:], len(chunks)]
+    return [p for a, b in zip(begins, ends, strict=True) for p in findall("".join(chunks[a:b]))]
+
+
+class _Numbered(dict):
+    """Numbers its keys as they are asked for."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
+class ChunkTable:
+    """Ids of texts from those of their chunks, each of which is encoded once.
+
+    Texts are cut before spaces that stand before another character than white space. The usual
+    pattern of byte-level vocabularies never matches across such a cut, whatever stands before it: it
+    gives such a space to the piece that follows. Chunks recur, texts do not. With cuts=False (any
+    other pattern) a text is one chunk. learn(chunks) gives the ids of chunks end to end, and the number
+    of ids of each. With more than `most` chunks the table starts anew between two batches.
+    """
+
+    def __init__(self, learn, most: int, cuts: bool = True):
+        self.learn, self.most, self.cuts = learn, most, cuts
+        self._clear()
+
+    def _clear(self) -> None:
+        self.numbers, self.new, self.new_chars = _Numbered(), [], 0
+        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
+        self.starts, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.blank = np.empty(0, bool)
+
+    def _numbered(self, chunks: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all chunks, and how many each text has. The first of a text is kept with a space before it, the others without theirs."""
+        number, known = self.numbers.__getitem__, len(self.numbers)
+        each = [[number(" " + c[0]), *map(number, c[1:])] for c in chunks]
+        new = list(islice(reversed(self.numbers), len(self.numbers) - known))[::-1]
+        if new:
+            # a cut before white space (or the end) is none; what it gave isn't encoded
+            blank = [not k or (k[0] != " " and k[0].isspace()) for k in new]
+            self.blank = np.append(self.blank, blank)
+            found = ["" if no else k[1:] if k[:1] == " " else " " + k for k, no in zip(new, blank, strict=True)]
+            self.new += found
+            self.new_chars += sum(map(len, found))
+        many = np.array([len(x) for x in each], np.int64)
+        return np.fromiter(chain.from_iterable(each), np.int32, int(many.sum())), many
+
+    def number(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all texts' chunks end to end, and how many each has."""
+        if not self.cuts:
+            return self._numbered([[x] for x in texts])
+        chunks = [x.split(" ") for x in texts]
+        numbers, many = self._numbered(chunks)
+        wrong = self.blank[numbers]
+        if wrong.any():
+            wrong = np.add.reduceat(wrong, np.cumsum(many) - many, dtype=np.int64) > 0
+            numbers, many = self._numbered([_SPLIT.split(x) if w else c for x, c, w in zip(texts, chunks, wrong.tolist(), strict=True)])
+        return numbers, many
+
+    def enter(self) -> None:
+        """Encodes the chunks that are numbered but not known yet."""
+        if not self.new:
+            return
+        ids, counts = self.learn(self.new)
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.append(self.ids[: self.used], np.empty(self.used + 2 * len(ids), np.uint32))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts, self.counts = np.append(self.starts, self.used + np.cumsum(counts) - counts), np.append(self.counts, counts)
+        self.used += len(ids)
+        self.new, self.new_chars = [], 0
+
+    def gather(self, numbers: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, number of each text's ids), from what number() gave."""
+        n = self.counts[numbers]
+        ends = np.cumsum(n)
+        ids = self.ids[np.repeat(self.starts[numbers] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.diff(np.append(0, ends)[np.cumsum(many)], prepend=0)
+
+    def turn(self) -> None:
+        """Between two batches: a table that is full starts anew."""
+        if len(self.numbers) > self.most:
+            self._clear()
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, number of each text's ids)."""
+        self.turn()
+        told = self.number(texts)
+        self.enter()
+        return self.gather(*told)
+
+
 _OTHER = re.compile(r"[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 

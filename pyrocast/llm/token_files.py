@@ -12,7 +12,6 @@ from __future__ import annotations
 import json
 import struct
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -20,54 +19,95 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Recent, chunks, parts, pieces, saved, shared_folder
+from .common import USUAL_PATTERN, ChunkTable, joined_pieces, parts, saved, shared_folder
 from .files import content, written
 
 _MAGIC = b"RPTOK2\0\0"
-#: Ids in a file, and chunks of text that a worker keeps the ids of.
-FILE_IDS, _KEPT_CHUNKS = 1 << 21, 300_000
+#: Ids in a file, chunks of text that a worker keeps the ids of, and ids that a reader expands at a time.
+FILE_IDS, _KEPT_CHUNKS, _READ_IDS = 1 << 20, 800_000, 1 << 18
+_GONE = np.uint32(0xFFFFFFFF)
+
+
+def _grouped(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys in order, where each stood); bits: how many of a key may be set."""
+    places = max(1, (len(keys) - 1).bit_length())
+    if bits + places > 64:
+        order = np.argsort(keys, kind="stable")
+        return keys[order], order
+    # sorting numbers alone is several times faster than sorting places by them
+    both = np.sort(keys << np.uint64(places) | np.arange(len(keys), dtype=np.uint64))
+    return both >> np.uint64(places), (both & np.uint64((1 << places) - 1)).astype(np.int64)
 
 
 def repair(ids: np.ndarray, symbols: int, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sequence, rules of shape (n, 2), lengths): symbol symbols + i stands for rules[i] and expands to lengths[i] ids.
 
-    Goes on until no pair stands `least` times. Each round ranks all pairs that do by their number
-    and replaces a pair wherever neither pair that overlaps it has a better rank; in a run of one
-    symbol every other pair counts, from the left. A pair that is left fewer than `least` times waits
-    for a later round. The best pair is always replaced everywhere, so each round makes a rule.
+    Goes on until no pair stands `least` times. Each round ranks the pairs that do by their number and
+    replaces a pair wherever neither pair that overlaps it has a better rank; in a run of one symbol
+    every other pair counts, from the left. A pair that is left fewer than `least` times waits for a
+    later round; the best one is always replaced everywhere, so each round makes a rule. A pair
+    becomes frequent only by a new symbol, so a round looks only at the places where a pair was frequent
+    before or a neighbour is new; the sequence is a list linked in both directions.
     """
-    seq, rules, lengths = ids.astype(np.uint32), [], np.ones(symbols, np.int64)
-    while len(seq) > 1:
-        # keys of 32 bits sort faster
-        wide = len(lengths) > 1 << 16
-        keys = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:] if wide else seq[:-1] << np.uint32(16) | seq[1:]
-        at = np.arange(len(keys))
-        begins = np.append(True, keys[1:] != keys[:-1])
-        free = (at - np.maximum.accumulate(np.where(begins, at, 0))) % 2 == 0
-        pairs = np.sort(keys[free])
-        starts = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
-        counts = np.diff(np.append(starts, len(pairs)))
-        often = np.flatnonzero(counts >= least)
-        if not len(often):
+    n = len(ids)
+    sym, after, before = ids.astype(np.uint32), np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    never = np.iinfo(np.int32).max
+    rank_at = np.full(n + 1, never, np.int32)  # the last place stands for what is beyond both ends
+    wait = np.arange(n) < n - 1
+    rules, named, lengths = [], symbols, np.empty(0, np.int64)
+    while True:
+        at = np.flatnonzero(wait)
+        first, second = sym[at], sym[after[at]]
+        late = at[:0]
+        if len(same := np.flatnonzero(first == second)):
+            run, i = at[same], np.arange(len(same))
+            begins = np.append(True, after[run[:-1]] != run[1:])
+            odd = (i - np.maximum.accumulate(np.where(begins, i, 0))) % 2 == 1
+            late, free = run[odd], np.ones(len(at), bool)
+            free[same[odd]] = False
+            at, first, second = at[free], first[free], second[free]
+        wait[at] = False
+        half = max(1, (named - 1).bit_length())
+        keys, order = _grouped(first.astype(np.uint64) << np.uint64(half) | second, 2 * half)
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else order
+        counts = np.diff(np.append(starts, len(keys)))
+        often = counts >= least
+        if not often.any():
             break
-        known = pairs[starts[often]]
-        rank = np.empty(len(often), np.int64)
-        rank[np.argsort(-counts[often], kind="stable")] = np.arange(len(often))
-        place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        mine = np.where(free & (known[place] == keys), rank[place], len(often))
-        hit = np.flatnonzero((mine < len(often)) & (mine < np.append(len(often), mine[:-1])) & (mine < np.append(mine[1:], len(often))))
-        stays = np.bincount(place[hit], minlength=len(known)) >= least
-        hit = hit[stays[place[hit]]]
-        name = len(lengths) + np.cumsum(stays) - 1
-        new = known[stays].astype(np.uint64)
-        half = np.uint64(32 if wide else 16)
-        rules.append(np.stack([new >> half, new & ((np.uint64(1) << half) - np.uint64(1))], 1).astype(np.int64))
-        seq[hit] = name[place[hit]]
-        keep = np.ones(len(seq), bool)
-        keep[hit + 1] = False
-        seq = seq[keep]
-        lengths = np.append(lengths, lengths[rules[-1]].sum(1))
-    return seq, np.concatenate(rules) if rules else np.empty((0, 2), np.int64), lengths[symbols:]
+        pairs, many = keys[starts[often]], counts[often]
+        by_count = np.argsort(-many, kind="stable")
+        place = np.empty(len(many), np.int32)
+        place[by_count] = np.arange(len(many), dtype=np.int32)
+        rank = np.full(len(at), never, np.int32)
+        rank[order[np.repeat(often, counts)]] = np.repeat(place, many)
+        at, rank = at[rank < never], rank[rank < never]
+        rank_at[at] = rank
+        hit = (rank < rank_at[before[at]]) & (rank < rank_at[after[at]])
+        rank_at[at] = never
+        stays = np.bincount(rank[hit], minlength=len(many)) >= least
+        hit &= stays[rank]
+        new = pairs[by_count][stays]
+        rules.append(np.stack([new >> np.uint64(half), new & np.uint64((1 << half) - 1)], 1).astype(np.int64))
+        name = (named + np.cumsum(stays) - 1).astype(np.uint32)
+        named, lengths = named + len(new), np.append(lengths, _sizes(rules[-1], lengths, symbols).sum(1))
+        wait[at] = True
+        wait[late] = True
+        p = at[hit]
+        gone, beyond = after[p], after[after[p]]
+        sym[p], sym[gone] = name[rank[hit]], _GONE
+        after[p] = beyond
+        inner = beyond < n
+        before[beyond[inner]] = p[inner]
+        wait[gone] = False
+        wait[p] = inner
+        left = before[p]
+        wait[left[left >= 0]] = True
+    return sym[sym != _GONE], np.concatenate([np.empty((0, 2), np.int64), *rules]), lengths
+
+
+def _sizes(values: np.ndarray, lengths: np.ndarray, symbols: int) -> np.ndarray:
+    """The number of ids that each symbol expands to; lengths: of what each rule expands to."""
+    return np.append(1, lengths)[np.maximum(values.astype(np.int64) - (symbols - 1), 0)]
 
 
 def _width(symbols: int) -> int:
@@ -79,19 +119,18 @@ def _narrow(values: np.ndarray, width: int) -> bytes:
     return np.ascontiguousarray(values.astype("<u4").reshape(-1, 1).view(np.uint8)[:, :width]).tobytes()
 
 
-def expand(seq: np.ndarray, rules: np.ndarray, symbols: int) -> np.ndarray:
-    """The ids that a sequence stands for; nonterminals are replaced level by level."""
-    seq = seq.astype(np.int64)
-    while len(big := np.flatnonzero(seq >= symbols)):
-        width = np.ones(len(seq), np.int64)
-        width[big] = 2
-        at = np.cumsum(width) - width
-        out = np.empty(int(width.sum()), np.int64)
-        out[at] = seq
-        pair = rules[seq[big] - symbols]
-        out[at[big]], out[at[big] + 1] = pair[:, 0], pair[:, 1]
-        seq = out
-    return seq
+def expand(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, symbols: int) -> np.ndarray:
+    """The ids that a sequence stands for; lengths: of what each rule expands to."""
+    todo = seq.astype(np.int64)
+    ends = np.cumsum(sizes := _sizes(todo, lengths, symbols))
+    at = ends - sizes
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+    while len(todo):
+        plain = todo < symbols
+        out[at[plain]] = todo[plain]
+        at, pair = at[~plain], rules[todo[~plain] - symbols]
+        todo, at = np.concatenate([pair[:, 0], pair[:, 1]]), np.concatenate([at, at + _sizes(pair[:, 0], lengths, symbols)])
+    return out
 
 
 def pack(doc_ids: list[int | None], counts: list[int], ids: np.ndarray, symbols: int) -> list[bytes]:
@@ -128,9 +167,9 @@ class TokenFile:
         self.doc_ids = [int(i) if k else None for i, k in zip(ids, known, strict=True)]
         self.counts = take(np.int64, docs)
         self.rules = named(2 * rules).reshape(-1, 2).astype(np.int64)
-        lengths = np.append(np.ones(self.symbols, np.int64), take(np.uint32, rules).astype(np.int64))
+        self.lengths = take(np.uint32, rules).astype(np.int64)
         self.seq = named(n)
-        self.ends = np.cumsum(lengths[self.seq])
+        self.ends = np.cumsum(_sizes(self.seq, self.lengths, self.symbols))
 
     def span(self, start: int, stop: int) -> np.ndarray:
         """Ids start to stop (exclusive) of the file, as unsigned 32-bit integers."""
@@ -138,7 +177,7 @@ class TokenFile:
             return np.empty(0, np.uint32)
         a, b = np.searchsorted(self.ends, [start, stop - 1], side="right")
         skipped = int(self.ends[a - 1]) if a else 0
-        return expand(self.seq[a : b + 1], self.rules, self.symbols)[start - skipped : stop - skipped].astype(np.uint32)
+        return expand(self.seq[a : b + 1], self.rules, self.lengths, self.symbols)[start - skipped : stop - skipped]
 
 
 _workers: dict = {}
@@ -152,47 +191,58 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """A tokenizer of the tokenizers library (from its JSON), with the ids of the chunks and pieces it has met.
+    """A tokenizer of the tokenizers library (from its JSON), with the ids of the chunks it has met.
 
-    Where the tokenizer is byte-level BPE with its usual pattern, its model is asked for each distinct
-    piece; otherwise, and for chunks that hold an added token, the whole tokenizer for each chunk.
+    Where the tokenizer is byte-level BPE with its usual pattern, its model is asked for the pieces of
+    each distinct chunk, many in one call; otherwise, and for texts that hold an added token, the whole
+    tokenizer for each text.
     """
 
     def __init__(self, text: str, pattern: str | None):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         told = json.loads(text)
-        before = told.get("pre_tokenizer") or {}
-        plain = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not told.get("normalizer")
-        self.coder, self.model = Tokenizer.from_str(text), None
-        if plain and pattern:
-            self.model, self.pattern, self.letters = self.coder.model, regex.compile(pattern), _byte_letters()
+        how = told.get("pre_tokenizer") or {}
+        self.whole, self.table = Tokenizer.from_str(text), None
         self.added = [x["content"] for x in told.get("added_tokens", [])]
-        self.chunks: Recent = Recent(_KEPT_CHUNKS)
-        self.pieces: Recent = Recent(_KEPT_CHUNKS)
-
-    def _learn(self, new: list[str]) -> None:
-        whole = [c for c in new if self.model is None or any(x in c for x in self.added)]
-        for c, e in zip(whole, self.coder.encode_batch_fast(whole, add_special_tokens=False), strict=True):
-            self.chunks[c] = np.array(e.ids, np.uint32).tobytes()
-        if self.model is None:
-            return
-        split = {c: pieces(c, self.pattern.findall) for c in new if c not in self.chunks}
-        tokenize, letters = self.model.tokenize, self.letters
-        for p in self.pieces.unknown({p for found in split.values() for p in found}):
-            self.pieces[p] = array("I", [t.id for t in tokenize(p.encode().decode("latin-1").translate(letters))]).tobytes()
-        for c, found in split.items():
-            self.chunks[c] = b"".join([self.pieces[p] for p in found])
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        known = self.chunks
-        known.turn()
-        self.pieces.turn()
-        # cuts at spaces hold for byte-level tokenizers; other texts stay whole
-        held = [(chunks(t) if self.model else [t]) if t else [] for t in texts]
-        self._learn(known.unknown(set().union(*held)))
-        return [np.frombuffer(b"".join([known[c] for c in doc]), np.uint32) for doc in held]
+        if pattern == USUAL_PATTERN and how.get("type") == "ByteLevel" and how.get("use_regex") and not how.get("add_prefix_space") and not told.get("normalizer"):
+            self.cut = regex.compile(pattern).findall
+            self.letters = _byte_letters()
+            self.between = {b: x for b, x in self.letters.items() if b}
+            # the same model, asked for pieces between zero bytes
+            self.model = Tokenizer(self.whole.model)
+            self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\0")
+            vocabulary = self.model.get_vocab()
+            self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            for token, i in vocabulary.items():
+                self.bytes[i] = len(token)
+            self.table = ChunkTable(self._learn, _KEPT_CHUNKS)
+
+    def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = joined_pieces(new, self.cut)
+        if any("\0" in p for p in found):
+            asked = "\0".join([p.encode().decode("latin-1").translate(self.letters) for p in found])
+        else:
+            asked = "\0".join(found).encode().decode("latin-1").translate(self.between)
+        ids = np.array(self.model.encode_batch_fast([asked], add_special_tokens=False)[0].ids, np.uint32)
+        # tokens never cross chunks, so chunks end where their bytes do
+        ends, ask = np.cumsum(self.bytes[ids]), np.cumsum([len(c.encode()) for c in new])
+        upto = np.searchsorted(ends, ask, side="right")
+        if len(ids) and (ends[-1] != ask[-1] or (np.append(0, ends)[upto] != ask).any()):
+            raise ValueError("the vocabulary doesn't cover all bytes")
+        return ids, np.diff(upto, prepend=0)
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, number of each text's ids)."""
+        texts = [x or "" for x in texts]
+        alone = [i for i, x in enumerate(texts) if self.table is None or any(a in x for a in self.added)]
+        if not alone:
+            return self.table.encode(texts)
+        told = {i: np.array(e.ids, np.uint32) for i, e in zip(alone, self.whole.encode_batch_fast([texts[i] for i in alone], add_special_tokens=False), strict=True)}
+        ids, counts = self.table.encode(["" if i in told else x for i, x in enumerate(texts)]) if self.table else (np.empty(0, np.uint32), np.zeros(len(texts), np.int64))
+        each = np.split(ids, np.cumsum(counts)[:-1])
+        each = [told.get(i, x) for i, x in enumerate(each)]
+        return np.concatenate(each), np.array([len(x) for x in each], np.int64)
 
 
 def _encoder(text: str, pattern: str | None) -> Encoder:
@@ -207,11 +257,11 @@ def _encoder(text: str, pattern: str | None) -> Encoder:
 def write(docs: DataFrame, folder: str, tokenizer: str, pattern: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
     """Writes the ids of each text and end_id, in ascending order of document ids; gives the manifest.
 
-    Manifest: path, first_id, part, roll, n_ids, start (ids in all files before). tokenizer: JSON of
+    Manifest: path, part, roll, n_ids, start (ids in all files before). tokenizer: JSON of
     the tokenizers library, broadcast (its vocabulary has a fixed size); pattern: how a byte-level
     tokenizer splits texts, if it does so as usual. Null texts are empty; rows
-    without an id come first; rows with one id stand in order of their texts. Other columns are not
-    read. An empty table gives no files.
+    without an id come first; rows with one id stand in order of a hash of their texts (and may lie in
+    several ranges). Other columns are not read. An empty table gives no files.
     """
     spark = docs.sparkSession
     kept = spark.sparkContext.broadcast(tokenizer)
@@ -229,42 +279,60 @@ def write(docs: DataFrame, folder: str, tokenizer: str, pattern: str | None = No
 
         def flush():
             path = written(folder, f"ids-{part:06d}-{roll:06d}", ".rptok", pack(doc_ids, counts, np.concatenate(held), symbols))
-            return pa.RecordBatch.from_pydict({"path": [path], "first_id": pa.array(doc_ids[:1], pa.int64()), "part": pa.array([part], pa.int32()), "roll": pa.array([roll], pa.int32()), "n_ids": pa.array([size], pa.int64())})
+            return pa.RecordBatch.from_pydict({"path": [path], "part": pa.array([part], pa.int32()), "roll": pa.array([roll], pa.int32()), "n_ids": pa.array([size], pa.int64())})
 
         for part_of in (x for batch in batches for x in parts(batch, 1)):
-            texts = part_of.column(1).to_pylist()
-            for doc_id, ids in zip(part_of.column(0).to_pylist(), coder.encode(texts), strict=True):
-                doc_ids.append(doc_id)
-                counts.append(len(ids) + 1)
-                held += [ids, np.array([end_id], np.uint32)]
-                size += len(ids) + 1
+            named, (ids, many) = part_of.column(0).to_pylist(), coder.encode(part_of.column(1).to_pylist())
+            ids, many = np.insert(ids, np.cumsum(many), end_id), many + 1
+            ends, a = np.cumsum(many), 0
+            while a < len(named):
+                begin = int(ends[a - 1]) if a else 0
+                # up to the document that fills the file
+                b = min(len(named), int(np.searchsorted(ends, begin + file_ids - size)) + 1)
+                doc_ids += named[a:b]
+                counts += many[a:b].tolist()
+                held.append(ids[begin : int(ends[b - 1])])
+                size, a = size + len(held[-1]), b
                 if size >= file_ids:
                     yield flush()
                     doc_ids, counts, held, size, roll = [], [], [], 0, roll + 1
         if doc_ids:
             yield flush()
 
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    manifest = saved(ordered.mapInArrow(run, "path string, first_id long, part int, roll int, n_ids long"), "manifest")
-    order = Window.orderBy(F.col("first_id").asc_nulls_first(), "part", "roll")
-    return manifest.withColumn("start", F.sum("n_ids").over(order) - F.col("n_ids"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
+    ordered = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
+    manifest = saved(ordered.mapInArrow(run, "path string, part int, roll int, n_ids long"), "manifest")
+    # sums of the parts, of which a job has thousands at most, then of the files in each
+    sums = manifest.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    sums = sums.select(F.col("part").alias("p"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("roll")) - F.col("n_ids")
+    return manifest.join(sums, F.col("part") == F.col("p")).withColumn("start", F.col("before") + inside).drop("p", "before")
 
 
 def read(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document in the files, and its ids (binary) if asked for."""
+    """doc_id, start, n_tokens, ids_crc32 of each document in the files, and its ids (binary) if asked for.
+
+    Documents are read by spans of their file, some at a time.
+    """
     names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
     schema = pa.schema([(n, pa.binary() if n == "ids" else pa.int64()) for n in names])
 
     def run(batches):
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                file, rows, at = TokenFile(content(path)), [], 0
-                whole = file.span(0, file.n_ids)
-                for doc_id, n in zip(file.doc_ids, file.counts.tolist(), strict=True):
-                    data = whole[at : at + n].tobytes()
-                    rows.append(dict(zip(names, (doc_id, start + at, n, zlib.crc32(data), data), strict=False)))
-                    at += n
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                file = TokenFile(content(path))
+                ends = np.cumsum(file.counts)
+                a = 0
+                while a < len(ends):
+                    begin = int(ends[a - 1]) if a else 0
+                    b = min(len(ends), int(np.searchsorted(ends, begin + _READ_IDS)) + 1)
+                    whole = memoryview(file.span(begin, int(ends[b - 1])).tobytes())
+                    cuts = ((np.append(begin, ends[a:b]) - begin) * 4).tolist()
+                    data = [whole[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+                    cols = [file.doc_ids[a:b], start + ends[a:b] - file.counts[a:b], file.counts[a:b], [zlib.crc32(x) for x in data]]
+                    cols += [[bytes(x) for x in data]] * with_ids
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, schema, strict=True)], schema=schema)
+                    a = b
 
     fields = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     # a file is one unit of work
