@@ -1,10 +1,10 @@
 """Byte-level BPE by corpus-level merge replay.
 
-Each task gathers the distinct pieces of its texts, lays them out as one sequence of tokens, and
-keeps an inverted index from token pair (by the rank of its merge) to the positions where it stands.
-Merges are applied in rank order to all positions at once; only the neighbours of a merged pair
-change, and only their entries are added. Texts are then put together from their pieces, so nothing
-is shuffled. What a worker has encoded, it keeps in a bounded table for its next batches.
+Each task gathers the distinct pieces of its texts (up to a bound), lays them out as one sequence of
+tokens, and keeps an inverted index from token pair (by the rank of its merge) to the positions where
+it stands. Merges are applied in rank order to all positions at once; only the neighbours of a merged
+pair change, and only their entries are added. Texts are then put together from their pieces, so
+nothing is shuffled. What a worker has encoded, it keeps in a bounded table for its next batches.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ import base64
 import hashlib
 import heapq
 import sys
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +20,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, chunks, parts, pieces
+from .common import USUAL_PATTERN, ChunkTable, joined_pieces, parts
 
-#: Distinct pieces are replayed in groups of so many characters; chunks and pieces that a worker keeps.
-_PIECE_CHARS, _KEPT_CHUNKS = 1 << 19, 150_000
+#: Characters of new chunks, and chunks of texts, that a task gathers before a replay; chunks that a worker keeps.
+_NEW_CHARS, _HELD_CHUNKS, _KEPT_CHUNKS = 1 << 22, 1 << 22, 800_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,10 +38,11 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.tokens = ranks, {i: t for t, i in ranks.items()}
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        self.pattern = regex.compile(pattern)
+        self.size = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.size[list(self.tokens)] = [len(t) for t in self.tokens.values()]
+        self.findall = regex.compile(pattern).findall
         self.merges: dict[int, int] = {}
-        self.known: Recent = Recent(_KEPT_CHUNKS)
-        self.pieces: Recent = Recent(_KEPT_CHUNKS)
+        self.table = ChunkTable(self._learn, _KEPT_CHUNKS, cuts=pattern == USUAL_PATTERN)
 
     def _merge(self, pair: int) -> int:
         """The id that a pair (first << 32 | second) merges to, or -1."""
@@ -54,18 +54,26 @@ class MergeReplay:
         return found
 
     def _alone(self, piece: bytes) -> list[int]:
-        """The ids of one piece, one merge after the other."""
-        ids = self.bytes[list(piece)].tolist()
-        while len(ids) > 1:
-            ranked = [(r, i) for i in range(len(ids) - 1) if (r := self._merge(ids[i] << 32 | ids[i + 1])) >= 0]
-            if not ranked:
-                break
-            r, i = min(ranked)
-            ids[i : i + 2] = [r]
-        return ids
-
-    def replay(self, pieces: list[bytes]) -> list[bytes]:
-        """The ids of each piece (none empty) as native unsigned 32-bit integers.
+        """The ids of one piece, one merge after the other; a heap holds its pairs."""
+        ids, n = self.bytes[list(piece)].tolist(), len(piece)
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        heap = [(r, i) for i in range(n - 1) if (r := self._merge(ids[i] << 32 | ids[i + 1])) >= 0]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j < 0 or self._merge(ids[i] << 32 | ids[j]) != r:
+                continue
+            ids[i], ids[j], after[i] = r, -1, after[j]
+            if after[i] >= 0:
+                before[after[i]] = i
+            for left in (before[i], i):
+                if left >= 0 and after[left] >= 0 and (r := self._merge(ids[left] << 32 | ids[after[left]])) >= 0:
+                    heapq.heappush(heap, (r, left))
+        return [x for x in ids if x >= 0]
+
+    def replay(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pieces (none empty) end to end, number of each one's ids).
 
         All positions of the pairs of one rank are merged together. That equals merging them one by
         one from the left, but for a piece where a merge brings up a pair of lower rank while others
@@ -136,66 +144,97 @@ class MergeReplay:
                 if len(lower):
                     words, times = np.unique(word[p], return_counts=True)
                     alone.update(np.intersect1d(word[lower], words[times > 1]).tolist())
-        out = tok[tok >= 0].astype(np.uint32)
-        ends = np.cumsum(np.add.reduceat(tok >= 0, start)) * 4
-        data, at, ids = out.tobytes(), 0, []
-        for end in ends.tolist():
-            ids.append(data[at:end])
-            at = end
+        ids, counts = tok[tok >= 0].astype(np.uint32), np.add.reduceat(tok >= 0, start, dtype=np.int64)
+        if not alone:
+            return ids, counts
+        each = np.split(ids, np.cumsum(counts)[:-1])
         for w in alone:
-            ids[w] = array("I", self._alone(pieces[w])).tobytes()
-        return ids
-
-    def _learn(self, new: list[str]) -> None:
-        known, split = self.pieces, [pieces(c, self.pattern.findall) for c in new]
-        group, size = [], 0
-        for p in [*known.unknown(dict.fromkeys(p for c in split for p in c)), None]:
-            if group and (p is None or size > _PIECE_CHARS):
-                known.update(zip(group, self.replay([x.encode() for x in group]), strict=True))
-                group, size = [], 0
-            if p is not None:
-                group.append(p)
-                size += len(p)
-        for c, parts in zip(new, split, strict=True):
-            self.known[c] = b"".join([known[p] for p in parts])
+            each[w] = np.array(self._alone(pieces[w]), np.uint32)
+        return np.concatenate(each), np.array([len(x) for x in each], np.int64)
+
+    def _learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the chunks end to end, number of each one's ids)."""
+        if self.table.cuts:
+            found, many = joined_pieces(chunks, self.findall), None
+        else:
+            each = [self.findall(c) for c in chunks]
+            found, many = [p for c in each for p in c], np.array([len(c) for c in each])
+        numbers: dict[str, int] = {}
+        number = np.array([numbers.setdefault(p, len(numbers)) for p in found], np.int64)
+        if not len(number):
+            return np.empty(0, np.uint32), np.zeros(len(chunks), np.int64)
+        ids, counts = self.replay([p.encode() for p in numbers])
+        n = counts[number]
+        ends, starts = np.cumsum(n), np.cumsum(counts) - counts
+        ids = ids[np.repeat(starts[number] - (ends - n), n) + np.arange(ends[-1])]
+        if many is not None:
+            return ids, np.diff(np.append(0, ends)[np.cumsum(many)], prepend=0)
+        # tokens never cross chunks, so chunks end where their bytes do
+        upto = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(c.encode()) for c in chunks]), side="right")
+        return ids, np.diff(upto, prepend=0)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as native unsigned 32-bit integers."""
-        held, known = [chunks(t) if t else [] for t in texts], self.known
-        known.turn()
-        self.pieces.turn()
-        self._learn(known.unknown(set().union(*held)))
-        return [b"".join([known[c] for c in doc]) for doc in held]
+        return self._each(*self.table.encode(texts))
+
+    def _each(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        data, ends = ids.tobytes(), np.cumsum(counts) * 4
+        return [data[a:b] for a, b in zip((ends - counts * 4).tolist(), ends.tolist(), strict=True)]
+
+    def batches(self, rows):
+        """(head, ids of each text) for each of rows (head, texts); new chunks of many rows are replayed together."""
+        held, chunks = [], 0
+        self.table.turn()
+        for head, texts in rows:
+            told = self.table.number(texts)
+            held.append((head, told))
+            chunks += len(told[0])
+            if self.table.new_chars > _NEW_CHARS or chunks > _HELD_CHUNKS:
+                self.table.enter()
+                for head, told in held:
+                    yield head, self._each(*self.table.gather(*told))
+                held, chunks = [], 0
+                self.table.turn()
+        self.table.enter()
+        for head, told in held:
+            yield head, self._each(*self.table.gather(*told))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, memoryview(ids).cast("I").tolist())) if ids else b""
 
 
-_workers: dict[int, MergeReplay] = {}
+_workers: dict[str, MergeReplay] = {}
 
 
-def _replay(ranks, pattern: str) -> MergeReplay:
-    """One for each vocabulary and worker, with what it has encoded so far."""
-    key = hash((id(ranks), pattern))
+def _replay(kept) -> MergeReplay:
+    """One for each vocabulary and worker, with what it has encoded so far; kept: broadcast of (digest, ranks, pattern)."""
+    key, ranks, pattern = kept.value
     if key not in _workers:
         _workers.clear()
-        _workers[key] = MergeReplay(ranks.value, pattern)
+        _workers[key] = MergeReplay(ranks, pattern)
     return _workers[key]
 
 
+def _sent(spark, ranks: dict[bytes, int], pattern: str):
+    """Vocabulary and pattern, broadcast with a digest of both; a vocabulary has a fixed size."""
+    told = hashlib.sha256(pattern.encode())
+    for token, i in sorted(ranks.items(), key=lambda x: x[1]):
+        told.update(b"%d %d " % (i, len(token)) + token)
+    return spark.sparkContext.broadcast((told.hexdigest(), ranks, pattern))
+
+
 def _coded(docs: DataFrame, ranks, pattern: str, id_col: str, text_col: str, fields: str, row) -> DataFrame:
     """doc_id and what row(coder, ids) gives for each text; fields: names and types after doc_id."""
     assert sys.byteorder == "little"
-    kept = docs.sparkSession.sparkContext.broadcast(ranks)
+    kept = _sent(docs.sparkSession, ranks, pattern)
     names = [x.split()[0] for x in fields.split(", ")]
 
     def run(batches):
-        coder = _replay(kept, pattern)
-        for batch in batches:
-            for part in parts(batch, 1):
-                ids = coder.encode([x or "" for x in part.column(1).to_pylist()])
-                cols = zip(*[row(coder, x) for x in ids], strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, cols)], ["doc_id", *names])
+        coder = _replay(kept)
+        slices = (part for batch in batches for part in parts(batch, 1))
+        for head, ids in coder.batches((part.column(0), [x or "" for x in part.column(1).to_pylist()]) for part in slices):
+            cols = zip(*[row(coder, x) for x in ids], strict=True)
+            yield pa.RecordBatch.from_arrays([head, *map(pa.array, cols)], ["doc_id", *names])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, " + fields)
 
@@ -212,10 +251,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """encoded with the column decoded binary: the bytes of all ids, end to end."""
-    kept = encoded.sparkSession.sparkContext.broadcast(ranks)
+    kept = _sent(encoded.sparkSession, ranks, pattern)
 
     def run(batches):
-        coder = _replay(kept, pattern)
+        coder = _replay(kept)
         for batch in batches:
             for part in parts(batch, batch.schema.get_field_index("ids")):
                 ids = part.column("ids").to_pylist()

@@ -273,49 +273,6 @@ class ChunkTable:
         return self.gather(*told)
 
 
-_OTHER = re.compile(r"[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-
-
-def chunks(text: str) -> list[str]:
-    """The text cut before each single space that stands between two characters other than white space.
-
-    The pattern of the byte-level vocabularies never matches across such a cut, so the tokens of a
-    text are those of its chunks. Chunks recur, texts do not.
-    """
-    if not text:
-        return []
-    plain = "  " not in text and "\n " not in text and " \n" not in text and " " not in (text[0], text[-1]) and not _OTHER.search(text)
-    parts = text.split(" ") if plain else _SPLIT.split(text)
-    return [parts[0], *[" " + x for x in parts[1:]]]
-
-
-def pieces(chunk: str, findall) -> list[str]:
-    """The matches of that pattern in a chunk; findall is asked only where letters and a mark at the end don't tell."""
-    body, end = (chunk[:-1], [chunk[-1]]) if chunk[-1] in ".,;:!?" and len(chunk) > 1 else (chunk, [])
-    return [body, *end] if (body[1:] if body[0] == " " else body).isalpha() else findall(chunk)
-
-
-class Recent(dict):
-    """A table that forgets what was not asked for lately; it holds some more than 2 * most entries."""
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.most, self.before = most, {}
-
-    def __missing__(self, key):
-        value = self[key] = self.before[key]
-        return value
-
-    def unknown(self, keys) -> list:
-        return [k for k in keys if k not in self and k not in self.before]
-
-    def turn(self) -> None:
-        """Between two batches: what is older than the last `most` entries goes."""
-        if len(self) > self.most:
-            self.before = dict(self)
-            self.clear()
-
-
 def parts(batch, text: int, most: int = 1 << 21):
     """The batch in slices of some MB of text (column number `text`), so that what a task holds stays small."""
     import pyarrow.compute as pc

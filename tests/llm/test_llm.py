@@ -12,7 +12,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from pyrocast.llm import ann, bpe, html_text, jaccard_join, line_dedup, mixing, quality, sharding, token_files, warc
-from pyrocast.llm.common import chunks, shared_folder
+from pyrocast.llm.common import shared_folder
 from pyrocast.llm.components import connected_components
 from pyrocast.llm.queries import QUERIES, SQL
 
@@ -250,6 +250,14 @@ def test_bpe_pieces():
     for t, ids in zip(texts, coder.encode(texts), strict=True):
         assert np.frombuffer(ids, np.uint32).tolist() == e.encode_ordinary(t), t
         assert coder.decode(ids).decode() == t
+    for t in texts[:300]:
+        assert coder._alone(t.encode()) == (np.concatenate([coder.replay([t.encode()])[0]]).tolist() if t else [])
+    # the cut at spaces holds for the usual pattern alone
+    other = r"\p{L}+ |\p{L}+|[^\p{L}]"
+    tiktoken = __import__("tiktoken").Encoding("other", pat_str=other, mergeable_ranks=RANKS, special_tokens={})
+    coder = bpe.MergeReplay(RANKS, other)
+    for t, ids in zip(texts[:500], coder.encode(texts[:500]), strict=True):
+        assert np.frombuffer(ids, np.uint32).tolist() == tiktoken.encode_ordinary(t), t
 
 
 def test_token_pieces():
