@@ -15,7 +15,7 @@ def _point(rows: DataFrame, parents: DataFrame, column: str) -> DataFrame:
 
 
 def connected_components(links: DataFrame) -> DataFrame:
-    """links (a, b: long) -> v, component: the smallest vertex that v reaches, for each vertex of a link.
+    """links (a, b of one type with an order) -> v, component: the smallest vertex that v reaches, for each vertex of a link.
 
     Each round points every vertex at its smallest neighbour, if smaller, follows the pointers to
     their roots by doubling, and keeps the links between different roots: at least the vertices that

@@ -7,7 +7,8 @@ prefix). Documents with identical prefixes and sizes are one group. A group with
 1 + n / 5 prefix tokens that other groups have too cannot link, and drops out; of the rest, tokens in
 order of their frequency, the first (count - n / 5) must hold a common one of any linked pair. Groups joined by such tokens form clusters. Their members are then verified on whole sets,
 block by block: each block against the cluster's first block, then whatever did not join the
-cluster's largest component against all blocks. No list of pairs is ever made.
+cluster's largest component against all blocks of sizes that it may link with. No list of pairs is
+ever made.
 """
 
 from __future__ import annotations
@@ -98,12 +99,18 @@ def spanning_links(sets: list[np.ndarray], percent: int, known: list[int] | None
     return out
 
 
+_NODE = "struct<rep: bigint, fp: binary>"
+
+
 def _verify(percent: int):
+    node = pa.struct([("rep", pa.int64()), ("fp", pa.binary())])
+
     def run(group: pa.Table) -> pa.Table:
-        ids, labels = group.column("rep").to_pylist(), group.column("label").to_pylist()
+        nodes = group.column("node").to_pylist()
+        labels = [(x["rep"], x["fp"]) for x in group.column("label").to_pylist()]
         sets = [np.frombuffer(x, np.uint64) for x in group.column("tokens").to_pylist()]
-        links = spanning_links(sets, percent, labels) if len(ids) > 1 else []
-        return pa.table({"a": pa.array([ids[i] for i, _ in links], pa.int64()), "b": pa.array([ids[j] for _, j in links], pa.int64())})
+        links = spanning_links(sets, percent, labels) if len(nodes) > 1 else []
+        return pa.table({"a": pa.array([nodes[i] for i, _ in links], node), "b": pa.array([nodes[j] for _, j in links], node)})
 
     return run
 
@@ -130,19 +137,19 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """rep, tokens for the ids in wanted (rep): texts are shingled again where a filter of bounded size lets the id through."""
+    """fp, tokens of the texts whose ids are in wanted (rep), and some more: texts are shingled again where a filter of bounded size lets the id through."""
     context = docs.sparkSession.sparkContext
     bits = filter_bits(wanted.count())
     kept = context.broadcast(any_filter(wanted.select(F.xxhash64("rep").alias("h")), bits))
 
     def run(batches):
         for batch in batches:
-            hit = np.flatnonzero(has(kept.value, batch.column(1).to_numpy(zero_copy_only=False) & (bits - 1)))
-            texts = batch.column(2).take(pa.array(hit)).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hit)), pa.array([shingles(x, width).tobytes() for x in texts], pa.binary())], ["rep", "tokens"])
+            hit = np.flatnonzero(has(kept.value, batch.column(0).to_numpy(zero_copy_only=False) & (bits - 1)))
+            sets = [shingles(x, width).tobytes() for x in batch.column(1).take(pa.array(hit)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], ["fp", "tokens"])
 
-    texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("rep"), F.xxhash64(F.col(id_col).cast("long")).alias("h"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(run, "rep long, tokens binary")
+    texts = docs.filter(F.col(id_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("long")).alias("h"), F.col(text_col).alias("text"))
+    return texts.mapInArrow(run, "fp binary, tokens binary")
 
 
 def clusters(sets: DataFrame, groups: DataFrame) -> DataFrame:
@@ -203,37 +210,56 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = clusters(sets, groups)
     # members of the groups in clusters, and of groups that hold different texts
     groups = groups.join(found, "gid", "left").filter("cluster IS NOT NULL OR texts > 1").select("pkey", F.coalesce("cluster", "gid").alias("cluster"))
-    members = saved(classes.join(groups, "pkey").select("rep", "n", "cluster"), "members")
+    members = saved(classes.join(groups, "pkey").select("rep", "fp", "n", "cluster"), "members")
     size = members.groupBy("cluster").agg(F.count("*").alias("k"), F.sum("n").alias("tokens")).filter("k > 1")
-    blocks = F.greatest(F.ceil(F.col("k") / _BLOCK_DOCS), F.ceil(F.col("tokens") / _BLOCK_TOKENS)).cast("int")
-    size = size.select("cluster", blocks.alias("blocks"))
-    placed = members.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), "blocks").cast("int"))
-    whole = _whole_sets(docs, members.select("rep"), id_col, text_col, width)
-    # of rows with one id, the text of the smallest fingerprint stands for the id
-    whole = whole.groupBy("rep").agg(F.min("tokens").alias("tokens"))
-    placed = saved(placed.join(whole, "rep").withColumn("label", F.col("rep")), "placed")
-    check = _verify(percent)
+    size = size.select("cluster", _blocks("k", "tokens").alias("blocks"))
+    placed = members.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("fp", F.lit(3)), "blocks").cast("int"))
+    whole = _whole_sets(docs, members.select("rep"), id_col, text_col, width).groupBy("fp").agg(F.min("tokens").alias("tokens"))
+    # a class is a node by its smallest id and its fingerprint, as rows with one id may be in several classes
+    node = F.struct("rep", "fp")
+    placed = saved(placed.join(whole, "fp").withColumn("node", node).withColumn("label", node), "placed")
+    check, found = _verify(percent), f"a {_NODE}, b {_NODE}"
     cells = placed.withColumn("cell", F.explode(F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
-    links = saved(cells.select("cluster", "cell", "rep", "label", "tokens").groupBy("cluster", "cell").applyInArrow(check, "a long, b long"), "verified")
+    links = saved(cells.select("cluster", "cell", "node", "label", "tokens").groupBy("cluster", "cell").applyInArrow(check, found), "verified")
     joined = connected_components(links)
-    wide = placed.filter("blocks > 1").drop("label").join(joined.withColumnRenamed("v", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
+    wide = placed.filter("blocks > 1").drop("label").join(joined.withColumnRenamed("v", "node"), "node", "left").withColumn("label", F.coalesce("component", "node"))
     counts = wide.groupBy("cluster", "label").agg(F.count("*").alias("k"))
     main = counts.groupBy("cluster").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("all")).filter("top.k < all")
-    main = main.select("cluster", F.col("top.label").alias("main"), F.ceil((F.col("all") - F.col("top.k")) / _BLOCK_DOCS).cast("int").alias("odd_blocks"))
-    main = saved(main, "main")
+    main = saved(main.select("cluster", F.col("top.label").alias("main")), "main")
     if not main.isEmpty():
-        rest = wide.join(main, "cluster")
-        odd = rest.filter("label <> main").withColumn("x", F.pmod(F.xxhash64("rep", F.lit(5)), "odd_blocks").cast("int"))
-        fields = ["cluster", "x", "y", "rep", "label", "tokens"]
-        odd = odd.withColumn("y", F.explode(F.expr("sequence(0, blocks - 1)"))).select(*fields)
-        every = rest.withColumn("x", F.explode(F.expr("sequence(0, odd_blocks - 1)"))).withColumn("y", F.col("block")).select(*fields)
-        # a document that is in both roles of a cell counts once
-        cells = odd.unionByName(every).dropDuplicates(["cluster", "x", "y", "rep"])
-        links = links.unionByName(saved(cells.groupBy("cluster", "x", "y").applyInArrow(check, "a long, b long"), "verified"))
+        links = links.unionByName(saved(_odd_cells(wide.join(main, "cluster"), percent).applyInArrow(check, found), "verified"))
         joined = connected_components(links)
-    ids = classes.join(joined, F.col("rep") == F.col("v"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    ids = classes.join(joined, F.struct("rep", "fp") == F.col("v"), "left").select("fp", F.coalesce("component.rep", "rep").alias("component_id"))
     out = sets.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(ids, "fp", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def _blocks(rows: str, tokens: str):
+    return F.greatest(F.ceil(F.col(rows) / _BLOCK_DOCS), F.ceil(F.col(tokens) / _BLOCK_TOKENS)).cast("int")
+
+
+def _odd_cells(rest: DataFrame, percent: int):
+    """Members outside their cluster's largest component, and all members whose sizes allow a link, grouped by cells.
+
+    Sizes fall into bands such that linked ones are in the same or in neighbouring bands. Each band of a
+    cluster has its own blocks.
+    """
+    # a little wider than the ratio of linked sizes, so that no rounding counts
+    band = F.floor(F.log("n") / (np.log(100 / percent) * 1.001)).cast("int") if percent < 100 else F.col("n").cast("int")
+    rest = rest.withColumn("band", band).withColumn("odd", F.col("label") != F.col("main"))
+    of_odd = [F.sum(F.when(F.col("odd"), x)).alias(a) for x, a in ((F.lit(1), "odd_k"), (F.col("n"), "odd_tokens"))]
+    sizes = rest.groupBy("cluster", "band").agg(F.count("*").alias("k"), F.sum("n").alias("tokens"), *of_odd)
+    sizes = saved(sizes.select("cluster", "band", _blocks("k", "tokens").alias("of"), F.coalesce(_blocks("odd_k", "odd_tokens"), F.lit(0)).alias("odd_of")), "bands")
+    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
+    rest = rest.join(sizes, ["cluster", "band"]).select("cluster", "band", "odd", "of", "odd_of", "node", "label", "tokens")
+    mine, other = F.pmod(F.xxhash64("node.fp", F.lit(5)), F.greatest("odd_of", F.lit(1))).cast("int"), F.pmod(F.xxhash64("node.fp", F.lit(3)), "of").cast("int")
+    fields = ["cluster", "a", "x", "b", "y", "node", "label", "tokens"]
+    odd = rest.filter("odd").withColumn("x", mine).withColumn("b", near).join(sizes.select("cluster", F.col("band").alias("b"), F.col("of").alias("n_y")), ["cluster", "b"])
+    odd = odd.withColumnRenamed("band", "a").withColumn("y", F.explode(F.expr("sequence(0, n_y - 1)"))).select(*fields)
+    every = rest.withColumn("y", other).withColumn("a", near).join(sizes.filter("odd_of > 0").select("cluster", F.col("band").alias("a"), F.col("odd_of").alias("n_x")), ["cluster", "a"])
+    every = every.withColumnRenamed("band", "b").withColumn("x", F.explode(F.expr("sequence(0, n_x - 1)"))).select(*fields)
+    # a member that is in both roles of a cell counts once
+    return odd.unionByName(every).dropDuplicates(["cluster", "a", "x", "b", "y", "node"]).groupBy("cluster", "a", "x", "b", "y")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
