@@ -17,20 +17,26 @@ from pyspark.sql import functions as F
 
 _SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 _SYMBOLS = "#*$%&|<>"
-_DIMS = 1 << 14  # of words; as many again of character n-grams
+_BITS = 14
+_DIMS = 1 << _BITS  # of words; as many again of pairs of words, and of 4-grams of characters
+_FAMILIES = 3
 _GRAM = np.uint32(0x9E3779B1)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 @dataclass(frozen=True)
 class Model:
-    """weights: of words, then of 4-grams of bytes, each family by its share of the text."""
+    """weights: of words, of pairs of words, then of 4-grams of characters, each family by its share of the text."""
 
     weights: np.ndarray
     bias: float
     scale: float
     shift: float
 
+    def share(self, families: list[np.ndarray]) -> float:
+        """The weighted shares of a text: the mean weight of each family's dimensions, added up."""
+        return sum(float(self.weights[dims].mean()) for dims in families if len(dims))
+
     def probability(self, share: np.ndarray) -> np.ndarray:
         """Calibrated probability of good quality for weighted shares (the uncalibrated log odds)."""
         return 1 / (1 + np.exp(-np.clip(self.scale * share + self.shift, -30, 30)))
@@ -41,13 +47,17 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.array([h(w) for w in words], np.uint64)
 
 
-def gram_dims(data: bytes) -> np.ndarray:
-    """Dimensions of the 4-grams of the bytes, A-Z lowered."""
-    raw = np.frombuffer(data, np.uint8).astype(np.uint32)
-    if len(raw) < 4:
-        return np.empty(0, np.int64)
-    code = raw[:-3] | (raw[1:-2] << np.uint32(8)) | (raw[2:-1] << np.uint32(16)) | (raw[3:] << np.uint32(24))
-    return ((code * _GRAM) >> np.uint32(18)).astype(np.int64)
+def dimensions(hashes: np.ndarray, text: str) -> list[np.ndarray]:
+    """Dimensions of the words, of pairs of neighbouring words, and of the 4-grams of characters (A-Z lowered), repeats included."""
+    top = np.uint64(64 - _BITS)
+    pairs = (hashes[:-1] * _MIX[0] + hashes[1:]) * _MIX[1] >> top
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    chars = np.where((chars >= 65) & (chars <= 90), chars + np.uint32(32), chars)
+    code = chars[:-3] if len(chars) > 3 else chars[:0]
+    for i in range(1, 4 if len(code) else 1):
+        code = code * _GRAM + chars[i : len(chars) - 3 + i]
+    grams = code * _GRAM >> np.uint32(32 - _BITS)
+    return [x.astype(np.int64) + i * _DIMS for i, x in enumerate((hashes & np.uint64(_DIMS - 1), pairs, grams))]
 
 
 def repeat_words(hashes: np.ndarray) -> int:
@@ -67,24 +77,34 @@ def repeat_words(hashes: np.ndarray) -> int:
     return int(covered.sum())
 
 
-def counts(text: str | None) -> tuple[tuple[int, int, int, int, int], np.ndarray, bytes]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; hashes of the words; the bytes."""
+def counts(text: str | None) -> tuple[tuple[int, int, int, int, int], np.ndarray]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; hashes of the words."""
     text = text or ""
     data = text.encode()
     words = data.split()
     lines = [x for x in data.split(b"\n") if x.strip()] if b"\n" in data else []
     hashes = word_hashes(words)
     base = (len(words), len(text) - sum(text.count(c) for c in _SPACES), sum(text.count(c) for c in _SYMBOLS), len(lines) - len(set(lines)), repeat_words(hashes))
-    return base, hashes, data
+    return base, hashes
+
 
+def _shares(families: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The dimensions that a text has, and the share of its family that each of them takes."""
+    found = [np.unique(dims, return_counts=True) for dims in families]
+    return np.concatenate([d for d, _ in found]), np.concatenate([n / max(1, n.sum()) for _, n in found])
 
-def _shares(hashes: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The dimensions that a text has, and the share of its words or 4-grams in each."""
-    words = np.bincount((hashes & np.uint64(_DIMS - 1)).astype(np.int64), minlength=_DIMS)
-    grams = np.bincount(gram_dims(data.lower()), minlength=_DIMS)
-    both = np.concatenate([words / max(1, words.sum()), grams / max(1, grams.sum())])
-    dims = np.flatnonzero(both)
-    return dims, both[dims]
+
+def judge(texts: list[str | None], model: Model | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The base counts (a row a text), base_failed, probability and kept of each text."""
+    base, shares = [], []
+    for text in texts:
+        counted, hashes = counts(text)
+        base.append(counted)
+        shares.append(model.share(dimensions(hashes, text or "")) if model is not None else 0.0)
+    base = np.array(base, np.int64).reshape(-1, 5)
+    failed = (base[:, 0] < 50) | (100 * base[:, 4] > 50 * base[:, 0])
+    p = model.probability(np.array(shares, float)) if model is not None else np.ones(len(base))
+    return base, failed, p, ~failed & (p >= threshold)
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], held_out: np.ndarray, steps: int = 150) -> Model | None:
@@ -99,13 +119,13 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], held_out: np.ndarray, st
     dims, values = np.concatenate([r[0] for r in rows]).astype(np.int64), np.concatenate([r[1] for r in rows]).astype(float) * 30
     fitted = ~held_out[row]
     weight = np.where(y == 1, 0.5 / y[~held_out].mean(), 0.5 / (1 - y[~held_out]).mean()) * ~held_out
-    w, bias = np.zeros(2 * _DIMS), 0.0
-    m, v = np.zeros(2 * _DIMS + 1), np.zeros(2 * _DIMS + 1)
+    w, bias = np.zeros(_FAMILIES * _DIMS), 0.0
+    m, v = np.zeros(_FAMILIES * _DIMS + 1), np.zeros(_FAMILIES * _DIMS + 1)
     d, r, x = dims[fitted], row[fitted], values[fitted]
     for step in range(1, steps + 1):
         z = np.bincount(r, x * w[d], len(rows)) + bias
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight / (~held_out).sum()
-        grad = np.append(np.bincount(d, x * error[r], 2 * _DIMS) + 1e-5 * w, error.sum())
+        grad = np.append(np.bincount(d, x * error[r], _FAMILIES * _DIMS) + 1e-5 * w, error.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
@@ -125,9 +145,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], held_out: np.ndarray, st
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 3000) -> Model | None:
     """Fits on at most sample_rows labelled documents: half of each label, by the hash of the id.
 
-    Only their hashed features reach the driver. Labels that are null are not used.
+    Only their hashed features reach the driver. Labels that are null are not used, nor are documents
+    that are labelled both good and bad.
     """
-    labels = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("doc_id IS NOT NULL AND label IN (0, 1)").distinct()
+    labels = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("doc_id IS NOT NULL AND label IN (0, 1)")
+    labels = labels.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other").drop("other")
     order = F.xxhash64("doc_id", F.lit(7))
     sample = labels.filter("label = 0").orderBy(order).limit(sample_rows // 2).unionByName(labels.filter("label = 1").orderBy(order).limit(sample_rows // 2))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
@@ -136,8 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             dims, shares = [], []
             for text in batch.column(1).to_pylist():
-                _, hashes, data = counts(text)
-                d, s = _shares(hashes, data)
+                d, s = _shares(dimensions(counts(text)[1], text or ""))
                 dims.append(d.astype(np.uint16).tobytes())
                 shares.append(s.astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(dims, pa.binary()), pa.array(shares, pa.binary())], ["doc_id", "label", "dims", "shares"])
@@ -158,45 +179,26 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     """
     context = docs.sparkSession.sparkContext
     kept = context.broadcast(model)
-    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "probability"]
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches):
-        model = kept.value
         for batch in batches:
-            rows, share = [], []
-            for text in batch.column(1).to_pylist():
-                base, hashes, data = counts(text)
-                rows.append(base)
-                if model is not None:
-                    w, dims = model.weights, gram_dims(data.lower())
-                    share.append((w[(hashes & np.uint64(_DIMS - 1)).astype(np.int64)].mean() if len(hashes) else 0) + (w[_DIMS:][dims].mean() if len(dims) else 0))
-            p = model.probability(np.array(share, float)) if model is not None else np.ones(len(rows))
-            cols = np.array(rows, np.int64).reshape(-1, 5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(cols[:, i]) for i in range(5)], pa.array(p)], names)
+            base, failed, p, good = judge(batch.column(1).to_pylist(), kept.value, threshold)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(base[:, i]) for i in range(5)], pa.array(failed), pa.array(p), pa.array(good)], ["doc_id", *names, "base_failed", "probability", "kept"])
 
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names[1:6]) + ", probability double")
-    out = out.withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("probability") >= threshold))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return texts.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, probability double, kept boolean")
 
 
 def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns."""
+    """The rows of docs that score() keeps, with all their columns."""
     kept = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col))
 
     @F.pandas_udf("boolean")
     def good(texts):
         import pandas as pd
 
-        model, out = kept.value, []
-        for text in texts:
-            (n_words, _, _, _, repeats), hashes, data = counts(text)
-            ok = n_words >= 50 and 100 * repeats <= 50 * n_words
-            if ok and model is not None:
-                w, dims = model.weights, gram_dims(data.lower())
-                share = w[(hashes & np.uint64(_DIMS - 1)).astype(np.int64)].mean() + (w[_DIMS:][dims].mean() if len(dims) else 0)
-                ok = bool(model.probability(np.array(share)) >= threshold)
-            out.append(ok)
-        return pd.Series(out, dtype=bool)
+        return pd.Series(judge(texts.tolist(), kept.value, threshold)[3], dtype=bool)
 
     return docs.filter(good(F.col(text_col)))
 
