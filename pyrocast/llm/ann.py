@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
-Trees are grown on a bounded sample (sample_rows, by the hash of the id): each node splits its part
-of the sample by the hyperplane between two of its vectors. Every row is then put into one leaf of
-each tree. A query keeps one priority queue over the nodes of all trees, ordered by the squared
-margins that the way crosses, and opens leaves until enough of the sample lies in them. Leaves and opened leaves
-are joined, and exact distances on the original vectors rank what is found.
+Trees are grown on a bounded sample (by the hash of the id): each node splits its part of the sample
+by the hyperplane between two of its vectors. Every row is then put into one leaf of each tree. A
+query keeps one priority queue over the nodes of all trees, ordered by the squared margins that the
+way crosses, and opens leaves until enough of the sample lies in them; how much is enough is measured
+on other rows held out of the sample, whose neighbours are known, so that tables whose vectors lie in
+clusters open few leaves. Leaves and opened leaves are joined, some leaves a group, and exact distances on the original
+vectors rank what is found.
 """
 
 from __future__ import annotations
@@ -70,25 +72,63 @@ class Tree:
         return -1 - out
 
 
-def search(forest: list[Tree], vector: np.ndarray, enough: int) -> list[tuple[int, int]]:
-    """(tree, leaf) of the leaves to open, by one queue over all trees, until they hold `enough` sample rows."""
+def opened(forest: list[Tree], vector: np.ndarray):
+    """(tree, leaf) of all leaves in the order of one queue over all trees."""
     margins = [t.normals @ vector - t.offsets for t in forest]
     queue = [(0.0, i, t.root) for i, t in enumerate(forest)]
     heapq.heapify(queue)
-    out, held = [], 0
-    while queue and held < enough:
+    while queue:
         far, i, node = heapq.heappop(queue)
         if node < 0:
-            out.append((i, -1 - node))
-            held += max(1, forest[i].sizes[-1 - node])
+            yield i, -1 - node
             continue
         margin = float(margins[i][node])
         left, right = forest[i].children[node].tolist()
         heapq.heappush(queue, (far + max(0.0, margin) ** 2, i, left))
         heapq.heappush(queue, (far + max(0.0, -margin) ** 2, i, right))
+
+
+def search(forest: list[Tree], vector: np.ndarray, enough: int) -> list[tuple[int, int]]:
+    """(tree, leaf) of the leaves to open, until they hold `enough` sample rows."""
+    out, held = [], 0
+    for tree, leaf in opened(forest, vector):
+        out.append((tree, leaf))
+        held += max(1, forest[tree].sizes[leaf])
+        if held >= enough:
+            break
     return out
 
 
+def enough_for(forest: list[Tree], held_out: np.ndarray, k: int, recall: float, asked: int = 64) -> int:
+    """Sample rows that a search must hold to find this share of the k nearest held-out rows of some held-out rows.
+
+    Rows that trees are grown on lie in their leaves better than others do, so neither those that ask
+    nor those that are found are such. With fewer than k others to find, all leaves are opened.
+    """
+    every = sum(sum(t.sizes) for t in forest)
+    if len(held_out) <= k:
+        return every
+    leaf_of = [t.leaves(held_out) for t in forest]
+    needs = []
+    for i in np.linspace(0, len(held_out) - 1, min(asked, len(held_out))).astype(int).tolist():
+        far = ((held_out - held_out[i]) ** 2).sum(1)
+        far[i] = np.inf
+        near = np.argsort(far, kind="stable")[:k].tolist()
+        wanted: dict[tuple[int, int], list[int]] = {}
+        for tree, leaves in enumerate(leaf_of):
+            for n in near:
+                wanted.setdefault((tree, int(leaves[n])), []).append(n)
+        left, held = set(near), 0
+        for tree, leaf in opened(forest, held_out[i]):
+            held += max(1, forest[tree].sizes[leaf])
+            for n in left.intersection(wanted.get((tree, leaf), ())):
+                needs.append(held)
+                left.discard(n)
+            if not left:
+                break
+    return int(np.quantile(needs, recall, method="higher"))
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """vec_id, v (array of double) of the vectors that take part: not null, not zero, all components finite."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -96,72 +136,112 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0))
 
 
-#: Rows of a leaf that one task ranks at once; larger leaves are split.
-_LEAF_PART = 8192
+#: Rows of a leaf that one group ranks at most (larger leaves are split), and rows in a group on average.
+_LEAF_PART, _GROUP_ROWS = 8192, 4096
+#: Rows of which the driver knows the neighbours, to measure how many leaves a search must open.
+_HELD_OUT = 20_000
+
+
+def _best(queries: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of each query's k nearest different ids."""
+    order = np.lexsort((ids, scores, queries))
+    order = order[np.sort(np.unique(np.stack([queries[order], ids[order]]), axis=1, return_index=True)[1])] if len(order) else order
+    starts = np.flatnonzero(np.diff(queries[order], prepend=np.iinfo(np.int64).min)) if len(order) else order
+    place = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+    return order[place < k]
+
 
+def _ranked(k: int, width: int):
+    """For the rows and the queries of some leaves: each query's k nearest rows."""
 
-def _ranked(k: int):
-    """For the rows and the queries of a leaf: each query's k nearest rows."""
+    def taken(table: pa.Table, name: str):
+        v = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+        leaves, ids = table.column("leaf").to_numpy(), table.column(name).to_numpy()
+        order = np.lexsort((ids, leaves))
+        return leaves[order], ids[order], v[order]
 
     def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64))]
         if rows.num_rows and asked.num_rows:
-            ids, v = rows.column("vec_id").to_numpy(), np.array(rows.column("v").to_pylist(), np.float64)
-            queries, q = asked.column("query_id").to_numpy(), np.array(asked.column("v").to_pylist(), np.float64)
-            step = max(1, (1 << 21) // v.size)
-            for a in range(0, len(q), step):
-                score = np.sqrt(((q[a : a + step, None, :] - v[None]) ** 2).sum(2))
-                score[queries[a : a + step, None] == ids[None]] = np.inf
-                for query, line in zip(queries[a : a + step].tolist(), score, strict=True):
-                    best = np.lexsort((ids, line))[:k]
-                    best = best[np.isfinite(line[best])]
-                    out["query_id"] += [query] * len(best)
-                    out["vec_id"] += ids[best].tolist()
-                    out["score"] += line[best].tolist()
-        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
+            (leaves, ids, v), (open_leaves, queries, q) = taken(rows, "vec_id"), taken(asked, "query_id")
+            for leaf in np.unique(open_leaves).tolist():
+                a, b = np.searchsorted(leaves, [leaf, leaf + 1])
+                if a == b:
+                    continue
+                first, last = np.searchsorted(open_leaves, [leaf, leaf + 1])
+                step, distinct = max(1, (1 << 20) // ((b - a) * width)), bool((ids[a + 1 : b] != ids[a : b - 1]).all())
+                for c in range(first, last, step):
+                    d = min(c + step, last)
+                    with np.errstate(over="ignore"):
+                        score = np.sqrt(((q[c:d, None, :] - v[None, a:b]) ** 2).sum(2))
+                    score[queries[c:d, None] == ids[None, a:b]] = np.nan
+                    # rows stand in order of ids, so a stable sort leaves ties to the smaller; NaN comes last
+                    best = np.argsort(score, axis=1, kind="stable")[:, : k if distinct else b - a]
+                    who, what, far = np.repeat(queries[c:d], best.shape[1]), ids[a:b][best.ravel()], np.take_along_axis(score, best, 1).ravel()
+                    other = ~np.isnan(far)
+                    found.append((who[other], what[other], far[other]))
+        who, what, far = (np.concatenate(x) for x in zip(*found, strict=True))
+        best = _best(who, what, far, k)
+        return pa.table({"query_id": who[best], "vec_id": what[best], "score": far[best]})
 
     return run
 
 
-def nearest(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = 24, sample_rows: int = 20_000, leaf_rows: int = 32, enough: int = 8_000, seed: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = 8, sample_rows: int | None = None, leaf_rows: int = 16, enough: int | None = None, recall: float = 0.96, seed: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, its k nearest found.
 
     score: Euclidean distance in double precision; ties go to the smaller id. A query opens leaves
-    until they hold `enough` rows of the sample, over all trees; a table of at most enough / trees
-    rows is searched whole. sample_rows bounds what the driver holds and the number of leaves (about
-    trees * sample_rows / leaf_rows): raise it with the table. Vectors null, zero, or with null or
+    until they hold `enough` rows of the sample, over all trees; by default as many as find the share
+    `recall` of the neighbours of held-out rows (see enough_for). The driver holds the sample, sample_rows:
+    by default a hundredth of the table, from 20,000 to 200,000, and 20,000 held-out rows; of a small
+    table half is sample, half held out. Vectors null, zero, or with null or
     non-finite components take no part, nor do those of another length than most of the sample.
+    Distances too large for a double are infinite, and come last.
     Rows that repeat an id count once, with their smallest distance. Without usable vectors the
     result is empty.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
-    sample = rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(sample_rows).toPandas()["v"].tolist()
+    total = rows.count()
+    sample_rows = sample_rows or min(200_000, max(20_000, total // 100))
+    sample = rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(sample_rows + _HELD_OUT).toPandas()["v"].tolist()
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width = int(np.bincount([len(x) for x in sample]).argmax())
     taken = np.array([x for x in sample if len(x) == width], np.float64)
-    forest = spark.sparkContext.broadcast([Tree(taken, leaf_rows, seed + i) for i in range(trees)])
+    cut = max(len(taken) - _HELD_OUT, -(-len(taken) // 2))
+    taken, held_out = taken[:cut], taken[cut:]
+    with np.errstate(over="ignore", invalid="ignore"):
+        grown = [Tree(taken, leaf_rows, seed + i) for i in range(trees)]
+        # as dense as they are against the table, the rows held out have this many of the k nearest
+        enough = enough or enough_for(grown, held_out, max(1, round(k * len(held_out) / total)), recall)
+    forest = spark.sparkContext.broadcast((grown, enough))
     rows = rows.filter(F.size("v") == width)
 
     def with_leaves(find):
         def run(batches):
             for batch in batches:
                 v = batch.column(1).flatten().to_numpy().reshape(-1, width)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(find(v), pa.list_(pa.int32()))], ["vec_id", "v", "leaves"])
+                with np.errstate(over="ignore", invalid="ignore"):
+                    leaves = find(v)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaves, pa.list_(pa.int32()))], ["vec_id", "v", "leaves"])
 
         return lambda df: df.mapInArrow(run, "vec_id long, v array<double>, leaves array<int>")
 
-    place = with_leaves(lambda v: list(np.column_stack([t.leaves(v) * trees + i for i, t in enumerate(forest.value)]).astype(np.int32)))
-    ask = with_leaves(lambda v: [[leaf * trees + i for i, leaf in search(forest.value, x, enough)] for x in v])
+    place = with_leaves(lambda v: list(np.column_stack([t.leaves(v) * trees + i for i, t in enumerate(forest.value[0])]).astype(np.int32)))
+    ask = with_leaves(lambda v: [[leaf * trees + i for i, leaf in search(forest.value[0], x, forest.value[1])] for x in v])
     index = place(rows).select("vec_id", F.col("v").cast("array<float>").alias("v") if dict(vectors.dtypes)[vector_col] == "array<float>" else "v", F.explode("leaves").alias("leaf"))
     # the forest bounds the number of leaves
     parts = place(rows).select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count("*") / _LEAF_PART).cast("int").alias("parts"))
     parts = saved(parts, "leaves").filter("parts > 1")
     index = index.join(F.broadcast(parts), "leaf", "left").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    opened = ask(rows.filter(F.pmod("vec_id", F.lit(every)) == 0)).select(F.col("vec_id").alias("query_id"), "v", F.explode("leaves").alias("leaf"))
-    opened = opened.join(F.broadcast(parts), "leaf", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    found = index.groupBy("leaf", "part").cogroup(opened.groupBy("leaf", "part")).applyInArrow(_ranked(k), "query_id long, vec_id long, score double")
+    opened_leaves = ask(rows.filter(F.pmod("vec_id", F.lit(every)) == 0)).select(F.col("vec_id").alias("query_id"), "v", F.explode("leaves").alias("leaf"))
+    opened_leaves = opened_leaves.join(F.broadcast(parts), "leaf", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    # leaves are small, so a group takes some of them
+    leaves = sum(len(t.sizes) for t in grown)
+    some = F.floor(F.col("leaf") / max(1, _GROUP_ROWS * leaves // (total * trees))).cast("int")
+    index, opened_leaves = index.withColumn("some", some), opened_leaves.withColumn("some", some)
+    found = index.groupBy("some", "part").cogroup(opened_leaves.groupBy("some", "part")).applyInArrow(_ranked(k, width), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
