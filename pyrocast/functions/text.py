@@ -18,10 +18,21 @@ QUERY_CLASSES = [
     ("incident+doctrine synthesis", ["what strategy", "what tactics", "containment strategy", "next steps", "what makes sense here", "recommend", "how should", "what approach"]),
     (
         "incident-fact",
-        ["where is the fire going", "where will the fire go", "where will the fire spread", "which direction is the fire moving", "which direction will it spread", "spread direction", "predicted spread"],
+        ["what resources", "assigned resources", "who is the ic", "containment", "weather", "location", "operational period", "what is the fire behavior",
+         "where is the fire going", "where will the fire go", "where will the fire spread", "which direction is the fire moving", "which direction will it spread", "spread direction", "predicted spread"],
     ),
 ]
 UNCLEAR = "unclear / missing data"
+SECTION_HINTS = [
+    ("Weather", ["weather", "wind", "humidity", "forecast"]),
+    ("Resources", ["resources", "assigned", "engines", "crews", "aircraft"]),
+    ("Safety Concerns", ["safety", "risk", "hazard", "watch out", "lces"]),
+    ("Operations Plan", ["strategy", "tactics", "containment", "operations", "plan"]),
+    ("Command Structure", ["command", "ic", "operations section chief", "divs"]),
+    ("Values at Risk", ["values at risk", "structures", "wui", "exposure"]),
+    ("Current Situation", ["fire behavior", "situation", "spread", "current"]),
+]
+SECTION_BONUS, AUTHORITY_BONUS, REPORT_BONUS = 0.35, 0.03, 0.2
 DOMAINS = [
     ("aviation", ["aviation", "helicopter", "airtanker", "retardant", "helispot", "aircraft", "uas"]),
     ("medical", ["medical", "triage", "burn injuries", "cpr", "fatality", "casualty"]),
@@ -88,6 +99,17 @@ def classify(x: Column) -> Column:
     return first_match(x, QUERY_CLASSES, F.lit(UNCLEAR))
 
 
+def hinted_sections(query: Column) -> Column:
+    """Names of the sections that a query hints at."""
+    low = F.lower(query)
+    return F.array_compact(F.array(*[F.when(_any(low, words), F.lit(name)) for name, words in SECTION_HINTS]))
+
+
+def chunk_bonus(authority_rank: Column, source_type: Column) -> Column:
+    """What a chunk gains whatever is asked: by the rank of its authority, and as part of an incident report."""
+    return F.coalesce(authority_rank, F.lit(0)) * AUTHORITY_BONUS + F.when(source_type == "incident_report", REPORT_BONUS).otherwise(0.0)
+
+
 def topic_tags(path: Column, text: Column, domain: Column) -> Column:
     """The domain, then each topic found in path and text that isn't there yet."""
     low = F.lower(F.concat_ws(" ", path, text))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.physics import haversine_km
+from ..session import written
 
 
 def thin(rows: DataFrame, keys: list[str], order: list[str], lat: str, lon: str, at: str, km: float, hours: float) -> DataFrame:
@@ -43,26 +44,44 @@ def limit_rate(rows: DataFrame, key: str, at: str, tie: str, most: int, seconds:
     return zipped.select(key, f"z.__rows.{at}", f"z.__rows.{tie}", F.col("z.__out.allowed").alias("allowed"), F.col("z.__out.retry").alias("retry_after"))
 
 
-def accept_far(rows: DataFrame, tile: list[str], order: str, lat: str, lon: str, at: str, km: float, days: int) -> DataFrame:
-    """Rows kept greedily in order: those without a kept row within km whose floor of days apart is below `days`.
+def accept_far(rows: DataFrame, order: str, lat: str, lon: str, at: str, km: float, days: int, degrees: float = 5.0) -> DataFrame:
+    """Rows kept greedily: those without a kept row within km whose floor of days apart is below `days`.
 
-    Runs in each tile by itself; tiles should be wide against km, as pairs across an edge aren't seen.
+    Tiles of so many degrees (wider than km) are dealt to four passes like the squares of a board, so that
+    no two of a pass touch. A pass takes its tiles' rows in order, and knows what earlier passes kept in the
+    tiles around. No two kept rows are near, and each row that isn't kept is near one.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
+        pdf = pdf.sort_values(["__kept", order], ascending=[False, True], kind="stable")
         la, lo = np.radians(pdf[lat].to_numpy(float)), np.radians(pdf[lon].to_numpy(float))
         t = pdf[at].to_numpy("datetime64[s]").astype(np.int64)
-        kept: list[int] = []
-        for i in range(len(pdf)):
-            k = np.array(kept, int)
+        known = int(pdf["__kept"].sum())
+        kept, n = np.empty(len(pdf), np.int64), known
+        kept[:known] = np.arange(known)
+        for i in range(known, len(pdf)):
+            k = kept[:n]
             a = np.sin((la[k] - la[i]) / 2) ** 2 + np.cos(la[i]) * np.cos(la[k]) * np.sin((lo[k] - lo[i]) / 2) ** 2
             near = 2 * 6371.0088 * np.arcsin(np.sqrt(np.minimum(1, a))) <= km
             if not (near & (np.abs((t[i] - t[k]) // 86400) < days)).any():
-                kept.append(i)
-        return pdf.iloc[kept]
-
-    return rows.groupBy(*tile).applyInPandas(run, rows.schema)
+                kept[n], n = i, n + 1
+        return pdf.iloc[kept[known:n]]
+
+    tile = lambda c: F.floor(F.col(c) / degrees)
+    fields = rows.columns
+    rows = rows.filter(f"{lat} IS NOT NULL AND {lon} IS NOT NULL AND {at} IS NOT NULL").withColumns({"__y": tile(lat), "__x": tile(lon), "__kept": F.lit(False)})
+    passes = F.pmod("__y", F.lit(2)) * 2 + F.pmod("__x", F.lit(2))
+    accepted = None
+    for i in range(4):
+        mine = rows.filter(passes == i)
+        if accepted is not None:
+            around = accepted
+            for c in ("__y", "__x"):
+                around = around.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
+            mine = mine.unionByName(around.withColumn("__kept", F.lit(True)).filter(passes == i))
+        now = written(mine.groupBy("__y", "__x").applyInPandas(run, mine.schema))
+        accepted = now if accepted is None else accepted.unionByName(now)
+    return accepted.select(*fields)
 
 
 def pack(parts: str, most: int, joiner: str) -> Column:

@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import SECTION_BONUS, tokens
+from ..session import written
 
 K1, B = 1.5, 0.75
 #: Query vectors that are broadcast at a time.
@@ -37,18 +38,21 @@ def terms(posted: DataFrame, n_docs: int) -> DataFrame:
 def bm25(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id: str, query: str) -> DataFrame:
     """query_id, doc_id, score for each pair with a common term; a term that a query repeats counts again.
 
-    Only postings of the queries' terms are kept: the terms are joined before documents are counted
-    up, and their table is as small as the queries.
+    Texts are read once: a document's asked terms, and a null term that carries its length, are counted
+    and written to the shared folder; postings, lengths and their mean come from there.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    size = lengths(docs, doc_id, text)
-    stats = size.agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("avg_len"))
-    wanted = docs.select(F.col(doc_id).alias("doc_id"), F.explode(tokens(F.col(text))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    posted = wanted.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    split = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("t"))
+    all_terms = split.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("t"))).alias("term"))
+    known = asked.select("term").distinct().withColumn("asked", F.lit(True))
+    kept = all_terms.join(known, "term", "left").filter("asked OR term IS NULL")
+    posted = written(kept.groupBy("term", "doc_id", "n_tokens").agg(F.count("*").alias("tf")))
+    stats = posted.filter("term IS NULL").agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("n_tokens") * F.col("tf")) / F.sum("tf")).alias("avg_len"))
+    posted = posted.filter("term IS NOT NULL")
     counted = posted.groupBy("term").agg(F.count("*").alias("df"))
     weight = idf(F.col("n_docs"), F.col("df")) * F.col("times") * F.col("tf") * (K1 + 1)
     norm = F.col("tf") + K1 * (1 - B + B * F.greatest("n_tokens", F.lit(1)) / F.greatest("avg_len", F.lit(1.0)))
-    joined = posted.join(asked, "term").join(counted, "term").join(size, "doc_id").crossJoin(F.broadcast(stats))  # one row
+    joined = posted.join(asked, "term").join(counted, "term").crossJoin(F.broadcast(stats))  # one row
     return joined.groupBy("query_id", "doc_id").agg(F.sum(weight / norm).alias("score"))
 
 
@@ -62,7 +66,7 @@ def dense_top(vectors: DataFrame, vec_id: str, vector: str, queries: DataFrame,
     """query_id, doc_id, score: the k largest dot products of each query (query_id, vector), itself left out.
 
     Queries are broadcast in blocks of QUERY_BLOCK; each task keeps the best k of its rows for each
-    query, and only those are shuffled.
+    query, and only those are shuffled. Scores are rounded before they are ranked; ties go to the smaller id.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(vec_id).cast("long").alias("doc_id"), F.col(vector).cast("array<double>").alias("v"))
@@ -79,9 +83,11 @@ def dense_top(vectors: DataFrame, vec_id: str, vector: str, queries: DataFrame,
             ids, q = sent.value
             for pdf in batches:
                 if len(pdf):
-                    docs, scores = pdf["doc_id"].to_numpy(), q @ np.array(pdf["v"].tolist(), np.float64).T
+                    pdf = pdf.sort_values("doc_id")
+                    docs, scores = pdf["doc_id"].to_numpy(), _rounded(q @ np.array(pdf["v"].tolist(), np.float64).T, 6)
                     scores[ids[:, None] == docs[None]] = -np.inf
-                    best = np.argsort(-scores, axis=1, kind="stable")[:, : k + 5]
+                    # a stable sort of rows in order of ids leaves ties to the smaller
+                    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
                     out = pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "doc_id": docs[best.ravel()], "score": np.take_along_axis(scores, best, 1).ravel()})
                     yield out[np.isfinite(out["score"])]
 
@@ -113,13 +119,15 @@ def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
     return np.copysign(np.floor(np.abs(x) * 10.0**digits + 0.5) / 10.0**digits, x)
 
 
-def hybrid_top(vectors: DataFrame, vec_id: str, vector: str, queries: DataFrame, keyword: DataFrame, k: int, n_docs: int, n_queries: int) -> DataFrame:
-    """query_id, doc_id, score: dense + keyword / 4 of every pair, cut to the k best of a query above 0 only after both are added.
+def hybrid_top(chunks: DataFrame, queries: DataFrame, keyword: DataFrame, k: int, n_docs: int, n_queries: int) -> DataFrame:
+    """query_id, doc_id, score: dense + keyword / 4 + bonuses of every pair, cut to the k best of a query above 0 only after all are added.
 
-    queries: (query_id, vector); keyword: all (query_id, doc_id, score). A pair's dense part, rounded
-    to 6 digits, is 0 where either has no vector and for a row and itself. n_docs, n_queries: about
-    how many there are; both are dealt by hash into blocks of ROW_BLOCK and QUERY_BLOCK, and each pair
-    of blocks gives its k best for each query, ties to the smaller id, which top() then ranks.
+    chunks: doc_id, vector, and bonus and section where there are such (chunk_bonus); queries: query_id,
+    vector, and sections (hinted_sections) where there are bonuses; keyword: all (query_id, doc_id, score). A pair's dense part,
+    rounded to 6 digits, is 0 where either has no vector and for a row and itself; a pair gains SECTION_BONUS
+    where the query hints at the chunk's section. n_docs, n_queries: about how many there are; both are
+    dealt by hash into blocks of ROW_BLOCK and QUERY_BLOCK, and each pair of blocks gives its k best for
+    each query, ties to the smaller id, which top() then ranks.
     """
     rows, asked = max(1, -(-n_docs // ROW_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
 
@@ -129,22 +137,31 @@ def hybrid_top(vectors: DataFrame, vec_id: str, vector: str, queries: DataFrame,
     def everywhere(n):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    docs = vectors.select(F.lit(False).alias("asked"), F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    docs = docs.dropna().withColumn("q", everywhere(asked)).withColumn("d", block("id", rows))
-    sought = queries.select(F.lit(True).alias("asked"), F.col("query_id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("v"))
-    sought = sought.dropna().withColumn("q", block("id", asked)).withColumn("d", everywhere(rows))
+    def told(df, name, kind):
+        return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
+
+    vector = F.col("vector").cast("array<double>").alias("v")
+    docs = chunks.select(F.lit(False).alias("asked"), F.col("doc_id").cast("long").alias("id"), vector, told(chunks, "bonus", "double").alias("bonus"), F.array(told(chunks, "section", "string")).alias("sections"))
+    docs = docs.filter("id IS NOT NULL").withColumn("q", everywhere(asked)).withColumn("d", block("id", rows))
+    sought = queries.select(F.lit(True).alias("asked"), F.col("query_id").cast("long").alias("id"), vector, F.lit(0.0).alias("bonus"), told(queries, "sections", "array<string>").alias("sections"))
+    sought = sought.filter("id IS NOT NULL").withColumn("q", block("id", asked)).withColumn("d", everywhere(rows))
     pairs = keyword.select(F.col("query_id").cast("long"), F.col("doc_id").cast("long"), "score").withColumn("q", block("query_id", asked)).withColumn("d", block("doc_id", rows))
 
     def sides(have, pairs, mine):
-        """Ids with a vector, then those that only keywords know, and the vectors."""
+        """Ids, those with a vector first and those that only keywords know last; the vectors; bonuses and sections of the ids that are had."""
         own = have[have["asked"] == mine]
+        has_vector = own["v"].notna().to_numpy()
+        own = own.iloc[np.argsort(~has_vector, kind="stable")]
         ids = own["id"].to_numpy(np.int64)
-        return np.concatenate([ids, np.setdiff1d(pairs["query_id" if mine else "doc_id"].to_numpy(np.int64), ids)]), own["v"].tolist()
+        others = np.setdiff1d(pairs["query_id" if mine else "doc_id"].to_numpy(np.int64), ids)
+        none = [()] * len(others)
+        sections = [*[() if x is None else x for x in own["sections"]], *none]
+        return np.concatenate([ids, others]), own["v"].tolist()[: has_vector.sum()], np.append(own["bonus"].fillna(0.0).to_numpy(float), np.zeros(len(others))), sections
 
     def cell(have, pairs):
         import pandas as pd
 
-        (qs, qv), (ds, dv) = sides(have, pairs, True), sides(have, pairs, False)
+        (qs, qv, _, asked_for), (ds, dv, bonus, section) = sides(have, pairs, True), sides(have, pairs, False)
         score = np.zeros((len(qs), len(ds)))
         if qv and dv:
             score[: len(qv), : len(dv)] = _rounded(np.array(qv, np.float64) @ np.array(dv, np.float64).T, 6)
@@ -152,7 +169,11 @@ def hybrid_top(vectors: DataFrame, vec_id: str, vector: str, queries: DataFrame,
         (q, at_q), (d, at_d) = np.unique(qs, return_inverse=True), np.unique(ds, return_inverse=True)
         words = np.zeros((len(q), len(d)))
         words[np.searchsorted(q, pairs["query_id"]), np.searchsorted(d, pairs["doc_id"])] = pairs["score"]
-        score = _rounded(score + 0.25 * words[at_q][:, at_d], 8)
+        number = {name: i for i, name in enumerate(sorted({x for one in section for x in one if x is not None}))}
+        of, hints = np.array([number.get(one[0], -1) if len(one) else -1 for one in section], int), np.zeros((len(qs), len(number) + 1))
+        for i, names in enumerate(asked_for):
+            hints[i, [number[x] for x in names if x in number]] = SECTION_BONUS
+        score = _rounded(score + 0.25 * words[at_q][:, at_d] + hints[:, of] + bonus[None], 8)
         order = np.argsort(ds, kind="stable")
         score, ds = score[:, order], ds[order]
         best = np.argsort(-score, axis=1, kind="stable")[:, :k]

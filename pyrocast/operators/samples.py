@@ -58,9 +58,9 @@ def positives(incidents: DataFrame, ring=None, s: Settings = Settings(), degrees
 
 
 def _spaced(rows: DataFrame, s: Settings, degrees: float) -> DataFrame:
-    """Rows that are far in place or time from those accepted before them, by tile."""
-    order = _tiled(rows.withColumn("order", F.xxhash64("lat", "lon", "at")), degrees)
-    return folds.accept_far(order, ["tile_y", "tile_x"], "order", "lat", "lon", "at", s.spacing_km, s.spacing_days).select(*rows.columns)
+    """Rows that are far in place or time from those accepted before them."""
+    order = rows.withColumn("order", F.xxhash64("lat", "lon", "at"))
+    return folds.accept_far(order, "order", "lat", "lon", "at", s.spacing_km, s.spacing_days, degrees).select(*rows.columns)
 
 
 def _prefixed(rows: DataFrame) -> DataFrame:
@@ -68,11 +68,20 @@ def _prefixed(rows: DataFrame) -> DataFrame:
 
 
 def far_negatives(spark: SparkSession, yes: DataFrame, ring=None, s: Settings = Settings(), draws: int | None = None, degrees: float = 5.0) -> DataFrame:
-    """Random places and days at least far_km from every positive: the first far_count of the draws that pass."""
+    """Random places and days at least far_km from every positive: the first far_count of the draws that pass.
+
+    Where too few pass, four times as many are drawn, up to four times; fewer still is an error.
+    """
     (lat, lon), days = (P.BBOX["lat"], P.BBOX["lon"]), (spark.sql(f"SELECT datediff('{s.end}', '{s.start}')").first()[0])
-    points = random_points(spark, draws or 20 * s.far_count, s.seed, lat, lon, s.start, days).withColumn("at", F.col("day").cast("timestamp"))
-    free = spatial.within(points.filter(_inside(ring)), _prefixed(yes), s.far_km, how="left_anti")
-    return _spaced(free.select("id", "lat", "lon", "at"), s, degrees).orderBy("id").limit(s.far_count).drop("id")
+    draws = draws or 20 * s.far_count
+    for _ in range(5):
+        points = random_points(spark, draws, s.seed, lat, lon, s.start, days).withColumn("at", F.col("day").cast("timestamp"))
+        free = spatial.within(points.filter(_inside(ring)), _prefixed(yes), s.far_km, how="left_anti")
+        found = _spaced(free.select("id", "lat", "lon", "at"), s, degrees)
+        if found.count() >= s.far_count:
+            return found.orderBy("id").limit(s.far_count).drop("id")
+        draws *= 4
+    raise ValueError(f"of {draws // 4} places too few are {s.far_km} km from all positives")
 
 
 def near_negatives(yes: DataFrame, ring=None, s: Settings = Settings(), parity: bool = False, degrees: float = 5.0) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.physics import haversine_km
+from ..session import written
 
 _KM_PER_DEGREE = 111.19
 
@@ -17,35 +18,57 @@ def grid_index(value: Column, start: float, step: float, size: int) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(size - 1), F.ceil((value - start) / step - 0.5))).cast("int")
 
 
-def _tiles(rows: DataFrame, lat: str, lon: str, degrees: float, ring: int, most_lat: float) -> DataFrame:
-    """rows once for each tile within `ring` of their own; tiles are wider in longitude, by most_lat."""
-    wide = degrees / math.cos(math.radians(min(most_lat, 89.0)))
-    t = rows.withColumn("__y", F.floor(F.col(lat) / degrees)).withColumn("__x", F.floor(F.col(lon) / wide))
-    if ring:
-        span = F.sequence(F.lit(-ring), F.lit(ring))
-        t = t.withColumn("__i", F.explode(span)).withColumn("__j", F.explode(span))
-        t = t.withColumn("__y", F.col("__y") + F.col("__i")).withColumn("__x", F.col("__x") + F.col("__j")).drop("__i", "__j")
-    return t
+def _across(y: Column, degrees: float) -> Column:
+    """Tiles around the globe in a band of latitude: none is narrower than what two rows at most so far apart may span, in this band or the next."""
+    most = F.least(F.lit(90.0), F.greatest(F.abs(y - 1), F.abs(y + 2)) * degrees)
+    span = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(math.radians(min(degrees, 90.0)))) / F.greatest(F.cos(F.radians(most)), F.lit(1e-12)))))
+    return F.when(most + degrees >= 90, F.lit(1.0)).otherwise(F.greatest(F.lit(1.0), F.floor(360 / (span * 1.0001)).cast("double")))
 
 
-def within(left: DataFrame, right: DataFrame, km: float, most_lat: float = 50.0, residual: Column | None = None, how: str = "inner") -> DataFrame:
+def _tiles(rows: DataFrame, lat: str, lon: str, degrees: float, around: bool) -> DataFrame:
+    """rows with their tile (__y, __x), or once for each tile next to it; tiles meet at the date line."""
+    y = F.floor(F.col(lat) / degrees)
+    t = rows.withColumn("__y", F.explode(F.array(y - 1, y, y + 1)) if around else y)
+    n = _across(F.col("__y"), degrees)
+    x = F.floor((F.col(lon) + 180) / 360 * n)
+    near = F.explode(F.array_distinct(F.array(*[F.pmod(x + i, n.cast("long")) for i in (-1, 0, 1)])))
+    return t.withColumn("__x", near if around else F.pmod(x, n.cast("long")))
+
+
+def within(left: DataFrame, right: DataFrame, km: float, residual: Column | None = None, how: str = "inner") -> DataFrame:
     """Join of rows at most km apart; both sides have lat and lon, the right one prefixed r_.
 
-    Tiles are at least km wide up to most_lat degrees, so partners lie in the same or the next tile:
-    an equi-join on tiles with the distance as its residual, inner, left_semi or left_anti. Only the
-    left side is repeated (nine times) for an inner join, only the right one for the others.
+    Tiles are as wide as partners may be apart at their latitude, so these lie in the same or the next
+    tile, over the date line and the poles too: an equi-join on tiles with the distance as its residual,
+    inner, left_semi or left_anti. Only the left side is repeated (nine times at most) for an inner join,
+    only the right one for the others.
     """
     degrees = km / _KM_PER_DEGREE * 1.001
     inner = how == "inner"
-    a = _tiles(left, "lat", "lon", degrees, 1 if inner else 0, most_lat)
-    b = _tiles(right, "r_lat", "r_lon", degrees, 0 if inner else 1, most_lat).withColumnRenamed("__x", "__rx").withColumnRenamed("__y", "__ry")
+    a = _tiles(left, "lat", "lon", degrees, inner)
+    b = _tiles(right, "r_lat", "r_lon", degrees, not inner).withColumnRenamed("__x", "__rx").withColumnRenamed("__y", "__ry")
     near = F.expr(haversine_km("lat", "lon", "r_lat", "r_lon")) <= km
     near = near & residual if residual is not None else near
     return a.join(b, (F.col("__x") == F.col("__rx")) & (F.col("__y") == F.col("__ry")) & near, how).drop("__x", "__y", "__rx", "__ry")
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, km: float, most_lat: float = 50.0) -> DataFrame:
-    """left_id, right_id, distance to the nearest right row within km; no row where there is none."""
-    pairs = within(left, right, km, most_lat).withColumn("d", F.expr(haversine_km("lat", "lon", "r_lat", "r_lon")))
-    best = pairs.groupBy(left_id).agg(F.min(F.struct("d", right_id)).alias("b"))
-    return best.select(left_id, F.col(f"b.{right_id}").alias(right_id), F.col("b.d").alias("distance_km"))
+def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, km: float) -> DataFrame:
+    """left_id, right_id, distance to the nearest right row, at any distance; ties go to the smaller right_id.
+
+    km: where most rows have a partner. Rows that have none there look in rings three times as wide, until
+    all have one. Rows without a place have no partner; without right rows the result is empty.
+    """
+    right = right.filter("r_lat IS NOT NULL AND r_lon IS NOT NULL")
+    left = left.filter("lat IS NOT NULL AND lon IS NOT NULL")
+    found = None
+    while True:
+        pairs = within(left, right, km).withColumn("d", F.expr(haversine_km("lat", "lon", "r_lat", "r_lon")))
+        best = pairs.groupBy(left_id).agg(F.min(F.struct("d", right_id)).alias("b"))
+        best = written(best.select(left_id, F.col(f"b.{right_id}").alias(right_id), F.col("b.d").alias("distance_km")))
+        found = best if found is None else found.unionByName(best)
+        if km >= 6371.0088 * math.pi:
+            return found
+        left = written(left.join(best, left_id, "left_anti"))
+        if left.isEmpty() or right.isEmpty():
+            return found
+        km *= 3

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def calendar(keys: DataFrame, start: Column, end: Column) -> DataFrame:
     """keys with a row for each day from start to end."""
@@ -67,17 +69,24 @@ def sequences(rows: DataFrame, key: list[str], order: list[str], features: list[
 def stratified_split(rows: DataFrame, label: str, order: list[Column], parts: list[tuple[str, float]]) -> DataFrame:
     """rows with `split`: of each label the first share in the given order, the next, and so on; the last takes the rest.
 
-    Positions of a label come from a window; labels are few and large, so give an order that is cheap
-    to sort.
+    Rows are dealt to ranges of label and order, counted by range, and numbered inside their range, so
+    that no task sees all rows of a label.
     """
-    w = Window.partitionBy(label)
-    rows = rows.withColumn("__i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__n", F.count("*").over(w))
+    named = rows.withColumns({f"__o{i}": c for i, c in enumerate(order)})
+    by = [f"__o{i}" for i in range(len(order))]
+    ranged = written(named.repartitionByRange(label, *by).withColumn("__r", F.spark_partition_id()))
+    counts = ranged.groupBy(label, "__r").agg(F.count("*").alias("__k"))
+    of_label = Window.partitionBy(label)
+    counts = counts.withColumn("__n", F.sum("__k").over(of_label)).withColumn("__before", F.sum("__k").over(of_label.orderBy("__r")) - F.col("__k"))
+    counts = counts.select(F.col(label).alias("__l"), F.col("__r").alias("__c"), "__n", "__before")
+    placed = ranged.withColumn("__i", F.row_number().over(Window.partitionBy(label, "__r").orderBy(*by)) - 1)
+    placed = placed.join(counts, F.col(label).eqNullSafe(F.col("__l")) & (F.col("__r") == F.col("__c")))
     edge, out = 0.0, None
     for name, share in parts[:-1]:
         edge += share
-        test = F.col("__i") < F.floor(F.col("__n") * edge + 1e-9)
+        test = F.col("__before") + F.col("__i") < F.floor(F.col("__n") * edge + 1e-9)
         out = F.when(test, name) if out is None else out.when(test, name)
-    return rows.withColumn("split", out.otherwise(parts[-1][0])).drop("__i", "__n")
+    return placed.withColumn("split", out.otherwise(parts[-1][0])).select(*rows.columns, "split")
 
 
 def latest_before(rows: DataFrame, key: str, at: str, tie: str, value: str, is_source: Column, out: str) -> DataFrame:

@@ -43,24 +43,31 @@ def dense_topk(spark, sf):
     return R.top(_dense(spark, sf, 5), 5)
 
 
-def hybrid_topk(spark, sf):
-    """The keyword scores of benchmark items and the dense scores of the vectors with their ids.
-
-    As its SQL has it, only the 50 best of the ones and the 20 best of the others are added up; hybrid_whole adds all.
-    """
+def _pairs(spark, sf):
+    """Vectors as chunks, and items with the vector of their id as queries."""
     vectors, items = table(spark, sf, "embeddings"), table(spark, sf, "benchmark")
-    asked = items.join(vectors, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vector"))
-    keyword = R.top(_bm25(spark, sf), 50).drop("rank")
-    dense = R.top(R.dense_top(vectors, "vec_id", "embedding", asked, 20), 20).drop("rank")
-    return R.top(R.hybrid(dense, keyword).withColumn("score", F.round("score", 8)), K)
+    vectors = vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    asked = items.select(F.col("item_id").alias("query_id"), "text").join(vectors.withColumnRenamed("doc_id", "query_id"), "query_id", "left")
+    return vectors, asked, items.count()
+
+
+def hybrid_topk(spark, sf):
+    """The keyword scores of benchmark items and the dense scores of the vectors with their ids, added for every pair before the only cut, to the K best."""
+    chunks, asked, n = _pairs(spark, sf)
+    n_docs = max(chunks.count(), table(spark, sf, "documents").count())
+    return R.top(R.hybrid_top(chunks, asked.drop("text"), _bm25(spark, sf), K, n_docs, n), K)
 
 
 def hybrid_whole(spark, sf):
-    """hybrid_topk with both scores of every pair added before the only cut, to the K best."""
-    vectors, items = table(spark, sf, "embeddings"), table(spark, sf, "benchmark")
-    asked = items.join(vectors, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vector"))
-    n_docs = max(vectors.count(), table(spark, sf, "documents").count())
-    return R.top(R.hybrid_top(vectors, "vec_id", "embedding", asked, _bm25(spark, sf), K, n_docs, items.count()), K)
+    """hybrid_topk with bonuses: each id of a document or vector is a chunk with a stand-in for its section, authority and source."""
+    chunks, asked, n = _pairs(spark, sf)
+    chunks = chunks.join(table(spark, sf, "documents").select("doc_id"), "doc_id", "full")
+    names = F.array(*[F.lit(name) for name, _ in T.SECTION_HINTS])
+    section = F.get(names, F.pmod("doc_id", F.lit(9)).cast("int"))
+    kind = F.when(F.pmod("doc_id", F.lit(11)) == 0, "incident_report").otherwise("doctrine")
+    chunks = chunks.withColumn("section", section).withColumn("bonus", T.chunk_bonus(F.pmod("doc_id", F.lit(5)), kind))
+    asked = asked.withColumn("sections", T.hinted_sections(F.col("text")))
+    return R.top(R.hybrid_top(chunks, asked, _bm25(spark, sf), K, chunks.count(), n), K)
 
 
 def fact_overlap(spark, sf):
@@ -73,10 +80,10 @@ def _ranked(spark, sf):
 
 
 def _relevant(spark, sf):
-    """Stand-in: documents of good quality whose id has the parity of the item's."""
+    """Stand-in: documents of good quality whose id has the item's remainder by 97."""
     good = table(spark, sf, "labels").filter("quality = 1").select("doc_id")
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"))
-    return good.withColumn("p", F.pmod("doc_id", F.lit(2))).join(items.withColumn("p", F.pmod("query_id", F.lit(2))), "p").drop("p")
+    return good.withColumn("p", F.pmod("doc_id", F.lit(97))).join(items.withColumn("p", F.pmod("query_id", F.lit(97))), "p").drop("p")
 
 
 def retrieval_metrics(spark, sf):
@@ -117,7 +124,7 @@ _DENSE = """
 dense AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
   FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE {})"""
 _METRICS = f"""WITH {_CTES},
-relevant AS (SELECT item_id AS query_id, doc_id FROM labels, benchmark WHERE quality = 1 AND doc_id % 2 = item_id % 2),
+relevant AS (SELECT item_id AS query_id, doc_id FROM labels, benchmark WHERE quality = 1 AND doc_id % 97 = item_id % 97),
 each AS (SELECT r.query_id, count(*) AS retrieved, count(v.doc_id) AS found, min(rank) FILTER (v.doc_id IS NOT NULL) AS first
   FROM ranked r LEFT JOIN relevant v ON r.query_id = v.query_id AND r.doc_id = v.doc_id WHERE rank <= 10 GROUP BY ALL),
 m AS (SELECT query_id, round(found / greatest(retrieved, 1), 4) AS precision_at_k, round(found / greatest(n, 1), 4) AS recall_at_k,
@@ -133,14 +140,21 @@ SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM (SELE
     "dense_topk": f"""WITH {_DENSE.format("a.vec_id % 50 = 0")}
 SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM dense QUALIFY rank <= 5""",
     "hybrid_topk": f"""WITH {_CTES}, {_DENSE.format("a.vec_id IN (SELECT item_id FROM benchmark)")},
-best AS (SELECT * FROM dense QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 20),
-both_parts AS (SELECT query_id, doc_id, round(coalesce(b.score, 0.0) + 0.25::DOUBLE * coalesce(k.score, 0.0), 8) AS score, coalesce(b.score, 0.0) + 0.25 * coalesce(k.score, 0.0) AS raw
-  FROM best b FULL JOIN (SELECT * FROM ranked WHERE rank <= 50) k USING (query_id, doc_id))
-SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM both_parts WHERE raw > 0 QUALIFY rank <= 10""",
-    "hybrid_whole": f"""WITH {_CTES}, {_DENSE.format("a.vec_id IN (SELECT item_id FROM benchmark)")},
 both_parts AS (SELECT query_id, doc_id, round(coalesce(b.score, 0.0) + 0.25::DOUBLE * coalesce(k.score, 0.0), 8) AS score, coalesce(b.score, 0.0) + 0.25 * coalesce(k.score, 0.0) AS raw
   FROM dense b FULL JOIN scored k USING (query_id, doc_id))
 SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM both_parts WHERE raw > 0 QUALIFY rank <= 10""",
+    "hybrid_whole": f"""WITH {_CTES}, {_DENSE.format("a.vec_id IN (SELECT item_id FROM benchmark)")},
+c AS (SELECT doc_id, ['Weather', 'Resources', 'Safety Concerns', 'Operations Plan', 'Command Structure', 'Values at Risk', 'Current Situation'][doc_id % 9 + 1] AS section,
+    doc_id % 5 * 0.03::DOUBLE + CASE WHEN doc_id % 11 = 0 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END AS bonus
+  FROM (SELECT doc_id FROM documents UNION SELECT vec_id FROM embeddings)),
+h AS (SELECT * FROM (VALUES ('Weather', 'weather|wind|humidity|forecast'), ('Resources', 'resources|assigned|engines|crews|aircraft'), ('Safety Concerns', 'safety|risk|hazard|watch out|lces'),
+  ('Operations Plan', 'strategy|tactics|containment|operations|plan'), ('Command Structure', 'command|ic|operations section chief|divs'),
+  ('Values at Risk', 'values at risk|structures|wui|exposure'), ('Current Situation', 'fire behavior|situation|spread|current')) v(section, words)),
+s AS (SELECT item_id AS query_id, section FROM benchmark, h WHERE regexp_matches(lower(text), words)),
+both_parts AS (SELECT i.item_id AS query_id, c.doc_id, round(coalesce(b.score, 0.0) + 0.25::DOUBLE * coalesce(k.score, 0.0) + CASE WHEN s.section IS NULL THEN 0.0::DOUBLE ELSE 0.35::DOUBLE END + bonus, 8) AS score
+  FROM benchmark i CROSS JOIN c LEFT JOIN dense b ON b.query_id = i.item_id AND b.doc_id = c.doc_id LEFT JOIN scored k ON k.query_id = i.item_id AND k.doc_id = c.doc_id
+  LEFT JOIN s ON s.query_id = i.item_id AND s.section = c.section)
+SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM both_parts WHERE score > 0 QUALIFY rank <= 10""",
     "fact_overlap": f"""WITH q AS (SELECT DISTINCT conv_id * 1000 + turn AS query_id, unnest({_TOKENS.format("text")}) AS term FROM conversations WHERE role = 'user'),
 f AS (SELECT DISTINCT item_id AS fact_id, unnest({_TOKENS.format("text")}) AS term FROM benchmark),
 o AS (SELECT query_id, fact_id, count(*) AS overlap FROM q JOIN f USING (term) GROUP BY ALL)

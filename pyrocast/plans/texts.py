@@ -104,7 +104,13 @@ _INJECTION = T.INJECTION.replace("'", "''")
 QUERIES = {f.__name__: f for f in (text_metrics, classify_query, topic_tags, sanitize_lines, slugs, heading_lines, pack_chunks, conversation_tail, compaction, compact_text, judge_parse, export_html)}
 SQL = {
     "text_metrics": r"SELECT doc_id, length(x) AS chars, len(regexp_extract_all(x, '[^\s]+')) AS words, len(string_split(x, chr(10))) AS lines FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents)",
-    "classify_query": f"SELECT p_partkey, {_sql_first('q', T.QUERY_CLASSES, repr(T.UNCLEAR))} AS query_class FROM {_ASK}",
+    "classify_query": f"""SELECT p_partkey, CASE
+WHEN regexp_matches(q, 'watch out situations|what does doctrine|what does irpg|what is lces|what are the standard fire orders|according to nwcg') THEN 'doctrine'
+WHEN regexp_matches(q, 'risk|safety|hazard|east flank|escape route|safety zone|watch out|urgent') THEN 'safety-critical'
+WHEN regexp_matches(q, 'what strategy|what tactics|containment strategy|next steps|what makes sense here|recommend|how should|what approach') THEN 'incident+doctrine synthesis'
+WHEN regexp_matches(q, 'what resources|assigned resources|who is the ic|containment|weather|location|operational period|what is the fire behavior|where is the fire going|where will the fire go') THEN 'incident-fact'
+WHEN regexp_matches(q, 'where will the fire spread|which direction is the fire moving|which direction will it spread|spread direction|predicted spread') THEN 'incident-fact'
+ELSE 'unclear / missing data' END AS query_class FROM {_ASK}""",
     "topic_tags": f"""WITH d AS (SELECT p_partkey, q, {_sql_first('q', T.DOMAINS, "'general'")} AS domain FROM {_ASK}),
 t AS (SELECT p_partkey, domain, list_filter([{_TAGS}], lambda x: x IS NOT NULL AND x <> domain) AS found FROM d)
 SELECT p_partkey, domain, array_to_string(list_prepend(domain, found), '|') AS tags FROM t""",

@@ -21,7 +21,7 @@ def test_samples(spark, incidents):
     s = samples.Settings(far_count=40)
     yes = samples.positives(incidents, RING, s).cache()
     assert 100 < yes.count() <= 150
-    far = samples.far_negatives(spark, yes, RING, s, draws=3000)
+    far = samples.far_negatives(spark, yes, RING, s, draws=60)
     assert far.count() == 40
     assert far.crossJoin(yes.select(F.col("lat").alias("b"), F.col("lon").alias("c"))).filter(F.expr(haversine_km("lat", "lon", "b", "c")) < 100).count() == 0
     near, years = samples.near_negatives(yes, RING, s), samples.year_negatives(yes, s)
