@@ -5,7 +5,8 @@ logarithms of text length and punctuation a node are taken, so that no long bloc
 the two ratios are smoothed along the page, fused with those before smoothing, and paths above a share
 of the page's median hold the content. Being in an article or main part doubles a path's value.
 Elements that by name, role or class are menus, headers, footers, sidebars, notices, adverts, forms or
-comments never count, but a name alone skips nothing that holds the page's article or main part.
+comments never count, but a name alone skips nothing that holds the page's article or main part, and
+inside that part fewer names do. A page is read in time and memory linear in its length.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_REST = re.compile(r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _OPEN = re.compile(r"</?[a-zA-Z][^<]*$")
 _ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _RAW = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp")}
@@ -27,12 +29,10 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
 _SKIP = set("script style textarea title noscript iframe xmp head nav footer aside form button select option datalist template svg canvas object audio video menu dialog fieldset input".split())
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "alertdialog", "form", "menu", "menubar", "toolbar"}
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|notification|newsletter|subscribe|subscription|popup|overlay|modal|sidebar|side|"
-    r"rail|menu|nav\w*|breadcrumbs?|footer|foot|header|masthead|topbar|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|reply|replies|respond|discussion|widget|toolbar|"
-    r"pagination|pager|login|signup|signin|search|copyright|legal|disclaimer|skip)(?:$|[\s_-])",
-    re.IGNORECASE,
-)
+_STRONG = r"ads?|adv|advert\w*|adsense|promo\w*|sponsor\w*|cookies?|consent|gdpr|newsletter|subscribe|subscription|popup|overlay|modal|sidebar|nav\w*|breadcrumbs?|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|widget|toolbar|pagination|pager|login|signup|signin"
+_WEAK = r"banner|notices?|notification|side|rail|menu|footer|foot|header|masthead|topbar|reply|replies|respond|discussion|search|copyright|legal|disclaimer|skip"
+#: Names of elements that are no content: inside the main part, and elsewhere.
+_INSIDE, _NAMES = (re.compile(rf"(?:^|[\s_-])(?:{x})(?:$|[\s_-])", re.IGNORECASE) for x in (_STRONG, f"{_STRONG}|{_WEAK}"))
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: What an opening tag closes, up to the nearest of the second set.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -42,101 +42,158 @@ _PUNCTUATION = re.compile(r"[.,;:!?…、。，？！]")
 class _Block:
     __slots__ = ("path", "leaf", "main", "parts", "linked")
 
-    def __init__(self, path: str, leaf: str, main: bool):
+    def __init__(self, path: int, leaf: str, main: bool):
         self.path, self.leaf, self.main, self.parts, self.linked = path, leaf, main, [], 0
 
 
-def blocks(page: str) -> list[_Block]:
-    """Blocks of text outside skipped elements, in page order.
+class _Open:
+    """An open element: its path and the block element nearest to it, what holds of its text, and the innermost named element around it."""
 
-    Whether an element that is skipped by its name holds the main part is known only at its end, so
-    text in such elements is held with their numbers until then.
+    __slots__ = ("tag", "path", "leaf", "skipped", "main", "linked", "named")
+
+    def __init__(self, tag: str, path: int, leaf: str, skipped: bool, main: bool, linked: bool, named: int):
+        self.tag, self.path, self.leaf, self.skipped, self.main, self.linked, self.named = tag, path, leaf, skipped, main, linked, named
+
+
+def _tokens(page: str):
+    """(start, end, name, closing, attributes) of each tag, and of what is no text with an empty name; behind the last > there are comments alone.
+
+    Attributes end at the first > outside quotes; once quotes stay open to the end of the page, at any >.
+    """
+    at, last, quotes = 0, page.rfind(">"), True
+    while (at := page.find("<", at)) >= 0:
+        if at > last and (at := page.find("<!--", at)) < 0:
+            break
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, "", False, ""
+        elif page[at + 1 : at + 2] in ("!", "?"):
+            end = page.index(">", at) + 1
+            yield at, end, "", False, ""
+        elif m := _TAG.match(page, at):
+            rest = _REST.match(page, m.end()) if quotes else None
+            quotes = rest is not None
+            end = rest.end() if rest else page.index(">", m.end()) + 1
+            sent = yield at, end, m[1].lower(), page[at + 1] == "/", page[m.end() : end - 1]
+            end = sent or end
+        else:
+            end = at + 1
+        at = end
+
+
+def blocks(page: str) -> tuple[list[_Block], list[int]]:
+    """Blocks of text outside skipped elements, in page order, and the parent of each path.
+
+    A path is a number: that of its parent and its last step. Whether an element that is skipped by its
+    name holds the main part is known only at its end, so text in such elements is held until then.
     """
     out: list[_Block] = []
-    stack: list[tuple[str, str, bool, bool, tuple[int, ...]]] = []  # tag, its step of the path, skipped, in the main part, named elements around
-    n_named, holds = 0, set()
+    paths, parents = {}, [0]
+    outer, holds = [0], set()  # the named element around each named one; those that hold the main part
+    stack = [_Open("", 0, "", False, False, False, 0)]
+    counts: dict[str, int] = defaultdict(int)
     now: _Block | None = None
-    at = 0
+    done = 0
 
     def text(raw: str) -> None:
         nonlocal now
-        if stack and stack[-1][2]:
+        top = stack[-1]
+        if top.skipped:
             return
         if now is None:
             if not raw.strip():
                 return
-            steps = [x[1] for x in stack if x[0] not in _INLINE]
-            leaf = next((x[0] for x in reversed(stack) if x[0] not in _INLINE), "")
-            now = _Block("/".join(steps), leaf, bool(stack) and stack[-1][3])
+            now = _Block(top.path, top.leaf, top.main)
             out.append(now)
-        now.parts.append((raw, stack[-1][4] if stack else (), any(x[0] == "a" for x in stack)))
+        now.parts.append((raw, top.named, top.linked))
 
-    while at < len(page):
-        m = _TOKEN.search(page, at)
-        if m is None:
-            text(_OPEN.sub("", page[at:]))  # a tag that never ends is no text
+    def close(i: int) -> None:
+        for x in stack[i:]:
+            counts[x.tag] -= 1
+        del stack[i:]
+
+    found = _tokens(page)
+    jump = None
+    while True:
+        try:
+            start, end, tag, closing, told = found.send(jump)
+        except StopIteration:
             break
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        jump = None
+        if start > done:
+            text(page[done:start])
+        done = end
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            if any(x[0] == tag for x in stack):
-                while stack.pop()[0] != tag:
-                    pass
+        if closing:
+            if counts[tag] > 0:
+                i = len(stack) - 1
+                while stack[i].tag != tag:
+                    i -= 1
+                close(i)
             if tag not in _INLINE:
                 now = None
             continue
         if tag == "br":
             if now is not None:
-                now.parts.append((" ", (), False))
+                now.parts.append((" ", 0, False))
             continue
         if tag not in _INLINE:
             now = None
             if tag in _CLOSES:
                 ends, bound = _CLOSES[tag]
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in bound:
-                        break
-                    if stack[i][0] in ends:
-                        del stack[i:]
+                if any(counts[x] > 0 for x in ends):
+                    for i in range(len(stack) - 1, 0, -1):
+                        if stack[i].tag in bound:
+                            break
+                        if stack[i].tag in ends:
+                            close(i)
+                            break
+            elif counts["p"] > 0:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == "p":
+                        close(i)
                         break
-            else:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        del stack[i:]
-                        break
-                    if stack[i][0] not in _INLINE and stack[i][0] not in _HEADINGS:
+                    if stack[i].tag not in _INLINE and stack[i].tag not in _HEADINGS:
                         break
         if tag in _VOID:
             continue
-        attrs = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTR.findall(m[3])} if "=" in m[3] else {}
-        above = stack[-1] if stack else ("", "", False, False, ())
-        named = above[4]
-        main = above[3] or tag in ("article", "main") or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody"
-        skipped = above[2] or tag in _SKIP or attrs.get("role") in _ROLES or attrs.get("aria-hidden") == "true" or bool(re.search(r"(?:^|\s)hidden(?:$|[\s=/])", m[3]))
-        skipped = skipped or "display:none" in attrs.get("style", "").replace(" ", "") or tag == "header" and not above[3]
+        attrs = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTR.findall(told)} if "=" in told else {}
+        above = stack[-1]
+        named = above.named
+        main = above.main or tag in ("article", "main") or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody"
+        skipped = above.skipped or tag in _SKIP or attrs.get("role") in _ROLES or attrs.get("aria-hidden") == "true" or bool(re.search(r"(?:^|\s)hidden(?:$|[\s=/])", told))
+        skipped = skipped or "display:none" in attrs.get("style", "").replace(" ", "") or tag == "header" and not above.main
         name = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-        if not skipped and name != " " and _NAMES.search(name):
+        if not skipped and name != " " and (_INSIDE if above.main else _NAMES).search(name):
             if tag not in ("html", "body", "article", "main"):
-                n_named += 1
-                named = (*named, n_named)
-        elif main and not above[3] and not skipped:
-            holds.update(named)
-        if not m[3].rstrip().endswith("/") or tag in _INLINE or tag in _RAW:
-            step = f"{tag}.{attrs['class'].split()[0]}" if attrs.get("class", "").strip() else tag
-            stack.append((tag, step, skipped, main, named))
+                outer.append(named)
+                named = len(outer) - 1
+        elif main and not above.main and not skipped:
+            held = named
+            while held and held not in holds:
+                holds.add(held)
+                held = outer[held]
         if tag in _RAW:
-            end = _RAW[tag].search(page, at)
-            if stack and stack[-1][0] == tag:
-                stack.pop()
-            at = end.end() if end else len(page)
+            over = _RAW[tag].search(page, end)
+            done = jump = over.end() if over else len(page)
+        elif not told.rstrip().endswith("/") or tag in _INLINE:
+            path, leaf = above.path, above.leaf
+            if tag not in _INLINE:
+                step = f"{tag}.{attrs['class'].split()[0]}" if attrs.get("class", "").strip() else tag
+                path, leaf = paths.setdefault((above.path, step), len(parents)), tag
+                if path == len(parents):
+                    parents.append(above.path)
+            stack.append(_Open(tag, path, leaf, skipped, main, above.linked or tag == "a", named))
+            counts[tag] += 1
+    if done < len(page):
+        text(_OPEN.sub("", page[done:]))  # a tag that never ends is no text
     for b in out:
-        kept = [(raw, linked) for raw, around, linked in b.parts if holds.issuperset(around)]
+        # an element that holds the main part is held by such ones alone
+        kept = [(raw, linked) for raw, around, linked in b.parts if not around or around in holds]
         b.parts, b.linked = [raw for raw, _ in kept], sum(len(raw.strip()) for raw, linked in kept if linked)
-    return out
+    return out, parents
 
 
 def _smooth(values: list[float]) -> list[float]:
@@ -152,7 +209,8 @@ def _smooth(values: list[float]) -> list[float]:
 def main_text(page: str | None, threshold: float = 0.2) -> str:
     """The article's blocks, joined by \\n; white space in a block is one space. Empty if there is none."""
     nodes = []
-    for b in blocks(page or ""):
+    found, parent = blocks(page or "")
+    for b in found:
         joined = " ".join(html.unescape("".join(b.parts)).split())
         if joined:
             nodes.append((b, joined))
@@ -168,7 +226,7 @@ def main_text(page: str | None, threshold: float = 0.2) -> str:
     marks = {p: log1p(punctuation[p] / count[p]) for p in count}
     by_length = _smooth([lengths[b.path] for b, _ in nodes])
     by_marks = _smooth([marks[b.path] for b, _ in nodes])
-    fused: dict[str, float] = defaultdict(float)
+    fused: dict[int, float] = defaultdict(float)
     for (b, _), x, y in zip(nodes, by_length, by_marks, strict=True):
         fused[b.path] += ((lengths[b.path] + marks[b.path]) * (x + y)) ** 0.5 / count[b.path]
     links = {p for p in fused if linked[p] > 0.5 * length[p]}
@@ -181,8 +239,8 @@ def main_text(page: str | None, threshold: float = 0.2) -> str:
             break
     inside = {b.path for b, _ in nodes if b.main}
     content = {p for v, p in order if v * (2 if p in inside else 1) >= threshold * middle}
-    parents = {p.rpartition("/")[0] for p in content}
-    kept = [t for b, t in nodes if b.path in content or (b.leaf in _HEADINGS and b.path.rpartition("/")[0] in parents)]
+    parents = {parent[p] for p in content}
+    kept = [t for b, t in nodes if b.path in content or (b.leaf in _HEADINGS and parent[b.path] in parents)]
     return "\n".join(kept)
 
 
