@@ -15,6 +15,7 @@ from .common import saved, shared_folder
 
 #: Bytes of text and rows in a bucket on average; a permutation takes time by the square of the rows.
 BUCKET_BYTES, BUCKET_ROWS = 4 << 20, 1024
+_BLOCK_BUCKETS = 4096
 
 
 def _random(seed: int, *cols: str) -> Column:
@@ -51,6 +52,15 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return rows.join(many, "__h", "left_anti").withColumn("__copy", F.lit(1)).unionByName(counted)
 
 
+def _started(sizes: DataFrame) -> DataFrame:
+    """__bucket, __n with __start, the rows in all buckets before; sums go by blocks of buckets, then inside each."""
+    sizes = sizes.withColumn("__block", F.floor(F.col("__bucket") / _BLOCK_BUCKETS))
+    blocks = sizes.groupBy("__block").agg(F.sum("__n").alias("__m"))
+    blocks = blocks.select("__block", (F.sum("__m").over(Window.orderBy("__block")) - F.col("__m")).alias("__before"))
+    inside = F.sum("__n").over(Window.partitionBy("__block").orderBy("__bucket")) - F.col("__n")
+    return sizes.join(blocks, "__block").select("__bucket", "__n", (F.col("__before") + inside).alias("__start"))
+
+
 def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = 23, bucket_rows: int = BUCKET_ROWS, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> None:
     """docs, with shard and slot, as Parquet partitioned by shard, in order of slot inside each file.
 
@@ -64,7 +74,7 @@ def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = 23, b
     buckets = max(1, -(-total["n"] // bucket_rows), -(-total["bytes"] // bucket_bytes))
     placed = _numbered(docs).withColumn("__bucket", F.pmod(_random(seed, "__h", "__copy"), F.lit(buckets)).cast("int"))
     sizes = placed.groupBy("__bucket").agg(F.count("*").alias("__n"))
-    sizes = saved(sizes.withColumn("__start", F.sum("__n").over(Window.orderBy("__bucket")) - F.col("__n")), "buckets")
+    sizes = _started(saved(sizes, "buckets"))
     # as many tasks as hold some buckets each; permutations are drawn where the records are
     tasks = max(1, -(-total["bytes"] // (8 * bucket_bytes)))
     dealt = sizes.repartition(tasks, "__bucket").select("__bucket", "__start", fisher_yates("__n", f"xxhash64({seed + 2}, __bucket, i)").alias("__at"))

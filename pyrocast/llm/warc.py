@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import io
 import struct
+import uuid
 
 import pyarrow as pa
 import zstandard
@@ -128,7 +129,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
         held, size = [], 0
 
         def flush():
-            info = record("warcinfo", [("WARC-Record-ID", "<urn:page:info>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
+            info = record("warcinfo", [("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
             path = written(folder, "pages", ".warc.zst", archive([info, *held]))
             return pa.RecordBatch.from_pydict({"path": [path], "n_records": pa.array([len(held)], pa.int64())})
 
