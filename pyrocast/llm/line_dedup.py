@@ -3,7 +3,8 @@
 A first pass keeps, for each document, 16-byte digests of its distinct line keys. Two filters over
 all digests, once-seen and twice-seen, are merged from those of the tasks; the second one is
 broadcast (its size is bounded, see filter_bits). Lines that it holds are suspected repeats: their
-digests are shuffled, confirmed to stand in two documents, and give the smallest document.
+digests are shuffled, confirmed to stand in two documents, and give the smallest document. Texts move
+only where a filter of ids, bounded too, says that they may lose lines.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_bits, has, positions, saved, twice_filter
+from .common import any_filter, filter_bits, has, positions, saved, twice_filter
 
+#: Keys with at least so many suspected lines are hot, and at most so many keys are.
+_HOT_ROWS, _HOT_KEYS = 1000, 4096
 _SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
@@ -61,25 +64,31 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     suspects = saved(lines.mapInArrow(suspect, "doc_id long, key binary"), "suspects")
     firsts = (
         suspects.groupBy("key")
-        .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("lost"))
+        .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("lost"), F.count("*").alias("n"))
         .filter((F.col("first") != F.col("last")) | (F.col("lost") & F.col("first").isNotNull()))
-        .select("key", "first")
+        .select("key", "first", "n")
     )
-    return suspects.join(firsts, "key").filter(~F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("doc_id").agg(F.collect_set("key").alias("drops"))
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
-    """docs with text_col replaced, and the columns n_lines and n_dropped.
+    firsts = saved(firsts, "firsts")
+    # lines of hot keys stay where they are: their firsts, a bounded number, are sent to them
+    hot = F.col("n") >= max(_HOT_ROWS, suspects.count() // _HOT_KEYS)
+    told = suspects.join(F.broadcast(firsts.filter(hot).select("key", F.col("first").alias("__hot"))), "key", "left")
+    known = told.filter("__hot IS NOT NULL").withColumnRenamed("__hot", "first")
+    asked = told.filter("__hot IS NULL").drop("__hot").join(firsts.filter(~hot).drop("n"), "key")
+    gone = known.unionByName(asked).filter(~F.col("doc_id").eqNullSafe(F.col("first")))
+    return gone.groupBy("doc_id").agg(F.collect_set("key").alias("drops"))
+
+
+def _kept(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """docs with the column __kept (text, n_lines, n_dropped)."""
+    drops = saved(repeated_lines(docs, id_col, text_col, min_chars).select(F.col("doc_id").alias("__id"), F.col("drops").alias("__drops")), "drops")
+    bits = filter_bits(drops.count())
+    may = docs.sparkSession.sparkContext.broadcast(any_filter(drops.select(F.xxhash64("__id").alias("h")), bits))
+
+    @F.pandas_udf("boolean")
+    def may_lose(hashes):
+        import pandas as pd
 
-    Lines stand between \\n. Keys (line_key) of at least min_chars code points that stand in two or
-    more documents lose all their lines except those in the smallest id that holds them; other lines
-    stay, joined by \\n. Null and empty texts are one empty line; a text that loses nothing stays as
-    it is. Rows with one id count as one document and lose the same keys. Other columns pass
-    through; columns named n_lines or n_dropped are replaced. An empty table gives an empty table.
-    """
-    docs = docs.drop("n_lines", "n_dropped")
-    drops = repeated_lines(docs, id_col, text_col, min_chars).select(F.col("doc_id").alias("__id"), F.col("drops").alias("__drops"))
-    joined = docs.join(drops, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left").drop("__id")
+        return pd.Series(has(may.value, hashes.to_numpy() & (bits - 1)))
 
     @F.pandas_udf("text string, n_lines long, n_dropped long")
     def kept(texts, drops):
@@ -95,8 +104,36 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out.append((text if len(stay) == len(lines) else b"\n".join(stay).decode(), len(lines), len(lines) - len(stay)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
 
-    done = joined.withColumn("__kept", kept(F.col(text_col), F.col("__drops")))
-    return done.select(*[F.col("__kept.text").alias(c) if c == text_col else F.col(c) for c in docs.columns], "__kept.n_lines", "__kept.n_dropped")
+    ids = F.col(id_col).cast("long")
+    rows = docs.withColumn("__may", may_lose(F.xxhash64(ids)))
+    lines = F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).cast("long")
+    whole = rows.filter("NOT __may").drop("__may").withColumn("__kept", F.struct(F.col(text_col).alias("text"), lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")))
+    joined = rows.filter("__may").drop("__may").join(drops, ids.eqNullSafe(F.col("__id")), "left").drop("__id")
+    return whole.unionByName(joined.withColumn("__kept", kept(F.col(text_col), F.col("__drops"))).drop("__drops"))
+
+
+def _replaced(done: DataFrame, columns: list[str], text_col: str) -> list:
+    return [F.col("__kept.text").alias(c) if c == text_col else F.col(c) for c in columns]
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
+    """docs with text_col replaced, and the columns n_lines and n_dropped.
+
+    Lines stand between \\n. Keys (line_key) of at least min_chars code points that stand in two or
+    more documents lose all their lines except those in the smallest id that holds them; other lines
+    stay, joined by \\n. Null and empty texts are one empty line; a text that loses nothing stays as
+    it is. Rows with one id count as one document and lose the same keys. Other columns pass
+    through; columns named n_lines or n_dropped are replaced. An empty table gives an empty table.
+    """
+    docs = docs.drop("n_lines", "n_dropped")
+    done = _kept(docs, id_col, text_col, min_chars)
+    return done.select(*_replaced(done, docs.columns, text_col), "__kept.n_lines", "__kept.n_dropped")
+
+
+def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
+    """docs with text_col replaced as by dedup_lines, and its own columns alone, whatever their names."""
+    done = _kept(docs, id_col, text_col, min_chars)
+    return done.select(*_replaced(done, docs.columns, text_col))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
