@@ -16,6 +16,26 @@ FUELS = {
     "forest": (1716, 0.04878, 0.0459, 0.2, 0.1),
     "forest_supp": (1500, 0.02224, 0.689, 0.25, 0.5),
 }
+# Vegetation classes of the land-cover map, in the same order of figures; what can't burn has none.
+VEGETATION = {
+    "grasslands": (2100, 0.00306, 0.294, 0.15, 3.0),
+    "closed_shrublands": (1672, 0.01198, 0.239, 0.3, 1.2),
+    "open_shrublands": (1500, 0.01, 0.2, 0.3, 1.0),
+    "evergreen_needleleaf": (1716, 0.04878, 0.0459, 0.2, 0.1),
+    "deciduous_needleleaf": (1650, 0.045, 0.04, 0.2, 0.1),
+    "evergreen_broadleaf": (1500, 0.035, 0.06, 0.25, 0.12),
+    "deciduous_broadleaf": (1400, 0.03, 0.05, 0.25, 0.1),
+    "mixed_forest": (1608, 0.042, 0.05295, 0.22, 0.11),
+    "woody_savannas": (1400, 0.008, 0.18, 0.3, 0.8),
+    "savannas": (1450, 0.0085, 0.17, 0.25, 0.7),
+    "croplands": (1200, 0.015, 0.2, 0.3, 0.5),
+    "cropland_mosaic": (1300, 0.012, 0.18, 0.25, 0.6),
+    "permanent_wetlands": (800, 0.007, 0.12, 0.5, 0.5),
+    "barren": (600, 0.002, 0.01, 0.1, 0.05),
+    "urban_built": None,
+    "snow_ice": None,
+    "water": None,
+}
 COMPASS = ["N", "NNE", "NE", "ENE", "E", "ESE", "SE", "SSE", "S", "SSW", "SW", "WSW", "W", "WNW", "NW", "NNW"]
 
 
@@ -44,6 +64,17 @@ def offset_point(lat: str, lon: str, km: str, bearing: str) -> tuple[str, str]:
     return new_lat, new_lon
 
 
+def km_box(lat: str, lon: str, width_km: str, height_km: str) -> dict[str, str]:
+    """south, north, west and east of a box around a point, by 111 km a degree."""
+    w, h = f"(({width_km}) / (111.0e0 * cos(radians({lat}))) / 2)", f"(({height_km}) / 111.0e0 / 2)"
+    return {"south": f"(({lat}) - {h})", "north": f"(({lat}) + {h})", "west": f"(({lon}) - {w})", "east": f"(({lon}) + {w})"}
+
+
+def height_of(high: str, low: str, most: str) -> str:
+    """Height of a pixel whose 16 bits are in two bytes, where all ones stand for `most`."""
+    return f"((({high}) * 256 + ({low})) / 65535.0e0 * ({most}))"
+
+
 def in_bbox(lat: str, lon: str) -> str:
     (a, b), (c, d) = BBOX["lat"], BBOX["lon"]
     return f"(({lat}) BETWEEN {a} AND {b} AND ({lon}) BETWEEN {c} AND {d})"

@@ -56,6 +56,7 @@ TOPICS = [
     ("preparedness", ["preparedness", "pre-position", "mobilization", "readiness"]),
     ("suppression", ["suppression", "direct attack", "indirect attack", "fireline"]),
 ]
+NO_HEADINGS = ["table of contents", "this page intentionally left blank.", "this page left intentionally blank.", "acknowledgments", "appendix", "glossary/acronyms"]
 DASHES = "‐‑‒–—−"
 
 
@@ -131,18 +132,33 @@ def clean_heading(x: Column) -> Column:
 _CAPS = r"^[A-Z][A-Z0-9/&(),'\- ]+$"
 
 
-def is_heading(x: Column) -> Column:
-    """Short, without a bullet or final punctuation, and a chapter, in capitals, or in title case."""
-    t = clean_heading(x)
+def is_heading(t: Column) -> Column:
+    """Whether a line cleaned by clean_heading is short, without a bullet or final punctuation, and a chapter, in capitals, or in title case."""
     words = F.size(F.split(t, r"\s+"))
     titled = F.filter(F.split(t, r"[\s/]+"), lambda w: F.rlike(w, F.lit(r"\p{L}")))
     title_case = (F.size(titled) > 0) & F.forall(F.slice(titled, 1, 10), lambda w: F.rlike(w, F.lit(r"^\p{Lu}")))
-    fits = (F.length(t) > 0) & (F.length(t) <= 130) & (words <= 18) & ~F.rlike(t, F.lit(r"^[•\-*]")) & ~F.rlike(t, F.lit(r"[.!?;]$"))
+    fits = (F.length(t) > 0) & (F.length(t) <= 130) & (words <= 18) & ~F.rlike(t, F.lit(r"^[•\-*]")) & ~F.rlike(t, F.lit(r"[.!?;]$")) & ~F.lower(t).isin(NO_HEADINGS)
     return fits & (F.rlike(t, F.lit(r"(?i)^(chapter|unit)\s+\d+")) | (F.rlike(t, F.lit(_CAPS)) & (words <= 14)) | title_case)
 
 
-def heading_level(x: Column) -> Column:
-    t = clean_heading(x)
+def is_contents(page: Column) -> Column:
+    """Whether a page is a table of contents."""
+    low = F.lower(page)
+    return F.contains(low, F.lit("table of contents")) & (F.regexp_count(low, F.lit("chapter")) + F.regexp_count(low, F.lit("unit")) >= 2)
+
+
+def first_text(*texts: Column) -> Column:
+    """The first of the texts that isn't empty, with single spaces; empty if none is."""
+    return F.coalesce(*[F.when(F.length(x) > 0, squeeze(x)) for x in texts], F.lit(""))
+
+
+def incident_id(name: Column, at: Column) -> Column:
+    """The slug of a name and the date (UTC) of a time."""
+    return F.concat(slug(name), F.lit("_"), F.date_format(at, "yyyy_MM_dd"))
+
+
+def heading_level(t: Column) -> Column:
+    """1 to 3, of a line cleaned by clean_heading."""
     top = F.rlike(t, F.lit(r"(?i)^(chapter|unit)\s+\d+")) | F.rlike(t, F.lit(_CAPS))
     return F.when(top, 1).when(F.size(F.split(t, r"\s+")) <= 6, 2).otherwise(3)
 

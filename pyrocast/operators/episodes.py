@@ -28,6 +28,24 @@ def running(rows: DataFrame, key: str, step: str, value: str, window: int = 100)
     return rows.withColumn("cumulative", total).withColumn("rolling", F.avg(value).over(order.rowsBetween(-(window - 1), 0)))
 
 
+def gained(rows: DataFrame, key: str, step: str, total: str) -> DataFrame:
+    """before: the total of the step before (0 at first); gained: what came since."""
+    rows = rows.withColumn("before", F.lag(total, 1, 0).over(Window.partitionBy(key).orderBy(step)))
+    return rows.withColumn("gained", F.col(total) - F.col("before"))
+
+
+def running_share(rows: DataFrame, keys: list[str], order: list[str], hit) -> DataFrame:
+    """hits: how often `hit` held up to each row of a key; share: that of all rows of the key."""
+    w = Window.partitionBy(*keys)
+    rows = rows.withColumn("hits", F.sum(hit.cast("long")).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.withColumn("share", F.col("hits") / F.count("*").over(w))
+
+
+def averages(episodes: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: the number of episodes, and the mean of each column as avg_<column>."""
+    return episodes.agg(F.count("*").alias("episodes"), *[F.avg(c).alias(f"avg_{c}") for c in columns])
+
+
 def statistics(rows: DataFrame, key: str, step: str, burning: str, burnt: str) -> DataFrame:
     """Of each episode: steps, last burnt, most burning and the first step where it stood (0 if never above 0)."""
     peak = F.min(F.struct((-F.col(burning)).alias("n"), F.col(step).alias("s")))

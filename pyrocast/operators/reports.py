@@ -15,6 +15,11 @@ def lines(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
     return rows.withColumn("text", F.trim("text")).filter("text <> ''")
 
 
+def body_pages(pages: DataFrame, page: str, text: str, start: Column) -> DataFrame:
+    """Pages from the start page of their document on that aren't tables of contents."""
+    return pages.filter((F.col(page) >= start) & ~T.is_contents(F.col(text)))
+
+
 def canonical(x: Column) -> Column:
     """A heading without leading numerals and trailing colons, in lower case."""
     return F.lower(F.rtrim(F.regexp_replace(T.squeeze(x), r"^[0-9IVXivx.\-() ]+", ""), F.lit(":")))
@@ -49,7 +54,7 @@ def sections(rows: DataFrame, doc: str, aliases: dict[str, list[str]], default:
 
 def heading_paths(rows: DataFrame, doc: str) -> DataFrame:
     """lines with level (of headings) and path: the last heading of each level that no higher one has closed."""
-    level = F.when(T.is_heading(F.col("text")), T.heading_level(F.col("text")))
+    level = F.when(T.is_heading(T.clean_heading(F.col("text"))), T.heading_level(T.clean_heading(F.col("text"))))
     rows = rows.withColumn("level", level).withColumn("heading", F.when(F.col("level").isNotNull(), T.clean_heading(F.col("text"))))
     keys = [doc]
     for depth in (1, 2, 3):

@@ -193,6 +193,34 @@ def merge_context(*lists: DataFrame, keys: list[str]) -> DataFrame:
     return union.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
 
 
+def routed(queries: DataFrame, facts: DataFrame, incident: DataFrame, doctrine: DataFrame, keys: list[str]) -> DataFrame:
+    """The context of each query by its class: lists that its class asks for, merged in this order.
+
+    queries: query_id, query_class, has_profile; lists: query_id, keys, rank. Questions on the incident take
+    its facts and chunks, those on doctrine its chunks, synthesis and safety all three. Unclear ones take
+    all with the two best of doctrine where there is a profile, else doctrine alone.
+    """
+    c, known = F.col("query_class"), F.coalesce(F.col("has_profile"), F.lit(False))
+    whole = c.isin("incident+doctrine synthesis", "safety-critical")
+    unclear = ~whole & ~c.isin("incident-fact", "doctrine")
+    of_incident = (c == "incident-fact") | whole | (unclear & known)
+    of_doctrine = (c == "doctrine") | whole | (unclear & (~known | (F.col("rank") <= 2)))
+    told = queries.select("query_id", "query_class", "has_profile")
+    lists = [rows.join(told, "query_id").filter(test).drop("query_class", "has_profile") for rows, test in ((facts, of_incident), (incident, of_incident), (doctrine, of_doctrine))]
+    return merge_context(*lists, keys=["query_id", *keys])
+
+
+def unit(vector: Column) -> Column:
+    """The vector by its length; the zero vector stays."""
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.transform(vector, lambda x: x.cast("double") / F.coalesce(F.nullif(norm, F.lit(0.0)), F.lit(1.0)))
+
+
+def with_vectors(chunks: DataFrame, vectors: DataFrame, chunk_id: str) -> DataFrame:
+    """Chunks with their vectors by id, not by place; those without one stay out."""
+    return chunks.join(vectors, chunk_id)
+
+
 def fact_overlap(queries: DataFrame, facts: DataFrame, k: int = 5) -> DataFrame:
     """query_id, fact_id, overlap, rank: facts by distinct terms in common; both sides (id, text)."""
     q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))

@@ -114,6 +114,11 @@ def year_negatives(yes: DataFrame, s: Settings = Settings(), degrees: float = 5.
     return _spaced(moved.join(yes, ["lat", "lon", "at"], "left_anti").select("lat", "lon", "at"), s, degrees)
 
 
+def counted(samples: DataFrame, kind: str) -> DataFrame:
+    """How many samples there are of each kind, and of all (kind null)."""
+    return samples.rollup(kind).agg(F.count("*").alias("n"))
+
+
 def coordinates(spark: SparkSession, incidents: DataFrame, ring=None, s: Settings = Settings()) -> DataFrame:
     """latitude, longitude, datetime, Wildfire: positives and negatives; of equal places and times the first class stays."""
     yes = positives(incidents, ring, s)

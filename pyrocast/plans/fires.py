@@ -57,14 +57,15 @@ def hourly_points(spark, sf):
 
 
 def burn_rate(spark, sf):
-    """Spread rates between two cells for each part: fuel, wind, slope and moisture by its key."""
-    fuels = F.array(*[F.struct(F.lit(n).alias("fuel"), *[F.lit(float(v)).alias(k) for k, v in zip(("sav", "beta", "load", "mx", "depth"), P.FUELS[n], strict=True)]) for n in P.FUELS])
+    """Spread rates between two cells for each part: fuel, wind, slope and moisture by its key; what can't burn has rate 0."""
+    names = ("sav", "beta", "load", "mx", "depth")
+    fuels = F.array(*[F.struct(F.lit(n).alias("fuel"), *[F.lit(v).cast("double").alias(k) for k, v in zip(names, told or [None] * 5, strict=True)]) for n, told in P.VEGETATION.items()])
     key = F.col("p_partkey")
-    rows = table(spark, sf, "part").select("p_partkey", F.element_at(fuels, (F.pmod(key, F.lit(4)) + 1).cast("int")).alias("f"))
+    rows = table(spark, sf, "part").select("p_partkey", F.element_at(fuels, (F.pmod(key, F.lit(len(P.VEGETATION))) + 1).cast("int")).alias("f"))
     rows = rows.select("p_partkey", "f.*").withColumns(
         {"dx": F.pmod(key, F.lit(5)) - 2.0, "dy": F.pmod(key * 3, F.lit(4)) - 1.5, "dz": F.pmod(key, F.lit(41)) - 20.0, "moisture": 0.03 + F.pmod(key, F.lit(7)) / 100, "cell_size": F.lit(100.0), "wind": 1.0 + F.pmod(key, F.lit(20)), "wind_dir": F.pmod(key * 31, F.lit(360)).cast("double")}
     )
-    return fire.spread_rate(rows).select("p_partkey", "fuel", F.round("spread_rate", 3).alias("spread_rate"))
+    return fire.spread_rate(rows).select("p_partkey", "fuel", F.round(F.coalesce("spread_rate", F.lit(0.0)), 3).alias("spread_rate"))
 
 
 def _grid(spark, sf):
@@ -110,13 +111,18 @@ _STEPS = "steps AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t
 
 def _spread_sql() -> str:
     """Nested selects, one for each of the spread columns."""
-    values = ", ".join(f"({i}, '{n}', {', '.join(f'{float(v)}::DOUBLE' for v in P.FUELS[n])})" for i, n in enumerate(P.FUELS))
-    inner = f"""(SELECT p_partkey, fuel, sav, beta, load, mx, depth, p_partkey % 5 - 2.0::DOUBLE AS dx, p_partkey * 3 % 4 - 1.5::DOUBLE AS dy, p_partkey % 41 - 20.0::DOUBLE AS dz,
+    values = """(0, 'grasslands', 2100, 0.00306, 0.294, 0.15, 3.0), (1, 'closed_shrublands', 1672, 0.01198, 0.239, 0.3, 1.2), (2, 'open_shrublands', 1500, 0.01, 0.2, 0.3, 1.0),
+      (3, 'evergreen_needleleaf', 1716, 0.04878, 0.0459, 0.2, 0.1), (4, 'deciduous_needleleaf', 1650, 0.045, 0.04, 0.2, 0.1), (5, 'evergreen_broadleaf', 1500, 0.035, 0.06, 0.25, 0.12),
+      (6, 'deciduous_broadleaf', 1400, 0.03, 0.05, 0.25, 0.1), (7, 'mixed_forest', 1608, 0.042, 0.05295, 0.22, 0.11), (8, 'woody_savannas', 1400, 0.008, 0.18, 0.3, 0.8),
+      (9, 'savannas', 1450, 0.0085, 0.17, 0.25, 0.7), (10, 'croplands', 1200, 0.015, 0.2, 0.3, 0.5), (11, 'cropland_mosaic', 1300, 0.012, 0.18, 0.25, 0.6),
+      (12, 'permanent_wetlands', 800, 0.007, 0.12, 0.5, 0.5), (13, 'barren', 600, 0.002, 0.01, 0.1, 0.05), (14, 'urban_built', NULL, NULL, NULL, NULL, NULL),
+      (15, 'snow_ice', NULL, NULL, NULL, NULL, NULL), (16, 'water', NULL, NULL, NULL, NULL, NULL)"""
+    inner = f"""(SELECT p_partkey, fuel, sav::DOUBLE AS sav, beta::DOUBLE AS beta, load::DOUBLE AS load, mx::DOUBLE AS mx, depth::DOUBLE AS depth, p_partkey % 5 - 2.0::DOUBLE AS dx, p_partkey * 3 % 4 - 1.5::DOUBLE AS dy, p_partkey % 41 - 20.0::DOUBLE AS dz,
       0.03::DOUBLE + (p_partkey % 7) / 100 AS moisture, 100.0::DOUBLE AS cell_size, 1.0::DOUBLE + p_partkey % 20 AS wind, CAST(p_partkey * 31 % 360 AS DOUBLE) AS wind_dir
-      FROM part JOIN (VALUES {values}) f(k, fuel, sav, beta, load, mx, depth) ON k = p_partkey % 4)"""
+      FROM part JOIN (VALUES {values}) f(k, fuel, sav, beta, load, mx, depth) ON k = p_partkey % 17)"""
     for name, expression in P.spread_columns():
         inner = f"(SELECT *, {expression} AS {name} FROM {inner})"
-    return f"SELECT p_partkey, fuel, round(spread_rate, 3) AS spread_rate FROM {inner}"
+    return f"SELECT p_partkey, fuel, round(coalesce(spread_rate, 0), 3) AS spread_rate FROM {inner}"
 
 
 QUERIES = {

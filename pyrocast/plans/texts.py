@@ -55,9 +55,13 @@ def slugs(spark, sf):
 
 
 def heading_lines(spark, sf):
-    """Lines of documents by whether they read as headings, and their level."""
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t")).filter(T.is_heading(F.col("t")))
-    return lines.select("doc_id", "line", T.heading_level(F.col("t")).cast("int").alias("level"), T.clean_heading(F.col("t")).alias("heading"))
+    """Lines of documents that read as headings, and their level; most texts get some lines before them. Lines are cleaned once, before they become rows."""
+    k = F.col("doc_id")
+    made = F.concat_ws("\n", F.concat(F.lit("Chapter "), F.pmod(k, F.lit(12)).cast("string"), F.lit(" Fire  Safety ..... 12")), F.lit("LOOKOUTS/COMMUNICATIONS (LCES) 3-14"), F.lit("Table of Contents"), F.lit("• Bullet Line"), F.lit("Escape Routes And Safety Zones xiv"), F.lit("Ends Here."), "text")
+    x = F.when(F.pmod(k, F.lit(4)) == 0, F.col("text")).otherwise(made)
+    cleaned = F.transform(F.split(x, "\n"), T.clean_heading)
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(cleaned).alias("line", "t")).filter(T.is_heading(F.col("t")))
+    return lines.select("doc_id", F.col("line").cast("long"), T.heading_level(F.col("t")).cast("int").alias("level"), F.col("t").alias("heading"))
 
 
 def pack_chunks(spark, sf):
@@ -118,6 +122,19 @@ SELECT p_partkey, domain, array_to_string(list_prepend(domain, found), '|') AS t
 c AS (SELECT doc_id, array_to_string(list_transform(l, lambda x: CASE WHEN regexp_matches(x, '{_INJECTION}') THEN '{T.REMOVED}' ELSE x END), chr(10)) AS t FROM d)
 SELECT doc_id, contains(t, '{T.REMOVED}') AS removed, length(t) AS chars FROM c""",
     "slugs": "SELECT p_partkey, trim(regexp_replace(lower(p_brand || '--' || p_name || '--' || p_type), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM part",
+    "heading_lines": r"""WITH d AS (SELECT doc_id, string_split(CASE WHEN doc_id % 4 = 0 THEN text ELSE concat_ws(chr(10), 'Chapter ' || doc_id % 12 || ' Fire  Safety ..... 12', 'LOOKOUTS/COMMUNICATIONS (LCES) 3-14',
+    'Table of Contents', '• Bullet Line', 'Escape Routes And Safety Zones xiv', 'Ends Here.', text) END, chr(10)) AS l FROM documents),
+e AS (SELECT doc_id, unnest(l) AS x, unnest(range(len(l))) AS line FROM d),
+a AS (SELECT doc_id, line, regexp_replace(trim(regexp_replace(x, '[\s\v\x{85}\p{Z}]+', ' ', 'g')), '\.{2,}\s*[A-Za-z0-9\-]+$', '') AS x FROM e),
+b AS (SELECT doc_id, line, regexp_replace(trim(regexp_replace(x, '[\s\v\x{85}\p{Z}]+', ' ', 'g')), '\s+\b[ivxlcdmIVXLCDM]+$', '') AS x FROM a),
+c AS (SELECT doc_id, line, regexp_replace(trim(regexp_replace(x, '[\s\v\x{85}\p{Z}]+', ' ', 'g')), '\s+SM\s+\d+-\d+$', '') AS x FROM b),
+f AS (SELECT doc_id, line, trim(regexp_replace(trim(regexp_replace(x, '[\s\v\x{85}\p{Z}]+', ' ', 'g')), '\s+\d+-\d+$', ''), ' :-') AS t FROM c),
+g AS (SELECT *, len(string_split_regex(t, '\s+')) AS n, list_filter(string_split_regex(t, '[\s/]+'), lambda w: regexp_matches(w, '\p{L}')) AS w,
+  regexp_matches(t, '(?i)^(chapter|unit)\s+\d+') AS chapter, regexp_matches(t, '^[A-Z][A-Z0-9/&(),''\- ]+$') AS caps FROM f WHERE length(t) BETWEEN 1 AND 130)
+SELECT doc_id, line, CASE WHEN chapter OR caps THEN 1 WHEN n <= 6 THEN 2 ELSE 3 END AS level, t AS heading FROM g
+WHERE n <= 18 AND NOT regexp_matches(t, '^[•\-*]') AND NOT regexp_matches(t, '[.!?;]$')
+  AND lower(t) NOT IN ('table of contents', 'this page intentionally left blank.', 'this page left intentionally blank.', 'acknowledgments', 'appendix', 'glossary/acronyms')
+  AND (chapter OR (caps AND n <= 14) OR (len(w) > 0 AND len(list_filter(w[1:10], lambda x: NOT regexp_matches(x, '^\p{Lu}'))) = 0))""",
     "conversation_tail": "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 12",
     "compaction": "SELECT conv_id, n_messages, CASE WHEN n_messages > 4 THEN n_messages - 2 ELSE 0 END AS summarized, n_messages - CASE WHEN n_messages > 4 THEN n_messages - 2 ELSE 0 END AS kept FROM (SELECT conv_id, count(*) AS n_messages FROM conversations GROUP BY conv_id)",
     "compact_text": "SELECT doc_id, md5(CASE WHEN length(text) > 205 THEN left(text, 100) || ' ... ' || right(text, 100) ELSE text END) AS md5 FROM documents",

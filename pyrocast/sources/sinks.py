@@ -11,8 +11,20 @@ def shuffled_csv(rows: DataFrame, path: str, seed: int) -> None:
     rows.orderBy(F.xxhash64(F.lit(seed), *rows.columns)).write.mode("overwrite").option("header", True).csv(path)
 
 
-def json_lines(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").json(path)
+def json_lines(rows: DataFrame, path: str, ascii_only: bool = False) -> None:
+    """JSON lines; with ascii_only other characters are escaped."""
+    rows.write.mode("overwrite").option("writeNonAsciiCharacterAsCodePoint", ascii_only).json(path)
+
+
+def report(header: DataFrame, rows: DataFrame, path: str) -> None:
+    """A report of an evaluation or of episodes: one header, and rows as JSON lines, in folders of their own."""
+    header.limit(1).write.mode("overwrite").json(f"{path}/header")
+    rows.write.mode("overwrite").json(f"{path}/rows")
+
+
+def window_csv(window: DataFrame, day: str, path: str) -> None:
+    """One window, some dozens of days, as one CSV file in order of days."""
+    window.orderBy(day).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def wide_csv(rows: DataFrame, columns: list[str], path: str) -> bool:

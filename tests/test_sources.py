@@ -51,3 +51,15 @@ def test_files(spark, tmp_path):
     assert sorted(int(r.id) for r in spark.read.option("header", True).csv(str(tmp_path / "s")).collect()) == list(range(50))
     text = sinks.summary(rows.withColumn("title", F.col("id") % 2), "title").first().summary
     assert json.loads(text)["chunks"] == 50
+
+
+def test_reports_and_windows(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "é", 2), ("b", "x", 1)], "id string, name string, day int")
+    sinks.json_lines(rows, str(tmp_path / "ascii"), ascii_only=True)
+    text = "".join(p.read_text() for p in (tmp_path / "ascii").glob("part*"))
+    assert text.isascii() and {json.loads(x)["name"] for x in text.splitlines()} == {"é", "x"}
+    sinks.report(rows.selectExpr("count(*) AS n"), rows, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report/header")).first().n == 2 and spark.read.json(str(tmp_path / "report/rows")).count() == 2
+    sinks.window_csv(rows, "day", str(tmp_path / "window"))
+    (file,) = (tmp_path / "window").glob("part*.csv")
+    assert file.read_text().splitlines() == ["id,name,day", "b,x,1", "a,é,2"]
