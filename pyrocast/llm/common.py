@@ -41,6 +41,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """docs with all its columns in the struct __row, so that no name of a column can clash with an operator's own."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row"))
+
+
+def unpacked(columns: list[str]) -> list[Column]:
+    """The columns of packed rows."""
+    return [F.col("__row").getField(c).alias(c) for c in columns]
+
+
 def uniform(*cols: Column) -> Column:
     """A number in (0, 1) that depends only on the values, from 52 bits of their MD5."""
     bits = F.conv(F.substring(F.md5(F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols])), 1, 13), 16, 10).cast("long")

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import any_filter, filter_bits, has, positions, saved, twice_filter
+from .common import any_filter, filter_bits, has, packed, positions, saved, twice_filter, unpacked
 
 #: Keys with at least so many suspected lines are hot, and at most so many keys are.
 _HOT_ROWS, _HOT_KEYS = 1000, 4096
@@ -79,7 +79,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _kept(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """docs with the column __kept (text, n_lines, n_dropped)."""
+    """docs in the column __row, and __kept (text, n_lines, n_dropped)."""
     drops = saved(repeated_lines(docs, id_col, text_col, min_chars).select(F.col("doc_id").alias("__id"), F.col("drops").alias("__drops")), "drops")
     bits = filter_bits(drops.count())
     may = docs.sparkSession.sparkContext.broadcast(any_filter(drops.select(F.xxhash64("__id").alias("h")), bits))
@@ -104,16 +104,16 @@ def _kept(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFr
             out.append((text if len(stay) == len(lines) else b"\n".join(stay).decode(), len(lines), len(lines) - len(stay)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
 
-    ids = F.col(id_col).cast("long")
-    rows = docs.withColumn("__may", may_lose(F.xxhash64(ids)))
-    lines = F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).cast("long")
-    whole = rows.filter("NOT __may").drop("__may").withColumn("__kept", F.struct(F.col(text_col).alias("text"), lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")))
+    ids, text = F.col("__row").getField(id_col).cast("long"), F.col("__row").getField(text_col)
+    rows = packed(docs).withColumn("__may", may_lose(F.xxhash64(ids)))
+    lines = F.size(F.split(F.coalesce(text, F.lit("")), "\n")).cast("long")
+    whole = rows.filter("NOT __may").drop("__may").withColumn("__kept", F.struct(text.alias("text"), lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")))
     joined = rows.filter("__may").drop("__may").join(drops, ids.eqNullSafe(F.col("__id")), "left").drop("__id")
-    return whole.unionByName(joined.withColumn("__kept", kept(F.col(text_col), F.col("__drops"))).drop("__drops"))
+    return whole.unionByName(joined.withColumn("__kept", kept(text, F.col("__drops"))).drop("__drops"))
 
 
-def _replaced(done: DataFrame, columns: list[str], text_col: str) -> list:
-    return [F.col("__kept.text").alias(c) if c == text_col else F.col(c) for c in columns]
+def _replaced(columns: list[str], text_col: str) -> list:
+    return [F.col("__kept.text").alias(c) if c == text_col else x for c, x in zip(columns, unpacked(columns), strict=True)]
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
@@ -127,13 +127,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     docs = docs.drop("n_lines", "n_dropped")
     done = _kept(docs, id_col, text_col, min_chars)
-    return done.select(*_replaced(done, docs.columns, text_col), "__kept.n_lines", "__kept.n_dropped")
+    return done.select(*_replaced(docs.columns, text_col), "__kept.n_lines", "__kept.n_dropped")
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
     """docs with text_col replaced as by dedup_lines, and its own columns alone, whatever their names."""
     done = _kept(docs, id_col, text_col, min_chars)
-    return done.select(*_replaced(done, docs.columns, text_col))
+    return done.select(*_replaced(docs.columns, text_col))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -13,14 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, saved, uniform
+from .common import WORD, packed, saved, uniform, unpacked
 
 #: Documents from the cutoff on that may fill what is left of a target.
 _FILL = 256
 
 
-def words(text: str) -> Column:
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+def words(text: str | Column) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def quality_weight(text: str, size: Column) -> Column:
@@ -61,8 +61,8 @@ def plan(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str
     sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"), F.col(text_col).alias("__text"))
     weight = quality_weight("__text", F.col("size")) if weight is None else weight
     rows = sized.withColumn("key", _key("doc_id", seed, weight)).drop("__text")
-    # ranges hold about equal numbers of rows, however keys are spread
-    rows = saved(rows.repartitionByRange("source", "key").withColumn("range", F.spark_partition_id()), "mix")
+    # texts are read once; ranges hold about equal numbers of rows, however keys are spread
+    rows = saved(saved(rows, "sized").repartitionByRange("source", "key").withColumn("range", F.spark_partition_id()), "mix")
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = (
         targets(totals)
@@ -121,10 +121,12 @@ def mixed(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str
     """The mix itself: rows of docs with all their columns, each as often as it is taken."""
     _, sources = plan(docs, seed, id_col, text_col, source_col)
     s = sources.select([F.col(c).alias(f"__{c}") for c in sources.columns])
-    out = docs.withColumn("__size", words(text_col)).withColumn("__key", _key(id_col, seed, quality_weight(text_col, F.col("__size"))))
-    out = out.join(s, F.col(source_col).cast("string").eqNullSafe(F.col("__source")))
+    row = F.col("__row").getField
+    out = packed(docs).withColumns({"__text": row(text_col), "__id": row(id_col), "__size": words(row(text_col))})
+    out = out.withColumn("__key", _key("__id", seed, quality_weight("__text", F.col("__size")))).drop("__text")
+    out = out.join(s, row(source_col).cast("string").eqNullSafe(F.col("__source")))
     taken = F.array_repeat(F.lit(1), _copies("__key", "__size", "__").cast("int"))
-    return out.withColumn("__copy", F.explode(taken)).select(*[F.col(c) for c in docs.columns])
+    return out.withColumn("__copy", F.explode(taken)).select(*unpacked(docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

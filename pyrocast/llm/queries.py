@@ -20,4 +20,4 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-SQL = {"op1_line_dedup": line_dedup.SQL, "op5_mixing": mixing.SQL, "op8_warc": warc.SQL}
+SQL = {"op1_line_dedup": line_dedup.SQL, "op3_jaccard_join": jaccard_join.SQL, "op5_mixing": mixing.SQL, "op8_warc": warc.SQL}
