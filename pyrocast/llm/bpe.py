@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import USUAL_PATTERN, ChunkTable, joined_pieces, parts
 
 #: Characters of new chunks, and chunks of texts, that a task gathers before a replay; chunks that a worker keeps.
-_NEW_CHARS, _HELD_CHUNKS, _KEPT_CHUNKS = 1 << 22, 1 << 22, 800_000
+_NEW_CHARS, _HELD_CHUNKS, _KEPT_CHUNKS = 1 << 20, 1 << 21, 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -198,6 +198,8 @@ class MergeReplay:
         self.table.enter()
         for head, told in held:
             yield head, self._each(*self.table.gather(*told))
+        # a worker may stay idle for long
+        self.table.turn()
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, memoryview(ids).cast("I").tolist())) if ids else b""

@@ -24,7 +24,7 @@ from .files import content, written
 
 _MAGIC = b"RPTOK2\0\0"
 #: Ids in a file, chunks of text that a worker keeps the ids of, and ids that a reader expands at a time.
-FILE_IDS, _KEPT_CHUNKS, _READ_IDS = 1 << 20, 800_000, 1 << 18
+FILE_IDS, _KEPT_CHUNKS, _READ_IDS = 1 << 20, 500_000, 1 << 18
 _GONE = np.uint32(0xFFFFFFFF)
 
 
