@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import USUAL_PATTERN, ChunkTable, joined_pieces, parts
 
 #: Characters of new chunks, and chunks of texts, that a task gathers before a replay; chunks that a worker keeps.
-_NEW_CHARS, _HELD_CHUNKS, _KEPT_CHUNKS = 1 << 20, 1 << 21, 250_000
+_NEW_CHARS, _HELD_CHUNKS, _KEPT_CHUNKS = 1 << 20, 1 << 21, 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -48,7 +48,7 @@ class MergeReplay:
         """The id that a pair (first << 32 | second) merges to, or -1."""
         found = self.merges.get(pair)
         if found is None:
-            if len(self.merges) > 300_000:
+            if len(self.merges) > 200_000:
                 self.merges.clear()
             found = self.merges[pair] = self.ranks.get(self.tokens[pair >> 32] + self.tokens[pair & 0xFFFFFFFF], -1)
         return found

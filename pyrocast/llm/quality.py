@@ -115,8 +115,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], held_out: np.ndarray, st
     y = np.array([r[2] for r in rows], float)
     if any(len(set(y[part])) < 2 for part in (held_out, ~held_out)):
         return None
-    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    dims, values = np.concatenate([r[0] for r in rows]).astype(np.int64), np.concatenate([r[1] for r in rows]).astype(float) * 30
+    # the driver holds these, so they are no wider than they need be
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
+    dims, values = np.concatenate([r[0] for r in rows]).astype(np.int32), np.concatenate([r[1] for r in rows]).astype(np.float32) * np.float32(30)
     fitted = ~held_out[row]
     weight = np.where(y == 1, 0.5 / y[~held_out].mean(), 0.5 / (1 - y[~held_out]).mean()) * ~held_out
     w, bias = np.zeros(_FAMILIES * _DIMS), 0.0
