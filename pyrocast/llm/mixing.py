@@ -3,7 +3,8 @@
 A document's key is -ln(u) / weight with u from a hash of its id, so that documents of higher
 quality weight tend to come first. Of each source whole epochs are taken first; the rest of the
 target is filled in key order: all before the document that would cross it, and of the next ones in
-order (_FILL, that one included) each that still fits. Running sums are made in two levels (sums of
+order (_FILL, that one included) each that still fits, then the first that comes nearer to the target than
+what is left. Running sums are made in two levels (sums of
 ranges of source and key, then rows of the one range where the budget ends), so no task sees all rows
 of a large source. What the rows need to know is a cutoff key for each source, and the few keys after it.
 """
@@ -89,7 +90,9 @@ def plan(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str
     after = after.groupBy("source", "cutoff", "left").agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("next"))
     start = F.struct(F.col("left"), F.array().cast("array<double>").alias("keys"))
     fits = lambda s, x: F.struct((s["left"] - x["n"]).alias("left"), F.concat(s["keys"], F.array(x["key"])).alias("keys"))
-    extra = F.aggregate("next", start, lambda s, x: F.when(x["n"] <= s["left"], fits(s, x)).otherwise(s), lambda s: s["keys"])
+    after = after.withColumn("s", F.aggregate("next", start, lambda s, x: F.when(x["n"] <= s["left"], fits(s, x)).otherwise(s)))
+    nearer = F.filter("next", lambda x: ~F.array_contains(F.col("s.keys"), x["key"]) & (x["n"] < 2 * F.col("s.left")))
+    extra = F.concat("s.keys", F.transform(F.slice(nearer, 1, 1), lambda x: x["key"]))
     ends = after.select(F.col("source").alias("e_source"), "cutoff", extra.alias("extra"))
     # a source without words has no cutoff and is not taken
     sources = goals.join(ends, F.col("source").eqNullSafe(F.col("e_source")), "left").drop("e_source", "__rest")
@@ -107,7 +110,7 @@ def mix(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str =
     """A row for each row of docs: doc_id, source, size, source_size, target, taken, copies.
 
     size counts the words of the text (null: none); taken = copies * size, and a document is taken
-    whole or not at all, at most twice. A source's words stay at or below its target, by less than any
+    whole or not at all, at most twice. A source's words differ from its target by less than any
     document from the cutoff on that isn't taken, of the first _FILL. Documents without words are not taken. Rows of one source with
     one id share a key and are taken alike. A null source is a source. Equal for equal input.
     """
@@ -161,8 +164,15 @@ WITH RECURSIVE d AS (
   SELECT source, key, i, n <= room AS fits, CASE WHEN n <= room THEN room - n ELSE room END AS room FROM o WHERE i = 1
   UNION ALL
   SELECT o.source, o.key, o.i, o.n <= f.room, CASE WHEN o.n <= f.room THEN f.room - o.n ELSE f.room END FROM f JOIN o ON o.source IS NOT DISTINCT FROM f.source AND o.i = f.i + 1
+), z AS (
+  SELECT source, arg_max(room, i) AS room FROM f GROUP BY source
+), y AS (
+  SELECT o.source, min(o.i) AS i FROM o JOIN f ON o.source IS NOT DISTINCT FROM f.source AND o.i = f.i JOIN z ON o.source IS NOT DISTINCT FROM z.source
+  WHERE NOT f.fits AND o.n < 2 * z.room GROUP BY o.source
+), t2 AS (
+  SELECT f.source, f.key, f.fits OR y.i IS NOT NULL AS fits FROM f LEFT JOIN y ON f.source IS NOT DISTINCT FROM y.source AND f.i = y.i
 )
 SELECT c.doc_id, size, source_size, target,
        CAST(CASE WHEN size = 0 THEN 0 ELSE (epochs + CAST(upto <= rest OR coalesce(fits, false) AS INT)) * size END AS BIGINT) AS taken
-FROM c LEFT JOIN f ON c.source IS NOT DISTINCT FROM f.source AND c.key = f.key
+FROM c LEFT JOIN t2 ON c.source IS NOT DISTINCT FROM t2.source AND c.key = t2.key
 """
