@@ -8,7 +8,7 @@ import uuid
 from itertools import chain, islice
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space that separates words: space and U+0009 to U+000D.
@@ -57,6 +57,23 @@ def uniform(*cols: Column) -> Column:
     return (bits.cast("double") + 0.5) / float(1 << 52)
 
 
+def running(rows: DataFrame, group: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
+    """rows with the column name: the sum of value over the rows of the group up to this one, itself included.
+
+    Sums go by ranges of group and order, then inside each range, so that no task sees all rows of a
+    large group. group has no nulls; rows that are equal in group and order come in any order.
+    """
+    cut = rows.repartitionByRange(*[F.col(c) for c in group], *order).withColumns({"__range": F.spark_partition_id(), "__value": value})
+    cut = saved(cut, "ranges")
+    inside = Window.partitionBy(*group, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = cut.groupBy(*group, "__range").agg(F.sum("__value").alias("__sum"))
+    # a row for each range of a group
+    before = F.sum("__sum").over(Window.partitionBy(*group).orderBy("__range")) - F.col("__sum")
+    sums = sums.withColumn("__before", before).drop("__sum")
+    out = cut.withColumn(name, F.sum("__value").over(inside)).join(sums, [*group, "__range"])
+    return out.withColumn(name, (F.col(name) + F.col("__before")).cast("long")).drop("__range", "__value", "__before")
+
+
 # --- Bloom filters over the whole corpus -------------------------------------------------------
 
 _BLOCK = 17  # a block of a filter has 2**17 bits

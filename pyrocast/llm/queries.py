@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import ann, bpe, html_text, jaccard_join, line_dedup, mixing, quality, sharding, token_files, warc
+from . import ann, bpe, html_text, importance, jaccard_join, line_dedup, mixing, prefix_trie, quality, sentence_pieces, sharding, token_files, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -17,7 +17,10 @@ QUERIES = {
     "op8_warc": warc.query,
     "op9_ann": ann.query,
     "op10_token_files": token_files.query,
+    "op11_importance": importance.query,
+    "op12_sentence_pieces": sentence_pieces.query,
+    "op13_prefix_trie": prefix_trie.query,
     "pipeline": corpus_pipeline.run,
 }
 
-SQL = {"op1_line_dedup": line_dedup.SQL, "op3_jaccard_join": jaccard_join.SQL, "op5_mixing": mixing.SQL, "op8_warc": warc.SQL}
+SQL = {"op1_line_dedup": line_dedup.SQL, "op3_jaccard_join": jaccard_join.SQL, "op5_mixing": mixing.SQL, "op8_warc": warc.SQL, "op11_importance": importance.SQL, "op13_prefix_trie": prefix_trie.SQL}
