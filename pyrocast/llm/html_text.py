@@ -2,11 +2,14 @@
 
 A page is read into text nodes, each with its path of block tags from root to leaf. Of each path the
 logarithms of text length and punctuation a node are taken, so that no long block outvotes the rest;
-the two ratios are smoothed along the page, fused with those before smoothing, and paths above a share
-of the page's median hold the content. Being in an article or main part doubles a path's value.
-Elements that by name, role or class are menus, headers, footers, sidebars, notices, adverts, forms or
-comments never count, but a name alone skips nothing that holds the page's article or main part, and
-inside that part fewer names do. A page is read in time and memory linear in its length.
+the two ratios are smoothed along the page and fused with those before smoothing. The fused ratios are
+summed over subtrees to choose the content's region: an article or main part whose share of the page's
+sum, or mean, is not clearly below the page's, else the subtree that nearly all of the sum is in.
+Of the region, paths whose ratio is not below a share of the page's median hold the content: in an
+article or main part any path that is not clearly below, as nothing but a low ratio speaks against
+its text. Names and roles of elements weigh in as factors of ratios; tags that stand for menus, headers,
+footers, asides and forms are left out below the region, but nothing leaves out what holds most of it.
+A page is read in time and memory linear in its length (but for one sort of its nodes).
 """
 
 from __future__ import annotations
@@ -27,12 +30,17 @@ _ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _RAW = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp")}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
-_SKIP = set("script style textarea title noscript iframe xmp head nav footer aside form button select option datalist template svg canvas object audio video menu dialog fieldset input".split())
+#: Elements without text of the page, and those that are parts of a page other than its content.
+_SKIP = set("script style textarea title noscript iframe xmp head button select option datalist template svg canvas object audio video input".split())
+_PARTS = set("nav header footer aside form menu dialog fieldset".split())
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "alertdialog", "form", "menu", "menubar", "toolbar"}
-_STRONG = r"ads?|adv|advert\w*|adsense|promo\w*|sponsor\w*|cookies?|consent|gdpr|newsletter|subscribe|subscription|popup|overlay|modal|sidebar|nav\w*|breadcrumbs?|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|widget|toolbar|pagination|pager|login|signup|signin"
-_WEAK = r"banner|notices?|notification|side|rail|menu|footer|foot|header|masthead|topbar|reply|replies|respond|discussion|search|copyright|legal|disclaimer|skip"
-#: Names of elements that are no content: inside the main part, and elsewhere.
-_INSIDE, _NAMES = (re.compile(rf"(?:^|[\s_-])(?:{x})(?:$|[\s_-])", re.IGNORECASE) for x in (_STRONG, f"{_STRONG}|{_WEAK}"))
+#: Names of elements that hardly are an article's, as a whole name or with words that say nothing; words that some article's names have too.
+_CLEAR = r"ads?|adv|advert\w*|adsense|sponsor\w*|cookies?|consent|gdpr|newsletter|subscribe|subscription|comments?|commentlist|disqus|sidebar|breadcrumbs?|pagination|pager|login|signup|signin"
+_NEUTRAL = r"list|section|box|area|wrap|wrapper|container|block|item|post|page|inner|outer|top|bottom|left|right|main|slot|unit|banner|bar|body|thread|form|notice|popup|\d+"
+_CLEAR_NAME = re.compile(rf"(?:^|\s)(?:(?:{_NEUTRAL})[_-]+)*(?:{_CLEAR})(?:[_-]+(?:{_NEUTRAL}))*(?:$|\s)", re.IGNORECASE)
+_NAME = re.compile(rf"(?:^|[\s_-])(?:{_CLEAR}|promo\w*|popup|overlay|modal|nav\w*|share|sharing|social|related|recommend\w*|widget|toolbar|banner|notices?|notification|side|rail|menu|footer|foot|header|masthead|topbar|reply|replies|respond|discussion|search|copyright|legal|disclaimer|skip)(?:$|[\s_-])", re.IGNORECASE)
+#: Factors of a ratio: of what stands in a part or has a name, in the choice of the region and in one without an article; of a clear name, another name and none in an article.
+_ODD, _IN_CLEAR, _IN_NAMED, _IN_ARTICLE = 0.15, 0.15, 0.4, 4.0
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: What an opening tag closes, up to the nearest of the second set.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -40,19 +48,35 @@ _PUNCTUATION = re.compile(r"[.,;:!?…、。，？！]")
 
 
 class _Block:
-    __slots__ = ("path", "leaf", "main", "parts", "linked")
+    __slots__ = ("path", "leaf", "element", "parts", "linked")
 
-    def __init__(self, path: int, leaf: str, main: bool):
-        self.path, self.leaf, self.main, self.parts, self.linked = path, leaf, main, [], 0
+    def __init__(self, path: int, leaf: str, element: int):
+        self.path, self.leaf, self.element, self.parts, self.linked = path, leaf, element, [], 0
 
 
 class _Open:
-    """An open element: its path and the block element nearest to it, what holds of its text, and the innermost named element around it."""
+    """An open element: its path and the block element nearest to it, and what holds of its text."""
 
-    __slots__ = ("tag", "path", "leaf", "skipped", "main", "linked", "named")
+    __slots__ = ("tag", "path", "leaf", "skipped", "linked", "element")
 
-    def __init__(self, tag: str, path: int, leaf: str, skipped: bool, main: bool, linked: bool, named: int):
-        self.tag, self.path, self.leaf, self.skipped, self.main, self.linked, self.named = tag, path, leaf, skipped, main, linked, named
+    def __init__(self, tag: str, path: int, leaf: str, skipped: bool, linked: bool, element: int):
+        self.tag, self.path, self.leaf, self.skipped, self.linked, self.element = tag, path, leaf, skipped, linked, element
+
+
+class Elements:
+    """The block elements of a page in page order, the page itself first. Of each: its parent, and the innermost of each kind
+    among it and those around it (0: none): article or main part, other part, clear name, any name."""
+
+    def __init__(self):
+        self.parent, self.article, self.part, self.clear, self.named, self.tags = [0], [0], [0], [0], [0], [""]
+
+    def add(self, above: int, tag: str, article: bool, part: bool, clear: bool, named: bool) -> int:
+        n = len(self.parent)
+        self.parent.append(above)
+        self.tags.append(tag)
+        for kind, own in ((self.article, article), (self.part, part), (self.clear, clear), (self.named, named)):
+            kind.append(n if own else kind[above])
+        return n
 
 
 def _tokens(page: str):
@@ -82,16 +106,15 @@ def _tokens(page: str):
         at = end
 
 
-def blocks(page: str) -> tuple[list[_Block], list[int]]:
-    """Blocks of text outside skipped elements, in page order, and the parent of each path.
+def blocks(page: str) -> tuple[list[_Block], list[int], Elements]:
+    """Blocks of text in page order, the parent of each path, and the page's elements.
 
-    A path is a number: that of its parent and its last step. Whether an element that is skipped by its
-    name holds the main part is known only at its end, so text in such elements is held until then.
+    A path is a number: that of its parent and its last step.
     """
     out: list[_Block] = []
     paths, parents = {}, [0]
-    outer, holds = [0], set()  # the named element around each named one; those that hold the main part
-    stack = [_Open("", 0, "", False, False, False, 0)]
+    elements = Elements()
+    stack = [_Open("", 0, "", False, False, 0)]
     counts: dict[str, int] = defaultdict(int)
     now: _Block | None = None
     done = 0
@@ -104,9 +127,11 @@ def blocks(page: str) -> tuple[list[_Block], list[int]]:
         if now is None:
             if not raw.strip():
                 return
-            now = _Block(top.path, top.leaf, top.main)
+            now = _Block(top.path, top.leaf, top.element)
             out.append(now)
-        now.parts.append((raw, top.named, top.linked))
+        now.parts.append(raw)
+        if top.linked:
+            now.linked += len(raw.strip())
 
     def close(i: int) -> None:
         for x in stack[i:]:
@@ -137,7 +162,7 @@ def blocks(page: str) -> tuple[list[_Block], list[int]]:
             continue
         if tag == "br":
             if now is not None:
-                now.parts.append((" ", 0, False))
+                now.parts.append(" ")
             continue
         if tag not in _INLINE:
             now = None
@@ -161,39 +186,28 @@ def blocks(page: str) -> tuple[list[_Block], list[int]]:
             continue
         attrs = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTR.findall(told)} if "=" in told else {}
         above = stack[-1]
-        named = above.named
-        main = above.main or tag in ("article", "main") or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody"
-        skipped = above.skipped or tag in _SKIP or attrs.get("role") in _ROLES or attrs.get("aria-hidden") == "true" or bool(re.search(r"(?:^|\s)hidden(?:$|[\s=/])", told))
-        skipped = skipped or "display:none" in attrs.get("style", "").replace(" ", "") or tag == "header" and not above.main
-        name = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-        if not skipped and name != " " and (_INSIDE if above.main else _NAMES).search(name):
-            if tag not in ("html", "body", "article", "main"):
-                outer.append(named)
-                named = len(outer) - 1
-        elif main and not above.main and not skipped:
-            held = named
-            while held and held not in holds:
-                holds.add(held)
-                held = outer[held]
+        role = attrs.get("role")
+        skipped = above.skipped or tag in _SKIP or attrs.get("aria-hidden") == "true" or bool(re.search(r"(?:^|\s)hidden(?:$|[\s=/])", told)) or "display:none" in attrs.get("style", "").replace(" ", "")
         if tag in _RAW:
             over = _RAW[tag].search(page, end)
             done = jump = over.end() if over else len(page)
         elif not told.rstrip().endswith("/") or tag in _INLINE:
-            path, leaf = above.path, above.leaf
+            path, leaf, element = above.path, above.leaf, above.element
             if tag not in _INLINE:
                 step = f"{tag}.{attrs['class'].split()[0]}" if attrs.get("class", "").strip() else tag
                 path, leaf = paths.setdefault((above.path, step), len(parents)), tag
                 if path == len(parents):
                     parents.append(above.path)
-            stack.append(_Open(tag, path, leaf, skipped, main, above.linked or tag == "a", named))
+                article = tag in ("article", "main") or role == "main" or attrs.get("itemprop") == "articleBody"
+                part = not article and (role in _ROLES or tag in _PARTS and not (tag == "header" and elements.article[above.element]))
+                name = f"{attrs.get('class', '')} {attrs.get('id', '')}" if tag not in ("html", "body") else ""
+                clear = len(name) > 1 and bool(_CLEAR_NAME.search(name))
+                element = elements.add(above.element, tag, article and not clear, part, clear, clear or len(name) > 1 and not article and bool(_NAME.search(name)))
+            stack.append(_Open(tag, path, leaf, skipped, above.linked or tag == "a", element))
             counts[tag] += 1
     if done < len(page):
         text(_OPEN.sub("", page[done:]))  # a tag that never ends is no text
-    for b in out:
-        # an element that holds the main part is held by such ones alone
-        kept = [(raw, linked) for raw, around, linked in b.parts if not around or around in holds]
-        b.parts, b.linked = [raw for raw, _ in kept], sum(len(raw.strip()) for raw, linked in kept if linked)
-    return out, parents
+    return out, parents, elements
 
 
 def _smooth(values: list[float]) -> list[float]:
@@ -206,16 +220,8 @@ def _smooth(values: list[float]) -> list[float]:
     return out
 
 
-def main_text(page: str | None, threshold: float = 0.2) -> str:
-    """The article's blocks, joined by \\n; white space in a block is one space. Empty if there is none."""
-    nodes = []
-    found, parent = blocks(page or "")
-    for b in found:
-        joined = " ".join(html.unescape("".join(b.parts)).split())
-        if joined:
-            nodes.append((b, joined))
-    if not nodes:
-        return ""
+def _ratios(nodes: list[tuple[_Block, str]]) -> tuple[dict[int, float], set[int]]:
+    """The fused ratio of each path, and the paths that are mostly links."""
     length, punctuation, linked, count = defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(int)
     for b, t in nodes:
         length[b.path] += len(t)
@@ -229,19 +235,110 @@ def main_text(page: str | None, threshold: float = 0.2) -> str:
     fused: dict[int, float] = defaultdict(float)
     for (b, _), x, y in zip(nodes, by_length, by_marks, strict=True):
         fused[b.path] += ((lengths[b.path] + marks[b.path]) * (x + y)) ** 0.5 / count[b.path]
-    links = {p for p in fused if linked[p] > 0.5 * length[p]}
-    # the median of the blocks, each with its path's value as its weight
-    order, below, middle = sorted((v, p) for p, v in fused.items() if p not in links), 0.0, 0.0
-    half = sum(v * count[p] for v, p in order) / 2
-    for v, p in order:
-        below, middle = below + v * count[p], v
-        if below >= half:
+    return fused, {p for p in fused if linked[p] > 0.5 * length[p]}
+
+
+def _median(ratios: list[float]) -> float:
+    """The median of the blocks, each with its ratio as its weight."""
+    below, half, v = 0.0, sum(ratios) / 2, 0.0
+    for v in sorted(ratios):
+        below += v
+        if below >= half * (1 - 1e-12):
             break
-    inside = {b.path for b, _ in nodes if b.main}
-    content = {p for v, p in order if v * (2 if p in inside else 1) >= threshold * middle}
-    parents = {parent[p] for p in content}
-    kept = [t for b, t in nodes if b.path in content or (b.leaf in _HEADINGS and parent[b.path] in parents)]
-    return "\n".join(kept)
+    return v
+
+
+class _Sums:
+    """Sums of ratios over the subtree of each element: with factors, without, and their number."""
+
+    def __init__(self, elements: Elements, at: list[int], ratios: list[float], factors: list[float]):
+        n = len(elements.parent)
+        self.mass, self.raw, self.count, self.end = [0.0] * n, [0.0] * n, [0] * n, [i + 1 for i in range(n)]
+        self.best, self.largest = [0] * n, [0] * n  # the child with the largest sum with factors, and without
+        for i, v, f in zip(at, ratios, factors, strict=True):
+            self.mass[i] += v * f
+            self.raw[i] += v
+            self.count[i] += 1
+        for i in range(n - 1, 0, -1):
+            up = elements.parent[i]
+            self.mass[up] += self.mass[i]
+            self.raw[up] += self.raw[i]
+            self.count[up] += self.count[i]
+            self.end[up] = max(self.end[up], self.end[i])
+            for x, sums in ((self.best, self.mass), (self.largest, self.raw)):
+                if not x[up] or sums[i] >= sums[x[up]]:
+                    x[up] = i
+
+
+def _regions(elements: Elements, sums: _Sums, least: float) -> tuple[list[int], bool]:
+    """The elements that hold the content, in page order, and whether they are articles or main parts; least: the mean ratio that is enough."""
+    inner = defaultdict(list)
+    for i, own in enumerate(elements.article):
+        if own == i and i:
+            inner[elements.article[elements.parent[i]]].append(i)
+    region, marked = 0, False
+    while not marked or elements.tags[region] != "article":
+        able = [i for i in inner[region] if sums.mass[i] > 0 and (sums.mass[i] >= 0.15 * sums.mass[region] or sums.mass[i] >= least * sums.count[i])]
+        if not able:
+            break
+        best = max(able, key=lambda i: sums.mass[i])
+        if sums.mass[best] < 0.5 * sum(sums.mass[i] for i in able):
+            return [i for i in able if sums.mass[i] >= 0.25 * sums.mass[best]], True
+        region, marked = best, True
+    while not marked and (child := sums.best[region]) and sums.mass[child] >= 0.8 * sums.mass[region] and sums.mass[region] > 0:
+        region = child
+    return [region], marked
+
+
+def main_text(page: str | None, threshold: float = 0.2) -> str:
+    """The article's blocks, joined by \\n; white space in a block is one space. Empty if there is none."""
+    nodes = []
+    found, parent, elements = blocks(page or "")
+    for b in found:
+        joined = " ".join(html.unescape("".join(b.parts)).split())
+        if joined:
+            nodes.append((b, joined))
+    if not nodes:
+        return ""
+    fused, links = _ratios(nodes)
+    at, ratios = [b.element for b, _ in nodes], [fused[b.path] for b, _ in nodes]
+    factors = [_ODD if elements.part[i] or elements.named[i] else 1.0 for i in at]
+    sums = _Sums(elements, at, ratios, factors)
+    middle = _median([v * f for (b, _), v, f in zip(nodes, ratios, factors, strict=True) if b.path not in links])
+    regions, marked = _regions(elements, sums, 2.5 * threshold * middle)
+    allowed, k = set(), 0
+    inside: list[tuple[_Block, str, float, int]] = []
+    for region in regions:
+        # parts that hold most of a region are none
+        i = region
+        while sums.largest[i] and sums.raw[sums.largest[i]] >= 0.5 * sums.raw[region]:
+            i = sums.largest[i]
+            allowed.add(i)
+    for (b, t), v in zip(nodes, ratios, strict=True):
+        i = b.element
+        while k < len(regions) and i >= sums.end[regions[k]]:
+            k += 1
+        if k == len(regions):
+            break
+        region = regions[k]
+        if i < region or elements.part[i] > region and elements.part[i] not in allowed:
+            continue
+        inside.append((b, t, v, region))
+    # against the region's own median
+    middle = _median([v * (_ODD if elements.named[b.element] > region else 1.0) for b, _, v, region in inside if b.path not in links])
+    kept, beside = [], set()
+    for b, t, v, region in inside:
+        i = b.element
+        named = elements.named[i] > region
+        if marked:
+            factor = _IN_CLEAR if elements.clear[i] > region else _IN_NAMED if named else _IN_ARTICLE
+        else:
+            factor = 0.0 if b.path in links else _ODD if named else 1.0
+        holds = v * factor >= threshold * middle and factor > 0
+        kept.append((t, holds, parent[b.path] if not marked and factor == 1.0 and b.leaf in _HEADINGS else -1))
+        if holds:
+            beside.add(parent[b.path])
+    return "\n".join(t for t, holds, heading in kept if holds or heading in beside)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 0.2) -> DataFrame:

@@ -3,6 +3,7 @@
 import os
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -162,7 +163,152 @@ def test_html_ratios_decide():
     assert html_text.main_text(wrapped).split("\n") == said
     comments = f"<body><div>{ps}</div><div id=comments><article class=comment>I, a reader, say so.</article></div></body>"
     assert html_text.main_text(comments).split("\n") == said
-    assert html_text.main_text(f"<body><article>{ps}</article><div class=more>{ps}</div></body>").split("\n") == said * 2
+    assert html_text.main_text(f"<body><article>{ps}</article><div class=more>{ps}</div></body>").split("\n") == said
+
+
+SAID = [f"Paragraph {i} says what it has to say, and then it ends." for i in range(6)]
+ARTICLE = "<h1>Head</h1>" + "".join(f"<p>{x}</p>" for x in SAID)
+
+
+@pytest.mark.parametrize(
+    "inner",
+    ["<section id='recommendations'><p>{}</p></section>", "<div class='related-work'><p>{}</p></div>", "<div id='social-history'>{}</div>", "<p id='modal'>{}</p>", "<ul><li><a href=x>{}</a></li></ul>", "<p>{}</p>"],
+)
+def test_html_keeps_what_stands_in_the_article(inner):
+    more = "One more says this, and that as well."
+    for outer in ("<article>{}</article>", "<main>{}</main>", "<form id=aspnetForm><article>{}</article></form>", "<div class=sidebar><article>{}</article></div>"):
+        page = f"<body><nav><a href=/>Home</a></nav>{outer.format(ARTICLE + inner.format(more))}<footer>Site, all.</footer></body>"
+        assert html_text.main_text(page).split("\n") == ["Head", *SAID, more], outer
+    sources = "".join(f"<li><a href=x>Source {i}</a></li>" for i in range(9))
+    assert html_text.main_text(f"<body><article>{ARTICLE}<ul>{sources}</ul></article></body>").split("\n") == ["Head", *SAID, *[f"Source {i}" for i in range(9)]]
+    # a form in the article that holds nearly all of it
+    assert html_text.main_text(f"<body><article><form>{ARTICLE}</form></article></body>").split("\n") == ["Head", *SAID]
+
+
+@pytest.mark.parametrize(
+    "beside",
+    [
+        "<div class=cards>" + "".join(f"<div><h3>Card {i}</h3><p>A card that says some words, and leads on.</p></div>" for i in range(9)) + "</div>",
+        "<div>All rights reserved, by the owner of the site, for all times.</div>",
+        "<section>" + "".join(f"<div><p>I, reader number {i}, say that this is so, and so on, at length.</p></div>" for i in range(60)) + "</section>",
+        "<article class=comment><p>I, a reader, say so, and so on.</p></article>",
+        "<article><h3>Card</h3></article><article><h3>Card</h3></article>",
+    ],
+)
+def test_html_leaves_out_what_stands_beside_the_article(beside):
+    for page in (f"<body><article>{ARTICLE}</article>{beside}</body>", f"<body><div>{beside}</div><main>{ARTICLE}</main></body>"):
+        assert html_text.main_text(page).split("\n") == ["Head", *SAID]
+
+
+def test_html_articles_of_a_list():
+    page = "<body><div>" + "".join(f"<article>{ARTICLE}</article>" for _ in range(4)) + "</div><div><p>Beside them, there is this.</p></div></body>"
+    assert html_text.main_text(page).split("\n") == ["Head", *SAID] * 4
+
+
+def naive_text(page, threshold):
+    """The same by definition: a tree of a well-formed page, with a list of its text nodes, and sums made anew for each element."""
+    import html.parser
+    import math
+
+    elements, nodes, stack = [(None, "", {}, "")], [], [0]
+
+    class Reader(html.parser.HTMLParser):
+        fresh, linked = True, 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("b", "a"):
+                self.linked += tag == "a"
+            elif tag == "br":
+                self.handle_data(" ", False)
+            elif tag not in ("meta", "link"):
+                if tag == "p" and elements[stack[-1]][1] == "p":
+                    stack.pop()
+                up = stack[-1]
+                attrs = dict(attrs)
+                elements.append((up, tag, attrs, elements[up][3] + "/" + tag + ("." + attrs["class"].split()[0] if attrs.get("class") else "")))
+                stack.append(len(elements) - 1)
+                self.fresh = True
+
+        def handle_endtag(self, tag):
+            if tag in ("b", "a"):
+                self.linked -= tag == "a"
+            else:
+                while elements[stack[-1]][1] != tag and any(elements[i][1] == tag for i in stack):
+                    stack.pop()
+                if elements[stack[-1]][1] == tag:
+                    stack.pop()
+                self.fresh = True
+
+        def handle_data(self, data, begins=True):
+            if any(elements[i][1] in ("script", "style", "title", "head") for i in stack) or self.fresh and (not data.strip() or not begins):
+                return
+            if self.fresh:
+                nodes.append([stack[-1], "", 0])
+                self.fresh = False
+            nodes[-1][1] += data
+            nodes[-1][2] += len(data.strip()) if self.linked else 0
+
+    reader = Reader(convert_charrefs=True)
+    reader.feed(page)
+    reader.close()
+    nodes = [(i, " ".join(t.split()), n) for i, t, n in nodes if t.strip()]
+    above = lambda i: [] if i is None else [i, *above(elements[i][0])]
+    path = [elements[i][3] for i, _, _ in nodes]
+    mean = {p: [sum(f(n) for n, q in zip(nodes, path) if q == p) / path.count(p) for f in (lambda n: len(n[1]), lambda n: len(re.findall("[.,;:!?…、。，？！]", n[1])))] for p in path}
+    x, y = ([math.log1p(mean[p][0] / 16) for p in path], [math.log1p(mean[p][1]) for p in path])
+
+    def smooth(v):
+        return [sum(w * v[j] for j, w in near) / sum(w for _, w in near) for i in range(len(v)) for near in [[(j, w) for j, w in ((i - 1, 0.25), (i, 0.5), (i + 1, 0.25)) if 0 <= j < len(v)]]]
+
+    own = [math.sqrt((a + b) * (c + d)) for a, b, c, d in zip(x, y, smooth(x), smooth(y))]
+    fused = {p: sum(v for v, q in zip(own, path) if q == p) / path.count(p) for p in path}
+    links = {p for p in path if sum(n[2] for n, q in zip(nodes, path) if q == p) > 0.5 * sum(len(n[1]) for n, q in zip(nodes, path) if q == p)}
+    part = lambda i: elements[i][1] in ("nav", "footer", "aside", "form")
+    factor = [0.15 if any(part(j) or elements[j][2].get("class") == "ad" for j in above(i)) else 1.0 for i, _, _ in nodes]
+    def median(v):
+        return next((w for k, w in enumerate(sorted(v)) if sum(sorted(v)[: k + 1]) >= sum(sorted(v)) / 2 * (1 - 1e-12)), 0)
+
+    middle = median([fused[p] * f for p, f in zip(path, factor) if p not in links])
+    mass = lambda e: sum(fused[p] * f for (i, _, _), p, f in zip(nodes, path, factor) if e in above(i))
+    held = lambda e: sum(e in above(i) for i, _, _ in nodes)
+    (article,) = [i for i, x in enumerate(elements) if x[1] == "article"]
+    if held(article) and (mass(article) >= 0.15 * mass(0) or mass(article) >= 2.5 * threshold * middle * held(article)):
+        middle = median([fused[p] for (i, _, _), p in zip(nodes, path) if article in above(i) and p not in links])
+        return "\n".join(t for (i, t, _), p in zip(nodes, path) if article in above(i) and 4 * fused[p] >= threshold * middle)
+    region = 0
+    while children := [i for i, x in enumerate(elements) if x[0] == region and mass(i) >= 0.8 * mass(region)]:
+        region = children[0]
+    below = lambda i: above(i)[: above(i).index(region)]
+    rows = [(i, p, t) for (i, t, _), p in zip(nodes, path) if region in above(i) and not any(part(j) for j in below(i)) and p not in links]
+    score = [fused[p] * (0.15 if any(elements[j][2].get("class") == "ad" for j in below(i)) else 1) for i, p, _ in rows]
+    middle = median(score)
+    kept = {p.rpartition("/")[0] for (i, p, _), v in zip(rows, score) if v >= threshold * middle}
+    plain = lambda i, p: elements[i][1] == "h1" and p.rpartition("/")[0] in kept
+    return "\n".join(t for (i, p, t), v in zip(rows, score) if v >= threshold * middle or plain(i, p))
+
+
+def test_html_ratios_by_definition():
+    """Every page of a larger table, at thresholds that keep and that drop, with names and without."""
+    import duckdb
+
+    pages = [x for (x,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet' ORDER BY page_id").fetchall()]
+    small = [x for x in pages if len(x) < 6000]
+    assert len(small) > 150
+    seen = {t: [html_text.main_text(x, t) for x in small] for t in (0.2, 2.0, 6.0)}
+    for t, texts in seen.items():
+        assert texts == [naive_text(x, t) for x in small], t
+    assert seen[0.2] != seen[2.0] != seen[6.0]
+
+
+def test_html_pages_without_names(monkeypatch):
+    """Names are weak: without any of them pages give the same."""
+    import duckdb
+
+    pages = [x for (x,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet' ORDER BY page_id").fetchall()]
+    want = [html_text.main_text(x) for x in pages]
+    for name in ("_NAME", "_CLEAR_NAME"):
+        monkeypatch.setattr(html_text, name, re.compile("(?!)"))
+    assert [html_text.main_text(x) for x in pages] == want
 
 
 @pytest.mark.parametrize("page", [None, "", "<html></html>", "<script>x", "<p", "<!-- never ends", "<style>p{}</style>"])
