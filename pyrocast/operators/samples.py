@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import physics as P
 from ..sources.readers import random_points
-from . import folds, spatial
+from . import folds, polygons, spatial, thinning
 from .timeseries import first_by_priority
 
 
@@ -42,19 +42,12 @@ def _inside(ring) -> Column:
     return box & F.expr(P.in_polygon("lon", "lat", ring)) if ring else box
 
 
-def _tiled(rows: DataFrame, degrees: float) -> DataFrame:
-    return rows.withColumn("tile_y", F.floor(F.col("lat") / degrees)).withColumn("tile_x", F.floor(F.col("lon") / degrees))
-
-
-def positives(incidents: DataFrame, ring=None, s: Settings = Settings(), degrees: float | None = 5.0) -> DataFrame:
-    """Incidents inside box and ring, thinned from the last one kept.
-
-    The last one kept is that of the same tile of so many degrees, so that tiles run side by side;
-    with degrees=None it is that of the whole table, in one group.
-    """
+def positives(incidents: DataFrame, ring=None, s: Settings = Settings(), borders: DataFrame | None = None) -> DataFrame:
+    """Incidents inside box and ring, or inside the box and a country's borders (rows of polygons.geojson), thinned from the last one kept of the whole table."""
     rows = incidents.filter(_inside(ring) & F.col("discovered_at").isNotNull()).select("lat", "lon", F.col("discovered_at").alias("at"))
-    rows = _tiled(rows, degrees) if degrees else rows.withColumn("tile_y", F.lit(0)).withColumn("tile_x", F.lit(0))
-    return folds.thin(rows, ["tile_y", "tile_x"], ["at", "lat", "lon"], "lat", "lon", "at", s.positive_km, s.positive_hours).select("lat", "lon", "at")
+    if borders is not None:
+        rows = polygons.inside(rows, borders, "lon", "lat").drop("name")
+    return thinning.thin_all(rows, ["at", "lat", "lon"], "lat", "lon", "at", s.positive_km, s.positive_hours).select("lat", "lon", "at")
 
 
 def _spaced(rows: DataFrame, s: Settings, degrees: float) -> DataFrame:
@@ -94,7 +87,7 @@ def near_negatives(yes: DataFrame, ring=None, s: Settings = Settings(), parity:
     km, bearing = 0.1 + _uniform(s.seed, 1, *key) * (s.near_km - 0.1), _uniform(s.seed, 2, *key) * 360
     low, high = s.near_days
     shift = F.floor(low + _uniform(s.seed, 3, *key) * (high - low + 1)) * F.when(_uniform(s.seed, 4, *key) < 0.5, -1).otherwise(1)
-    new_lat, new_lon = P.offset_point("a_lat", "a_lon", "km", "bearing")
+    new_lat, new_lon = P.geodesic_point("a_lat", "a_lon", "km", "bearing")
     rows = yes.withColumns({"km": km, "bearing": bearing, "shift": shift.cast("int")}).select(F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), F.col("at").alias("a_at"), "km", "bearing", "shift")
     rows = rows.withColumn("lat", F.expr(new_lat)).withColumn("lon", F.expr(new_lon)).filter(_inside(ring))
     soon = F.abs(F.floor((F.unix_timestamp("r_at") - F.unix_timestamp("a_at")) / 86400)) < low

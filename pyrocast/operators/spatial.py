@@ -18,6 +18,33 @@ def grid_index(value: Column, start: float, step: float, size: int) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(size - 1), F.ceil((value - start) / step - 0.5))).cast("int")
 
 
+def sorted_axis(points: Column) -> Column:
+    """An axis (array of doubles, in any order) as nearest_index takes it: its points in order with their places; of equal points the first."""
+    placed = F.array_sort(F.transform(points, lambda v, i: F.struct(v.cast("double").alias("v"), i.alias("i"))))
+    return F.filter(placed, lambda p, k: (k == 0) | (p["v"] != F.get(placed, k - 1)["v"]))
+
+
+def nearest_index(value: Column, axis: Column) -> Column:
+    """Index of the axis' point nearest to value, of two equally near the first; axis: as of sorted_axis, its points need no regular steps.
+
+    The first point not below the value is found by halving the axis: 32 steps at most, each of one comparison.
+    Null for a null value or an empty axis.
+    """
+    n = F.size(axis)
+    at = F.aggregate(
+        F.sequence(F.lit(1), F.greatest(F.ceil(F.log2(n.cast("double"))).cast("int") + 1, F.lit(1))),
+        F.struct(F.lit(0).alias("a"), n.alias("b")),
+        lambda s, _: F.when(s["a"] >= s["b"], s).otherwise(
+            F.when(F.get(axis, F.floor((s["a"] + s["b"]) / 2).cast("int"))["v"] < value, F.struct((F.floor((s["a"] + s["b"]) / 2).cast("int") + 1).alias("a"), s["b"].alias("b"))).otherwise(
+                F.struct(s["a"].alias("a"), F.floor((s["a"] + s["b"]) / 2).cast("int").alias("b"))
+            )
+        ),
+        lambda s: s["a"],
+    )
+    near = F.transform(F.array(at - 1, at), lambda k: F.when((k >= 0) & (k < n), F.struct(F.abs(F.get(axis, k)["v"] - value).alias("d"), F.get(axis, k)["i"].alias("i"))))
+    return F.when(value.isNotNull() & (n > 0), F.array_min(near)["i"])
+
+
 def _across(y: Column, degrees: float) -> Column:
     """Tiles around the globe in a band of latitude: none is narrower than what two rows at most so far apart may span, in this band or the next."""
     most = F.least(F.lit(90.0), F.greatest(F.abs(y - 1), F.abs(y + 2)) * degrees)

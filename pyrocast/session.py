@@ -19,20 +19,21 @@ def session(app: str = "pyrocast", master: str | None = None, **conf) -> SparkSe
     return builder.getOrCreate()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows of df, written below spark.checkpoint.dir and read back: cuts lineage and survives lost executors.
-
-    Where that setting is unset a folder of this machine serves, and only for a local master.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir; where that setting is unset a folder of this machine serves, and only for a local master."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="pyrocast-")
-    path = f"{base.rstrip('/')}/pyrocast-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/pyrocast-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows of df, written to the shared folder and read back: cuts lineage and survives lost executors."""
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
