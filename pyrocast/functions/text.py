@@ -56,6 +56,41 @@ TOPICS = [
     ("preparedness", ["preparedness", "pre-position", "mobilization", "readiness"]),
     ("suppression", ["suppression", "direct attack", "indirect attack", "fireline"]),
 ]
+# Sections of an incident report and the headings that open them, in order of precedence.
+SECTIONS = {
+    "Incident Overview": ["incident overview", "overview", "incident summary", "incident information", "situation summary"],
+    "Current Situation": [
+        "current situation", "current fire behavior", "situation", "fire behavior", "current conditions", "situation update", "environmental & fire behavior inputs",
+        "environmental and fire behavior inputs", "derived fire behavior metrics", "derived fire behavior metrics simulated",
+    ],
+    "Weather": ["weather", "forecast", "fire weather", "current weather"],
+    "Resources": ["resources", "assigned resources", "organization", "resource summary"],
+    "Objectives": ["objectives", "control objectives", "incident objectives"],
+    "Safety Concerns": ["safety concerns", "hazards", "watch out", "risk", "hazard mitigation", "critical safety message"],
+    "Operations Plan": ["operations plan", "strategy", "tactics", "operations", "planned actions", "rl agent recommendation", "operational implications"],
+    "Command Structure": ["command structure", "command", "organization assignment", "ics organization"],
+    "Values at Risk": ["values at risk", "values threatened", "exposures", "assets at risk"],
+    "Terrain": ["terrain"],
+    "Fuels": ["fuels", "fuel conditions"],
+}
+# Facts of an incident: (key, label, labels in a report).
+FACTS = [
+    ("incident_name", "Incident Name", ["incident name", "fire name", "incident"]),
+    ("operational_period", "Operational Period", ["operational period", "op period", "shift", "period"]),
+    ("location", "Location", ["location", "region", "jurisdiction", "unit", "division", "branch"]),
+    ("overall_risk_level", "Overall Risk Level", ["overall risk level", "overall_risk_level", "risk level", "incident risk level"]),
+    ("current_fire_behavior", "Current Fire Behavior", ["current fire behavior", "fire behavior", "situation", "current situation"]),
+    ("containment", "Containment", ["containment", "percent contained", "% contained"]),
+    ("weather", "Weather", ["weather", "forecast", "wind", "relative humidity", "humidity"]),
+    ("fuels", "Fuels", ["fuels", "fuel conditions"]),
+    ("terrain", "Terrain", ["terrain", "slope", "aspect", "drainage"]),
+    ("values_at_risk", "Values at Risk", ["values at risk", "values threatened", "structures threatened", "critical infrastructure"]),
+    ("strategy_tactics", "Strategy / Tactics", ["strategy", "tactics", "planned actions", "operations plan"]),
+    ("assigned_resources", "Assigned Resources", ["resources", "assigned resources", "personnel", "engines", "crews", "aircraft"]),
+    ("safety_concerns", "Safety Concerns", ["safety concerns", "hazards", "critical safety", "watch out"]),
+    ("command_structure", "Command Structure", ["command structure", "incident commander", "operations section chief", "command"]),
+    ("unresolved_risks", "Unresolved Risks", ["unresolved risks", "outstanding concerns", "issues", "constraints"]),
+]
 NO_HEADINGS = ["table of contents", "this page intentionally left blank.", "this page left intentionally blank.", "acknowledgments", "appendix", "glossary/acronyms"]
 DASHES = "‐‑‒–—−"
 
@@ -141,6 +176,11 @@ def is_heading(t: Column) -> Column:
     return fits & (F.rlike(t, F.lit(r"(?i)^(chapter|unit)\s+\d+")) | (F.rlike(t, F.lit(_CAPS)) & (words <= 14)) | title_case)
 
 
+def is_chapter_alone(t: Column) -> Column:
+    """Whether a line cleaned by clean_heading is the label of a chapter without its title."""
+    return F.rlike(t, F.lit(r"(?i)^(chapter|unit)\s+\d+\s*$"))
+
+
 def is_contents(page: Column) -> Column:
     """Whether a page is a table of contents."""
     low = F.lower(page)

@@ -92,6 +92,30 @@ def pack(parts: str, most: int, joiner: str) -> Column:
     return F.expr(f"aggregate({cut}, cast(array() AS array<string>), (s, x) -> CASE WHEN x = '' THEN s WHEN {fits} THEN {longer} ELSE concat(s, array(x)) END)")
 
 
+def semantic_blocks(text: str, most: int = 1800) -> Column:
+    """The paragraphs of a text column (between blank lines, with single spaces) packed to blocks of at most `most` characters.
+
+    A longer paragraph is cut at its sentences, which are packed with a line end between them; a sentence
+    that is too long, or a paragraph of one, is cut where it is full. What comes of paragraphs is packed with an empty line between.
+    """
+    cut = lambda x: f"transform(sequence(0, (length({x}) - 1) DIV {most}), i -> substring({x}, CAST(i AS INT) * {most} + 1, {most}))"
+    none = "named_struct('done', cast(array() AS array<string>), 'now', '')"
+    flushed = "CASE WHEN s.now = '' THEN s.done ELSE concat(s.done, array(s.now)) END"
+
+    def packed(parts: str, joiner: str, long: str) -> str:
+        step = f"""CASE {long} WHEN s.now = '' THEN named_struct('done', s.done, 'now', x)
+            WHEN length(s.now) + {len(joiner)} + length(x) <= {most} THEN named_struct('done', s.done, 'now', concat(s.now, '{joiner}', x))
+            ELSE named_struct('done', concat(s.done, array(s.now)), 'now', x) END"""
+        return f"aggregate({parts}, {none}, (s, x) -> {step}, s -> {flushed})"
+
+    line, empty = "\n", "\n\n"
+    sentences = "split(p, '(?<=[.!?])\\\\s+')"
+    of_sentences = packed(sentences, line, f"WHEN length(x) > {most} THEN named_struct('done', concat({flushed}, {cut('x')}), 'now', '')")
+    parts = f"CASE WHEN length(p) <= {most} THEN array(p) WHEN size({sentences}) > 1 THEN {of_sentences} ELSE {cut('p')} END"
+    squeezed = f"filter(transform(split(coalesce({text}, ''), '\\\\n\\\\s*\\\\n'), b -> trim(regexp_replace(b, '\\\\s+', ' '))), b -> b <> '')"
+    return F.expr(packed(f"flatten(transform({squeezed}, p -> {parts}))", empty, ""))
+
+
 def recent(messages: DataFrame, conversation: str, turn: str, most: int) -> DataFrame:
     """The last `most` messages of each conversation."""
     order = Window.partitionBy(conversation).orderBy(F.col(turn).desc())

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import written
 from . import folds
 
 
@@ -76,6 +77,61 @@ def chunks(rows: DataFrame, doc: str, most: int = 1800, domain: str = "doctrine"
     return out.withColumn("tags", T.topic_tags(F.col("path"), F.col("text"), F.col("domain")))
 
 
+def profile(text: Column, section: dict[str, Column], file: Column) -> list[Column]:
+    """The facts of a report as columns; a fact that isn't found is empty.
+
+    text: all pages; section: the text of each section (null or empty: none); file: the report's name, without its
+    ending. A fact comes from a label in the text, from the line after such a label, or from a section, in an order of its own.
+    """
+    labels = {key: names for key, _, names in T.FACTS}
+    said = lambda key: label_value(text, labels[key])
+    beside = lambda key: adjacent_value(text, labels[key])
+    part = lambda *names: T.first_text(*[section[n] for n in names])
+    first = lambda *found: F.coalesce(*[F.nullif(x, F.lit("")) for x in found], F.lit(""))
+    safety, operations = first(part("Safety Concerns"), said("safety_concerns")), first(part("Operations Plan", "Objectives"), said("strategy_tactics"))
+    facts = {
+        "incident_name": first(said("incident_name"), F.translate(file, "_", " ")),
+        "operational_period": first(said("operational_period"), beside("operational_period")),
+        "location": first(said("location"), beside("location"), part("Incident Overview")),
+        "overall_risk_level": first(said("overall_risk_level"), beside("overall_risk_level")),
+        "current_fire_behavior": first(part("Current Situation"), said("current_fire_behavior")),
+        "containment": first(said("containment")),
+        "weather": first(part("Weather"), said("weather")),
+        "fuels": first(part("Fuels"), said("fuels")),
+        "terrain": first(part("Terrain"), said("terrain")),
+        "values_at_risk": first(part("Values at Risk"), said("values_at_risk")),
+        "strategy_tactics": operations,
+        "assigned_resources": first(part("Resources"), said("assigned_resources")),
+        "safety_concerns": safety,
+        "command_structure": first(part("Command Structure"), said("command_structure")),
+        "unresolved_risks": first(safety, operations),
+    }
+    return [facts[key].alias(key) for key, _, _ in T.FACTS]
+
+
+def ingest(pages: DataFrame, doc: str, page: str, text: str, file: str, day: Column, most: int = 1800) -> tuple[DataFrame, DataFrame]:
+    """(profiles, chunks) of reports, whose pages are rows (doc, page from 1, text, file name without its ending).
+
+    profiles: doc, incident_id, facts. chunks: doc, n (from 1), chunk_id, section, text, page_start, page_end:
+    each section's paragraphs packed to at most `most` characters. day: of the ingest, a column of pages. Lines that
+    match an injection pattern are replaced first; of sections of one name the last gives facts.
+    """
+    rows = pages.select(doc, F.col(page).alias("page"), T.sanitize(F.coalesce(F.col(text), F.lit(""))).alias("text"), F.col(file).alias("file"), day.alias("day"))
+    parts = written(sections(lines(rows, doc, "page", "text"), doc, T.SECTIONS))
+    whole = rows.groupBy(doc).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.trim("text") != "", F.struct("page", "text")))), lambda p: p["text"]), "\n").alias("whole"), F.min("file").alias("file"), F.min("day").alias("day"))
+    last = parts.groupBy(doc, F.col("section").alias("name")).agg(F.max_by("text", "number").alias("said"))
+    by_name = last.groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("name", "said"))).alias("said"))  # as many as there are names
+    told = whole.join(by_name, doc, "left")
+    facts = profile(F.col("whole"), {n: F.try_element_at("said", F.lit(n)) for n in T.SECTIONS}, F.col("file"))
+    told = told.select(doc, *facts, F.col("day"))
+    profiles = told.withColumn("incident_id", T.incident_id(F.col("incident_name"), F.col("day"))).drop("day")
+    blocks = parts.withColumn("__text", F.col("text")).select(doc, "number", "section", "page_start", "page_end", F.posexplode(folds.semantic_blocks("__text", most)).alias("at", "text"))
+    n = F.row_number().over(Window.partitionBy(doc).orderBy("number", "at"))
+    blocks = blocks.withColumn("n", n).join(profiles.select(doc, "incident_id", "incident_name", "operational_period"), doc)
+    number = F.when(F.col("n") < 10, F.lpad("n", 2, "0")).otherwise(F.col("n").cast("string"))
+    return profiles, blocks.select(doc, "n", F.concat_ws("_", "incident_id", T.slug(F.col("section")), number).alias("chunk_id"), "incident_name", "operational_period", "section", "text", "page_start", "page_end")
+
+
 def label_value(x: Column, labels: list[str]) -> Column:
     """The rest of the first line that starts with a label and : or -; null if none does."""
     found = F.lit(None).cast("string")
