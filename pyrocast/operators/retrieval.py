@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SECTION_BONUS, tokens
+from ..functions.text import SECTION_BONUS, TOKEN, tokens
 from ..session import written
 
 K1, B = 1.5, 0.75
-#: Query vectors that are broadcast at a time.
-QUERY_BLOCK = 1024
-#: Rows that are held against a block of queries at a time.
-ROW_BLOCK = 4096
+#: Queries and rows that are held against each other at a time, and rows of these that are scored together.
+QUERY_BLOCK, ROW_BLOCK, SLICE = 1024, 4096, 256
+#: Terms of queries that are sent to every task.
+MOST_TERMS = 500_000
 
 
 def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -62,56 +68,61 @@ def top(scored: DataFrame, k: int, by: str = "query_id", score: str = "score", i
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def dense_top(vectors: DataFrame, vec_id: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, doc_id, score: the k largest dot products of each query (query_id, vector), itself left out.
+def term_vectors(docs: DataFrame, doc_id: str, text: str, known: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_tokens, terms (array of long: hashes of 64 bits), tfs: the terms of each row's text and how often it has them.
 
-    Queries are broadcast in blocks of QUERY_BLOCK; each task keeps the best k of its rows for each
-    query, and only those are shuffled. Scores are rounded before they are ranked; ties go to the smaller id.
+    known: term; only these terms are kept, where they are few enough to be sent to every task.
+    """
+    kept = None
+    if known is not None:
+        few = known.select("term").distinct().limit(MOST_TERMS + 1)
+        if few.count() <= MOST_TERMS:
+            kept = docs.sparkSession.sparkContext.broadcast(frozenset(r.term for r in few.toLocalIterator()))
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("terms", pa.list_(pa.int64())), ("tfs", pa.list_(pa.int32()))])
+
+    def run(batches):
+        find, wanted, numbers = re.compile(TOKEN).findall, kept.value if kept else None, {}
+        for batch in batches:
+            n, terms, tfs, ends = [], [], [], [0]
+            for x in batch.column(1).to_pylist():
+                found = Counter(find(x or ""))
+                n.append(found.total())
+                # forms of a word that differ in case or outer marks are one term
+                words: dict[str, int] = {}
+                for word, times in found.items():
+                    word = word.lower().strip("._-")
+                    words[word] = words.get(word, 0) + times
+                for word, times in words.items():
+                    if wanted is None or word in wanted:
+                        number = numbers.get(word)
+                        if number is None:
+                            if len(numbers) > 500_000:
+                                numbers.clear()
+                            number = numbers[word] = xxhash.xxh3_64_intdigest(word.encode()) - (1 << 63)
+                        terms.append(number)
+                        tfs.append(times)
+                ends.append(len(terms))
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, kind)) for x, kind in ((terms, pa.int64()), (tfs, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *lists], schema=schema)
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, terms array<long>, tfs array<int>")
+
+
+def keyword_sides(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id: str, query: str) -> tuple[DataFrame, DataFrame]:
+    """(docs, queries) as search takes them. docs: doc_id, terms, impacts; queries: query_id, terms, weights: the BM25 score of a pair is the sum, over common terms, of impact * weight.
+
+    Texts are read once. Each row is a document of its own, also if it has another's id.
     """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(vec_id).cast("long").alias("doc_id"), F.col(vector).cast("array<double>").alias("v"))
-    asked = queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>")).orderBy("query_id")
-    found, block = None, []
-
-    def scan(block):
-        ids = np.array([r[0] for r in block])
-        sent = spark.sparkContext.broadcast((ids, np.array([r[1] for r in block], np.float64)))
-
-        def run(batches):
-            import pandas as pd
-
-            ids, q = sent.value
-            for pdf in batches:
-                if len(pdf):
-                    pdf = pdf.sort_values("doc_id")
-                    docs, scores = pdf["doc_id"].to_numpy(), _rounded(q @ np.array(pdf["v"].tolist(), np.float64).T, 6)
-                    scores[ids[:, None] == docs[None]] = -np.inf
-                    # a stable sort of rows in order of ids leaves ties to the smaller
-                    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                    out = pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "doc_id": docs[best.ravel()], "score": np.take_along_axis(scores, best, 1).ravel()})
-                    yield out[np.isfinite(out["score"])]
-
-        return rows.mapInPandas(run, "query_id long, doc_id long, score double")
-
-    for row in asked.toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            found = scan(block) if found is None else found.unionByName(scan(block))
-            block = []
-    if block or found is None:
-        last = scan(block) if block else spark.createDataFrame([], "query_id long, doc_id long, score double")
-        found = last if found is None else found.unionByName(last)
-    return found.withColumn("score", F.round("score", 6))
-
-
-def hybrid(dense: DataFrame, keyword: DataFrame, bonus: DataFrame | None = None) -> DataFrame:
-    """dense + BM25 / 4 + bonus of each pair, where above 0; a part that is missing counts 0."""
-    joined = dense.withColumnRenamed("score", "dense").join(keyword.withColumnRenamed("score", "keyword"), ["query_id", "doc_id"], "full")
-    score = F.coalesce("dense", F.lit(0.0)) + 0.25 * F.coalesce("keyword", F.lit(0.0))
-    if bonus is not None:
-        joined = joined.join(bonus, "doc_id", "left")
-        score = score + F.coalesce("bonus", F.lit(0.0))
-    return joined.withColumn("score", score).filter("score > 0").select("query_id", "doc_id", "score")
+    known = queries.select(F.explode(tokens(F.col(query))).alias("term"))
+    held = written(term_vectors(docs, doc_id, text, known))
+    stats = held.agg(F.count("*").alias("n"), F.avg("n_tokens").alias("avg")).first()
+    counted = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    asked = term_vectors(queries, query_id, query).select(F.col("doc_id").alias("query_id"), F.explode(F.arrays_zip("terms", "tfs")).alias("t"))
+    weight = idf(F.lit(stats["n"]), F.col("df")) * F.col("times") * (K1 + 1)
+    asked = asked.select("query_id", F.col("t.terms").alias("term"), F.col("t.tfs").alias("times")).join(counted, "term").withColumn("weight", weight)
+    asked = asked.groupBy("query_id").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))
+    size = K1 * (1 - B + B * F.greatest("n_tokens", F.lit(1)) / max(stats["avg"] or 1.0, 1.0))
+    return held.select("doc_id", "terms", F.transform("tfs", lambda tf: tf / (tf + size)).alias("impacts")), asked
 
 
 def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
@@ -119,68 +130,109 @@ def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
     return np.copysign(np.floor(np.abs(x) * 10.0**digits + 0.5) / 10.0**digits, x)
 
 
-def hybrid_top(chunks: DataFrame, queries: DataFrame, keyword: DataFrame, k: int, n_docs: int, n_queries: int) -> DataFrame:
-    """query_id, doc_id, score: dense + keyword / 4 + bonuses of every pair, cut to the k best of a query above 0 only after all are added.
+def _column(table: pa.Table, name: str, kind: pa.DataType):
+    return table.column(name).combine_chunks().cast(kind) if name in table.column_names else pa.nulls(len(table), kind)
+
+
+def _vectors(table: pa.Table, dims: int) -> np.ndarray:
+    """Vectors as rows; zeros where there is none."""
+    lists = _column(table, "vector", pa.list_(pa.float64()))
+    out, has = np.zeros((len(lists), dims)), np.asarray(lists.value_lengths().fill_null(0)) == dims
+    if has.any() and dims:
+        out[has] = np.asarray(lists.filter(pa.array(has)).flatten()).reshape(-1, dims)
+    return np.nan_to_num(out, nan=0.0)
+
+
+def _sparse(table: pa.Table, values: str):
+    """(row of each term, terms, values)."""
+    terms, found = _column(table, "terms", pa.list_(pa.int64())), _column(table, values, pa.list_(pa.float64()))
+    return np.repeat(np.arange(len(terms)), np.asarray(terms.value_lengths().fill_null(0))), np.asarray(terms.flatten()), np.asarray(found.flatten())
 
-    chunks: doc_id, vector, and bonus and section where there are such (chunk_bonus); queries: query_id,
-    vector, and sections (hinted_sections) where there are bonuses; keyword: all (query_id, doc_id, score). A pair's dense part,
-    rounded to 6 digits, is 0 where either has no vector and for a row and itself; a pair gains SECTION_BONUS
-    where the query hints at the chunk's section. n_docs, n_queries: about how many there are; both are
-    dealt by hash into blocks of ROW_BLOCK and QUERY_BLOCK, and each pair of blocks gives its k best for
-    each query, ties to the smaller id, which top() then ranks.
+
+def search(chunks: DataFrame, queries: DataFrame, k: int, n_docs: int, n_queries: int, above: float | None = 0.0, keyword_weight: float = 0.25) -> DataFrame:
+    """query_id, doc_id, score: of every pair the sum of dense part, keyword part and bonuses; the k best of each query above `above` (None: any) are among the rows.
+
+    chunks: doc_id and what there is of vector, terms and impacts (keyword_sides), bonus and section
+    (chunk_bonus); queries: query_id and what there is of vector, terms and weights, and sections
+    (hinted_sections). The dense part is the dot product, 0 where either has no vector and for a row and itself
+    (which is left out where nothing but vectors is compared); the keyword part is the BM25 score times
+    keyword_weight; a pair gains SECTION_BONUS where the query hints at the chunk's section. Parts are not
+    rounded; sums are, to 10 digits, so that equal scores tie.
+
+    n_docs, n_queries: about how many there are. Both sides are dealt by hash into blocks of ROW_BLOCK and
+    QUERY_BLOCK, and each pair of blocks gives its k best for each query, ties to the smaller id, which top() then
+    ranks. Inside, chunks are taken some at a time: a query whose k-th best so far is above the most that these may
+    reach (by each term's largest impact and the longest vector) is passed over.
     """
     rows, asked = max(1, -(-n_docs // ROW_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
-
-    def block(col, n):
-        return F.pmod(F.xxhash64(F.col(col)), F.lit(n)).cast("int")
-
-    def everywhere(n):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    def told(df, name, kind):
-        return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
-
-    vector = F.col("vector").cast("array<double>").alias("v")
-    docs = chunks.select(F.lit(False).alias("asked"), F.col("doc_id").cast("long").alias("id"), vector, told(chunks, "bonus", "double").alias("bonus"), F.array(told(chunks, "section", "string")).alias("sections"))
-    docs = docs.filter("id IS NOT NULL").withColumn("q", everywhere(asked)).withColumn("d", block("id", rows))
-    sought = queries.select(F.lit(True).alias("asked"), F.col("query_id").cast("long").alias("id"), vector, F.lit(0.0).alias("bonus"), told(queries, "sections", "array<string>").alias("sections"))
-    sought = sought.filter("id IS NOT NULL").withColumn("q", block("id", asked)).withColumn("d", everywhere(rows))
-    pairs = keyword.select(F.col("query_id").cast("long"), F.col("doc_id").cast("long"), "score").withColumn("q", block("query_id", asked)).withColumn("d", block("doc_id", rows))
-
-    def sides(have, pairs, mine):
-        """Ids, those with a vector first and those that only keywords know last; the vectors; bonuses and sections of the ids that are had."""
-        own = have[have["asked"] == mine]
-        has_vector = own["v"].notna().to_numpy()
-        own = own.iloc[np.argsort(~has_vector, kind="stable")]
-        ids = own["id"].to_numpy(np.int64)
-        others = np.setdiff1d(pairs["query_id" if mine else "doc_id"].to_numpy(np.int64), ids)
-        none = [()] * len(others)
-        sections = [*[() if x is None else x for x in own["sections"]], *none]
-        return np.concatenate([ids, others]), own["v"].tolist()[: has_vector.sum()], np.append(own["bonus"].fillna(0.0).to_numpy(float), np.zeros(len(others))), sections
-
-    def cell(have, pairs):
-        import pandas as pd
-
-        (qs, qv, _, asked_for), (ds, dv, bonus, section) = sides(have, pairs, True), sides(have, pairs, False)
-        score = np.zeros((len(qs), len(ds)))
-        if qv and dv:
-            score[: len(qv), : len(dv)] = _rounded(np.array(qv, np.float64) @ np.array(dv, np.float64).T, 6)
-        score[qs[:, None] == ds[None]] = 0.0
-        (q, at_q), (d, at_d) = np.unique(qs, return_inverse=True), np.unique(ds, return_inverse=True)
-        words = np.zeros((len(q), len(d)))
-        words[np.searchsorted(q, pairs["query_id"]), np.searchsorted(d, pairs["doc_id"])] = pairs["score"]
-        number = {name: i for i, name in enumerate(sorted({x for one in section for x in one if x is not None}))}
-        of, hints = np.array([number.get(one[0], -1) if len(one) else -1 for one in section], int), np.zeros((len(qs), len(number) + 1))
-        for i, names in enumerate(asked_for):
-            hints[i, [number[x] for x in names if x in number]] = SECTION_BONUS
-        score = _rounded(score + 0.25 * words[at_q][:, at_d] + hints[:, of] + bonus[None], 8)
-        order = np.argsort(ds, kind="stable")
-        score, ds = score[:, order], ds[order]
-        best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"query_id": np.repeat(qs, best.shape[1]), "doc_id": ds[best.ravel()], "score": np.take_along_axis(score, best, 1).ravel()})
-        return out[out["score"] > 0]
-
-    return docs.unionByName(sought).groupBy("q", "d").cogroup(pairs.groupBy("q", "d")).applyInPandas(cell, "query_id long, doc_id long, score double")
+    kinds = {"vector": "array<double>", "terms": "array<long>", "impacts": "array<double>", "weights": "array<double>", "bonus": "double", "section": "string", "sections": "array<string>"}
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    have = [c for c in kinds if c in chunks.columns or c in queries.columns]
+    told = lambda df: [(F.col(c) if c in df.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in have]
+    docs = chunks.select(F.lit(False).alias("asked"), F.col("doc_id").cast("long").alias("id"), *told(chunks)).filter("id IS NOT NULL")
+    docs = docs.withColumn("q", everywhere(asked)).withColumn("d", block("id", rows))
+    sought = queries.select(F.lit(True).alias("asked"), F.col("query_id").cast("long").alias("id"), *told(queries)).filter("id IS NOT NULL")
+    sought = sought.withColumn("q", block("id", asked)).withColumn("d", everywhere(rows))
+    dense_alone = not {"terms", "bonus", "section"} & set(have)
+    empty = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())]).empty_table()
+
+    def cell(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        q, d = table.filter(pc.field("asked")), table.filter(~pc.field("asked"))
+        if not len(q) or not len(d):
+            return empty
+        qs, ds = np.asarray(q.column("id")), np.asarray(d.column("id"))
+        lengths = [n for t in (q, d) for n in np.unique(np.asarray(_column(t, "vector", pa.list_(pa.float64())).value_lengths().fill_null(0)))]
+        dims = max(lengths)
+        qv, dv = _vectors(q, dims), _vectors(d, dims)
+        q_row, q_term, q_weight = _sparse(q, "weights")
+        terms = np.unique(q_term)
+        weight = np.zeros((len(terms), len(qs)))
+        weight[np.searchsorted(terms, q_term), q_row] = q_weight
+        d_row, d_term, d_impact = _sparse(d, "impacts")
+        at = np.minimum(np.searchsorted(terms, d_term), max(len(terms) - 1, 0))
+        known = terms[at] == d_term if len(terms) else np.zeros(len(d_term), bool)
+        d_row, d_term, d_impact = d_row[known], at[known], d_impact[known]
+        starts = np.searchsorted(d_row, np.arange(len(ds) + 1))
+        bonus = np.nan_to_num(np.asarray(_column(d, "bonus", pa.float64()).fill_null(0.0)))
+        sections, hints = _column(d, "section", pa.string()).to_pylist(), _column(q, "sections", pa.list_(pa.string())).to_pylist()
+        number = {name: i for i, name in enumerate(sorted({x for x in sections if x is not None}))}
+        section = np.array([number.get(x, -1) for x in sections], int)
+        hinted = np.zeros((len(qs), len(number) + 1))
+        for i, names in enumerate(hints):
+            hinted[i, [number[x] for x in names or () if x in number]] = SECTION_BONUS
+        far = np.linalg.norm(qv, axis=1)
+        best, of = np.full((len(qs), k), -np.inf), np.full((len(qs), k), np.iinfo(np.int64).max)
+        for a in range(0, len(ds), SLICE):
+            b = min(a + SLICE, len(ds))
+            part = slice(starts[a], starts[b])
+            impact = np.zeros((b - a, len(terms)))
+            impact[d_row[part] - a, d_term[part]] = d_impact[part]
+            most = keyword_weight * (impact.max(axis=0) @ weight) + far * np.linalg.norm(dv[a:b], axis=1).max() + bonus[a:b].max() + hinted[:, np.unique(section[a:b])].max(axis=1)
+            who = np.flatnonzero(most >= best[:, -1] - 1e-9)
+            if not len(who):
+                continue
+            score = qv[who] @ dv[a:b].T
+            score[qs[who][:, None] == ds[None, a:b]] = -np.inf if dense_alone else 0.0
+            score += keyword_weight * (weight[:, who].T @ impact.T) + bonus[None, a:b] + hinted[who][:, section[a:b]]
+            score = np.where(np.isfinite(score), _rounded(score, 10), score)
+            # slices go by id and the sort is stable, so ties stay with the smaller
+            found = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            joined = np.concatenate([best[who], np.take_along_axis(score, found, 1)], axis=1)
+            ids = np.concatenate([of[who], ds[a:b][found]], axis=1)
+            order = np.argsort(-joined, axis=1, kind="stable")[:, :k]
+            best[who], of[who] = np.take_along_axis(joined, order, 1), np.take_along_axis(ids, order, 1)
+        good = np.isfinite(best) if above is None else best > above
+        return pa.table({"query_id": np.repeat(qs, k)[good.ravel()], "doc_id": of[good], "score": best[good]})
+
+    return docs.unionByName(sought).groupBy("q", "d").applyInArrow(cell, "query_id long, doc_id long, score double")
+
+
+def dense_top(vectors: DataFrame, vec_id: str, vector: str, queries: DataFrame, k: int, n_docs: int, n_queries: int) -> DataFrame:
+    """query_id, doc_id, score: the k largest dot products of each query (query_id, vector) are among the rows; itself is left out."""
+    rows = vectors.select(F.col(vec_id).alias("doc_id"), F.col(vector).alias("vector"))
+    return search(rows.filter(F.size("vector") > 0), queries.select("query_id", "vector").filter(F.size("vector") > 0), k, n_docs, n_queries, above=None)
 
 
 def merge_context(*lists: DataFrame, keys: list[str]) -> DataFrame:
@@ -221,12 +273,19 @@ def with_vectors(chunks: DataFrame, vectors: DataFrame, chunk_id: str) -> DataFr
     return chunks.join(vectors, chunk_id)
 
 
-def fact_overlap(queries: DataFrame, facts: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, fact_id, overlap, rank: facts by distinct terms in common; both sides (id, text)."""
-    q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    f = facts.select("fact_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    both = q.join(f, "term").groupBy("query_id", "fact_id").agg(F.count("*").alias("overlap"))
-    return top(both, k, score="overlap", item="fact_id")
+def fact_overlap(queries: DataFrame, facts: DataFrame, n_facts: int, n_queries: int, k: int = 5) -> DataFrame:
+    """query_id, fact_id, overlap, rank: the k facts with the most distinct terms in common, ties to the smaller id.
+
+    queries: query_id, text; facts: fact_id, text, and value where there is one: facts with an empty value are left out.
+    n_facts, n_queries: about how many there are (see search).
+    """
+    if "value" in facts.columns:
+        facts = facts.filter(F.coalesce("value", F.lit("")) != "")
+    ones = F.transform("terms", lambda t: F.lit(1.0))
+    q = term_vectors(queries, "query_id", "text").select(F.col("doc_id").alias("query_id"), "terms", ones.alias("weights"))
+    f = term_vectors(facts, "fact_id", "text", queries.select(F.explode(tokens(F.col("text"))).alias("term"))).select("doc_id", "terms", ones.alias("impacts"))
+    found = top(search(f, q, k, n_facts, n_queries, keyword_weight=1.0), k)
+    return found.select("query_id", F.col("doc_id").alias("fact_id"), F.col("score").cast("long").alias("overlap"), "rank")
 
 
 def metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries on requests, context by class, episodes as wholes, axes, and small conversions."""
+"""Queries on requests, episodes as wholes, axes, and small conversions."""
 
 from __future__ import annotations
 
@@ -93,20 +93,6 @@ def session_lookup(spark, sf):
     return out.select("o_orderkey", "found", F.coalesce("c_nationkey", F.lit(-1)).cast("long").alias("nation"))
 
 
-def context_route(spark, sf):
-    """Lists made of conversations, events and documents, merged by the class of each part's question."""
-    classes = ["incident-fact", "doctrine", "safety-critical", "incident+doctrine synthesis", T.UNCLEAR]
-    k = F.col("p_partkey")
-    asked = table(spark, sf, "part").select(k.alias("query_id"), F.get(F.array(*map(F.lit, classes)), F.pmod(k, F.lit(5)).cast("int")).alias("query_class"), (F.pmod(k, F.lit(2)) == 0).alias("has_profile"))
-
-    def hits(most: int, step: int):
-        rank = F.explode(F.sequence(F.lit(1), F.lit(most)))
-        return asked.select("query_id", rank.alias("rank")).select("query_id", (F.pmod(F.col("query_id") * step, F.lit(11)) + F.col("rank") * step).alias("item"), "rank")
-
-    out = retrieval.routed(asked, hits(3, 1), hits(4, 2), hits(5, 3), ["item"])
-    return out.select("query_id", "item", F.col("rank").cast("int"), F.col("list").cast("int"))
-
-
 def body_pages(spark, sf):
     """Turns of conversations as pages, from the second on; some are made tables of contents."""
     x = F.when(F.pmod("conv_id", F.lit(3)) == 0, F.concat(F.lit("Table of Contents Chapter 1 Unit 2 "), "text")).otherwise(F.concat(F.lit("Chapter 1 table of contents "), "text"))
@@ -128,7 +114,7 @@ def small_conversions(spark, sf):
 
 
 _S = fires._STEPS
-QUERIES = {f.__name__: f for f in (grow_window, axis_limits, running_burn, gained_burn, episode_averages, class_counts, unit_vectors, request_check, session_lookup, context_route, body_pages, small_conversions)}
+QUERIES = {f.__name__: f for f in (grow_window, axis_limits, running_burn, gained_burn, episode_averages, class_counts, unit_vectors, request_check, session_lookup, body_pages, small_conversions)}
 SQL = {
     "grow_window": f"""WITH {_S}, n AS (SELECT user_id, step AS pos, value AS a2, count(*) OVER (PARTITION BY user_id) AS n FROM steps),
 h AS (SELECT *, n - n % 6 AS m FROM n WHERE n > 24 AND pos < n - n % 6),
@@ -164,13 +150,6 @@ SELECT k AS p_partkey, CASE WHEN mb > 30 THEN 413 WHEN kind = 'predict' AND (k %
     WHEN kind = 'query' AND k % 6 = 0 THEN 'query is required' WHEN kind = 'query' AND k % 9 = 0 THEN 'query too long' WHEN kind IN ('pdf', 'audio') AND mb IS NULL THEN 'file is required'
     WHEN kind = 'pdf' AND mb > 20 THEN 'pdf too large' WHEN kind = 'audio' AND mb > 25 THEN 'audio too large' WHEN kind = 'fax' THEN 'unknown request' END AS reason FROM r""",
     "session_lookup": "SELECT o_orderkey, c_custkey IS NOT NULL AS found, CAST(coalesce(c_nationkey, -1) AS BIGINT) AS nation FROM orders LEFT JOIN customer ON c_custkey = o_custkey + o_orderkey % 2 * 1000000",
-    "context_route": """WITH q AS (SELECT p_partkey AS query_id, p_partkey % 5 AS c, p_partkey % 2 = 0 AS known FROM part),
-l AS (SELECT query_id, c, known, 0 AS list, query_id % 11 + rank AS item, rank FROM q, (SELECT unnest(range(1, 4)) AS rank)
-  UNION ALL SELECT query_id, c, known, 1, query_id * 2 % 11 + rank * 2, rank FROM q, (SELECT unnest(range(1, 5)) AS rank)
-  UNION ALL SELECT query_id, c, known, 2, query_id * 3 % 11 + rank * 3, rank FROM q, (SELECT unnest(range(1, 6)) AS rank))
-SELECT query_id, item, CAST(rank AS INT) AS rank, list FROM l
-WHERE CASE c WHEN 0 THEN list < 2 WHEN 1 THEN list = 2 WHEN 2 THEN true WHEN 3 THEN true ELSE CASE WHEN known THEN list < 2 OR rank <= 2 ELSE list = 2 END END
-QUALIFY row_number() OVER (PARTITION BY query_id, item ORDER BY list, rank) = 1""",
     "body_pages": "SELECT conv_id, turn FROM conversations WHERE turn >= 1 AND NOT (conv_id % 3 = 0 OR (length(lower(text)) - length(replace(lower(text), 'chapter', ''))) / 7 + (length(lower(text)) - length(replace(lower(text), 'unit', ''))) / 4 >= 1)",
     "small_conversions": r"""SELECT p_partkey, round((p_partkey % 256 * 256 + p_size) / 65535.0::DOUBLE * 4000, 6) AS height,
   round(25 + p_partkey % 25 - 27.1::DOUBLE / 111 / 2, 6) AS south, round(25 + p_partkey % 25 + 27.1::DOUBLE / 111 / 2, 6) AS north,

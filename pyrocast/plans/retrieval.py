@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import evaluation
 from ..operators import retrieval as R
 from ..session import table
 
@@ -24,70 +25,112 @@ def bm25_index(spark, sf):
     return R.terms(posted, docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-def _bm25(spark, sf):
-    scored = R.bm25(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "benchmark"), "item_id", "text")
-    return scored.withColumn("score", F.round("score", 4))
+def _sides(spark, sf):
+    return R.keyword_sides(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "benchmark"), "item_id", "text")
 
 
-def bm25_topk(spark, sf):
-    return R.top(_bm25(spark, sf), K)
+def _ranked(found, k, digits=4):
+    return R.top(found, k).withColumn("score", F.round("score", digits))
 
 
-def _dense(spark, sf, k):
-    vectors = table(spark, sf, "embeddings")
-    asked = vectors.filter(F.pmod("vec_id", F.lit(50)) == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return R.dense_top(vectors, "vec_id", "embedding", asked, k)
+def bm25_topk(spark, sf):
+    docs, asked = _sides(spark, sf)
+    return _ranked(R.search(docs, asked, K, docs.count(), asked.count(), keyword_weight=1.0), K)
 
 
 def dense_topk(spark, sf):
-    return R.top(_dense(spark, sf, 5), 5)
+    vectors = table(spark, sf, "embeddings")
+    asked = vectors.filter(F.pmod("vec_id", F.lit(50)) == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return _ranked(R.dense_top(vectors, "vec_id", "embedding", asked, 5, vectors.count(), asked.count()), 5, 6)
 
 
 def _pairs(spark, sf):
-    """Vectors as chunks, and items with the vector of their id as queries."""
+    """Documents and vectors as chunks, and items with the vector of their id as queries."""
+    docs, asked = _sides(spark, sf)
     vectors, items = table(spark, sf, "embeddings"), table(spark, sf, "benchmark")
     vectors = vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    asked = items.select(F.col("item_id").alias("query_id"), "text").join(vectors.withColumnRenamed("doc_id", "query_id"), "query_id", "left")
-    return vectors, asked, items.count()
+    chunks = vectors.join(docs, "doc_id", "full")
+    queries = items.select(F.col("item_id").alias("query_id"), "text").join(vectors.withColumnRenamed("doc_id", "query_id"), "query_id", "left").join(asked, "query_id", "left")
+    return chunks, queries, max(docs.count(), vectors.count()), items.count()
 
 
 def hybrid_topk(spark, sf):
     """The keyword scores of benchmark items and the dense scores of the vectors with their ids, added for every pair before the only cut, to the K best."""
-    chunks, asked, n = _pairs(spark, sf)
-    n_docs = max(chunks.count(), table(spark, sf, "documents").count())
-    return R.top(R.hybrid_top(chunks, asked.drop("text"), _bm25(spark, sf), K, n_docs, n), K)
+    chunks, asked, n, m = _pairs(spark, sf)
+    return _ranked(R.search(chunks, asked.drop("text"), K, n, m), K)
 
 
 def hybrid_whole(spark, sf):
     """hybrid_topk with bonuses: each id of a document or vector is a chunk with a stand-in for its section, authority and source."""
-    chunks, asked, n = _pairs(spark, sf)
-    chunks = chunks.join(table(spark, sf, "documents").select("doc_id"), "doc_id", "full")
+    chunks, asked, n, m = _pairs(spark, sf)
     names = F.array(*[F.lit(name) for name, _ in T.SECTION_HINTS])
     section = F.get(names, F.pmod("doc_id", F.lit(9)).cast("int"))
     kind = F.when(F.pmod("doc_id", F.lit(11)) == 0, "incident_report").otherwise("doctrine")
     chunks = chunks.withColumn("section", section).withColumn("bonus", T.chunk_bonus(F.pmod("doc_id", F.lit(5)), kind))
-    asked = asked.withColumn("sections", T.hinted_sections(F.col("text")))
-    return R.top(R.hybrid_top(chunks, asked, _bm25(spark, sf), K, chunks.count(), n), K)
+    asked = asked.withColumn("sections", T.hinted_sections(F.col("text"))).drop("text")
+    return _ranked(R.search(chunks, asked, K, n, m), K)
 
 
 def fact_overlap(spark, sf):
+    """Questions of conversations against benchmark texts as facts; every seventh fact has no value."""
     talk = table(spark, sf, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
-    return R.fact_overlap(talk, table(spark, sf, "benchmark").select(F.col("item_id").alias("fact_id"), "text"))
+    facts = table(spark, sf, "benchmark").select(F.col("item_id").alias("fact_id"), "text", F.when(F.pmod("item_id", F.lit(7)) > 0, F.col("text")).alias("value"))
+    return R.fact_overlap(talk, facts, facts.count(), talk.count())
+
+
+def _matched(spark, sf):
+    """case_id, chunk_id: documents that a benchmark item's matchers fit: a piece of its text, or a shorter one in documents of one source and language."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_title"), F.concat_ws(" > ", "source", "lang").alias("section_path"), "text")
+    told = lambda title, section, text: F.struct(title.alias("doc_title"), section.alias("section_contains"), text.alias("text_contains"))
+    none = F.lit(None).cast("string")
+    k = F.col("item_id")
+    title = F.concat(F.lit("web"), F.pmod(k, F.lit(4)).cast("string"))
+    first = told(none, F.when(F.pmod(k, F.lit(5)) == 0, "EN").when(F.pmod(k, F.lit(5)) == 1, ""), F.substring("text", 11, 24))
+    second = told(F.when(F.pmod(k, F.lit(3)) == 0, title), F.when(F.pmod(k, F.lit(2)) == 0, "> de"), F.upper(F.substring("text", 40, 9)))
+    cases = table(spark, sf, "benchmark").select(k.alias("case_id"), F.array(first, second).alias("matchers"))
+    return evaluation.relevant(docs, cases)
+
+
+_ASKED = ["What does doctrine say of", "Is there a risk in", "How should we act on", "Who is the IC of", "Tell me of", ""]
 
 
-def _ranked(spark, sf):
-    return bm25_topk(spark, sf).select("query_id", "doc_id", "rank")
+def context_route(spark, sf):
+    """The context of each benchmark item as a question: facts (first turns of conversations), an incident's chunks (its other turns) and doctrine (documents), by the question's class."""
+    k = F.col("item_id")
+    said = F.concat_ws(" ", F.get(F.array(*map(F.lit, _ASKED)), F.pmod(k, F.lit(6)).cast("int")), "text")
+    asked = table(spark, sf, "benchmark").select(k.alias("query_id"), said.alias("text"), (F.pmod(k, F.lit(4)) < 2).alias("has_profile"))
+    talk, docs = table(spark, sf, "conversations"), table(spark, sf, "documents")
+    turns = talk.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "turn", "text")
+    facts, chunks, n, m = turns.filter("turn = 0").select(F.col("id").alias("fact_id"), "text"), turns.filter("turn > 0"), asked.count(), talk.count()
 
+    def found(rows, id_col, size, k):
+        sides = R.keyword_sides(rows, id_col, "text", asked, "query_id", "text")
+        return R.top(R.search(*sides, k, size, n, keyword_weight=1.0), k)
 
-def _relevant(spark, sf):
-    """Stand-in: documents of good quality whose id has the item's remainder by 97."""
-    good = table(spark, sf, "labels").filter("quality = 1").select("doc_id")
-    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"))
-    return good.withColumn("p", F.pmod("doc_id", F.lit(97))).join(items.withColumn("p", F.pmod("query_id", F.lit(97))), "p").drop("p")
+    listed = lambda rows, item, mark: rows.select("query_id", F.concat(F.lit(mark), F.col(item).cast("string")).alias("item"), "rank")
+    lists = listed(R.fact_overlap(asked, facts, m, n), "fact_id", "fact "), listed(found(chunks, "id", m, 3), "doc_id", "chunk "), listed(found(docs, "doc_id", docs.count(), 4), "doc_id", "doctrine ")
+    out = R.routed(asked.select("query_id", T.classify(F.col("text")).alias("query_class"), "has_profile"), *lists, ["item"])
+    return out.select("query_id", "item", F.col("rank").cast("int"), F.col("list").cast("int"))
+
+
+def relevant_chunks(spark, sf):
+    return _matched(spark, sf)
+
+
+def model_runs(spark, sf):
+    """A row for each part as a model and each region as a prompt."""
+    models = table(spark, sf, "part").select("p_partkey", "p_name")
+    return evaluation.runs(models, table(spark, sf, "region"), models.count()).select("p_partkey", "p_name", "r_name")
+
+
+def chunk_vectors(spark, sf):
+    """Documents with the vector of their id; those without one stay out."""
+    out = R.with_vectors(table(spark, sf, "documents").select("doc_id", "source"), table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    return out.select("doc_id", "source", F.size("embedding").cast("long").alias("dims"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
 
 
 def retrieval_metrics(spark, sf):
-    return R.metrics(_ranked(spark, sf), _relevant(spark, sf), K)
+    return R.metrics(bm25_topk(spark, sf), _matched(spark, sf).select(F.col("case_id").alias("query_id"), F.col("chunk_id").alias("doc_id")), K)
 
 
 def retrieval_summary(spark, sf):
@@ -105,44 +148,59 @@ def keyword_correctness(spark, sf):
 
 def context_merge(spark, sf):
     """Keyword hits, then other documents that dense search finds for the same id."""
-    a = R.top(_bm25(spark, sf), 5).select("query_id", "doc_id", "rank")
+    docs, asked = _sides(spark, sf)
+    a = R.top(R.search(docs, asked, 5, docs.count(), asked.count(), keyword_weight=1.0), 5).select("query_id", "doc_id", "rank")
     b = dense_topk(spark, sf).select("query_id", "doc_id", "rank")
     return R.merge_context(a, b, keys=["query_id", "doc_id"]).select("query_id", "doc_id", "rank", "list")
 
 
-_CTES = f"""
-asked AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TOKENS.format("text")}) AS term FROM benchmark) GROUP BY ALL),
-words AS (SELECT doc_id, unnest({_TOKENS.format("text")}) AS term FROM documents),
-sizes AS (SELECT doc_id, len({_TOKENS.format("text")}) AS n_tokens FROM documents),
-stats AS (SELECT count(*) AS n_docs, avg(n_tokens) AS avg_len FROM sizes),
-posted AS (SELECT term, doc_id, count(*) AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
-counted AS (SELECT term, count(*) AS df FROM posted GROUP BY ALL),
-scored AS (SELECT query_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * times * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * greatest(n_tokens, 1) / greatest(avg_len, 1.0)))), 4) AS score
-  FROM posted JOIN asked USING (term) JOIN counted USING (term) JOIN sizes USING (doc_id), stats GROUP BY ALL),
-ranked AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored)"""
+
+
+def _scored(p: str, docs: str, queries: str) -> str:
+    """CTEs (names end in p) of the BM25 scores of all pairs; docs: SQL for (doc_id, text), queries: for (query_id, text)."""
+    return f"""
+asked{p} AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_TOKENS.format("text")}) AS term FROM ({queries})) GROUP BY ALL),
+words{p} AS (SELECT doc_id, unnest({_TOKENS.format("text")}) AS term FROM ({docs})),
+sizes{p} AS (SELECT doc_id, len({_TOKENS.format("text")}) AS n_tokens FROM ({docs})),
+stats{p} AS (SELECT count(*) AS n_docs, avg(n_tokens) AS avg_len FROM sizes{p}),
+posted{p} AS (SELECT term, doc_id, count(*) AS tf FROM words{p} WHERE term IN (SELECT term FROM asked{p}) GROUP BY ALL),
+counted{p} AS (SELECT term, count(*) AS df FROM posted{p} GROUP BY ALL),
+scored{p} AS (SELECT query_id, doc_id, round(raw, 10) AS score, raw FROM (
+  SELECT query_id, doc_id, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * times * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * greatest(n_tokens, 1) / greatest(avg_len, 1.0)))) AS raw
+  FROM posted{p} JOIN asked{p} USING (term) JOIN counted{p} USING (term) JOIN sizes{p} USING (doc_id), stats{p} GROUP BY ALL)),
+ranked{p} AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored{p})"""
+
+
+_CTES = _scored("", "SELECT doc_id, text FROM documents", "SELECT item_id AS query_id, text FROM benchmark")
 _DENSE = """
-dense AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
+dense AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 10) AS score, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS raw
   FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE {})"""
+_ROUTED = """SELECT item_id AS query_id, concat_ws(' ', ['What does doctrine say of', 'Is there a risk in', 'How should we act on', 'Who is the IC of', 'Tell me of', ''][item_id % 6 + 1], text) AS text FROM benchmark"""
+_TURNS = "SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations WHERE turn > 0"
+_NORM = r"lower(trim(regexp_replace(translate({}, '‐‑‒–—−', '------'), '\s+', ' ', 'g')))"
+_MATCHED = f"""SELECT DISTINCT item_id AS query_id, doc_id FROM benchmark b JOIN (SELECT doc_id, source, lower(source || ' > ' || lang) AS section, {_NORM.format("text")} AS words FROM documents) d
+  ON (contains(words, {_NORM.format("substr(b.text, 11, 24)")}) AND (item_id % 5 <> 0 OR contains(section, 'en')))
+  OR (contains(words, {_NORM.format("substr(b.text, 40, 9)")}) AND (item_id % 3 <> 0 OR source = 'web' || item_id % 4) AND (item_id % 2 <> 0 OR contains(section, '> de')))"""
 _METRICS = f"""WITH {_CTES},
-relevant AS (SELECT item_id AS query_id, doc_id FROM labels, benchmark WHERE quality = 1 AND doc_id % 97 = item_id % 97),
+relevant AS ({_MATCHED}),
 each AS (SELECT r.query_id, count(*) AS retrieved, count(v.doc_id) AS found, min(rank) FILTER (v.doc_id IS NOT NULL) AS first
   FROM ranked r LEFT JOIN relevant v ON r.query_id = v.query_id AND r.doc_id = v.doc_id WHERE rank <= 10 GROUP BY ALL),
 m AS (SELECT query_id, round(found / greatest(retrieved, 1), 4) AS precision_at_k, round(found / greatest(n, 1), 4) AS recall_at_k,
   CAST(found > 0 AS INT) AS hit_at_k, round(coalesce(1 / first, 0.0), 4) AS reciprocal_rank
   FROM each LEFT JOIN (SELECT query_id, count(*) AS n FROM relevant GROUP BY ALL) USING (query_id))"""
 
-QUERIES = {f.__name__: f for f in (tokenize_stats, bm25_index, bm25_topk, dense_topk, hybrid_topk, hybrid_whole, fact_overlap, retrieval_metrics, retrieval_summary, keyword_correctness, context_merge)}
+QUERIES = {f.__name__: f for f in (tokenize_stats, bm25_index, bm25_topk, dense_topk, hybrid_topk, hybrid_whole, fact_overlap, retrieval_metrics, retrieval_summary, keyword_correctness, context_merge, relevant_chunks, model_runs, chunk_vectors, context_route)}
 SQL = {
     "tokenize_stats": f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents)",
     "bm25_index": f"""WITH words AS (SELECT DISTINCT doc_id, unnest({_TOKENS.format("text")}) AS term FROM documents)
 SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM (SELECT term, count(*) AS df FROM words GROUP BY term), (SELECT count(*) AS n FROM documents)""",
-    "bm25_topk": f"WITH {_CTES} SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 10",
+    "bm25_topk": f"WITH {_CTES} SELECT query_id, doc_id, round(score, 4) AS score, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 10",
     "dense_topk": f"""WITH {_DENSE.format("a.vec_id % 50 = 0")}
-SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM dense QUALIFY rank <= 5""",
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM dense) WHERE rank <= 5""",
     "hybrid_topk": f"""WITH {_CTES}, {_DENSE.format("a.vec_id IN (SELECT item_id FROM benchmark)")},
-both_parts AS (SELECT query_id, doc_id, round(coalesce(b.score, 0.0) + 0.25::DOUBLE * coalesce(k.score, 0.0), 8) AS score, coalesce(b.score, 0.0) + 0.25 * coalesce(k.score, 0.0) AS raw
+both_parts AS (SELECT query_id, doc_id, round(coalesce(b.raw, 0.0) + 0.25::DOUBLE * coalesce(k.raw, 0.0), 10) AS score
   FROM dense b FULL JOIN scored k USING (query_id, doc_id))
-SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM both_parts WHERE raw > 0 QUALIFY rank <= 10""",
+SELECT query_id, doc_id, round(score, 4) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM both_parts WHERE score > 0) WHERE rank <= 10""",
     "hybrid_whole": f"""WITH {_CTES}, {_DENSE.format("a.vec_id IN (SELECT item_id FROM benchmark)")},
 c AS (SELECT doc_id, ['Weather', 'Resources', 'Safety Concerns', 'Operations Plan', 'Command Structure', 'Values at Risk', 'Current Situation'][doc_id % 9 + 1] AS section,
     doc_id % 5 * 0.03::DOUBLE + CASE WHEN doc_id % 11 = 0 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END AS bonus
@@ -151,14 +209,27 @@ h AS (SELECT * FROM (VALUES ('Weather', 'weather|wind|humidity|forecast'), ('Res
   ('Operations Plan', 'strategy|tactics|containment|operations|plan'), ('Command Structure', 'command|ic|operations section chief|divs'),
   ('Values at Risk', 'values at risk|structures|wui|exposure'), ('Current Situation', 'fire behavior|situation|spread|current')) v(section, words)),
 s AS (SELECT item_id AS query_id, section FROM benchmark, h WHERE regexp_matches(lower(text), words)),
-both_parts AS (SELECT i.item_id AS query_id, c.doc_id, round(coalesce(b.score, 0.0) + 0.25::DOUBLE * coalesce(k.score, 0.0) + CASE WHEN s.section IS NULL THEN 0.0::DOUBLE ELSE 0.35::DOUBLE END + bonus, 8) AS score
+both_parts AS (SELECT i.item_id AS query_id, c.doc_id, round(coalesce(b.raw, 0.0) + 0.25::DOUBLE * coalesce(k.raw, 0.0) + CASE WHEN s.section IS NULL THEN 0.0::DOUBLE ELSE 0.35::DOUBLE END + bonus, 10) AS score
   FROM benchmark i CROSS JOIN c LEFT JOIN dense b ON b.query_id = i.item_id AND b.doc_id = c.doc_id LEFT JOIN scored k ON k.query_id = i.item_id AND k.doc_id = c.doc_id
   LEFT JOIN s ON s.query_id = i.item_id AND s.section = c.section)
-SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM both_parts WHERE score > 0 QUALIFY rank <= 10""",
+SELECT query_id, doc_id, round(score, 4) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM both_parts WHERE score > 0) WHERE rank <= 10""",
     "fact_overlap": f"""WITH q AS (SELECT DISTINCT conv_id * 1000 + turn AS query_id, unnest({_TOKENS.format("text")}) AS term FROM conversations WHERE role = 'user'),
-f AS (SELECT DISTINCT item_id AS fact_id, unnest({_TOKENS.format("text")}) AS term FROM benchmark),
+f AS (SELECT DISTINCT item_id AS fact_id, unnest({_TOKENS.format("text")}) AS term FROM benchmark WHERE item_id % 7 > 0),
 o AS (SELECT query_id, fact_id, count(*) AS overlap FROM q JOIN f USING (term) GROUP BY ALL)
 SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, fact_id) AS INT) AS rank FROM o QUALIFY rank <= 5""",
+    "context_route": f"""WITH {_scored("_c", _TURNS, _ROUTED)}, {_scored("_d", "SELECT doc_id, text FROM documents", _ROUTED)},
+q AS (SELECT query_id, query_id % 4 < 2 AS known, CASE WHEN regexp_matches(lower(text), 'watch out situations|what does doctrine|what does irpg|what is lces|what are the standard fire orders|according to nwcg') THEN 'd'
+  WHEN regexp_matches(lower(text), 'risk|safety|hazard|east flank|escape route|safety zone|watch out|urgent') THEN 'b'
+  WHEN regexp_matches(lower(text), 'what strategy|what tactics|containment strategy|next steps|what makes sense here|recommend|how should|what approach') THEN 'b'
+  WHEN regexp_matches(lower(text), 'what resources|assigned resources|who is the ic|containment|weather|location|operational period|what is the fire behavior|where is the fire going|where will the fire go|where will the fire spread|which direction is the fire moving|which direction will it spread|spread direction|predicted spread') THEN 'i' ELSE 'u' END AS c FROM ({_ROUTED})),
+qt AS (SELECT DISTINCT query_id, unnest({_TOKENS.format("text")}) AS term FROM ({_ROUTED})),
+ft AS (SELECT DISTINCT conv_id * 1000 AS fact_id, unnest({_TOKENS.format("text")}) AS term FROM conversations WHERE turn = 0),
+o AS (SELECT query_id, fact_id, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, fact_id) AS rank FROM qt JOIN ft USING (term) GROUP BY query_id, fact_id),
+l AS (SELECT query_id, 'fact ' || fact_id AS item, rank, 0 AS list FROM o WHERE rank <= 5 UNION ALL SELECT query_id, 'chunk ' || doc_id, rank, 1 FROM ranked_c WHERE rank <= 3 UNION ALL SELECT query_id, 'doctrine ' || doc_id, rank, 2 FROM ranked_d WHERE rank <= 4)
+SELECT query_id, item, CAST(rank AS INT) AS rank, list FROM l JOIN q USING (query_id) WHERE CASE c WHEN 'i' THEN list < 2 WHEN 'd' THEN list = 2 WHEN 'b' THEN true ELSE CASE WHEN known THEN list < 2 OR rank <= 2 ELSE list = 2 END END""",
+    "relevant_chunks": f"SELECT query_id AS case_id, doc_id AS chunk_id FROM ({_MATCHED})",
+    "model_runs": "SELECT p_partkey, p_name, r_name FROM part, region",
+    "chunk_vectors": "SELECT doc_id, source, CAST(len(embedding) AS BIGINT) AS dims, round(embedding[1]::DOUBLE, 6) AS first FROM documents JOIN embeddings ON vec_id = doc_id",
     "retrieval_metrics": f"{_METRICS} SELECT * FROM m",
     "retrieval_summary": f"{_METRICS} SELECT count(*) AS cases, round(avg(precision_at_k), 4) AS precision, round(avg(recall_at_k), 4) AS recall, round(avg(hit_at_k), 4) AS hit_rate, round(avg(reciprocal_rank), 4) AS mrr FROM m",
     "keyword_correctness": f"""WITH a AS (SELECT conv_id, turn + 1 AS turn, list_distinct(list_filter({_TOKENS.format("text")}, lambda t: length(t) >= 8)) AS e FROM conversations WHERE role = 'user')

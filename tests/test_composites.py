@@ -69,6 +69,6 @@ def test_evaluation(spark):
     chunks = spark.createDataFrame([("a", "T", "Safety – Zones", "Keep  one foot"), ("b", "T", "Other", "x")], "chunk_id string, doc_title string, section_path string, text string")
     cases = spark.createDataFrame([(1, [("T", "safety - zones", None)]), (2, [(None, None, None)]), (3, [("U", None, None), (None, None, "ONE FOOT")])], "case_id int, matchers array<struct<doc_title: string, section_contains: string, text_contains: string>>")
     assert sorted(map(tuple, evaluation.relevant(chunks, cases).collect())) == [(1, "a"), (2, "a"), (2, "b"), (3, "a")]
-    assert evaluation.runs(cases.select("case_id"), chunks.select("chunk_id")).count() == 6
+    assert evaluation.runs(cases.select("case_id"), chunks.select("chunk_id"), 3).count() == 6
     r = spark.createDataFrame([('ok {"score": 4, "why": "x"} end', "HTTP 429")], "t string, e string").select(evaluation.judged(F.col("t"), "score int, why string").alias("j"), evaluation.rate_limited(F.col("e")).alias("l")).first()
     assert r.j.score == 4 and r.l

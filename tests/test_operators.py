@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pyrocast.functions import physics as P
 from pyrocast.functions import text as T
-from pyrocast.operators import charts, fire, folds, raster, retrieval, spatial
+from pyrocast.operators import charts, evaluation, fire, folds, raster, retrieval, spatial
 from pyrocast.operators import timeseries as S
 
 
@@ -137,7 +137,7 @@ def test_dense_top_ties(spark):
     """Sixty equal vectors, ids in falling order: the smallest ids win."""
     v = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(61, 0, -1)], "vec_id long, embedding array<double>").coalesce(1)
     asked = spark.createDataFrame([(100, [1.0, 0.0])], "query_id long, vector array<double>")
-    got = retrieval.top(retrieval.dense_top(v, "vec_id", "embedding", asked, 5), 5).orderBy("rank").collect()
+    got = retrieval.top(retrieval.dense_top(v, "vec_id", "embedding", asked, 5, 61, 1), 5).orderBy("rank").collect()
     assert [r.doc_id for r in got] == [1, 2, 3, 4, 5]
 
 
@@ -214,16 +214,88 @@ def test_hybrid_cuts_after_fusion(spark):
         held = {i: (vectors[i][0] if q == 1 and i in vectors and i != 1 else 0.0) + 0.25 * words.get((q, i), 0.0) for i in {*vectors, *range(101, 161)}}
         want += [(q, i, pytest.approx(held[i]), n + 1) for n, i in enumerate(sorted([i for i in held if held[i] > 0], key=lambda i: (-round(held[i], 8), i))[:10])]
     assert want[0][1] == 160
-    v = spark.createDataFrame([*vectors.items(), (300, None)], "doc_id long, vector array<double>")
-    asked = spark.createDataFrame([(1, own)], "query_id long, vector array<double>")
-    keyword = spark.createDataFrame([(q, i, s) for (q, i), s in words.items()], "query_id long, doc_id long, score double")
+    # each pair has a term of its own
+    terms = lambda test: [1000 * q + i for q, i in words if test(q, i)]
+    held = [(i, vectors.get(i), (t := terms(lambda q, j, i=i: j == i)), [1.0] * len(t)) for i in sorted({*vectors, 300, *[i for _, i in words]})]
+    v = spark.createDataFrame(held, "doc_id long, vector array<double>, terms array<long>, impacts array<double>")
+    sought = [(q, own if q == 1 else None, terms(lambda p, i, q=q: p == q), [s for (p, _), s in words.items() if p == q]) for q in (1, 2)]
+    asked = spark.createDataFrame(sought, "query_id long, vector array<double>, terms array<long>, weights array<double>")
     for n_docs, n_queries in ((1, 1), (20_000, 3000)):
-        got = retrieval.top(retrieval.hybrid_top(v, asked, keyword, 10, n_docs, n_queries), 10).orderBy("query_id", "rank").collect()
-        assert [tuple(r) for r in got] == want
+        got = retrieval.top(retrieval.search(v, asked, 10, n_docs, n_queries), 10).orderBy("query_id", "rank").collect()
+        assert [(r.query_id, r.doc_id, r.score, r["rank"]) for r in got] == want
     # with bonuses a chunk without vector and common words may be the best
     chunks = v.withColumn("bonus", F.when(F.col("doc_id") == 300, 2.0).otherwise(0.01)).withColumn("section", F.when(F.col("doc_id") == 1, "Weather"))
-    asked = asked.withColumn("sections", F.array(F.lit("Weather"), F.lit("Resources")))
-    got = retrieval.top(retrieval.hybrid_top(chunks, asked, keyword, 200, 1, 1), 200).filter("query_id = 1").collect()
+    asked = asked.withColumn("sections", F.when(F.col("query_id") == 1, F.array(F.lit("Weather"), F.lit("Resources"))))
+    got = retrieval.top(retrieval.search(chunks, asked, 200, 1, 1), 200).filter("query_id = 1").orderBy("rank").collect()
     by = {r.doc_id: r.score for r in got}
     assert (got[0].doc_id, got[0].score) == (300, 2.0)
     assert by[1] == pytest.approx(0.35 + 0.01 + 0.25 * words[1, 1]) and by[7] == pytest.approx(vectors[7][0] + 0.01 + 0.25 * words[1, 7])
+
+
+@pytest.mark.parametrize("above,parts", [(0.0, ("vector", "terms", "bonus")), (0.0, ("terms",)), (None, ("vector",))])
+def test_search_by_definition(spark, monkeypatch, above, parts):
+    """Every pair scored one by one, in slices so small that many are passed over; ties, rows without a part, and repeated ids."""
+    monkeypatch.setattr(retrieval, "SLICE", 4)
+    rng = np.random.default_rng(3)
+    vec = lambda: [float(x) for x in rng.integers(-2, 3, 3)] if rng.random() < 0.9 else None
+    bag = lambda: [int(x) for x in rng.choice(12, rng.integers(0, 6), replace=False)]
+    docs, asked = [], []
+    for i in [*range(150), 7, 7]:
+        t = bag()
+        docs.append((i, vec(), t, [float(x) for x in rng.integers(1, 4, len(t))], float(rng.integers(0, 3)) / 10, ["A", "B", None][rng.integers(0, 3)]))
+    for i in range(100, 130):
+        t = bag()
+        asked.append((i, vec(), t, [float(x) for x in rng.integers(1, 4, len(t))], [["A"], [], None, ["B", "C"]][rng.integers(0, 4)]))
+    want = []
+    for q, qv, qt, qw, hints in asked:
+        rows = []
+        for d, dv, dt, di, bonus, section in docs:
+            dense = sum(a * b for a, b in zip(qv, dv, strict=True)) if qv and dv and q != d else 0.0
+            words = sum(w * di[dt.index(t)] for t, w in zip(qt, qw, strict=True) if t in dt)
+            if parts == ("vector",):
+                if qv and dv and q != d:
+                    rows.append((dense, d))
+                continue
+            score = (dense if "vector" in parts else 0.0) + (0.25 * words) + ((bonus + (0.35 if section in (hints or []) else 0.0)) if "bonus" in parts else 0.0)
+            if score > 0:
+                rows.append((score, d))
+        rows.sort(key=lambda r: (-round(r[0], 10), r[1]))
+        want += [(q, d, round(s, 8)) for s, d in rows[:6]]
+    d_cols = {"vector": ["vector"], "terms": ["terms", "impacts"], "bonus": ["bonus", "section"]}
+    q_cols = {"vector": ["vector"], "terms": ["terms", "weights"], "bonus": ["sections"]}
+    d = spark.createDataFrame(docs, "doc_id long, vector array<double>, terms array<long>, impacts array<double>, bonus double, section string").select("doc_id", *[c for p in parts for c in d_cols[p]])
+    a = spark.createDataFrame(asked, "query_id long, vector array<double>, terms array<long>, weights array<double>, sections array<string>").select("query_id", *[c for p in parts for c in q_cols[p]])
+    if parts == ("vector",):
+        d, a = d.filter("vector IS NOT NULL"), a.filter("vector IS NOT NULL")
+    for n_docs, n_queries in ((150, 30), (20_000, 3000)):
+        got = retrieval.top(retrieval.search(d, a, 6, n_docs, n_queries, above), 6).collect()
+        assert sorted((r.query_id, -round(r.score, 8), r.doc_id) for r in got) == sorted((q, -s, i) for q, i, s in want)
+
+
+def test_runs_keep_every_model(spark):
+    models = spark.range(1500).withColumnRenamed("id", "model")
+    assert evaluation.runs(models, spark.range(2).withColumnRenamed("id", "prompt"), 1500).distinct().count() == 3000
+
+
+def test_relevant_by_definition(spark, monkeypatch):
+    """Against a test of every pair, with grams sent to tasks and without; parts that cross words, short ones, dashes and empty rules."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abc–"), rng.integers(1, 5)))
+    chunks = [(i, "TU"[i % 2], " ".join(word() for _ in range(3)), "  ".join(word() for _ in range(30))) for i in range(60)] + [(99, None, None, None)]
+    pieces = [t[3] for t in chunks[:20]]
+    rules = [(i, [("T" if i % 3 == 0 else None, None if i % 4 else "B", pieces[i][5 : 5 + 3 + i]), (None, "ab" if i % 5 == 0 else None, "C" if i % 7 == 0 else "no such text")]) for i in range(20)] + [(50, [("U", "", None)]), (51, [("", None, None)]), (52, [])]
+    norm = lambda x: " ".join((x or "").lower().replace("–", "-").split())
+    fits = lambda c, m: (not m[0] or m[0] == c[1]) and norm(m[1]) in norm(c[2]) and norm(m[2]) in norm(c[3])
+    want = sorted((case, c[0]) for case, ms in rules for c in chunks if any(fits(c, m) for m in ms))
+    a = spark.createDataFrame(chunks, "chunk_id long, doc_title string, section_path string, text string")
+    b = spark.createDataFrame(rules, "case_id long, matchers array<struct<doc_title: string, section_contains: string, text_contains: string>>")
+    for most in (1000, 3):
+        monkeypatch.setattr(evaluation, "MOST_TERMS", most)
+        assert sorted(map(tuple, evaluation.relevant(a, b).collect())) == want
+
+
+def test_no_nested_loops(spark):
+    a = spark.createDataFrame([(1, "T", "s", "t")], "chunk_id long, doc_title string, section_path string, text string")
+    b = spark.createDataFrame([(1, [("T", None, "t")])], "case_id long, matchers array<struct<doc_title: string, section_contains: string, text_contains: string>>")
+    plan = evaluation.relevant(a, b)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
