@@ -2,13 +2,15 @@
 
 Sets are distinct 5-word shingles as 64-bit hashes, in hash order. Texts with one set are one class.
 Linked sets of at most M shingles have an overlap o of at least 0.8 M, and their l-th common token
-stands among the first n - o + l of either: with l = 1 + M / 5, among the first 0.4 n + 1 (the
+stands among the first n - o + l of either: with l = 1 + M / 2, among the first 0.7 n + 1 (the
 prefix). Documents with identical prefixes and sizes are one group. A group with fewer than
-1 + n / 5 prefix tokens that other groups have too cannot link, and drops out; of the rest, tokens in
-order of their frequency, the first (count - n / 5) must hold a common one of any linked pair. Groups joined by such tokens form clusters. Their members are then verified on whole sets,
-block by block: each block against the cluster's first block, then whatever did not join the
-cluster's largest component against all blocks of sizes that it may link with. No list of pairs is
-ever made.
+1 + n / 2 prefix tokens that other groups have too cannot link, and drops out: texts that share less than some
+70 % of their words with others do, however many share it. Of the rest, tokens in
+order of their frequency, the first (count - n / 2) must hold a common one of any linked pair. Groups joined by such tokens form clusters.
+Their members meet block by block: each block against the cluster's first block, then whatever did not join the
+cluster's largest component against all blocks of sizes that it may link with. Where blocks meet, pairs of
+groups are filtered by size and by the tokens that their prefixes have in common; only the pairs that pass are
+expanded to members, which are verified on whole sets. No list of pairs is ever written.
 """
 
 from __future__ import annotations
@@ -46,14 +48,18 @@ def shingles(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(out)
 
 
-def common(n: int) -> int:
-    """Tokens that a set of n shingles has in common with any linked one, in both prefixes."""
-    return 1 + n // 5
+#: Percent of a set that linked prefixes have in common at least: the more, the fewer groups pass and the longer the prefixes are.
+_COMMON = 50
+
+
+def common(n):
+    """Tokens that a set of n shingles has in common with any linked one of no more, in both prefixes."""
+    return 1 + _COMMON * n // 100
 
 
 def prefix(n: int, percent: int) -> int:
     """Length of the prefix; for a partner of M >= n shingles, n - percent / 100 * M + common(M) is no longer."""
-    return min(n, n - (percent - 20) * n // 100 + 1)
+    return min(n, n - (percent - _COMMON) * n // 100 + 1)
 
 
 class _Union:
@@ -71,12 +77,11 @@ class _Union:
         return i != j
 
 
-def spanning_links(sets: list[np.ndarray], percent: int, known: list[int] | None = None) -> list[tuple[int, int]]:
-    """Verified links that join what is linked among these sets (what shares a known label is joined already)."""
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """The size of each pair's intersection."""
     n = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
     tokens, dims = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(n), sizes)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
     often = np.flatnonzero(np.bincount(dims, minlength=len(tokens)) > 1)
     at = np.full(len(tokens), -1)
     at[often] = np.arange(len(often))
@@ -88,14 +93,36 @@ def spanning_links(sets: list[np.ndarray], percent: int, known: list[int] | None
         has_token = np.zeros((n, min(8192, len(often) - a)), np.float32)
         has_token[row[part], dims[part] - a] = 1
         overlap += has_token @ has_token.T
-    union = sizes[:, None] + sizes[None, :] - overlap
-    linked = np.triu(100 * overlap >= percent * union, 1)
+    return overlap
+
+
+def group_pairs(heads: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of groups may hold links, by their sizes and the common tokens of their prefixes; a group pairs with itself."""
+    least, most = np.minimum(sizes[:, None], sizes[None]), np.maximum(sizes[:, None], sizes[None])
+    return (100 * least >= percent * most) & (_overlaps(heads) >= common(most)) | np.eye(len(heads), dtype=bool)
+
+
+def spanning_links(sets: list[np.ndarray], percent: int, known: list[int] | None = None) -> list[tuple[int, int]]:
+    """Verified links that join what is linked among these sets (what shares a known label is joined already)."""
+    n = len(sets)
+    heads = [s[: prefix(len(s), percent)] for s in sets]
+    numbers: dict[tuple[int, bytes], int] = {}
+    group = np.array([numbers.setdefault((len(s), h.tobytes()), len(numbers)) for s, h in zip(sets, heads, strict=True)])
+    _, first_of = np.unique(group, return_index=True)
+    pairs = group_pairs([heads[i] for i in first_of], np.array([len(sets[i]) for i in first_of], np.int64), percent)
+    # members of groups that pair with another, or have other members
+    able = np.flatnonzero((pairs.sum(axis=1) > 1)[group] | (np.bincount(group) > 1)[group])
     joined, out, first = _Union(n), [], {}
     for i, label in enumerate(known or []):
         joined.join(i, first.setdefault(label, i))
+    if len(able) < 2:
+        return out
+    sizes = np.array([len(sets[i]) for i in able], np.int64)
+    overlap = _overlaps([sets[i] for i in able])
+    linked = np.triu(100 * overlap >= percent * (sizes[:, None] + sizes[None, :] - overlap), 1) & pairs[group[able]][:, group[able]]
     for i, j in zip(*np.nonzero(linked), strict=True):
-        if joined.join(int(i), int(j)):
-            out.append((int(i), int(j)))
+        if joined.join(int(able[i]), int(able[j])):
+            out.append((int(able[i]), int(able[j])))
     return out
 
 
@@ -184,10 +211,11 @@ def clusters(sets: DataFrame, groups: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(n[hit]), pa.array(tokens[hit])], ["gid", "n", "token"])
 
     tokens = heads.mapInArrow(suspects, "gid long, n long, token long").join(shared, "token")
-    least = 1 + F.floor(F.col("n") / 5)
+    least = 1 + F.floor(F.col("n") * _COMMON / 100)
     mine = tokens.groupBy("gid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t")).withColumn("l", least.cast("int")).filter("size(t) >= l")
     heads = saved(mine.select("gid", F.explode(F.expr("slice(t, 1, size(t) - l + 1)")).alias("t")).select("gid", "t.token"), "heads")
-    hubs = heads.groupBy("token").agg(F.min("gid").alias("hub"), F.count("*").alias("k")).filter("k > 1").select("token", "hub")
+    # written, so that the join's own shuffles can be split where very many groups have a token
+    hubs = saved(heads.groupBy("token").agg(F.min("gid").alias("hub"), F.count("*").alias("k")).filter("k > 1").select("token", "hub"), "hubs")
     links = heads.join(hubs, "token").filter("gid <> hub").select(F.col("gid").alias("a"), F.col("hub").alias("b"))
     return connected_components(links).select(F.col("v").alias("gid"), F.col("component").alias("cluster"))
 
@@ -202,7 +230,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null). Rows with one id are joined where their sets link; each row gets the component of its own
     set. Other columns are not read.
     """
-    assert percent > 20 and width >= 2
+    assert percent > _COMMON and width >= 2
     sets = saved(sets_of(docs, id_col, text_col, width, percent), "sets")
     real = sets.filter("n > 0 AND doc_id IS NOT NULL")
     classes = saved(real.groupBy("fp", "pkey").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")

@@ -99,8 +99,10 @@ def test_line_dedup_hot_line(spark):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, duck, sf_dir, name):
-    got, want = QUERIES[name](spark, sf_dir).toPandas(), duck.sql(SQL[name]).df()
-    assert rows(got[want.columns]) == rows(want)
+    got, want = QUERIES[name](spark, sf_dir), duck.sql(SQL[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    # as tuples: pandas would make floats of whole numbers where some are null
+    assert sorted(map(repr, map(tuple, got.select(*want.columns).collect()))) == sorted(map(repr, want.fetchall()))
 
 
 # --- 2: HTML
