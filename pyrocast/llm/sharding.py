@@ -11,11 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, shared_folder
+from .common import packed, saved, shared_folder, unpacked
 
 #: Bytes of text and rows in a bucket on average; a permutation takes time by the square of the rows.
 BUCKET_BYTES, BUCKET_ROWS = 4 << 20, 1024
 _BLOCK_BUCKETS = 4096
+#: Bytes of text in a task at most; numbers of copies that are made together.
+_TASK_BYTES, _RUN = 512 << 20, 65_536
 
 
 def _random(seed: int, *cols: str) -> Column:
@@ -33,23 +35,29 @@ def fisher_yates(n: str, draw: str) -> Column:
     return F.expr(f"aggregate(sequence(0, cast({n} AS int) - 1), cast(array() AS array<int>), (a, i) -> {step})")
 
 
-def _size(text_col: str) -> Column:
-    return F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1
+def _size(text: str | Column) -> Column:
+    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with __h, a hash of the record, and __copy, 1 to n for n equal records.
+def _copies(times: Column) -> Column:
+    """1 to times, as two nested arrays of at most _RUN numbers and of times / _RUN."""
+    last = F.least(times, (F.col("__run") + 1) * _RUN)
+    return F.sequence(F.col("__run") * _RUN + 1, last)
+
+
+def _numbered(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """rows (__row, __h) with __copy, 1 to n for n equal records; counts: __h, __n of the hashes that several rows have.
 
     Records whose hash no other has are numbered where they are scanned; the others are counted first,
     so that many equal ones are numbered like any others.
     """
-    rows = docs.withColumn("__h", _random(0, *docs.columns))
-    many = saved(rows.groupBy("__h").agg(F.count("*").alias("n")).filter("n > 1").select("__h"), "repeated")
-    if many.isEmpty():
-        return rows.withColumn("__copy", F.lit(1))
-    counted = rows.join(many, "__h", "left_semi").groupBy(*rows.columns).agg(F.count("*").alias("__n"))
-    counted = counted.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).drop("__n")
-    return rows.join(many, "__h", "left_anti").withColumn("__copy", F.lit(1)).unionByName(counted)
+    once = F.lit(1).cast("long").alias("__copy")
+    if counts.isEmpty():
+        return rows.select("__row", "__h", once)
+    counted = rows.join(counts.select("__h"), "__h", "left_semi").groupBy("__row", "__h").agg(F.count("*").alias("__n"))
+    counted = counted.withColumn("__run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / _RUN))))
+    counted = counted.select("__row", "__h", F.explode(_copies(F.col("__n"))).alias("__copy"))
+    return rows.join(counts.select("__h"), "__h", "left_anti").select("__row", "__h", once).unionByName(counted)
 
 
 def _started(sizes: DataFrame) -> DataFrame:
@@ -70,19 +78,27 @@ def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = 23, b
     named shard and slot are replaced; columns of maps can't be compared and aren't taken.
     """
     docs = docs.drop("shard", "slot")
-    total = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(_size(text_col)), F.lit(0)).alias("bytes")).first()
+    row = F.col("__row").getField
+    rows = packed(docs).withColumn("__h", F.xxhash64(F.lit(0), *[row(c) for c in docs.columns]))
+    # texts are read twice: for hashes and sizes, and to be written
+    keys = saved(rows.select("__h", _size(row(text_col)).alias("__size")), "keys")
+    total = keys.agg(F.count("*").alias("n"), F.coalesce(F.sum("__size"), F.lit(0)).alias("bytes")).first()
+    many = saved(keys.groupBy("__h").agg(F.count("*").alias("__n")).filter("__n > 1"), "repeated")
     buckets = max(1, -(-total["n"] // bucket_rows), -(-total["bytes"] // bucket_bytes))
-    placed = _numbered(docs).withColumn("__bucket", F.pmod(_random(seed, "__h", "__copy"), F.lit(buckets)).cast("int"))
-    sizes = placed.groupBy("__bucket").agg(F.count("*").alias("__n"))
-    sizes = _started(saved(sizes, "buckets"))
-    # as many tasks as hold some buckets each; permutations are drawn where the records are
-    tasks = max(1, -(-total["bytes"] // (8 * bucket_bytes)))
+    bucket = F.pmod(_random(seed, "__h", "__copy"), F.lit(buckets)).cast("int").alias("__bucket")
+    placed = _numbered(rows, many).select("__row", "__h", "__copy", bucket)
+    # records with one hash are equal but for chance; where they aren't, they are numbered apart, so counts go by what is placed
+    sizes = saved(placed.groupBy("__bucket").agg(F.count("*").alias("__n")), "buckets") if many.count() else saved(keys.select("__h", F.lit(1).cast("long").alias("__copy")).select(bucket).groupBy("__bucket").agg(F.count("*").alias("__n")), "buckets")
+    sizes = _started(sizes)
+    # a task holds some buckets: more in a large table, so that its files are not too small
+    task_bytes = min(max(8 * bucket_bytes, total["bytes"] // 4096), _TASK_BYTES)
+    tasks = max(1, -(-total["bytes"] // task_bytes))
     dealt = sizes.repartition(tasks, "__bucket").select("__bucket", "__start", fisher_yates("__n", f"xxhash64({seed + 2}, __bucket, i)").alias("__at"))
-    order = Window.partitionBy("__bucket").orderBy(_random(seed + 1, "__h", "__copy"), "__copy", id_col, text_col)
+    order = Window.partitionBy("__bucket").orderBy(_random(seed + 1, "__h", "__copy"), "__copy", row(id_col), row(text_col))
     ranked = placed.repartition(tasks, "__bucket").withColumn("__i", F.row_number().over(order))
     place = F.col("__start") + F.element_at("__at", F.col("__i"))
     out = ranked.join(dealt.hint("merge"), "__bucket").withColumn("__place", place)
-    out = out.select(*docs.columns, F.floor(F.col("__place") / shards).cast("long").alias("slot"), F.pmod("__place", F.lit(shards)).cast("int").alias("shard"))
+    out = out.select(*unpacked(docs.columns), F.floor(F.col("__place") / shards).cast("long").alias("slot"), F.pmod("__place", F.lit(shards)).cast("int").alias("shard"))
     out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
