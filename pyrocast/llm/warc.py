@@ -13,12 +13,13 @@ import io
 import struct
 import uuid
 
+import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, shared_folder
+from .common import any_filter, filter_bits, has, saved, shared_folder
 from .files import opened, written
 
 _MAGIC = 0x184D2A5D
@@ -109,6 +110,18 @@ class _Joined(io.RawIOBase):
         return len(data)
 
 
+def _filter(keys: DataFrame, key: Column):
+    """A test whether a column of hashes may be among those of keys, by a filter of bounded size that every task gets."""
+    bits = filter_bits(keys.count())
+    kept = keys.sparkSession.sparkContext.broadcast(any_filter(keys.select(key.alias("h")), bits))
+
+    @F.pandas_udf("boolean")
+    def test(h: pd.Series) -> pd.Series:
+        return pd.Series(has(kept.value, h.to_numpy() & (bits - 1)))
+
+    return test
+
+
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 100, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes pages to archives in folder and gives the manifest: path, n_records.
 
@@ -122,8 +135,20 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload").cast("long"))
     firsts = rows.filter(F.col("size") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL")
     firsts = saved(firsts.select("digest", "first"), "firsts")
-    joined = rows.join(firsts, "digest", "left").withColumn("revisit", F.coalesce(~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.lit(False)))
-    joined = joined.withColumn("payload", F.when(~F.col("revisit"), F.col("payload")))
+    # payloads stay where they are read, but for those of the firsts of several: filters of bounded size tell which rows may
+    # be of a digest with several, and of these which may be its first; what they let through is joined exactly
+    of_digest, of_row = F.xxhash64("digest"), F.xxhash64("digest", "page_id")
+    several, leading = _filter(firsts, of_digest), _filter(firsts.withColumnRenamed("first", "page_id"), of_row)
+    may = rows.withColumn("__may", (F.col("size") >= least_bytes) & several(of_digest))
+    told = ["page_id", "url", "payload", "digest", "size", "first", "revisit"]
+    plain = lambda df: df.withColumns({"first": F.lit(None).cast("long"), "revisit": F.lit(False)}).select(*told)
+    moved = may.filter("__may").withColumn("payload", F.when(leading(of_row), F.col("payload"))).join(firsts, "digest", "left")
+    moved = moved.withColumn("revisit", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).withColumn("payload", F.when(~F.col("revisit"), F.col("payload")))
+    joined = plain(may.filter(~F.col("__may"))).unionByName(moved.filter("first IS NOT NULL").select(*told))
+    # rows that only the filter took for one of several are read again
+    stray = saved(may.filter("__may").select("digest").distinct().join(firsts, "digest", "left_anti"), "stray")
+    if not stray.isEmpty():
+        joined = joined.unionByName(plain(may.filter(F.col("__may") & _filter(stray, of_digest)(of_digest)).join(stray, "digest", "left_semi")))
 
     def run(batches):
         held, size = [], 0
