@@ -136,8 +136,10 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0))
 
 
-#: Rows of a leaf that one group ranks at most (larger leaves are split), and rows in a group on average.
-_LEAF_PART, _GROUP_ROWS = 8192, 4096
+#: Rows, and queries, that are held against each other at a time (larger groups of leaves are split), and rows in a group on average.
+_LEAF_PART, _QUERY_PART, _GROUP_ROWS = 8192, 4096, 4096
+#: Bytes of the sample, with what is held out of it.
+_SAMPLE_BYTES = 256 << 20
 #: Rows of which the driver knows the neighbours, to measure how many leaves a search must open.
 _HELD_OUT = 20_000
 
@@ -154,16 +156,20 @@ def _best(queries: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> n
 def _ranked(k: int, width: int):
     """For the rows and the queries of some leaves: each query's k nearest rows."""
 
-    def taken(table: pa.Table, name: str):
-        v = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
-        leaves, ids = table.column("leaf").to_numpy(), table.column(name).to_numpy()
-        order = np.lexsort((ids, leaves))
-        return leaves[order], ids[order], v[order]
+    def flat(table: pa.Table):
+        return table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
     def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
         found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64))]
         if rows.num_rows and asked.num_rows:
-            (leaves, ids, v), (open_leaves, queries, q) = taken(rows, "vec_id"), taken(asked, "query_id")
+            leaves, ids = rows.column("leaf").to_numpy(), rows.column("vec_id").to_numpy()
+            order = np.lexsort((ids, leaves))
+            leaves, ids, v = leaves[order], ids[order], flat(rows)[order]
+            q, query_of = flat(asked), asked.column("query_id").to_numpy()
+            lists = asked.column("leaves").combine_chunks()
+            open_leaves, who_asks = lists.flatten().to_numpy(), np.repeat(np.arange(len(q)), lists.value_lengths().to_numpy())
+            order = np.argsort(open_leaves, kind="stable")
+            open_leaves, who_asks = open_leaves[order], who_asks[order]
             for leaf in np.unique(open_leaves).tolist():
                 a, b = np.searchsorted(leaves, [leaf, leaf + 1])
                 if a == b:
@@ -171,13 +177,13 @@ def _ranked(k: int, width: int):
                 first, last = np.searchsorted(open_leaves, [leaf, leaf + 1])
                 step, distinct = max(1, (1 << 20) // ((b - a) * width)), bool((ids[a + 1 : b] != ids[a : b - 1]).all())
                 for c in range(first, last, step):
-                    d = min(c + step, last)
+                    mine = who_asks[c : min(c + step, last)]
                     with np.errstate(over="ignore"):
-                        score = np.sqrt(((q[c:d, None, :] - v[None, a:b]) ** 2).sum(2))
-                    score[queries[c:d, None] == ids[None, a:b]] = np.nan
+                        score = np.sqrt(((q[mine][:, None, :] - v[None, a:b]) ** 2).sum(2))
+                    score[query_of[mine][:, None] == ids[None, a:b]] = np.nan
                     # rows stand in order of ids, so a stable sort leaves ties to the smaller; NaN comes last
                     best = np.argsort(score, axis=1, kind="stable")[:, : k if distinct else b - a]
-                    who, what, far = np.repeat(queries[c:d], best.shape[1]), ids[a:b][best.ravel()], np.take_along_axis(score, best, 1).ravel()
+                    who, what, far = np.repeat(query_of[mine], best.shape[1]), ids[a:b][best.ravel()], np.take_along_axis(score, best, 1).ravel()
                     other = ~np.isnan(far)
                     found.append((who[other], what[other], far[other]))
         who, what, far = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -187,13 +193,22 @@ def _ranked(k: int, width: int):
     return run
 
 
+def _sampled(rows: DataFrame, most: int, total: int, seed: int) -> list[list[float]]:
+    """About `most` vectors: all whose id's hash is below a threshold, in order of that hash; of rows with one id the least vector."""
+    hashed = F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 40))
+    cut = min(1 << 40, (1 << 40) * most // max(total, 1) + 1)
+    taken = rows.withColumn("h", hashed).filter(F.col("h") < cut).groupBy("vec_id", "h").agg(F.min("v").alias("v"))
+    found = taken.toPandas().sort_values(["h", "vec_id"])
+    return found["v"].tolist()
+
+
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = 8, sample_rows: int | None = None, leaf_rows: int = 16, enough: int | None = None, recall: float = 0.96, seed: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, its k nearest found.
 
     score: Euclidean distance in double precision; ties go to the smaller id. A query opens leaves
     until they hold `enough` rows of the sample, over all trees; by default as many as find the share
     `recall` of the neighbours of held-out rows (see enough_for). The driver holds the sample, sample_rows:
-    by default a hundredth of the table, from 20,000 to 200,000, and 20,000 held-out rows; of a small
+    by default a hundredth of the table, from 20,000 to 200,000, and 20,000 held-out rows, both within _SAMPLE_BYTES; of a small
     table half is sample, half held out. Vectors null, zero, or with null or
     non-finite components take no part, nor do those of another length than most of the sample.
     Distances too large for a double are infinite, and come last.
@@ -203,13 +218,17 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = 8, s
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
     total = rows.count()
-    sample_rows = sample_rows or min(200_000, max(20_000, total // 100))
-    sample = rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(sample_rows + _HELD_OUT).toPandas()["v"].tolist()
-    if not sample:
+    if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    widest = rows.agg(F.max(F.size("v")).alias("n")).first()["n"]
+    # what the driver holds is bounded by bytes too
+    most = max(1000, _SAMPLE_BYTES // (8 * widest))
+    held_rows = min(_HELD_OUT, most // 4)
+    sample_rows = min(sample_rows or min(200_000, max(20_000, total // 100)), most - held_rows)
+    sample = _sampled(rows, sample_rows + held_rows, total, seed)
     width = int(np.bincount([len(x) for x in sample]).argmax())
     taken = np.array([x for x in sample if len(x) == width], np.float64)
-    cut = max(len(taken) - _HELD_OUT, -(-len(taken) // 2))
+    cut = max(len(taken) - held_rows, -(-len(taken) // 2))
     taken, held_out = taken[:cut], taken[cut:]
     with np.errstate(over="ignore", invalid="ignore"):
         grown = [Tree(taken, leaf_rows, seed + i) for i in range(trees)]
@@ -218,30 +237,49 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = 8, s
     forest = spark.sparkContext.broadcast((grown, enough))
     rows = rows.filter(F.size("v") == width)
 
-    def with_leaves(find):
-        def run(batches):
-            for batch in batches:
-                v = batch.column(1).flatten().to_numpy().reshape(-1, width)
+    # a tree's leaves are numbered from left to right, so leaves near one another have near numbers; some of them are a group
+    starts = np.cumsum([0, *[len(t.sizes) for t in grown]])
+    some = max(1, int(_GROUP_ROWS * starts[-1] // (total * trees)))
+    floats = dict(vectors.dtypes)[vector_col] == "array<float>"
+
+    def place(batches):
+        for batch in batches:
+            v = batch.column(1).flatten().to_numpy().reshape(-1, width)
+            with np.errstate(over="ignore", invalid="ignore"):
+                leaves = np.column_stack([t.leaves(v) + a for t, a in zip(forest.value[0], starts[:-1], strict=True)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(leaves), pa.list_(pa.int32()))], ["vec_id", "v", "leaves"])
+
+    def ask(batches):
+        """A row for each query and group in which it opens leaves."""
+        for batch in batches:
+            v = batch.column(1).flatten().to_numpy().reshape(-1, width)
+            at, groups, leaves = [], [], []
+            for i, x in enumerate(v):
                 with np.errstate(over="ignore", invalid="ignore"):
-                    leaves = find(v)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaves, pa.list_(pa.int32()))], ["vec_id", "v", "leaves"])
-
-        return lambda df: df.mapInArrow(run, "vec_id long, v array<double>, leaves array<int>")
-
-    place = with_leaves(lambda v: list(np.column_stack([t.leaves(v) * trees + i for i, t in enumerate(forest.value[0])]).astype(np.int32)))
-    ask = with_leaves(lambda v: [[leaf * trees + i for i, leaf in search(forest.value[0], x, forest.value[1])] for x in v])
-    index = place(rows).select("vec_id", F.col("v").cast("array<float>").alias("v") if dict(vectors.dtypes)[vector_col] == "array<float>" else "v", F.explode("leaves").alias("leaf"))
-    # the forest bounds the number of leaves
-    parts = place(rows).select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count("*") / _LEAF_PART).cast("int").alias("parts"))
-    parts = saved(parts, "leaves").filter("parts > 1")
-    index = index.join(F.broadcast(parts), "leaf", "left").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    opened_leaves = ask(rows.filter(F.pmod("vec_id", F.lit(every)) == 0)).select(F.col("vec_id").alias("query_id"), "v", F.explode("leaves").alias("leaf"))
-    opened_leaves = opened_leaves.join(F.broadcast(parts), "leaf", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    # leaves are small, so a group takes some of them
-    leaves = sum(len(t.sizes) for t in grown)
-    some = F.floor(F.col("leaf") / max(1, _GROUP_ROWS * leaves // (total * trees))).cast("int")
-    index, opened_leaves = index.withColumn("some", some), opened_leaves.withColumn("some", some)
-    found = index.groupBy("some", "part").cogroup(opened_leaves.groupBy("some", "part")).applyInArrow(_ranked(k, width), "query_id long, vec_id long, score double")
+                    opens = np.sort([starts[tree] + leaf for tree, leaf in search(forest.value[0], x, forest.value[1])]).astype(np.int32)
+                cuts = np.flatnonzero(np.diff(opens // some)) + 1
+                parts = np.split(opens, cuts)
+                at += [i] * len(parts)
+                groups += [int(p[0]) // some for p in parts]
+                leaves += parts
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), batch.column(1).take(pa.array(at, pa.int64())), pa.array(groups, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))], ["query_id", "v", "some", "leaves"])
+
+    shape = "array<float>" if floats else "array<double>"
+    index = rows.mapInArrow(place, "vec_id long, v array<double>, leaves array<int>").select("vec_id", F.col("v").cast(shape).alias("v"), F.explode("leaves").alias("leaf"))
+    index = saved(index.withColumn("some", F.floor(F.col("leaf") / some).cast("int")), "index")
+    asked = rows.filter(F.pmod("vec_id", F.lit(every)) == 0).mapInArrow(ask, "query_id long, v array<double>, some int, leaves array<int>")
+    asked = saved(asked, "asked")
+    # large groups are split, by rows and by queries; there are no more groups than the forest has leaves
+    split = lambda df, name, most: df.groupBy("some").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    parts = split(index, "parts", _LEAF_PART).join(split(asked, "turns", _QUERY_PART), "some")
+    parts = F.broadcast(saved(parts, "parts").filter("parts > 1 OR turns > 1"))
+    one = F.lit(1)
+    every_one = lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(c, one) - 1))
+    mine = lambda c, i: F.pmod(F.xxhash64(i), F.coalesce(c, one)).cast("int")
+    index = index.join(parts, "some", "left").withColumn("part", mine("parts", "vec_id")).withColumn("turn", every_one("turns")).drop("parts", "turns")
+    asked = asked.join(parts, "some", "left").withColumn("turn", mine("turns", "query_id")).withColumn("part", every_one("parts")).drop("parts", "turns")
+    keys = ["some", "part", "turn"]
+    found = index.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_ranked(k, width), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
