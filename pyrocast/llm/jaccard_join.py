@@ -2,10 +2,11 @@
 
 Sets are distinct 5-word shingles as 64-bit hashes, in hash order. Texts with one set are one class.
 Linked sets of at most M shingles have an overlap o of at least 0.8 M, and their l-th common token
-stands among the first n - o + l of either: with l = 1 + M / 2, among the first 0.7 n + 1 (the
-prefix). Documents with identical prefixes and sizes are one group. A group with fewer than
-1 + n / 2 prefix tokens that other groups have too cannot link, and drops out: texts that share less than some
-70 % of their words with others do, however many share it. Of the rest, tokens in
+stands among the first n - o + l of either. With l = 1 + M / 5 these are the first 0.4 n + 1 (the
+prefix); documents with identical prefixes and sizes are one group, and a group with fewer than 1 + n / 5 prefix
+tokens that other groups have too drops out. Of the groups that are left, few, longer prefixes are taken: with
+l = 1 + M / 2 the first 0.7 n + 1, of which 1 + n / 2 must be tokens that others have too, so that texts
+that share less than some 70 % of their words with others drop out, however many share them. Of the rest, tokens in
 order of their frequency, the first (count - n / 2) must hold a common one of any linked pair. Groups joined by such tokens form clusters.
 Their members meet block by block: each block against the cluster's first block, then whatever did not join the
 cluster's largest component against all blocks of sizes that it may link with. Where blocks meet, pairs of
@@ -48,18 +49,18 @@ def shingles(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(out)
 
 
-#: Percent of a set that linked prefixes have in common at least: the more, the fewer groups pass and the longer the prefixes are.
-_COMMON = 50
+#: Percent of a set that linked prefixes have in common at least: the more, the fewer groups pass and the longer the prefixes are. Of all groups, and of those that pass.
+_FIRST, _COMMON = 20, 50
 
 
-def common(n):
+def common(n, share: int = _COMMON):
     """Tokens that a set of n shingles has in common with any linked one of no more, in both prefixes."""
-    return 1 + _COMMON * n // 100
+    return 1 + share * n // 100
 
 
-def prefix(n: int, percent: int) -> int:
+def prefix(n: int, percent: int, share: int = _COMMON) -> int:
     """Length of the prefix; for a partner of M >= n shingles, n - percent / 100 * M + common(M) is no longer."""
-    return min(n, n - (percent - _COMMON) * n // 100 + 1)
+    return min(n, n - (percent - share) * n // 100 + 1)
 
 
 class _Union:
@@ -150,7 +151,7 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
             n, fp, keys, prefixes = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, width)
-                head = s[: prefix(len(s), percent)]
+                head = s[: prefix(len(s), percent, _FIRST)]
                 n.append(len(s))
                 fp.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 keys.append(xxhash.xxh3_128_digest(head.tobytes(), len(s)) if len(s) else None)
@@ -179,8 +180,8 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
     return texts.mapInArrow(run, "fp binary, tokens binary")
 
 
-def clusters(sets: DataFrame, groups: DataFrame) -> DataFrame:
-    """gid, cluster for groups that may link to another; sets: as sets_of; groups: gid.
+def survivors(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """gid, n of groups that have enough prefix tokens which others have too; sets: as sets_of; groups: gid.
 
     A filter of bounded size picks the rows of sets whose id is a gid. It lets a few others through:
     copies, which then count as groups of their own and change nothing.
@@ -210,9 +211,30 @@ def clusters(sets: DataFrame, groups: DataFrame) -> DataFrame:
             hit = has(kept.value, tokens & (bits - 1))
             yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(n[hit]), pa.array(tokens[hit])], ["gid", "n", "token"])
 
-    tokens = heads.mapInArrow(suspects, "gid long, n long, token long").join(shared, "token")
-    least = 1 + F.floor(F.col("n") * _COMMON / 100)
-    mine = tokens.groupBy("gid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t")).withColumn("l", least.cast("int")).filter("size(t) >= l")
+    tokens = heads.mapInArrow(suspects, "gid long, n long, token long").join(shared.select("token"), "token", "left_semi")
+    return tokens.groupBy("gid", "n").agg(F.count("*").alias("l")).filter(F.col("l") >= _least(_FIRST)).select("gid", "n")
+
+
+def _least(share: int):
+    return 1 + F.floor(F.col("n") * share / 100)
+
+
+def clusters(left: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """gid, cluster for groups that may link to another; left: gid, n, fp of those that are left; whole: fp, tokens."""
+
+    def tokens_of(batches):
+        for batch in batches:
+            heads = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+            heads = [x[: prefix(len(x), percent)] for x in heads]
+            many = [len(x) for x in heads]
+            values = np.concatenate(heads) if heads else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(i).to_numpy(), many)) for i in (0, 1)] + [pa.array(values)], ["gid", "n", "token"])
+
+    rows = left.join(whole, "fp").select("gid", "n", "tokens").mapInArrow(tokens_of, "gid long, n long, token long")
+    rows = saved(rows.groupBy("gid", "n", "token").agg(F.lit(1).alias("one")).drop("one"), "tokens")
+    shared = rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    mine = rows.join(saved(shared, "shared"), "token").groupBy("gid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    mine = mine.withColumn("l", _least(_COMMON).cast("int")).filter("size(t) >= l")
     heads = saved(mine.select("gid", F.explode(F.expr("slice(t, 1, size(t) - l + 1)")).alias("t")).select("gid", "t.token"), "heads")
     # written, so that the join's own shuffles can be split where very many groups have a token
     hubs = saved(heads.groupBy("token").agg(F.min("gid").alias("hub"), F.count("*").alias("k")).filter("k > 1").select("token", "hub"), "hubs")
@@ -235,7 +257,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     real = sets.filter("n > 0 AND doc_id IS NOT NULL")
     classes = saved(real.groupBy("fp", "pkey").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
     groups = saved(classes.groupBy("pkey").agg(F.min("rep").alias("gid"), F.count("*").alias("texts")), "groups")
-    found = clusters(sets, groups)
+    left = survivors(sets, groups)
+    left = saved(left.join(classes.select(F.col("rep").alias("gid"), "fp", F.col("n").alias("m")), "gid").filter("n = m").drop("m"), "left")
+    found = clusters(left, _whole_sets(docs, left.select(F.col("gid").alias("rep")), id_col, text_col, width).groupBy("fp").agg(F.min("tokens").alias("tokens")), percent)
     # members of the groups in clusters, and of groups that hold different texts
     groups = groups.join(found, "gid", "left").filter("cluster IS NOT NULL OR texts > 1").select("pkey", F.coalesce("cluster", "gid").alias("cluster"))
     members = saved(classes.join(groups, "pkey").select("rep", "fp", "n", "cluster"), "members")
