@@ -28,6 +28,18 @@ def running(rows: DataFrame, key: str, step: str, value: str, window: int = 100)
     return rows.withColumn("cumulative", total).withColumn("rolling", F.avg(value).over(order.rowsBetween(-(window - 1), 0)))
 
 
+def rewards(rows: DataFrame, key: str, step: str, reward: str, done: str, window: int = 100) -> DataFrame:
+    """episode (from 0), cumulative: the reward of the episode so far, which ends with a row that is done; mean_reward: of the last `window` episodes that have ended, null before."""
+    order = Window.partitionBy(key).orderBy(step)
+    ended = F.coalesce(F.sum(F.col(done).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("episode", ended)
+    rows = rows.withColumn("cumulative", F.sum(reward).over(Window.partitionBy(key, "episode").orderBy(step).rowsBetween(Window.unboundedPreceding, 0)))
+    # the total of each episode stands in its last row; a row sees those of the episodes before its own
+    of = F.avg("cumulative").over(Window.partitionBy(key).orderBy("episode").rowsBetween(-(window - 1), 0))
+    means = rows.filter(done).select(F.col(key), (F.col("episode") + 1).alias("episode"), of.alias("mean_reward"))
+    return rows.join(means, [key, "episode"], "left")
+
+
 def gained(rows: DataFrame, key: str, step: str, total: str) -> DataFrame:
     """before: the total of the step before (0 at first); gained: what came since."""
     rows = rows.withColumn("before", F.lag(total, 1, 0).over(Window.partitionBy(key).orderBy(step)))

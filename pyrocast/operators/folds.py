@@ -44,6 +44,34 @@ def limit_rate(rows: DataFrame, key: str, at: str, tie: str, most: int, seconds:
     return zipped.select(key, f"z.__rows.{at}", f"z.__rows.{tie}", F.col("z.__out.allowed").alias("allowed"), F.col("z.__out.retry").alias("retry_after"))
 
 
+def limit_twice(rows: DataFrame, request_id: str, at: str, address: str, session: str, most: int, seconds: float) -> DataFrame:
+    """id, rejected_by (null: allowed), retry_after: limit_rate by address, then by session among what the first allows.
+
+    A request that the session's limit rejects has used the address' quota all the same; one without a session (null or empty)
+    passes the second limit.
+    """
+    told = rows.select(F.col(request_id).alias("id"), F.col(at).alias("at"), F.coalesce(F.col(address).cast("string"), F.lit("")).alias("address"), F.coalesce(F.col(session).cast("string"), F.lit("")).alias("session"))
+    first = limit_rate(told.filter("address <> ''"), "address", "at", "id", most, seconds).select("id", F.col("allowed").alias("a"), F.col("retry_after").alias("wait"))
+    first = written(told.join(first, "id", "left").withColumns({"a": F.coalesce("a", F.lit(True)), "wait": F.coalesce("wait", F.lit(0.0))}))
+    second = limit_rate(first.filter("a AND session <> ''").select("id", "at", "session"), "session", "at", "id", most, seconds).select("id", F.col("allowed").alias("b"), F.col("retry_after").alias("late"))
+    both = first.join(second, "id", "left")
+    rejected = F.when(~F.col("a"), "address").when(~F.coalesce("b", F.lit(True)), "session")
+    return both.select("id", rejected.alias("rejected_by"), F.when(F.col("a"), F.coalesce("late", F.lit(0.0))).otherwise(F.col("wait")).alias("retry_after"))
+
+
+def swept_sessions(rows: DataFrame, key: str, at: str, ttl: float = 4 * 3600, sweep: float = 600) -> DataFrame:
+    """key, session (from 1), started, last_seen, requests: sessions end at the first sweep more than ttl seconds after their last request.
+
+    Sweeps come at whole multiples of `sweep` seconds; a request before the sweep still finds its session.
+    """
+    t, every = F.unix_micros(F.col(at).cast("timestamp")), int(sweep * 1_000_000)
+    w = Window.partitionBy("key").orderBy("t")
+    told = rows.filter(F.col(at).isNotNull()).select(F.col(key).cast("string").alias("key"), t.alias("t"))
+    gone = F.floor(F.col("t") / every) > F.floor((F.lag("t").over(w) + int(ttl * 1_000_000)) / every)
+    numbered = told.withColumn("__new", F.coalesce(gone, F.lit(True)).cast("long")).withColumn("session", F.sum("__new").over(w))
+    return numbered.groupBy("key", "session").agg(F.timestamp_micros(F.min("t")).alias("started"), F.timestamp_micros(F.max("t")).alias("last_seen"), F.count("*").alias("requests"))
+
+
 def accept_far(rows: DataFrame, order: str, lat: str, lon: str, at: str, km: float, days: int, degrees: float = 5.0) -> DataFrame:
     """Rows kept greedily: those without a kept row within km whose floor of days apart is below `days`.
 
