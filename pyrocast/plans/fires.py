@@ -110,7 +110,7 @@ _STEPS = "steps AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t
 
 
 def _spread_sql() -> str:
-    """Nested selects, one for each of the spread columns."""
+    """The rate of spread written out: reaction intensity and heat sink, then wind and slope as one vector, then the ellipse."""
     values = """(0, 'grasslands', 2100, 0.00306, 0.294, 0.15, 3.0), (1, 'closed_shrublands', 1672, 0.01198, 0.239, 0.3, 1.2), (2, 'open_shrublands', 1500, 0.01, 0.2, 0.3, 1.0),
       (3, 'evergreen_needleleaf', 1716, 0.04878, 0.0459, 0.2, 0.1), (4, 'deciduous_needleleaf', 1650, 0.045, 0.04, 0.2, 0.1), (5, 'evergreen_broadleaf', 1500, 0.035, 0.06, 0.25, 0.12),
       (6, 'deciduous_broadleaf', 1400, 0.03, 0.05, 0.25, 0.1), (7, 'mixed_forest', 1608, 0.042, 0.05295, 0.22, 0.11), (8, 'woody_savannas', 1400, 0.008, 0.18, 0.3, 0.8),
@@ -120,9 +120,14 @@ def _spread_sql() -> str:
     inner = f"""(SELECT p_partkey, fuel, sav::DOUBLE AS sav, beta::DOUBLE AS beta, load::DOUBLE AS load, mx::DOUBLE AS mx, depth::DOUBLE AS depth, p_partkey % 5 - 2.0::DOUBLE AS dx, p_partkey * 3 % 4 - 1.5::DOUBLE AS dy, p_partkey % 41 - 20.0::DOUBLE AS dz,
       0.03::DOUBLE + (p_partkey % 7) / 100 AS moisture, 100.0::DOUBLE AS cell_size, 1.0::DOUBLE + p_partkey % 20 AS wind, CAST(p_partkey * 31 % 360 AS DOUBLE) AS wind_dir
       FROM part JOIN (VALUES {values}) f(k, fuel, sav, beta, load, mx, depth) ON k = p_partkey % 17)"""
-    for name, expression in P.spread_columns():
-        inner = f"(SELECT *, {expression} AS {name} FROM {inner})"
-    return f"SELECT p_partkey, fuel, round(coalesce(spread_rate, 0), 3) AS spread_rate FROM {inner}"
+    return f"""WITH i AS (SELECT * FROM {inner}),
+a AS (SELECT *, beta / (3.348 * pow(sav, -0.8189)) AS rel, 7.47 * exp(-0.133 * pow(sav, 0.55)) AS c, 0.02526 * pow(sav, 0.54) AS b, 0.715 * -0.000359 * sav AS e, 133 * pow(sav, -0.7913) AS fa, moisture / mx AS m FROM i),
+b AS (SELECT *, pow(sav, 1.5) / (495 + 0.0594 * pow(sav, 1.5)) * pow(rel, fa) * exp(fa * (1 - rel)) * load * 8000 * (1 - 2.59 * m + 5.11 * m * m - 3.52 * m * m * m) * 0.174 * pow(0.01, -0.19)
+  * exp((0.792 + 0.681 * sqrt(sav)) * (beta + 0.1)) / (192 + 0.2595 * sav) / (load / (1 - 0.0555) / depth * exp(-138 / sav) * (250 + 1116 * moisture)) AS r0, sqrt(dx * dx + dy * dy) AS d FROM a),
+c AS (SELECT *, r0 * c * pow(wind * 88, b) * pow(rel, -e) AS w, r0 * 5.275 * pow(beta, -0.3) * pow(dz / (d * cell_size), 2) * CASE WHEN dz >= 0 THEN 1 ELSE -1 END AS s FROM b),
+v AS (SELECT *, s * dx / d - w * sin(radians(wind_dir)) AS x, s * dy / d - w * cos(radians(wind_dir)) AS y FROM c),
+r AS (SELECT *, r0 + sqrt(x * x + y * y) AS rh, 1 + 0.25 / 88 * pow(sqrt(x * x + y * y) / r0 / (c * pow(rel, -e)), 1 / b) AS z FROM v)
+SELECT p_partkey, fuel, round(coalesce(rh * (1 - sqrt(z * z - 1) / z) / (1 - sqrt(z * z - 1) / z * cos(atan2(dy, dx) - atan2(y, x))), 0), 3) AS spread_rate FROM r"""
 
 
 QUERIES = {

@@ -90,8 +90,9 @@ def height_bytes(spark, sf):
 
 _C = f"(SELECT c_custkey, CAST({_LAT.format('c_custkey')} AS DOUBLE) AS lat, CAST({_LON.format('c_custkey')} AS DOUBLE) AS lon FROM customer)"
 _S = f"(SELECT s_suppkey, CAST({_LAT.format('s_suppkey')} AS DOUBLE) AS r_lat, CAST({_LON.format('s_suppkey')} AS DOUBLE) AS r_lon FROM supplier)"
-_D = P.haversine_km("lat", "lon", "r_lat", "r_lon")
-_LAT2, _LON2 = P.offset_point("lat", "lon", "50 + c_custkey % 100", "c_custkey * 37 % 360")
+# the chord of the unit sphere
+_KM = "2 * 6371.0088::DOUBLE * asin(least(1.0::DOUBLE, sqrt(pow(cos(radians({0})) * cos(radians({1})) - cos(radians({2})) * cos(radians({3})), 2) + pow(cos(radians({0})) * sin(radians({1})) - cos(radians({2})) * sin(radians({3})), 2) + pow(sin(radians({0})) - sin(radians({2})), 2)) / 2))"
+_D = _KM.format("lat", "lon", "r_lat", "r_lon")
 _GRID = "CAST(greatest(0, least(1385, ceil(({} - {}) / (1.0::DOUBLE / 24) - 0.5))) AS INT)"
 _RASTER = """WITH cells AS (SELECT p_brand AS image, p_partkey % 10 AS row, (p_partkey // 10) % 7 AS col, avg(p_size) AS v FROM part GROUP BY ALL),
 p AS (SELECT image, row, col, coalesce(v, 0.0) AS value FROM (SELECT image, row, col FROM (SELECT DISTINCT image FROM cells), (SELECT unnest(range(10)) AS row), (SELECT unnest(range(7)) AS col)) i LEFT JOIN cells USING (image, row, col)),
@@ -103,14 +104,18 @@ SQL = {
     "nearest_supplier": f"SELECT c_custkey, s_suppkey, round(d, 4) AS distance_km FROM (SELECT c_custkey, s_suppkey, {_D} AS d FROM {_C}, {_S}) QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY d, s_suppkey) = 1",
     "radius_anti": f"SELECT c_custkey FROM {_C} WHERE NOT EXISTS (SELECT 1 FROM {_S} WHERE {_D} <= 100)",
     "theta_anti": f"SELECT c_custkey FROM {_C} WHERE NOT EXISTS (SELECT 1 FROM {_S} WHERE {_D} <= 150 AND abs(c_custkey - s_suppkey) < 30)",
-    "bbox_polygon": f"SELECT p_partkey, {P.in_bbox('lat + 1', 'lon')} AS in_box, {P.in_polygon('lon', 'lat', RING)} AS in_ring FROM (SELECT p_partkey, CAST({_LAT.format('p_partkey')} AS DOUBLE) AS lat, CAST({_LON.format('p_partkey')} AS DOUBLE) AS lon FROM part)",
-    "offset_points": f"SELECT c_custkey, round(lat2, 5) AS lat2, round(lon2, 5) AS lon2, round({P.haversine_km('lat', 'lon', 'lat2', 'lon2')}, 3) AS km FROM (SELECT *, {_LAT2} AS lat2, {_LON2} AS lon2 FROM {_C})",
+    "bbox_polygon": f"""WITH p AS (SELECT p_partkey, CAST({_LAT.format('p_partkey')} AS DOUBLE) AS lat, CAST({_LON.format('p_partkey')} AS DOUBLE) AS lon FROM part),
+e AS (SELECT * FROM (VALUES (-118.0::DOUBLE, 33.0::DOUBLE, -100.0::DOUBLE, 30.0::DOUBLE), (-100.0, 30.0, -84.0, 33.5), (-84.0, 33.5, -88.0, 44.0), (-88.0, 44.0, -104.0, 47.0), (-104.0, 47.0, -120.0, 43.0), (-120.0, 43.0, -118.0, 33.0)) t(x1, y1, x2, y2))
+SELECT p_partkey, any_value(lat + 1 >= 24.396308 AND lat + 1 <= 49.384358 AND lon >= -125.0 AND lon <= -66.93457) AS in_box, count(*) FILTER ((y1 < lat) <> (y2 < lat) AND lon < x1 + (lat - y1) * (x2 - x1) / (y2 - y1)) % 2 = 1 AS in_ring FROM p, e GROUP BY p_partkey""",
+    "offset_points": f"""WITH c AS (SELECT c_custkey, radians(lat) AS a, radians(lon) AS b, (50 + c_custkey % 100) / 6371.0088::DOUBLE AS d, radians(c_custkey * 37 % 360) AS t FROM {_C}),
+v AS (SELECT *, cos(a) * cos(b) * cos(d) + sin(d) * (-sin(a) * cos(b) * cos(t) - sin(b) * sin(t)) AS x, cos(a) * sin(b) * cos(d) + sin(d) * (-sin(a) * sin(b) * cos(t) + cos(b) * sin(t)) AS y, sin(a) * cos(d) + sin(d) * cos(a) * cos(t) AS z FROM c)
+SELECT c_custkey, round(degrees(atan2(z, sqrt(x * x + y * y))), 5) AS lat2, round(degrees(atan2(y, x)), 5) AS lon2, round(6371.0088::DOUBLE * d, 3) AS km FROM v""",
     "nearest_grid": f"SELECT c_custkey, {_GRID.format('lat + 0.013::DOUBLE', '25.0::DOUBLE')} AS row, {_GRID.format('lon + 0.013::DOUBLE', '(-124.0)::DOUBLE')} AS col FROM {_C}",
     "thin_positives": f"""WITH RECURSIVE e AS (SELECT user_id, event_id, ts, 35 + (event_id * 7919 % 100) / 500.0::DOUBLE AS lat, -110 + (event_id * 104729 % 100) / 500.0::DOUBLE AS lon, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 f AS (SELECT user_id, event_id, i, ts AS kt, lat AS klat, lon AS klon, true AS kept FROM e WHERE i = 1
   UNION ALL
   SELECT user_id, event_id, i, CASE WHEN k THEN ts ELSE kt END, CASE WHEN k THEN lat ELSE klat END, CASE WHEN k THEN lon ELSE klon END, k
-  FROM (SELECT e.*, kt, klat, klon, epoch(date_trunc('second', ts)) - epoch(date_trunc('second', kt)) >= 7200 AND {P.haversine_km('klat', 'klon', 'lat', 'lon')} >= 5 AS k FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1))
+  FROM (SELECT e.*, kt, klat, klon, epoch(date_trunc('second', ts)) - epoch(date_trunc('second', kt)) >= 7200 AND {_KM.format('klat', 'klon', 'lat', 'lon')} >= 5 AS k FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1))
 SELECT user_id, event_id FROM f WHERE kept""",
     "grid_resample": f"""{_RASTER}
 SELECT g.image, 'nearest' AS mode, x, y, round(value, 4) AS value FROM g JOIN p ON p.image = g.image AND p.col = x * 7 // 14 AND p.row = 9 - y * 10 // 5

@@ -21,7 +21,8 @@ def tokenize_stats(spark, sf):
 
 def bm25_index(spark, sf):
     docs = table(spark, sf, "documents")
-    posted = R.postings(docs, "doc_id", "text")
+    # a document counts once for each of its terms
+    posted = docs.select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
     return R.terms(posted, docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
 
 

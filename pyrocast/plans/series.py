@@ -141,7 +141,6 @@ cal AS (SELECT user_id, event_type, day, value FROM days LEFT JOIN daily USING (
 _AROUND = """, n AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN day END IGNORE NULLS) OVER b AS ad, last_value(value IGNORE NULLS) OVER b AS av,
   first_value(CASE WHEN value IS NOT NULL THEN day END IGNORE NULLS) OVER f AS bd, first_value(value IGNORE NULLS) OVER f AS bv FROM cal
   WINDOW b AS (PARTITION BY user_id, event_type ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY user_id, event_type ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
-_SIN, _COS = P.month_angle("month(ts)")
 
 QUERIES = {
     f.__name__: f
@@ -164,7 +163,10 @@ SELECT o_orderkey, o_orderstatus, CASE WHEN i < floor(n * 0.56::DOUBLE + 1e-9) T
 SELECT event_id, view_value FROM w WHERE event_type = 'purchase'""",
     "forecast_priority": """SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_id, event_type FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY coalesce(list_position(['purchase', 'view', 'click', 'signup'], event_type), 9), ts, event_id) = 1""",
-    "feature_rows": f"SELECT event_id, round({P.relative_humidity('280 + value % 25', '278 + value % 20', 'value % 3')}, 4) AS humidity, round({_SIN}, 6) AS month_sin, round({_COS}, 6) AS month_cos, round({P.sigmoid('(value - 50) / 30')}, 6) AS probability, {P.compass('value * 3.6')} AS compass FROM events",
+    "feature_rows": """WITH t AS (SELECT event_id, value, 280 + value % 25 - 273.15 AS warm, 278 + value % 20 - 273.15 AS mean, 2 * pi() * (month(ts) - 1) / 12 AS angle FROM events),
+v AS (SELECT *, 0.6108 * exp(17.2693882 * warm / (warm + 237.3)) AS most, 0.6108 * exp(17.2693882 * mean / (mean + 237.3)) - value % 3 AS vapour FROM t)
+SELECT event_id, round(100 * CASE WHEN vapour <= 0 THEN 0 WHEN vapour >= most THEN 1 ELSE vapour / most END, 4) AS humidity, round(sin(angle), 6) AS month_sin, round(cos(angle), 6) AS month_cos,
+  round(exp((value - 50) / 30) / (exp((value - 50) / 30) + 1), 6) AS probability, CAST(floor((value * 3.6 + 11.25) / 22.5) AS BIGINT) % 16 AS compass FROM v""",
     "rate_limit": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 f AS (SELECT user_id, event_id, i, [t] AS times, true AS allowed, 0.0::DOUBLE AS retry_after FROM e WHERE i = 1
   UNION ALL
