@@ -14,6 +14,11 @@ def visible(points: DataFrame, series: str, pos: str, most: int, start: int | No
     return points.withColumn("__last", n).filter(F.col(pos) > F.col("__last") - most).drop("__last")
 
 
+def ordered(points: DataFrame, series: str, by: list[str]) -> DataFrame:
+    """points with pos, their place in the order of their series, from 0, as the other functions take them."""
+    return points.withColumn("pos", F.row_number().over(Window.partitionBy(series).orderBy(*by)) - 1)
+
+
 def downsample(points: DataFrame, series: str, pos: str, a1: str, a2: str, size: int) -> DataFrame:
     """First and last point, and of each bucket between them that with the largest triangle area with its neighbours.
 

@@ -150,8 +150,15 @@ def recent(messages: DataFrame, conversation: str, turn: str, most: int) -> Data
     return messages.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= most).drop("__n")
 
 
-def compaction(messages: DataFrame, conversation: str, threshold: int = 16, keep: int = 12) -> DataFrame:
-    """conversation, n_messages, summarized, kept: beyond the threshold all but the last `keep` are summarized."""
-    n = messages.groupBy(conversation).agg(F.count("*").alias("n_messages"))
-    gone = F.when(F.col("n_messages") > threshold, F.col("n_messages") - keep).otherwise(0).cast("long")
-    return n.withColumn("summarized", gone).withColumn("kept", F.col("n_messages") - F.col("summarized"))
+def compaction(messages: DataFrame, conversation: str, turn: str, role: str, text: str, threshold: int = 16, keep: int = 12) -> DataFrame:
+    """conversation, n_messages, summarized, kept, older: beyond the threshold all but the last `keep` are to be summarized.
+
+    older: what is to be summarized, a line `role: text` for each message in order, empty if nothing is; the summary
+    itself is a language model's. A conversation's older messages are one text by nature.
+    """
+    order = Window.partitionBy(conversation).orderBy(F.col(turn).desc())
+    rows = messages.withColumns({"__n": F.row_number().over(order), "__all": F.count("*").over(Window.partitionBy(conversation))})
+    old = (F.col("__all") > threshold) & (F.col("__n") > keep)
+    line = F.struct(turn, F.concat_ws(": ", F.col(role), F.col(text)).alias("line"))
+    out = rows.groupBy(conversation).agg(F.count("*").alias("n_messages"), F.count_if(old).alias("summarized"), F.sort_array(F.collect_list(F.when(old, line))).alias("__old"))
+    return out.select(conversation, "n_messages", "summarized", (F.col("n_messages") - F.col("summarized")).alias("kept"), F.array_join("__old.line", "\n").alias("older"))

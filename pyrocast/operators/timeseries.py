@@ -98,3 +98,18 @@ def latest_before(rows: DataFrame, key: str, at: str, tie: str, value: str, is_s
 def first_by_priority(rows: DataFrame, keys: list[str], priority: list[Column]) -> DataFrame:
     """Of each key the row that comes first."""
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*priority))).filter("__n = 1").drop("__n")
+
+
+def concat(batches: list[DataFrame], batch: str) -> DataFrame:
+    """The rows of all batches by the names of their columns, with the number of their batch."""
+    out = None
+    for i, rows in enumerate(batches):
+        rows = rows.withColumn(batch, F.lit(i))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def joined_years(rows: DataFrame, key: str, year: str, values: str) -> DataFrame:
+    """key, values: the arrays of a key's years, one after the other."""
+    held = F.sort_array(F.collect_list(F.struct(year, values)))
+    return rows.groupBy(key).agg(F.flatten(F.transform(held, lambda x: x[values])).alias(values))

@@ -74,7 +74,8 @@ def conversation_tail(spark, sf):
 
 
 def compaction(spark, sf):
-    return folds.compaction(table(spark, sf, "conversations"), "conv_id", threshold=4, keep=2)
+    out = folds.compaction(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text", threshold=4, keep=2)
+    return out.withColumn("older", F.md5("older"))
 
 
 def compact_text(spark, sf):
@@ -137,7 +138,8 @@ WHERE n <= 18 AND NOT regexp_matches(t, '^[•\-*]') AND NOT regexp_matches(t, '
   AND lower(t) NOT IN ('table of contents', 'this page intentionally left blank.', 'this page left intentionally blank.', 'acknowledgments', 'appendix', 'glossary/acronyms')
   AND (chapter OR (caps AND n <= 14) OR (len(w) > 0 AND len(list_filter(w[1:10], lambda x: NOT regexp_matches(x, '^\p{Lu}'))) = 0))""",
     "conversation_tail": "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 12",
-    "compaction": "SELECT conv_id, n_messages, CASE WHEN n_messages > 4 THEN n_messages - 2 ELSE 0 END AS summarized, n_messages - CASE WHEN n_messages > 4 THEN n_messages - 2 ELSE 0 END AS kept FROM (SELECT conv_id, count(*) AS n_messages FROM conversations GROUP BY conv_id)",
+    "compaction": """WITH c AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations)
+SELECT conv_id, count(*) AS n_messages, count(*) FILTER (n > 4 AND back > 2) AS summarized, count(*) FILTER (NOT (n > 4 AND back > 2)) AS kept, md5(coalesce(string_agg(role || ': ' || text, chr(10) ORDER BY turn) FILTER (n > 4 AND back > 2), '')) AS older FROM c GROUP BY conv_id""",
     "compact_text": "SELECT doc_id, md5(CASE WHEN length(text) > 205 THEN left(text, 100) || ' ... ' || right(text, 100) ELSE text END) AS md5 FROM documents",
     "judge_parse": r"""WITH f AS (SELECT event_id, nullif(regexp_extract('Here is my verdict: ' || props || ' done.', '(?s)\{.*\}'), '') AS j FROM events)
 SELECT event_id, length(j) AS chars, round(try_cast(nullif(regexp_extract(j, ':\s*"?(-?[0-9.]+)', 1), '') AS DOUBLE), 4) AS score FROM f""",
