@@ -57,7 +57,7 @@ def _successors(starts: DataFrame, nodes: DataFrame, top: int, km: float) -> Dat
         up = up.select("i", "lat", "lon", "end", (F.col("level") + 1).alias("level"), F.floor(F.col("node") / _WIDE).alias("node"), (F.col("node") % _WIDE + 1).cast("int").alias("since"))
         # what stands at or behind the end of the row's key is not looked at
         begins = (F.col("node") * _WIDE + F.col("since")) * F.pow(F.lit(_WIDE), F.col("level"))
-        left = written(down.unionByName(up).filter(begins < F.col("end")))
+        left = down.unionByName(up).filter(begins < F.col("end"))
         if left.isEmpty():
             out = found[0]
             for rows in found[1:]:

@@ -32,8 +32,9 @@ def doctrine_chunks(spark, sf):
 
 def heading_stack(spark, sf):
     """Lines of an order as headings of levels 1 to 7: the stack after each."""
-    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") != "A", F.pmod("l_partkey", F.lit(7)) + 1).alias("level"), F.col("l_suppkey").cast("string").alias("name"), F.col("l_partkey"))
-    out = outline.stacked(rows, "l_orderkey", ["l_linenumber", "l_partkey", "name"], "level", "name", 7)
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") != "A", F.pmod("l_partkey", F.lit(7)) + 1).alias("level"), F.col("l_suppkey").cast("string").alias("name"), "l_partkey", "l_extendedprice", "l_shipdate", "l_returnflag")
+    # equal line numbers go by all that tells rows apart
+    out = outline.stacked(rows, "l_orderkey", ["l_linenumber", "l_partkey", "name", "l_extendedprice", "l_shipdate", "l_returnflag"], "level", "name", 7)
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "name", F.array_join("path", ">").alias("path"))
 
 
@@ -168,7 +169,7 @@ m AS (SELECT *, lead(opened) OVER (PARTITION BY conv_id ORDER BY section) AS clo
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY section) AS no FROM m WHERE text IS NOT NULL)
 SELECT o.conv_id, no AS n, 'm' || o.conv_id || '_' || coalesce(nullif(trim(regexp_replace(lower(path[-1]), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'section_' || lpad(no::VARCHAR, 2, '0')) || '_' || CASE WHEN no < 10 THEN '0' ELSE '' END || no AS chunk_id,
   array_to_string(path, ' > ') AS path, md5({_squeezed('text')}) AS md5, page_start, coalesce(closed, pages) AS page_end FROM o JOIN n ON n.conv_id = o.conv_id""",
-    "heading_stack": """WITH RECURSIVE r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey::VARCHAR AS name, CASE WHEN l_returnflag <> 'A' THEN l_partkey % 7 + 1 END AS level, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey::VARCHAR) AS i FROM lineitem),
+    "heading_stack": """WITH RECURSIVE r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey::VARCHAR AS name, CASE WHEN l_returnflag <> 'A' THEN l_partkey % 7 + 1 END AS level, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey::VARCHAR, l_extendedprice, l_shipdate, l_returnflag) AS i FROM lineitem),
 f AS (SELECT l_orderkey, l_linenumber, l_partkey, name, i, CASE WHEN level IS NULL THEN [] ELSE [name] END AS stack FROM r WHERE i = 1
   UNION ALL
   SELECT r.l_orderkey, r.l_linenumber, r.l_partkey, r.name, r.i, CASE WHEN r.level IS NULL THEN stack ELSE list_append(stack[1:r.level - 1], r.name) END FROM f JOIN r ON r.l_orderkey = f.l_orderkey AND r.i = f.i + 1)

@@ -77,7 +77,7 @@ def request_check(spark, sf):
         "p_partkey",
         F.get(F.array(*map(F.lit, ("predict", "query", "pdf", "audio", "fax"))), F.pmod(k, F.lit(5)).cast("int")).alias("kind"),
         every(7, F.lit("north"), F.lit("40.5")).alias("lat"),
-        F.lit("-100").alias("lon"),
+        every(11, F.lit("west"), F.lit("-100")).alias("lon"),
         every(3, F.lit("2024-13-05"), F.lit("2024-01-05")).alias("date"),
         every(4, F.lit(" "), F.lit("s1")).alias("session_id"),
         every(6, none, every(9, F.repeat(F.lit("x"), F.lit(2001)), F.col("p_name"))).alias("query"),
@@ -144,9 +144,9 @@ SELECT count(*) AS episodes, round(avg(steps), 4) AS avg_steps, round(avg(last_e
     "unit_vectors": """WITH l AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)
 SELECT vec_id, round(CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE 0 END, 6) AS length, round(v[1] / coalesce(nullif(n, 0), 1), 6) AS first FROM l""",
     "request_check": """WITH r AS (SELECT p_partkey AS k, ['predict', 'query', 'pdf', 'audio', 'fax'][p_partkey % 5 + 1] AS kind, CASE WHEN p_partkey % 8 <> 0 THEN p_partkey % 32 END AS mb FROM part)
-SELECT k AS p_partkey, CASE WHEN mb > 30 THEN 413 WHEN kind = 'predict' AND (k % 7 = 0 OR k % 3 = 0) THEN 400 WHEN kind IN ('query', 'pdf') AND k % 4 = 0 THEN 400 WHEN kind = 'query' AND (k % 6 = 0 OR k % 9 = 0) THEN 400
+SELECT k AS p_partkey, CASE WHEN mb > 30 THEN 413 WHEN kind = 'predict' AND (k % 7 = 0 OR k % 11 = 0 OR k % 3 = 0) THEN 400 WHEN kind IN ('query', 'pdf') AND k % 4 = 0 THEN 400 WHEN kind = 'query' AND (k % 6 = 0 OR k % 9 = 0) THEN 400
     WHEN kind IN ('pdf', 'audio') AND mb IS NULL THEN 400 WHEN kind = 'pdf' AND mb > 20 OR kind = 'audio' AND mb > 25 THEN 413 WHEN kind = 'fax' THEN 400 ELSE 200 END AS status,
-  CASE WHEN mb > 30 THEN 'body too large' WHEN kind = 'predict' AND (k % 7 = 0 OR k % 3 = 0) THEN 'lat, lon and date are required' WHEN kind IN ('query', 'pdf') AND k % 4 = 0 THEN 'session_id is required'
+  CASE WHEN mb > 30 THEN 'body too large' WHEN kind = 'predict' AND (k % 7 = 0 OR k % 11 = 0 OR k % 3 = 0) THEN 'lat, lon and date are required' WHEN kind IN ('query', 'pdf') AND k % 4 = 0 THEN 'session_id is required'
     WHEN kind = 'query' AND k % 6 = 0 THEN 'query is required' WHEN kind = 'query' AND k % 9 = 0 THEN 'query too long' WHEN kind IN ('pdf', 'audio') AND mb IS NULL THEN 'file is required'
     WHEN kind = 'pdf' AND mb > 20 THEN 'pdf too large' WHEN kind = 'audio' AND mb > 25 THEN 'audio too large' WHEN kind = 'fax' THEN 'unknown request' END AS reason FROM r""",
     "session_lookup": "SELECT o_orderkey, c_custkey IS NOT NULL AS found, CAST(coalesce(c_nationkey, -1) AS BIGINT) AS nation FROM orders LEFT JOIN customer ON c_custkey = o_custkey + o_orderkey % 2 * 1000000",
