@@ -137,6 +137,12 @@ SELECT doc_id, line, CASE WHEN chapter OR caps THEN 1 WHEN n <= 6 THEN 2 ELSE 3
 WHERE n <= 18 AND NOT regexp_matches(t, '^[•\-*]') AND NOT regexp_matches(t, '[.!?;]$')
   AND lower(t) NOT IN ('table of contents', 'this page intentionally left blank.', 'this page left intentionally blank.', 'acknowledgments', 'appendix', 'glossary/acronyms')
   AND (chapter OR (caps AND n <= 14) OR (len(w) > 0 AND len(list_filter(w[1:10], lambda x: NOT regexp_matches(x, '^\p{Lu}'))) = 0))""",
+    "pack_chunks": """WITH RECURSIVE p AS (SELECT doc_id, unnest(range(len(s))) AS n, unnest(s) AS x FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)),
+c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n, k) AS i, x FROM (SELECT doc_id, n, unnest(range(len(d))) AS k, unnest(d) AS x FROM (SELECT doc_id, n, list_transform(range(0, length(x), 1800), lambda i: substr(x, i + 1, 1800)) AS d FROM p WHERE x <> ''))),
+v AS (SELECT doc_id, 1::BIGINT AS i, 0 AS chunk, x AS now FROM c WHERE i = 1
+  UNION ALL
+  SELECT c.doc_id, c.i, chunk + CAST(length(now) + 2 + length(c.x) > 1800 AS INT), CASE WHEN length(now) + 2 + length(c.x) <= 1800 THEN now || '  ' || c.x ELSE c.x END FROM v JOIN c ON c.doc_id = v.doc_id AND c.i = v.i + 1)
+SELECT doc_id, chunk, length(t) AS chars, md5(t) AS md5 FROM (SELECT doc_id, chunk, arg_max(now, i) AS t FROM v GROUP BY doc_id, chunk)""",
     "conversation_tail": "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 12",
     "compaction": """WITH c AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations)
 SELECT conv_id, count(*) AS n_messages, count(*) FILTER (n > 4 AND back > 2) AS summarized, count(*) FILTER (NOT (n > 4 AND back > 2)) AS kept, md5(coalesce(string_agg(role || ': ' || text, chr(10) ORDER BY turn) FILTER (n > 4 AND back > 2), '')) AS older FROM c GROUP BY conv_id""",
