@@ -18,28 +18,44 @@ VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the classifier reject go."""
+    """Documents that the base rules or the classifier reject go; null and empty texts fail the base rules.
+
+    Rows that are equal in id and text have one verdict; all columns of docs stay as they are, whatever their names. Without labels of
+    both kinds the base rules alone decide. An empty table stays empty.
+    """
     return quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document holds go; n_chars follows the text."""
+    """Lines that a document of smaller id holds go; n_chars, if there is such a column, follows the text.
+
+    Null texts are one empty line and stay; other columns stay as they are, whatever their names. An empty table stays empty.
+    """
     out = line_dedup.drop_lines(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the smallest id stays."""
+    """Of each component of near copies the smallest id stays, with all its rows and columns.
+
+    Texts without words and rows without an id are copies of nothing and stay. An empty table stays empty.
+    """
     return jaccard_join.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, with all their columns; texts without words aren't taken.
+
+    A null source is a source; rows of one source with one id are taken alike. An empty table stays empty.
+    """
     return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with digests of them and of what they decode to."""
+    """Token ids of each document, with digests of them and of what they decode to; null and empty texts have none.
+
+    A row for each row of docs, repeated ones too; columns other than id and text are not read. An empty table gives an empty one.
+    """
     return bpe.round_trip(docs, bpe.read_ranks(VOCABULARY), public_tokenizers.PATTERN, with_ids=True)
 
 
