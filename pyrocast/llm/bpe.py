@@ -4,7 +4,9 @@ Each task gathers the distinct pieces of its texts (up to a bound), lays them ou
 tokens, and keeps an inverted index from token pair (by the rank of its merge) to the positions where
 it stands. Merges are applied in rank order to all positions at once; only the neighbours of a merged
 pair change, and only their entries are added. Texts are then put together from their pieces, so
-nothing is shuffled. What a worker has encoded, it keeps in a bounded table for its next batches.
+nothing is shuffled. What a worker has encoded, it keeps in a bounded table for its next batches. So the
+corpus of one replay is what a task has gathered, and a piece that several workers meet is replayed by each. A piece
+where a merge brings up a pair of lower rank, while others of this rank are left, is merged alone, with a heap of its pairs.
 """
 
 from __future__ import annotations
