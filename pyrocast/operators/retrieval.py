@@ -16,8 +16,9 @@ from ..functions.text import SECTION_BONUS, TOKEN, tokens
 from ..session import written
 
 K1, B = 1.5, 0.75
-#: Queries and rows that are held against each other at a time, and rows of these that are scored together.
-QUERY_BLOCK, ROW_BLOCK, SLICE = 1024, 4096, 256
+#: Queries and rows that are held against each other at a time, and rows of these that are scored together: a task holds
+#: matrices of so many queries, and rows, by the different terms of the queries.
+QUERY_BLOCK, ROW_BLOCK, SLICE = 256, 4096, 256
 #: Terms of queries that are sent to every task.
 MOST_TERMS = 500_000
 
