@@ -479,3 +479,48 @@ def test_token_files_with_repeated_ids(spark):
     for r in got:
         assert r.start == at
         at += r.n_tokens
+
+
+def test_filters_take_few_jobs_whatever_the_partitions(spark):
+    """A filter of few blocks goes to the driver in some jobs, not in one for each partition of a shuffle."""
+    from pyspark.sql import functions as F
+
+    from pyrocast.llm.common import any_filter, has
+
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    keys, bits = spark.range(3000).select(F.xxhash64("id").alias("h")).cache(), 1 << 18
+    want = np.array([r.h for r in keys.collect()]) & (bits - 1)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("filter", "filter")
+        found = any_filter(keys, bits)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("filter")
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+        keys.unpersist()
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert has(found, want).all() and np.unpackbits(found).sum() == len(np.unique(want))
+    assert 0 < len(jobs) <= 8
+
+
+def test_components_of_few_links_lie_in_few_files(spark):
+    """Rounds are written in files by the number of links, not by the partitions of a shuffle."""
+    from pyrocast.llm.components import connected_components
+
+    conf = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    links = [(i, i + 1) for i in range(300) if i % 7] + [(500, 500), (3, 299)]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = connected_components(spark.createDataFrame(links, "a long, b long"))
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    want = {x: (x - 1) // 7 * 7 + 1 for x in range(1, 301)}
+    want = {x: c if c != 295 else 1 for x, c in want.items()}  # 3 and 299
+    assert {r.v: r.component for r in found.collect()} == want
+    assert len(found.inputFiles()) <= 2
