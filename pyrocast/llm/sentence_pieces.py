@@ -34,6 +34,7 @@ SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
 _NO = float("inf")
+_NEVER = np.iinfo(np.int32).max
 
 
 def _fields(data: bytes):
@@ -147,6 +148,21 @@ class Pieces:
         surface = trainer.get(44, " ⁇ ".encode())
         self.text = [b"" if kind == _CONTROL else surface if kind == _UNKNOWN else bytes([int(piece[1:-1], 16)]) if kind == _BYTE else piece.replace(SPACE, " ").encode() for piece, _, kind in self.pieces]
         self.silent = {i for i, x in enumerate(self.pieces) if x[2] == _CONTROL}
+        # for merges of many chunks at a time: each character's piece, and what two pieces merge to, with its place in the order of scores
+        self.of_char = np.full(sys.maxunicode + 1, -1, np.int32)
+        for piece, (_, i) in self.normal.items():
+            if len(piece) == 1:
+                self.of_char[ord(piece)] = i
+        order = {cost: k for k, cost in enumerate(sorted({cost for cost, _ in self.normal.values()}))}
+        get, found = self.normal.get, []
+        for piece, (cost, i) in self.normal.items():
+            for k in range(1, len(piece)):
+                a, b = get(piece[:k]), get(piece[k:])
+                if a and b:
+                    found.append((a[1] * len(self.pieces) + b[1], i, order[cost]))
+        found = np.array(sorted(found), np.int64).reshape(-1, 3)
+        self.pairs, self.merged_to, self.places = found[:, 0].copy(), found[:, 1].astype(np.int32), found[:, 2].astype(np.int32)
+        self.widths = np.array([len(piece.encode()) for piece, _, _ in self.pieces], np.int64)
         # places that no piece goes across
         long = [piece for piece in self.normal if len(piece) > 1]
         lone = "".join(c for c in map(chr, range(128)) if not any(c in piece for piece in long))
@@ -289,23 +305,95 @@ class Pieces:
             at += size
         return ids, ends
 
+    def _found(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(what each two pieces merge to, its place in the order of scores; _NEVER where they don't)."""
+        keys = a.astype(np.int64) * len(self.pieces) + b
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        return self.merged_to[at], np.where(self.pairs[at] == keys, self.places[at], _NEVER)
+
+    def _together(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pieces, how many of each row) of chunks of one length, a row of characters' pieces each: a step merges the best pair of every row, the leftmost of equal ones."""
+        n, width = symbols.shape
+        out, left = symbols.copy(), np.full(n, width, np.int64)
+        if width == 1 or not len(self.pairs):
+            return out, left
+        into, place = (x.reshape(n, width - 1) for x in self._found(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()))
+        live, symbols, merges = np.arange(n), symbols, 0
+        while len(live):
+            best = place.argmin(axis=1)
+            row = np.arange(len(live))
+            goes_on = place[row, best] < _NEVER
+            if not goes_on.all():
+                done = ~goes_on
+                out[live[done], : width - merges], left[live[done]] = symbols[done], width - merges
+                live, best, symbols, into, place = live[goes_on], best[goes_on], symbols[goes_on], into[goes_on], place[goes_on]
+                row = row[: len(live)]
+            if not len(live):
+                break
+            new = into[row, best]
+            merges += 1
+            last = width - merges  # the pairs that there were
+            # one symbol less: those after the pair move up
+            behind = np.arange(last) > best[:, None]
+            symbols = np.where(behind, symbols[:, 1:], symbols[:, :-1])
+            symbols[row, best] = new
+            if last == 1:
+                out[live, :1], left[live] = symbols, 1
+                break
+            behind = behind[:, :-1] | (np.arange(last - 1) == best[:, None])
+            into, place = np.where(behind, into[:, 1:], into[:, :-1]), np.where(behind, place[:, 1:], place[:, :-1])
+            for at in (best - 1, best):
+                known = np.flatnonzero((at >= 0) & (at < last - 1))
+                at = at[known]
+                into[known, at], place[known, at] = self._found(symbols[known, at], symbols[known, at + 1])
+        return out, left
+
+    def _chunks(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all chunks end to end, where each ends in the bytes of its chunk, ids and bytes of each chunk).
+
+        Short chunks of characters that all are pieces are merged together, by length; the others one by one.
+        """
+        codes = np.frombuffer("".join(new).encode("utf-32-le"), np.uint32)
+        many = np.array([len(c) for c in new], np.int64)
+        begins = np.cumsum(many) - many
+        pieces = self.of_char[codes]
+        able = (many <= 40) & (np.minimum.reduceat(pieces, begins) >= 0)
+        sizes = np.add.reduceat(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000).astype(np.int64), begins)
+        counts, found = np.zeros(len(new), np.int64), []
+        for width in np.unique(many[able]).tolist():
+            which = np.flatnonzero(able & (many == width))
+            rows, left = self._together(pieces[begins[which][:, None] + np.arange(width)])
+            counts[which] = left
+            found.append((which, rows, left))
+        alone = {i: self._chunk(new[i]) for i in np.flatnonzero(~able).tolist()}
+        for i, (x, _) in alone.items():
+            counts[i] = len(x)
+        starts = np.cumsum(counts) - counts
+        ids = np.zeros(int(counts.sum()), np.uint32)
+        for which, rows, left in found:
+            place = np.arange(rows.shape[1])
+            here = place < left[:, None]
+            ids[(starts[which][:, None] + place)[here]] = rows[here]
+        upto = np.cumsum(self.widths[ids])
+        ends = upto - np.repeat(upto[starts] - self.widths[ids[starts]], counts)
+        for i, (x, y) in alone.items():
+            ids[starts[i] : starts[i] + len(x)], ends[starts[i] : starts[i] + len(x)] = x, y
+        return ids, ends.astype(np.int32), counts, sizes
+
     def _learn(self) -> None:
         """Encodes the chunks that are numbered but not known yet."""
         new = list(self.numbers)[self.known :] if self.known < len(self.numbers) else []
         if not new:
             return
-        each = [self._chunk(c) for c in new]
-        ids = np.array([i for x, _ in each for i in x], np.uint32)
-        ends = np.array([i for _, x in each for i in x], np.int32)
+        ids, ends, counts, sizes = self._chunks(new)
         if self.used + len(ids) > len(self.ids):
             for name in ("ids", "ends"):
                 old = getattr(self, name)
                 setattr(self, name, np.append(old[: self.used], np.empty(self.used + 2 * len(ids), old.dtype)))
         self.ids[self.used : self.used + len(ids)], self.ends[self.used : self.used + len(ids)] = ids, ends
-        counts = np.array([len(x) for x, _ in each], np.int64)
         self.starts = np.append(self.starts, self.used + np.cumsum(counts) - counts)
         self.counts = np.append(self.counts, counts)
-        self.sizes = np.append(self.sizes, [len(c.encode()) for c in new])
+        self.sizes = np.append(self.sizes, sizes)
         self.used += len(ids)
         self.known = len(self.numbers)
 

@@ -524,3 +524,14 @@ def test_components_of_few_links_lie_in_few_files(spark):
     want = {x: c if c != 295 else 1 for x, c in want.items()}  # 3 and 299
     assert {r.v: r.component for r in found.collect()} == want
     assert len(found.inputFiles()) <= 2
+
+
+def test_chunks_merged_together_are_as_one_by_one():
+    """Many chunks merged by steps over all of them give the ids and ends of each alone: ties, long ones, bytes and lone characters too."""
+    coder, r = sentence_pieces.Pieces(sentence_pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))), random.Random(5)
+    chunks = ["a", "▁", "▁▁▁", "aaaaaaa", "▁the", "▁" + "ab" * 40, "\U0001f600x", "é", "▁naïve", "\x01", "中文字", "a\x00b"]
+    chunks += ["▁" * r.randint(0, 2) + "".join(r.choice("etaoinshrdluéß中\x02") for _ in range(r.randint(1, 45))) for _ in range(400)]
+    ids, ends, counts, sizes = coder._chunks(chunks)
+    each = [coder._chunk(c) for c in chunks]
+    assert ids.tolist() == [i for x, _ in each for i in x] and ends.tolist() == [i for _, x in each for i in x]
+    assert counts.tolist() == [len(x) for x, _ in each] and sizes.tolist() == [len(c.encode()) for c in chunks]
