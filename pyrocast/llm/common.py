@@ -243,7 +243,8 @@ class ChunkTable:
     pattern of byte-level vocabularies never matches across such a cut, whatever stands before it: it
     gives such a space to the piece that follows. Chunks recur, texts do not. With cuts=False (any
     other pattern) a text is one chunk. learn(chunks) gives the ids of chunks end to end, and the number
-    of ids of each. With more than `most` chunks the table starts anew between two batches.
+    of ids of each. With more than `most` chunks the table keeps, between two batches, those that were met twice or more
+    since it last did so, or starts anew if these are more than half of `most`.
     """
 
     def __init__(self, learn, most: int, cuts: bool = True):
@@ -255,6 +256,7 @@ class ChunkTable:
         self.ids, self.used = np.empty(1 << 16, np.uint32), 0
         self.starts, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
         self.blank = np.empty(0, bool)
+        self.uses = np.empty(0, np.int32)
 
     def _numbered(self, chunks: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all chunks, and how many each text has. The first of a text is kept with a space before it, the others without theirs."""
@@ -297,15 +299,30 @@ class ChunkTable:
 
     def gather(self, numbers: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, number of each text's ids), from what number() gave."""
+        met = np.bincount(numbers, minlength=len(self.counts)).astype(np.int32)
+        met[: len(self.uses)] += self.uses
+        self.uses = met
         n = self.counts[numbers]
         ends = np.cumsum(n)
         ids = self.ids[np.repeat(self.starts[numbers] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
         return ids, np.diff(np.append(0, ends)[np.cumsum(many)], prepend=0)
 
     def turn(self) -> None:
-        """Between two batches: a table that is full starts anew."""
-        if len(self.numbers) > self.most:
+        """Between two batches: a table that is full keeps what recurs."""
+        if len(self.numbers) <= self.most:
+            return
+        again = np.flatnonzero(self.uses >= 2)
+        if self.new or not 0 < len(again) <= self.most // 2:
             self._clear()
+            return
+        names, n, starts, blank = list(self.numbers), self.counts[again], self.starts[again], self.blank[again]
+        ends = np.cumsum(n)
+        ids = self.ids[np.repeat(starts - (ends - n), n) + np.arange(ends[-1])]
+        self._clear()
+        for i in again.tolist():
+            self.numbers[names[i]]
+        self.ids, self.used = np.append(ids, np.empty(1 << 16, np.uint32)), len(ids)
+        self.starts, self.counts, self.blank = ends - n, n, blank
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, number of each text's ids)."""

@@ -535,3 +535,22 @@ def test_chunks_merged_together_are_as_one_by_one():
     each = [coder._chunk(c) for c in chunks]
     assert ids.tolist() == [i for x, _ in each for i in x] and ends.tolist() == [i for _, x in each for i in x]
     assert counts.tolist() == [len(x) for x, _ in each] and sizes.tolist() == [len(c.encode()) for c in chunks]
+
+
+def test_full_chunk_table_keeps_what_recurs():
+    """A full table forgets the chunks met once; the others aren't encoded again, and ids stay right."""
+    from pyrocast.llm.common import ChunkTable
+
+    asked = []
+
+    def learn(new):
+        asked.extend(new)
+        return np.array([ord(x) for c in new for x in c], np.uint32), np.array([len(c) for c in new], np.int64)
+
+    table = ChunkTable(learn, 40)
+    for i in range(12):
+        texts = ["often and  again " + " ".join(f"w{i}x{k}" for k in range(15)), "often and\nagain", "", f"w{i}x0 often", "again "]
+        ids, counts = table.encode(texts)
+        assert "".join(map(chr, ids)) == "".join(texts) and counts.tolist() == [len(x) for x in texts]
+        assert len(table.numbers) < 80
+    assert asked.count(" often") == 1 and asked.count(" w0x3") == 1 and len(asked) > 12 * 15
