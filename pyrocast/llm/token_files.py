@@ -17,7 +17,6 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -236,9 +235,11 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
-def _latin(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(where ASCII letters stand, where the first of the two bytes of a letter from U+00C0 to U+00FF does), the latter without the last byte."""
-    return ((data | 32) - np.uint8(97)) < 26, (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+def _letters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where ASCII letters stand, where the first byte of other Latin or Cyrillic ones does: U+00C0 to U+023F, U+0400 to U+047F), the latter without the last byte."""
+    lead, after = data[:-1], data[1:]
+    two = (lead == 0xC3) & (after != 0x97) & (after != 0xB7)
+    return ((data | 32) - np.uint8(97)) < 26, two | ((lead - np.uint8(0xC4)) < 5) | ((lead - np.uint8(0xD0)) < 2)
 
 
 def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -246,10 +247,10 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
     No match of the usual pattern crosses a cut, and a segment's matches are the same alone. Cuts are at the
     beginnings of texts, and before a space that another character than white space follows, an ASCII
-    character that is no letter behind a Latin letter, and what follows a line's end behind another ASCII
-    character than white space. Bytes tell all this only for ASCII, Latin letters and characters that are surely no white space.
+    character that is no letter behind a Latin or Cyrillic letter, and what follows a line's end behind another ASCII
+    character than white space. Bytes tell all this only for ASCII, these letters and characters that are surely no white space.
     """
-    letter, two = _latin(data)
+    letter, two = _letters(data)
     ink = (data - np.uint8(0x21)) < 0x5E
     # white space begins with 0xC2 and 0xE1 to 0xE3 at most
     seen = ink | ((data >= 0xC3) & ((data - np.uint8(0xE1)) > 2))
@@ -344,7 +345,8 @@ class Encoder:
         self.whole, self.table = Tokenizer.from_str(text), None
         self.added = [x["content"] for x in told.get("added_tokens", [])]
         if pattern == USUAL_PATTERN and how.get("type") == "ByteLevel" and how.get("use_regex") and not how.get("add_prefix_space") and not told.get("normalizer"):
-            self.cut = regex.compile(pattern).findall
+            # gives matches in letters for their bytes; its own tables of Unicode decide, as other libraries have other versions
+            self.cut = self.whole.pre_tokenizer.pre_tokenize_str
             letters = _byte_letters()
             self.model = Tokenizer(self.whole.model)
             vocabulary = self.model.get_vocab()
@@ -367,13 +369,13 @@ class Encoder:
     def _learn(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = _bytes(new)
         begins, asked = offsets[:-1], offsets[1:]
-        # Latin letters behind a space or none are one match, whatever the version of Unicode; others are asked of the pattern
-        letter, two = _latin(data)
+        # Latin and Cyrillic letters behind a space or none are one match, whatever the version of Unicode; others are cut by the library
+        letter, two = _letters(data)
         letter[:-1] |= two
         letter[1:] |= two
         letter[begins] |= data[begins] == 32
         others = np.flatnonzero(np.logical_or.reduceat(~letter, begins))
-        inner = [np.cumsum([len(p.encode()) for p in self.cut(text.decode())])[:-1] + at for at, text in zip(begins[others].tolist(), new.take(pa.array(others)).to_pylist(), strict=True)]
+        inner = [np.cumsum([len(p) for p, _ in self.cut(text.decode())])[:-1] + at for at, text in zip(begins[others].tolist(), new.take(pa.array(others)).to_pylist(), strict=True)]
         ends = np.sort(np.concatenate([asked, *inner]))[:-1]
         marks = np.full(len(ends), self.between, np.uint8)
         marks[_GROUP - 1 :: _GROUP] = _NEVER[-1]

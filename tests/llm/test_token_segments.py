@@ -14,6 +14,8 @@ from pyrocast.llm.common import shared_folder
 ODD = """a b the Don é ß ñ ÿ À × ÷ ª µ º ā я ж λ א ع 日本 ひ カ 한 😀 é ́ 0 12 ٣ ² ½ Ⅷ . , .. !? % # ' 's 't 're 'll 'S ' ’ - _ = « » ¿ “ … | <|endoftext|>""".split()
 ODD += [" "] * 12 + ["\n"] * 6 + ["  ", "\n\n", "\r\n", "\t", "\x0b", "\x0c", "\r", "\0", "\x01", "\x1c", "\x1f", "\x7f", "\x80", "\x85", "\xa0", "\xad", "́"]
 ODD += [chr(i) for i in (0x7FF, 0x800, 0xFFF, 0x1000, 0x1680, 0x180E, 0x2000, 0x200A, 0x200B, 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x2FFF, 0x3000, 0x3001, 0xFEFF, 0xFFFF, 0x10000, 0x10FFFF)]
+# versions of Unicode differ about these
+ODD += [chr(i) for i in (0x558, 0x58B, 0x88F, 0xC5C, 0x208F, 0x209D, 0xA7D2, 0x10940, 0x10EC5)]
 
 
 def tokenizer(**changes):
@@ -29,6 +31,7 @@ def test_segments_of_odd_texts(changes):
 
     rng, told = random.Random(7), tokenizer(**changes)
     texts = ["".join(rng.choices(ODD, k=rng.randint(0, 14))) for _ in range(12_000)] + ["", None, " ", "\n", "a ", "a\n ", " \n ", "\n a", "a\n\n", "x" * 3000]
+    texts += [t for c in map(chr, range(0x20, 0x500)) for t in (f"ab{c}, {c} x\n{c}b", f" {c}{c}.{c}1{c}'s", f"{c}\n {c}  {c}\n\n{c}{c}#")]
     rng.shuffle(texts)
     coder, whole = token_files.Encoder(told, public_tokenizers.PATTERN), Tokenizer.from_str(told)
     assert (coder.mark is None) == bool(changes)
