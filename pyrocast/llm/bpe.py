@@ -22,10 +22,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import USUAL_PATTERN, ChunkTable, joined_pieces, parts
+from .common import USUAL_PATTERN, ChunkTable, giving_back, joined_pieces, parts
 
 #: Characters of new chunks, and chunks of texts, that a task gathers before a replay; chunks that a worker keeps.
-_NEW_CHARS, _HELD_CHUNKS, _KEPT_CHUNKS = 1 << 20, 1 << 21, 150_000
+_NEW_CHARS, _HELD_CHUNKS, _KEPT_CHUNKS = 1 << 19, 1 << 21, 150_000
+#: Positions that a replay enters at a time.
+_ENTERED = 1 << 18
+#: Chunks and merges that a worker keeps between tasks, when it may stay idle beside other stages.
+_IDLE_CHUNKS, _IDLE_MERGES = 40_000, 60_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -82,10 +86,12 @@ class MergeReplay:
         of this rank are left: such a piece is encoded alone.
         """
         size = np.array([len(p) for p in pieces], np.int64)
-        start = np.cumsum(size) - size
-        tok = self.bytes[np.frombuffer(b"".join(pieces), np.uint8)]
-        word = np.repeat(np.arange(len(pieces)), size)
-        after, before = np.arange(1, len(tok) + 1), np.arange(-1, len(tok) - 1)
+        start, n = np.cumsum(size) - size, int(size.sum())
+        # the widest arrays of a task, so no wider than positions need
+        kind = np.int32 if n < 1 << 31 else np.int64
+        tok = self.bytes.astype(kind)[np.frombuffer(b"".join(pieces), np.uint8)]
+        word = np.repeat(np.arange(len(pieces), dtype=kind), size)
+        after, before = np.arange(1, n + 1, dtype=kind), np.arange(-1, n - 1, dtype=kind)
         after[start + size - 1], before[start] = -1, -1
         index: dict[int, list[np.ndarray]] = {}
         heap: list[tuple[int, int]] = []
@@ -93,9 +99,10 @@ class MergeReplay:
 
         def add(at: np.ndarray, low: int) -> np.ndarray:
             """Enters the pairs that start at these positions; gives the positions of those of lower rank."""
-            keys = tok[at] << 32 | tok[after[at]]
+            keys = tok[at].astype(np.int64) << 32 | tok[after[at]]
             order = np.argsort(keys, kind="stable")
-            keys, at = keys[order], at[order]
+            keys = keys[order]
+            at = at[order]
             ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)).tolist()
             lower, a = [], 0
             for key, b in zip(keys[np.array(ends) - 1].tolist(), ends, strict=True):
@@ -111,8 +118,10 @@ class MergeReplay:
                 a = b
             return np.concatenate(lower) if lower else at[:0]
 
-        if (first := np.flatnonzero(after >= 0)).size:
-            add(first, -1)
+        # in slices, as the sort of all positions would take more than all else
+        for a in range(0, n, _ENTERED):
+            if (at := a + np.flatnonzero(after[a : a + _ENTERED] >= 0)).size:
+                add(at.astype(kind), -1)
         while heap:
             r, key = heapq.heappop(heap)
             keys = [key]
@@ -162,7 +171,7 @@ class MergeReplay:
             each = [self.findall(c) for c in chunks]
             found, many = [p for c in each for p in c], np.array([len(c) for c in each])
         numbers: dict[str, int] = {}
-        number = np.array([numbers.setdefault(p, len(numbers)) for p in found], np.int64)
+        number = np.fromiter((numbers.setdefault(p, len(numbers)) for p in found), np.int64, len(found))
         if not len(number):
             return np.empty(0, np.uint32), np.zeros(len(chunks), np.int64)
         ids, counts = self.replay([p.encode() for p in numbers])
@@ -200,8 +209,10 @@ class MergeReplay:
         self.table.enter()
         for head, told in held:
             yield head, self._each(*self.table.gather(*told))
-        # a worker may stay idle for long
-        self.table.turn()
+        held.clear()
+        self.table.turn(_IDLE_CHUNKS)
+        if len(self.merges) > _IDLE_MERGES:
+            self.merges.clear()
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, memoryview(ids).cast("I").tolist())) if ids else b""
@@ -235,12 +246,12 @@ def _coded(docs: DataFrame, ranks, pattern: str, id_col: str, text_col: str, fie
 
     def run(batches):
         coder = _replay(kept)
-        slices = (part for batch in batches for part in parts(batch, 1))
+        slices = (part for batch in batches for part in parts(batch, 1, 1 << 20))
         for head, ids in coder.batches((part.column(0), [x or "" for x in part.column(1).to_pylist()]) for part in slices):
             cols = zip(*[row(coder, x) for x in ids], strict=True)
             yield pa.RecordBatch.from_arrays([head, *map(pa.array, cols)], ["doc_id", *names])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, " + fields)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(giving_back(run), "doc_id long, " + fields)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,7 +275,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFra
                 ids = part.column("ids").to_pylist()
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([coder.decode(x or b"") for x in ids], pa.binary())], [*part.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in encoded.drop("decoded").dtypes) + ", decoded binary")
+    return encoded.mapInArrow(giving_back(run), ", ".join(f"`{n}` {t}" for n, t in encoded.drop("decoded").dtypes) + ", decoded binary")
 
 
 def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

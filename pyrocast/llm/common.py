@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -74,6 +75,31 @@ def running(rows: DataFrame, group: list[str], order: list[Column], value: Colum
     return out.withColumn(name, (F.col(name) + F.col("__before")).cast("long")).drop("__range", "__value", "__before")
 
 
+# --- Memory of Python workers -------------------------------------------------------------------
+
+
+def give_back() -> None:
+    """Returns to the system what this process has freed: Arrow's pool and C's allocator keep it for themselves otherwise."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    # only the GNU library has this
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def giving_back(run):
+    """run, a function of a task's batches, with give_back() after the task: its worker may stay idle beside other stages for long."""
+
+    def held(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return held
+
+
 # --- Bloom filters over the whole corpus -------------------------------------------------------
 
 _BLOCK = 17  # a block of a filter has 2**17 bits
@@ -168,8 +194,8 @@ def twice_filter(keys: DataFrame, bits: int) -> np.ndarray:
         for block, found in twice.items():
             yield pa.RecordBatch.from_pylist([{"block": block, "twice": found.tobytes()}], pa.schema([("block", pa.int32()), ("twice", pa.binary())]))
 
-    filled = keys.mapInArrow(fill, "block int, once binary, twice binary")
-    merged = filled.repartition("block").mapInArrow(merge, "block int, twice binary")
+    filled = keys.mapInArrow(giving_back(fill), "block int, once binary, twice binary")
+    merged = filled.repartition("block").mapInArrow(giving_back(merge), "block int, twice binary")
     out = np.zeros(bits // 8, np.uint8)
     for row in merged.toLocalIterator():
         at = row.block << (_BLOCK - 3)
@@ -195,7 +221,7 @@ def any_filter(keys: DataFrame, bits: int) -> np.ndarray:
             data = [_packed(x.values.to_numpy()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["block", "data"])
 
-    rows = rows.repartition(max(1, bits >> (_BLOCK + 6))).mapInArrow(pack, "block int, data binary")
+    rows = rows.repartition(max(1, bits >> (_BLOCK + 6))).mapInArrow(giving_back(pack), "block int, data binary")
     out = np.zeros(bits // 8, np.uint8)
     for row in rows.toLocalIterator():
         at = row.block << (_BLOCK - 3)
@@ -307,12 +333,13 @@ class ChunkTable:
         ids = self.ids[np.repeat(self.starts[numbers] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
         return ids, np.diff(np.append(0, ends)[np.cumsum(many)], prepend=0)
 
-    def turn(self) -> None:
-        """Between two batches: a table that is full keeps what recurs."""
-        if len(self.numbers) <= self.most:
+    def turn(self, most: int | None = None) -> None:
+        """Between two batches: a table that is full (of more than `most` chunks, if given) keeps what recurs."""
+        most = self.most if most is None else most
+        if len(self.numbers) <= most:
             return
         again = np.flatnonzero(self.uses >= 2)
-        if self.new or not 0 < len(again) <= self.most // 2:
+        if self.new or not 0 < len(again) <= most // 2:
             self._clear()
             return
         names, n, starts, blank = list(self.numbers), self.counts[again], self.starts[again], self.blank[again]

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import any_filter, filter_bits, has, packed, saved, unpacked
+from .common import any_filter, filter_bits, giving_back, has, packed, saved, unpacked
 from .components import connected_components
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -161,7 +161,7 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "n", "fp", "pkey", "prefix"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(run, "doc_id long, n long, fp binary, pkey binary, prefix array<long>")
+    return texts.mapInArrow(giving_back(run), "doc_id long, n long, fp binary, pkey binary, prefix array<long>")
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -177,7 +177,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], ["fp", "tokens"])
 
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("long")).alias("h"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(run, "fp binary, tokens binary")
+    return texts.mapInArrow(giving_back(run), "fp binary, tokens binary")
 
 
 def survivors(sets: DataFrame, groups: DataFrame) -> DataFrame:
@@ -201,7 +201,7 @@ def survivors(sets: DataFrame, groups: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(chosen(batch)[2])], ["token"])
 
     heads = sets.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", F.xxhash64("doc_id").alias("h"), "n", "prefix")
-    shared = saved(heads.mapInArrow(tokens_of, "token long").groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
+    shared = saved(heads.mapInArrow(giving_back(tokens_of), "token long").groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
     bits = filter_bits(shared.count())
     kept = spark.sparkContext.broadcast(any_filter(shared.select("token"), bits))
 
@@ -211,7 +211,7 @@ def survivors(sets: DataFrame, groups: DataFrame) -> DataFrame:
             hit = has(kept.value, tokens & (bits - 1))
             yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(n[hit]), pa.array(tokens[hit])], ["gid", "n", "token"])
 
-    tokens = heads.mapInArrow(suspects, "gid long, n long, token long").join(shared.select("token"), "token", "left_semi")
+    tokens = heads.mapInArrow(giving_back(suspects), "gid long, n long, token long").join(shared.select("token"), "token", "left_semi")
     return tokens.groupBy("gid", "n").agg(F.count("*").alias("l")).filter(F.col("l") >= _least(_FIRST)).select("gid", "n")
 
 
@@ -230,7 +230,7 @@ def clusters(left: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
             values = np.concatenate(heads) if heads else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(i).to_numpy(), many)) for i in (0, 1)] + [pa.array(values)], ["gid", "n", "token"])
 
-    rows = left.join(whole, "fp").select("gid", "n", "tokens").mapInArrow(tokens_of, "gid long, n long, token long")
+    rows = left.join(whole, "fp").select("gid", "n", "tokens").mapInArrow(giving_back(tokens_of), "gid long, n long, token long")
     rows = saved(rows.groupBy("gid", "n", "token").agg(F.lit(1).alias("one")).drop("one"), "tokens")
     shared = rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     mine = rows.join(saved(shared, "shared"), "token").groupBy("gid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import any_filter, filter_bits, has, packed, positions, saved, twice_filter, unpacked
+from .common import any_filter, filter_bits, giving_back, has, packed, positions, saved, twice_filter, unpacked
 
 #: Keys with at least so many suspected lines are hot, and at most so many keys are.
 _HOT_ROWS, _HOT_KEYS = 1000, 4096
@@ -46,7 +46,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_digests(x, min_chars) for x in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "keys"])
 
-    lines = saved(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(digest, "doc_id long, keys binary"), "lines")
+    lines = saved(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(giving_back(digest), "doc_id long, keys binary"), "lines")
     total = lines.agg(F.sum(F.length("keys"))).first()[0] or 0
     bits = filter_bits(total // 16)
     twice = docs.sparkSession.sparkContext.broadcast(twice_filter(lines.select("keys"), bits))
@@ -61,7 +61,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 ids += [doc_id] * len(hit)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], ["doc_id", "key"])
 
-    suspects = saved(lines.mapInArrow(suspect, "doc_id long, key binary"), "suspects")
+    suspects = saved(lines.mapInArrow(giving_back(suspect), "doc_id long, key binary"), "suspects")
     firsts = (
         suspects.groupBy("key")
         .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("lost"), F.count("*").alias("n"))
