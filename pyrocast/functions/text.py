@@ -111,8 +111,12 @@ def slug(x: Column) -> Column:
 
 
 def norm(x: Column) -> Column:
-    """Dashes to -, lower case, white space to single spaces."""
-    return squeeze(F.lower(F.translate(x, DASHES, "-" * len(DASHES))))
+    """Dashes to -, lower case, white space to single spaces.
+
+    Each letter is one in lower case too, whatever stands beside it, so that a part of a text is a part of what it becomes:
+    lower() alone writes a sigma otherwise at the end of a word, and a dotted I as two characters.
+    """
+    return squeeze(F.lower(F.translate(x, DASHES + "Σİ", "-" * len(DASHES) + "σi")))
 
 
 def _any(x: Column, words: list[str]) -> Column:

@@ -57,3 +57,26 @@ def test_fact_overlap_takes_every_fact(spark, sf_dir):
     found = registry.QUERIES["fact_overlap"](spark, sf_dir)
     facts = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     assert found.select(F.pmod("fact_id", F.lit(7)).alias("r")).distinct().count() == facts.select(F.pmod("item_id", F.lit(7))).distinct().count() == 7
+
+
+@pytest.fixture(scope="module")
+def odd_texts(spark, tmp_path_factory):
+    """(folder, DuckDB) of documents that hold letters which change with their case or their neighbours, and rows without text, source or language."""
+    import duckdb
+
+    tail = " ßü Σας schau İst nicht in den anderen Teilen der Texte"
+    items = [(i, f"{i:03d} Anfang des Textes, eigen " + "x" * i + tail) for i in range(60)] + [(60, None)]
+    docs = [(100 + i, text and text[10:30] + " SS ss " + text[38:48], f"web{i % 4}", ("en", "de")[i % 2]) for i, text in items]
+    docs += [(i, f"schön{items[i][1][39:48]}er sonst", f"web{i % 4}", "de") for i in range(60)] + [(200, items[1][1], None, "de"), (201, items[2][1], "web2", None), (202, items[5][1], None, "en"), (203, "masse SSÜ ΣΑΣ i̇st ist", "web1", "de")]
+    folder, con = str(tmp_path_factory.mktemp("odd")), duckdb.connect()
+    for name, rows, schema in (("benchmark", items, "item_id long, text string"), ("documents", docs, "doc_id long, text string, source string, lang string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet/*.parquet'")
+    return folder, con
+
+
+def test_relevant_chunks_of_odd_letters(spark, odd_texts):
+    """Pieces are looked for as they stand: in upper case a sharp s would be two letters, which is another text."""
+    folder, con = odd_texts
+    got, want = registry.QUERIES["relevant_chunks"](spark, folder).toPandas(), con.sql(registry.SQL["relevant_chunks"]).df()
+    assert rows(got) == rows(want) and {5, 11} <= set(want["case_id"])
