@@ -80,3 +80,10 @@ def test_relevant_chunks_of_odd_letters(spark, odd_texts):
     folder, con = odd_texts
     got, want = registry.QUERIES["relevant_chunks"](spark, folder).toPandas(), con.sql(registry.SQL["relevant_chunks"]).df()
     assert rows(got) == rows(want) and {5, 11} <= set(want["case_id"])
+
+
+def test_retrieval_metrics_of_odd_letters(spark, odd_texts):
+    """Recall counts every relevant document, also those found by a piece with a sharp s."""
+    folder, con = odd_texts
+    got, want = registry.QUERIES["retrieval_metrics"](spark, folder).toPandas(), con.sql(registry.SQL["retrieval_metrics"]).df()
+    assert rows(got) == rows(want) and (want["recall_at_k"] > 0).any()
