@@ -50,10 +50,11 @@ def country_points(spark, sf):
 
 def nearest_axis(spark, sf):
     """The place of each customer's balance on an irregular axis: balances of the nation's suppliers, in order of their keys."""
-    points = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", "s_acctbal"))).alias("p"))
-    axes = points.select("s_nationkey", spatial.sorted_axis(F.transform("p", lambda x: F.round(x["s_acctbal"], -2))).alias("axis"))
-    rows = table(spark, sf, "customer").join(axes, F.col("c_nationkey") == F.col("s_nationkey"))
-    return rows.select("c_custkey", spatial.nearest_index(F.round("c_acctbal", -2) + 50, F.col("axis")).cast("long").alias("place"))
+    axes = spatial.axes(table(spark, sf, "supplier"), "s_nationkey", "s_suppkey", F.round("s_acctbal", -2))
+    rows = table(spark, sf, "customer").select("c_custkey", "c_nationkey", (F.round("c_acctbal", -2) + 50).alias("v"))
+    # rounded balances repeat: each is searched for once on its nation's axis
+    places = rows.select(F.col("c_nationkey").alias("s_nationkey"), F.col("v").alias("w")).distinct().join(axes, "s_nationkey").select("s_nationkey", "w", spatial.nearest_index(F.col("w"), F.col("axis")).cast("long").alias("place"))
+    return rows.join(places, (F.col("c_nationkey") == F.col("s_nationkey")) & F.col("v").eqNullSafe(F.col("w"))).select("c_custkey", "place")
 
 
 def geodesic_points(spark, sf):

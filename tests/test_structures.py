@@ -99,6 +99,27 @@ def test_nearest_of_irregular_axes(spark):
         assert r.i == want, r
 
 
+def test_axes_of_rows(spark):
+    """Axes gathered from rows hold distinct points only, with the places that these have among all rows of their key; null points are never nearest."""
+    rng = random.Random(2)
+    rows = [(key, 7 * i + key, None if rng.random() < 0.1 else float(rng.randint(-4, 4))) for key in range(5) for i in range(rng.randint(1, 60))] + [(9, 1, None)]
+    points, asked = spark.createDataFrame(rows, "key int, n long, x double").repartition(3), [k / 4 for k in range(-20, 21)]
+    axes = spatial.axes(points, "key", "n", F.col("x"))
+    by_key = {key: [x for k, _, x in sorted(rows, key=lambda r: r[:2]) if k == key] for key in {r[0] for r in rows}}
+    want = {(key, v): min(((abs(x - v), i) for i, x in enumerate(xs) if x is not None), default=(0, None))[1] for key, xs in by_key.items() for v in asked}
+    values = axes.withColumn("v", F.explode(F.array(*map(F.lit, asked))))
+    assert {(r.key, r.v): r.i for r in values.select("key", "v", spatial.nearest_index(F.col("v"), F.col("axis")).alias("i")).collect()} == want
+    assert all(len(r.axis) == len({x for x in by_key[r.key] if x is not None}) for r in axes.collect())
+    whole = spark.createDataFrame([(key, xs, v) for key, xs in by_key.items() for v in asked], "key int, axis array<double>, v double")
+    assert {(r.key, r.v): r.i for r in whole.select("key", "v", spatial.nearest_index(F.col("v"), spatial.sorted_axis(F.col("axis"))).alias("i")).collect()} == want
+
+
+def test_axis_is_sorted_once(spark):
+    """Not again for each of its points."""
+    plan = spark.createDataFrame([([2.0, 1.0],)], "axis array<double>").select(spatial.sorted_axis(F.col("axis")).alias("a"))
+    assert plan._jdf.queryExecution().analyzed().toString().count("array_sort(") == 1
+
+
 def integrated(lat, lon, metres, bearing, a=6378137.0, f=1 / 298.257223563, steps=4000):
     """The geodesic's differential equations by Runge and Kutta."""
     e2 = f * (2 - f)
