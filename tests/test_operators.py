@@ -133,6 +133,24 @@ def test_nearest_at_any_distance(spark):
     assert spatial.nearest(a, b.limit(0), "a", "b", 100).count() == 0
 
 
+def test_nearest_compares_places_once(spark, monkeypatch):
+    """Many rows at few places, and many places close together: pairs stay few, results are those of all pairs; repeated left keys take the nearest of their places."""
+    rng = np.random.default_rng(3)
+    spots = [(40 + float(x), -100 + float(y)) for x, y in rng.uniform(0, 0.5, (150, 2))] + [(-90.0, 0.0), (0.0, -0.0), (10.0, 179.99)]
+    some = lambda n, names: spark.createDataFrame([(int(i), *spots[int(k)]) for i, k in enumerate(rng.integers(0, len(spots), n))], names)
+    a, b = some(2000, "a int, lat double, lon double"), some(900, "b int, r_lat double, r_lon double").filter("r_lat < 40.3")
+    a = a.unionByName(spark.createDataFrame([(5, 40.9, -99.0), (3000, 0.0, 0.0), (3001, 10.0, -179.99)], a.schema))
+    pairs = []
+    within = spatial.within
+    monkeypatch.setattr(spatial, "within", lambda *x, **y: (pairs.append((out := within(*x, **y)).count()), out)[1])
+    got = spatial.nearest(a, b, "a", "b", 100).collect()
+    d = F.expr(P.haversine_km("lat", "lon", "r_lat", "r_lon"))
+    want = a.crossJoin(b).groupBy("a").agg(F.min(F.struct(d.alias("d"), "b")).alias("m")).select("a", "m.b", "m.d").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 2002
+    # all pairs of places are some 150 x 90, all pairs of rows 2,000 x 540
+    assert sum(pairs) < 150 * 90
+
+
 def test_dense_top_ties(spark):
     """Sixty equal vectors, ids in falling order: the smallest ids win."""
     v = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(61, 0, -1)], "vec_id long, embedding array<double>").coalesce(1)
